@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-BITS = 18
-ORDERS = (3, 4, 5, 6)
+BITS = 20
+ORDERS = (4, 5, 6)
 _BLANK = bytes(0x20 if i < 0x20 else i for i in range(256))
 
 
@@ -56,7 +56,12 @@ def _features(kept: np.ndarray):
 
 
 def _scorer(weights: np.ndarray, bias: float):
+    kept = np.flatnonzero(weights)
+    values = weights[kept]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[kept] = values
         for batch in batches:
             sums = np.full(batch.num_rows, bias)
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -84,12 +89,12 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty:
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_ratio: float = 0.7, penalty: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count: int = 2, least_ratio: float = 1.5, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """A weight per bucket, and the bias.
 
     ``labels`` has doc_id and toxic (0 or 1; other values and nulls are left out; of a repeated doc_id the
     larger).  At most ``sample_rows`` rows of each class are used, picked by a hash of doc_id.  Buckets seen in
-    fewer than 3 of these documents, or with a log-count ratio under ``least_ratio``, get no weight.  With one
+    fewer than ``least_count`` of these documents, or with a log-count ratio under ``least_ratio``, get no weight.  With one
     class or none the weights are 0 and the bias gives the smoothed share of toxic rows.
     """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -105,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_ratio
     if not n.all():
         return weights, float(np.log((n[1] + 1) / (n[0] + 1)))
     ratio = np.log((toxic + 1) / (n[1] + 2)) - np.log((clean + 1) / (n[0] + 2))
-    keep = (clean + toxic >= 3) & (np.abs(ratio) >= least_ratio)
+    keep = (clean + toxic >= least_count) & (np.abs(ratio) >= least_ratio)
     order = np.argsort(bucket[keep])
     kept, ratio = bucket[keep][order], ratio[keep][order]
     found = texts.mapInArrow(_features(kept), "toxic int, at array<int>").toArrow()
