@@ -2,9 +2,10 @@
 
 A word is a run of white space with the run of other characters after it.  The tokenizer's own pre-tokenizer
 never joins characters across the start of such a run, so encoding word by word gives the ids of the whole
-text.  Documents are dealt into blocks of bounded size; each block lists its distinct words; every distinct
-word of the corpus is encoded once, its ids joined with the pieces they stand for, and the result joined
-back to the blocks that use the word.  In a block, words are replaced by position.
+text.  Documents are packed into compressed blocks of bounded size.  Each block lists its distinct words, dealt
+by hash; the task that gets a hash part encodes each distinct word once, looks its ids up in the id-to-piece
+table, and answers every block that asked.  In a block, words are then replaced by position.  Texts are
+shuffled once, and compressed; neither words nor answers travel as single rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import json
 import math
 import os
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_bytes
+from .common import pick, shuffle_partitions, text_bytes
 
 #: The code points of Unicode's White_Space property.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -47,76 +50,126 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def piece_table(spark, spec: str) -> DataFrame:
-    """id, piece (binary): one row per vocabulary entry, so its size is fixed by the tokenizer."""
+def piece_bytes(spec: str) -> dict[int, bytes]:
+    """The bytes that each id of the vocabulary stands for."""
     data, of = json.loads(spec), byte_alphabet()
     vocabulary = data["model"]["vocab"] | {t["content"]: t["id"] for t in data["added_tokens"]}
-    pieces = [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in vocabulary]
-    return spark.createDataFrame(pa.table({"id": pa.array(list(vocabulary.values()), pa.int32()), "piece": pa.array(pieces, pa.binary())}))
+    return {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in vocabulary.items()}
 
 
-def _encoder(spec: str):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(spec)
+def piece_table(spark, spec: str) -> DataFrame:
+    """id, piece (binary): one row per vocabulary entry, so its size is fixed by the tokenizer."""
+    pieces = piece_bytes(spec)
+    return spark.createDataFrame(pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())}))
+
+
+def _pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _packer(block_bytes: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = made.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.ids for x in found], pa.list_(pa.int32()))], ["word", "ids"])
+            ends = np.cumsum(np.asarray(batch.column(2)), dtype=np.int64)
+            block = (ends - np.asarray(batch.column(2))) // block_bytes
+            starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()] if batch.num_rows else []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                docs = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "text"]).slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([pa.array([_pack(docs)], pa.binary())], ["docs"])
 
-    return encode
+    return pack
 
 
-def _words(table: pa.Table) -> pa.Table:
-    found: set[str] = set()
-    for text in table["text"].to_pylist():
-        found.update(WORD.findall(text))
-    return pa.table({"block": pa.array([table["block"][0].as_py()] * len(found), pa.int64()), "word": pa.array(list(found), pa.string())})
+def _lister(n_parts: int):
+    """The distinct words of each block, by hash part."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+                found: set[str] = set()
+                for text in _unpack(docs).column("text").to_pylist():
+                    found.update(WORD.findall(text))
+                parts = defaultdict(list)
+                for w in sorted(found):
+                    parts[zlib.crc32(w.encode()) % n_parts].append(w)
+                packed = [_pack(pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["word"])) for x in parts.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(packed, pa.binary())], ["part", "block", "words"])
+
+    return lists
 
 
-def _replace(docs: pa.Table, words: pa.Table) -> pa.Table:
+def _encoder(spec: str, pieces: dict[int, bytes], most_words: int):
+    """Answers each list of words with the words, their ids, and the pieces those join to where that isn't the word itself."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, known = tokenizer(spec), {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                words = _unpack(data).column("word").to_pylist()
+                if len(known) > most_words:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                for w, x in zip(new, made.encode_batch(new, add_special_tokens=False), strict=True):
+                    joined = b"".join([pieces[i] for i in x.ids])
+                    known[w] = x.ids, None if joined == w.encode() else joined
+                ids, decoded = zip(*(known[w] for w in words), strict=True)
+                answer = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], ["word", "ids", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_pack(answer)], pa.binary())], ["block", "answer"])
+
+    return encode
+
+
+def _replace(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """Ids and decoded text of each document of a block, by the position of its words."""
-    place = {w: i for i, w in enumerate(words["word"].to_pylist())}
-    pieces = words["piece"].to_pylist()
-    lists = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    flat, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    ids, sizes, decoded = [], [0], []
-    for text in docs["text"].to_pylist():
-        at = np.fromiter(map(place.__getitem__, WORD.findall(text)), np.int64)
-        lengths = bounds[at + 1] - bounds[at]
-        total = int(lengths.sum())
-        ids.append(flat[np.repeat(bounds[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(total)])
-        sizes.append(sizes[-1] + total)
-        decoded.append(b"".join([pieces[i] for i in at.tolist()]).decode("utf-8", "replace"))
-    values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    arrays = pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), pa.array(values, pa.int32())).cast(pa.list_(pa.int32()))
-    return pa.table({"doc_id": docs["doc_id"], "ids": arrays, "decoded": pa.array(decoded, pa.string())})
-
-
-def encode_decode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    tables = [_unpack(x) for x in answers["answer"].to_pylist()]
+    words = pa.Table.from_batches(tables) if tables else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32())), "piece": pa.array([], pa.binary())})
+    names = words["word"].to_pylist()
+    place = {w: i for i, w in enumerate(names)}
+    pieces = [w.encode() if p is None else p for w, p in zip(names, words["piece"].to_pylist(), strict=True)]
+    flat = np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in words["ids"].chunks)])
+    sizes = np.concatenate([np.empty(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in words["ids"].chunks)])
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    out = []
+    for docs in map(_unpack, packed["docs"].to_pylist()):
+        ids, ends, decoded = [np.empty(0, np.int32)], [0], []
+        for text in docs.column("text").to_pylist():
+            at = np.fromiter(map(place.__getitem__, WORD.findall(text)), np.int64)
+            lengths = bounds[at + 1] - bounds[at]
+            total = int(lengths.sum())
+            ids.append(flat[np.repeat(bounds[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(total)])
+            ends.append(ends[-1] + total)
+            decoded.append(b"".join([pieces[i] for i in at.tolist()]).decode("utf-8", "replace"))
+        arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        out.append(pa.table({"doc_id": docs.column("doc_id"), "ids": arrays, "decoded": pa.array(decoded, pa.string())}))
+    return pa.concat_tables(out)
+
+
+def encode_decode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, most_words: int = 2_000_000) -> DataFrame:
     """key, ids (array<int>), decoded (string), one row per input row.
 
     ``spec`` is the content of a tokenizers JSON file.  A null text counts as empty: no ids, empty decoded text.
     Special tokens' strings in a text become their ids, as in the library.  Keys may be null or repeat.
-    Memory in a task is bounded by ``block_bytes``, or by the longest text.
+    Memory in a task is bounded by ``block_bytes``, or by the longest text.  A task that has met more than
+    ``most_words`` distinct words forgets them, and encodes those that come again anew.
     """
     spark = df.sparkSession
-    rows = pick(df, key, text).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    filled = F.coalesce("text", F.lit(""))
+    rows = pick(df, key, text).toDF("doc_id", "text").select("doc_id", filled.alias("text"), F.octet_length(filled).alias("size"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    n_blocks = max(math.ceil(text_bytes(rows, "text") / block_bytes), spark.sparkContext.defaultParallelism)
-    # Both uses of the blocks read all three columns of the same exchange, so texts are shuffled once.
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition(n_blocks, "block")
-    used = blocks.groupBy("block").applyInArrow(_words, "block long, word string")
-    encoded = used.select("word").distinct().mapInArrow(_encoder(spec), "word string, ids array<int>")
-    pieces = piece_table(spark, spec)
-    joined = (
-        encoded.select("word", "ids", F.posexplode("ids").alias("at", "id"))
-        .join(F.broadcast(pieces), "id")  # bounded by the vocabulary
-        .groupBy("word")
-        .agg(F.any_value("ids").alias("ids"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("piece")))), lambda x: x["piece"]), "").alias("piece"))
-        .withColumn("piece", F.unhex("piece"))
-    )
-    table = used.join(joined, "word").select("block", "word", "ids", "piece")
-    out = blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_replace, f"doc_id {kind}, ids array<int>, decoded string")
+    n_blocks = max(math.ceil(text_bytes(rows, "text") / block_bytes), spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+    n_parts = min(n_blocks, 4096)
+    # a block's id follows from its place in the scan; both uses of the blocks read the same exchange
+    blocks = rows.mapInArrow(_packer(block_bytes), "docs binary").withColumn("block", F.monotonically_increasing_id()).repartition(n_blocks, "block")
+    asked = blocks.mapInArrow(_lister(n_parts), "part int, block long, words binary").repartition(n_parts, "part")
+    answers = asked.mapInArrow(_encoder(spec, piece_bytes(spec), most_words), "block long, answer binary")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replace, f"doc_id {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("doc_id", key)
 
 
