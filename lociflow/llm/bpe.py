@@ -65,7 +65,7 @@ def piece_table(spark, spec: str) -> DataFrame:
 
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -74,6 +74,24 @@ def _unpack(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
+def _pack_words(words: list[str], **more: pa.Array) -> bytes:
+    """Words as one string with their lengths, which compresses far better than offsets; each further array is a list beside it."""
+    columns = {"text": pa.array(["".join(words)], pa.string()), "sizes": _one_list(pa.array([len(w) for w in words], pa.int32()))} | {k: _one_list(v) for k, v in more.items()}
+    return _pack(pa.RecordBatch.from_arrays(list(columns.values()), list(columns)))
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _words_of(batch: pa.RecordBatch) -> list[str]:
+    text, words, at = batch.column("text")[0].as_py(), [], 0
+    for n in batch.column("sizes")[0].as_py():
+        words.append(text[at : at + n])
+        at += n
+    return words
+
+
 def _packer(block_bytes: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +117,7 @@ def _lister(n_parts: int):
                 parts = defaultdict(list)
                 for w in sorted(found):
                     parts[zlib.crc32(w.encode()) % n_parts].append(w)
-                packed = [_pack(pa.RecordBatch.from_arrays([pa.array(x, pa.string())], ["word"])) for x in parts.values()]
+                packed = [_pack_words(x) for x in parts.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(packed, pa.binary())], ["part", "block", "words"])
 
     return lists
@@ -112,7 +130,7 @@ def _encoder(spec: str, pieces: dict[int, bytes], most_words: int):
         made, known = tokenizer(spec), {}
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                words = _unpack(data).column("word").to_pylist()
+                words = _words_of(_unpack(data))
                 if len(known) > most_words:
                     known.clear()
                 new = [w for w in words if w not in known]
@@ -120,22 +138,24 @@ def _encoder(spec: str, pieces: dict[int, bytes], most_words: int):
                     joined = b"".join([pieces[i] for i in x.ids])
                     known[w] = x.ids, None if joined == w.encode() else joined
                 ids, decoded = zip(*(known[w] for w in words), strict=True)
-                answer = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], ["word", "ids", "piece"])
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_pack(answer)], pa.binary())], ["block", "answer"])
+                counts = pa.array([len(x) for x in ids], pa.int32())
+                answer = _pack_words(words, counts=counts, ids=pa.array([i for x in ids for i in x], pa.int32()), pieces=pa.array(decoded, pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([answer], pa.binary())], ["block", "answer"])
 
     return encode
 
 
 def _replace(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """Ids and decoded text of each document of a block, by the position of its words."""
-    tables = [_unpack(x) for x in answers["answer"].to_pylist()]
-    words = pa.Table.from_batches(tables) if tables else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32())), "piece": pa.array([], pa.binary())})
-    names = words["word"].to_pylist()
-    place = {w: i for i, w in enumerate(names)}
-    pieces = [w.encode() if p is None else p for w, p in zip(names, words["piece"].to_pylist(), strict=True)]
-    flat = np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in words["ids"].chunks)])
-    sizes = np.concatenate([np.empty(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in words["ids"].chunks)])
-    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    place: dict[str, int] = {}
+    pieces, flat, sizes = [], [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for answer in map(_unpack, answers["answer"].to_pylist()):
+        words = _words_of(answer)
+        place.update(zip(words, range(len(pieces), len(pieces) + len(words)), strict=True))
+        pieces += [w.encode() if p is None else p for w, p in zip(words, answer.column("pieces")[0].as_py(), strict=True)]
+        flat.append(answer.column("ids").flatten().to_numpy(zero_copy_only=False))
+        sizes.append(answer.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    flat, bounds = np.concatenate(flat), np.cumsum(np.concatenate(sizes))
     out = []
     for docs in map(_unpack, packed["docs"].to_pylist()):
         ids, ends, decoded = [np.empty(0, np.int32)], [0], []
