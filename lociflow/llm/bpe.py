@@ -145,6 +145,14 @@ def _encoder(spec: str, pieces: dict[int, bytes], most_words: int):
     return encode
 
 
+def _joined(pieces: list[str | bytes]) -> str:
+    """Pieces as text; those that are bytes can hold a part of a character."""
+    try:
+        return "".join(pieces)
+    except TypeError:
+        return b"".join([x if isinstance(x, bytes) else x.encode() for x in pieces]).decode("utf-8", "replace")
+
+
 def _replace(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """Ids and decoded text of each document of a block, by the position of its words."""
     place: dict[str, int] = {}
@@ -152,7 +160,7 @@ def _replace(packed: pa.Table, answers: pa.Table) -> pa.Table:
     for answer in map(_unpack, answers["answer"].to_pylist()):
         words = _words_of(answer)
         place.update(zip(words, range(len(pieces), len(pieces) + len(words)), strict=True))
-        pieces += [w.encode() if p is None else p for w, p in zip(words, answer.column("pieces")[0].as_py(), strict=True)]
+        pieces += [w if p is None else p for w, p in zip(words, answer.column("pieces")[0].as_py(), strict=True)]
         flat.append(answer.column("ids").flatten().to_numpy(zero_copy_only=False))
         sizes.append(answer.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
     flat, bounds = np.concatenate(flat), np.cumsum(np.concatenate(sizes))
@@ -165,13 +173,13 @@ def _replace(packed: pa.Table, answers: pa.Table) -> pa.Table:
             total = int(lengths.sum())
             ids.append(flat[np.repeat(bounds[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(total)])
             ends.append(ends[-1] + total)
-            decoded.append(b"".join([pieces[i] for i in at.tolist()]).decode("utf-8", "replace"))
+            decoded.append(_joined([pieces[i] for i in at.tolist()]))
         arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
         out.append(pa.table({"doc_id": docs.column("doc_id"), "ids": arrays, "decoded": pa.array(decoded, pa.string())}))
     return pa.concat_tables(out)
 
 
-def encode_decode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, most_words: int = 2_000_000) -> DataFrame:
+def encode_decode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, most_words: int = 250_000) -> DataFrame:
     """key, ids (array<int>), decoded (string), one row per input row.
 
     ``spec`` is the content of a tokenizers JSON file.  A null text counts as empty: no ids, empty decoded text.
