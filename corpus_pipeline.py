@@ -50,7 +50,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document left."""
     ship(spark)
-    found = bpe.encode_decode(docs, queries.tokenizer_file("byte_bpe_50k.json").read_text())
+    found = bpe.encode_decode(docs, queries.tokenizer_file("byte_bpe_50k.json").read_text(), block_bytes=8 << 20)  # the workers still hold what earlier stages left
     return queries.bpe_digests(found)
 
 
