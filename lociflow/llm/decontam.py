@@ -160,8 +160,11 @@ def hit_words(spans="spans"):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
     """The rows of ``docs``, all columns, without those of which windows cover 1 word in ``share`` or more.
 
-    The verdict is joined to the rows by doc_id and digest of the text; equal rows have equal verdicts.
+    The verdict is joined to the rows by doc_id and digest of the text; equal rows have equal verdicts, and a null
+    doc_id counts as a value.
     """
-    found = find_contamination(docs, benchmark)
-    bad = found.where((hit_words() > 0) & (share * hit_words() >= F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(F.col("doc_id"), F.sha2("text", 256).alias("digest"))  # its parts may be null, itself not
+    marked = docs.withColumn("_row", row)
+    found = find_contamination(marked, benchmark, key="_row")
+    bad = found.where((hit_words() > 0) & (share * hit_words() >= F.col("n_words"))).select("_row").distinct()
+    return marked.join(bad, "_row", "left_anti").select(*docs.columns)

@@ -147,6 +147,9 @@ def test_decontamination(spark, slice_bytes):
     assert got == {i: brute_hits(t, [x for x in items if x[0] is not None]) for i, t in enumerate(texts)}
     kept = {r["doc_id"] for r in decontam.drop_contaminated(docs(spark, texts), bench).collect()}
     assert kept == {i for i, (n, h, _) in got.items() if not (h and 20 * h >= n)}
+    shared = spark.createDataFrame([(1, items[0][1]), (1, "clean"), (None, items[0][1]), (None, "clean"), (2, None), (2, None)], "doc_id long, text string")
+    left = sorted(decontam.drop_contaminated(shared, bench).collect(), key=str)
+    assert [tuple(r) for r in left] == [(1, "clean"), (2, None), (2, None), (None, "clean")]
 
 
 def test_html(spark):
@@ -202,6 +205,16 @@ def test_toxicity_without_labels(spark):
     assert len(scored) == 5 and all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_near_dedup_stage_with_repeated_and_null_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f g"), (3, "other words stand in this row"), (4, ""), (4, ""), (None, "a b c d e f g"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    left = corpus_pipeline.near_dedup_stage(spark, df, SF)
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((r["doc_id"], r["text"]) for r in left.where("doc_id is not null").collect()) == [(1, texts[0][1]), (3, texts[0][1]), (3, texts[3][1]), (4, ""), (4, "")]
+    assert left.where("doc_id is null").count() == 2
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     found = corpus_pipeline.run(spark, SF)
