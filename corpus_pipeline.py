@@ -28,10 +28,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates; of rows with the same doc_id that is kept, one."""
+    """The document with the least doc_id of each group of near-duplicates.
+
+    Rows that repeat a doc_id are one document: they stay together where any of them is kept.  A null doc_id stays.
+    """
     ship(spark)
     rows = pick(docs, *COLUMNS)
-    dropped = neardup.near_duplicates(rows).where(~F.col("kept")).select("doc_id", F.lit(True).alias("dropped")).distinct()
+    dropped = neardup.near_duplicates(rows).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
     return rows.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
