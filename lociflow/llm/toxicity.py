@@ -89,7 +89,7 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty:
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count: int = 2, least_ratio: float = 1.5, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count: int = 5, least_ratio: float = 1.5, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """A weight per bucket, and the bias.
 
     ``labels`` has doc_id and toxic (0 or 1; other values and nulls are left out; of a repeated doc_id the
