@@ -143,14 +143,16 @@ def _linked(percent: int, least_share: float):
     """Links between rows of two blocks of a bucket, or of one, that have different labels.
 
     Rows come by (bucket, bi, bj, block); a run of equal (bucket, bi, bj) has two blocks at most.  A pair that
-    shares several buckets is looked at in that of its first band.
+    shares several buckets is looked at in that of its first band.  Signatures are made anew from the sets, which
+    costs less than to shuffle both.
     """
     least = int(least_share * 2 * PERMUTATIONS)
 
     def compare(bucket: int, run: list[tuple]) -> pa.RecordBatch:
-        block, doc, label, n, sketch, sets = zip(*run, strict=True)
+        block, doc, label, n, sets = zip(*run, strict=True)
         block, doc, label, n = (np.array(x, np.int64) for x in (block, doc, label, n))
-        sig = np.frombuffer(b"".join(sketch), np.uint32).reshape(len(run), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in sets]
+        sig = np.stack([min_max(x) for x in sets])
         keys = bucket_keys(sig.astype(np.uint64))
         split = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
         found = []
@@ -159,27 +161,26 @@ def _linked(percent: int, least_share: float):
             at = at[(label[at] != label[i]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))]
             at = at[(sig[at] == sig[i]).sum(1) >= least]
             at = at[keys[at, (keys[at] == keys[i]).argmax(1)] == bucket]
-            mine = np.frombuffer(sets[i], np.uint64)
-            found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in at if similar(mine, np.frombuffer(sets[j], np.uint64), percent)]
+            found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in at if similar(sets[i], sets[j], percent)]
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, key = [], None
         for batch in batches:
-            for *k, block, doc, label, n, sketch, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *k, block, doc, label, n, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key and run:
                     yield compare(key[0], run)
                     run = []
                 key = k
-                run.append((block, doc, label, n, sketch, hashes))
+                run.append((block, doc, label, n, hashes))
         if run:
             yield compare(key[0], run)
 
     return linked
 
 
-def _remaining_links(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, neighbours: int, block: int = 128) -> DataFrame:
+def _remaining_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, neighbours: int, block: int = 128) -> DataFrame:
     """Links (a, b) between different components in buckets that neighbours don't cover.
 
     Rows are ordered by label, so that two blocks of one and the same label, as a large group of copies has
@@ -194,9 +195,8 @@ def _remaining_links(buckets: DataFrame, labels: DataFrame, sketches: DataFrame,
     listed = blocks.groupBy("bucket").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("blocks"))
     meets = F.filter("blocks", lambda x: ~((F.col("lo") == F.col("hi")) & (x["lo"] == x["hi"]) & (x["lo"] == F.col("lo"))))
     pairs = blocks.join(listed, "bucket").select("bucket", "block", F.explode(meets).alias("other")).select("bucket", "block", F.least("block", "other.block").alias("bi"), F.greatest("block", "other.block").alias("bj"))
-    content = sets.join(sketches.select(F.col("rep").alias("doc"), "sketch"), "doc").join(dealt.select("doc").distinct(), "doc", "left_semi")
-    met = dealt.join(pairs, ["bucket", "block"]).join(content, "doc")
-    near = met.select("bucket", "bi", "bj", "block", "doc", "label", "n", "sketch", "hashes").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "block")
+    met = dealt.join(pairs, ["bucket", "block"]).join(sets, "doc")
+    near = met.select("bucket", "bi", "bj", "block", "doc", "label", "n", "hashes").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "block")
     return near.mapInArrow(_linked(percent, percent / 100 - 0.2), "a long, b long").distinct()
 
 
@@ -243,9 +243,9 @@ def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text:
     full = _pairs(buckets, percent, neighbours).join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     links = cut(full.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b"))
     labels = components(links)
-    more = cut(_remaining_links(buckets, labels, classes, sets, percent, neighbours))
+    more = cut(_remaining_links(buckets, labels, sets, percent, neighbours))
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(labels.select(F.col("doc").alias("a"), F.col("label").alias("b")).union(more))
     rep_labels = classes.select("digest", "rep").join(labels.withColumnRenamed("doc", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     return (
         sketched.select("doc_id", "n", "digest")
