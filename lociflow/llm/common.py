@@ -32,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder; lineage ends there."""
+    """The same rows, written to the shared folder; lineage ends there.
+
+    Shuffle files stay until the driver's JVM collects what points to them, and a driver that only plans seldom
+    does so by itself; asking for it here frees the disk of earlier rounds.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def text_bytes(df: DataFrame, column: str) -> int:
