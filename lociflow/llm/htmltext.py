@@ -1,14 +1,18 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Every page is cut into lines, one per block.  Pages are put in order of host and URL path, and each is aligned
-by longest common subsequence with its nearest neighbour of the same host; shared lines are the site's
-template and go.  Lines of an article element are prose of the page itself even where a second page repeats
-them, so there only links can be template.  What markup names as no part of the text (menus, forms, adverts,
-comments and the like) goes as well.
+by longest common subsequence with the nearest page of the same host that has another longest line, so that
+copies of one article don't take it from each other; shared lines are the site's template and go, inside
+articles only if all of the nearest three such pages have them.  Where all pages near by have the same longest
+line, the nearest that differs at all is taken, and lines of an article element that aren't links stay.  What markup names as no part of the text (menus, forms,
+adverts, comments and the like) goes as well.
 """
 
 from __future__ import annotations
 
+import collections
+import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -20,6 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
+#: Distinct pages of a host, on either side, among which the nearest with another article is looked for.
+WINDOW = 16
+#: Pages with other articles that are asked whether a line of an article is the site's.
+WITNESSES = 3
+
 #: Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template head title svg math iframe object button select textarea dialog menu canvas audio video datalist search".split())
@@ -100,8 +109,14 @@ def lines(html: str | None) -> list[tuple[str, int, bool]]:
     reader.feed(html or "")
     HTMLParser.close(reader)
     reader.flush()
-    best = max((x[1] for x in reader.lines), default=0)
-    return [x for x in reader.lines if x[1] == best]
+    return reader.lines
+
+
+def main_part(found: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]:
+    """The lines in articles, else those in main, where they hold a third of the text that isn't links; else all."""
+    size = lambda part: sum(len(t) for t, p, links in found if p >= part and not links)
+    part = next((p for p in (2, 1) if 3 * size(p) >= size(0) and any(x[1] >= p for x in found)), 0)
+    return [x for x in found if x[1] >= part]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -135,54 +150,105 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(page: list[dict], other: list[dict] | None) -> str:
-    """The page's lines but for those it shares with the other page."""
-    drop: set[int] = set()
-    if other is not None:
-        shared = common_lines([x["text"] for x in page], [x["text"] for x in other])
-        if 2 * len(shared) < len(page):  # else the other page holds the same article
-            drop = {i for i in shared if page[i]["part"] < 2 or page[i]["links"]}
-    return "\n".join(x["text"] for i, x in enumerate(page) if i not in drop)
-
+def main_text(page: list[tuple], others: list[list[tuple]], same: bool = False) -> str:
+    """The page's lines but for those aligned with the nearest other page.
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("part", pa.int32()), ("links", pa.bool_())]))
-    for batch in batches:
-        found = [[{"text": t, "part": p, "links": k} for t, p, k in lines(h)] for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, kind)], ["page_id", "url", "lines"])
+    A line of an article that isn't only links must be on all other pages too, and stays where they may
+    hold the same article (``same``).
+    """
+    drop: set[int] = set()
+    if others:
+        drop = common_lines([x[0] for x in page], [x[0] for x in others[0]])
+        on = collections.Counter(t for o in others for t in {x[0] for x in o})
+        drop = {i for i in drop if page[i][1] < 2 or page[i][2] or not same and on[page[i][0]] == len(others)}
+    return "\n".join(x[0] for x in main_part([x for i, x in enumerate(page) if i not in drop]))
+
+
+class _Page:
+    def __init__(self, html: str | None) -> None:
+        self.lines = lines(html)
+        self.digest = hashlib.blake2b("\n".join(x[0] for x in self.lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self.lead = max((x[0] for x in self.lines if not x[2]), key=len, default="")
+
+
+class _Waiting:
+    """Rows of one line sequence that wait for further pages of the host."""
+
+    def __init__(self, page: _Page, before: list[_Page]) -> None:
+        self.page, self.rows, self.passed = page, [], set()
+        self.others: dict[str, _Page] = {}
+        self.near: _Page | None = None
+        for x in before:
+            self.meet(x)
+
+    def meet(self, other: _Page) -> None:
+        if other.digest != self.page.digest:
+            self.near = self.near or other
+            if other.lead != self.page.lead and len(self.others) < WITNESSES:
+                self.others.setdefault(other.lead, other)
+
+    def texts(self) -> list[tuple]:
+        others = list(self.others.values()) or [self.near] * (self.near is not None)
+        text = main_text(self.page.lines, [x.lines for x in others], not self.others)
+        return [(*r, text) for r in self.rows]
+
+
+def _host_texts(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(page_id, url, text) of a host's own rows, which come in order as (page_id, url, html, own)."""
+    seen: dict[bytes, _Page] = {}
+    waiting: list[_Waiting] = []
+    for page_id, url, html, own in rows:
+        page = _Page(html)
+        if not page.lines:
+            if own:
+                yield page_id, url, ""
+            continue
+        left = []
+        for w in waiting:
+            w.meet(page)
+            w.passed.add(page.digest)
+            if len(w.others) >= WITNESSES or len(w.passed - {w.page.digest}) >= WINDOW:
+                yield from w.texts()
+            else:
+                left.append(w)
+        waiting = left
+        if own:
+            if not waiting or waiting[-1].page.digest != page.digest:
+                waiting.append(_Waiting(page, list(reversed(seen.values()))))
+            waiting[-1].rows.append((page_id, url))
+            if len(waiting[-1].others) >= WITNESSES:
+                yield from waiting.pop().texts()
+        seen.pop(page.digest, None)
+        seen[page.digest] = page
+        if len(seen) > WINDOW:
+            del seen[next(iter(seen))]
+    for w in waiting:
+        yield from w.texts()
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by host and path; each page meets the one before it, and the first of a host the one after it."""
+    """Rows come by bucket, host and path."""
+
+    kind = None
 
     def pages():
+        nonlocal kind
         for batch in batches:
-            names = batch.schema.names
-            yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            kind = batch.schema.field("page_id").type
+            yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "host", "page_id", "url", "html", "own")), strict=True)
 
     def batch(rows):
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["page_id", "url", "text"])
-
-    rows, waiting, before, size = [], None, None, 0
-    for page in pages():
-        page_id, url, found, host = page
-        if waiting is not None:
-            text = main_text(waiting[2], found if host == waiting[3] else None)
-            rows.append((waiting[0], waiting[1], text))
-            size, waiting = size + len(text), None
-        if before is not None and before[3] == host:
-            text = main_text(found, before[2])
-            rows.append((page_id, url, text))
-            size += len(text)
-        else:
-            waiting = page
-        before = page
-        if size > 8_000_000 or len(rows) >= 5000:
-            yield batch(rows)
-            rows, size = [], 0
-    if waiting is not None:
-        rows.append((waiting[0], waiting[1], main_text(waiting[2], None)))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["page_id", "url", "text"])
+
+    rows, size = [], 0
+    for _, run in itertools.groupby(pages(), key=lambda r: r[:2]):
+        for row in _host_texts(r[2:] for r in run):
+            rows.append(row)
+            size += len(row[2])
+            if size > 8_000_000 or len(rows) >= 5000:
+                yield batch(rows)
+                rows, size = [], 0
     if rows:
         yield batch(rows)
 
@@ -196,9 +262,8 @@ def extract(df: DataFrame) -> DataFrame:
     """
     rows = pick(df, "page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
-    cut = rows.mapInArrow(_cut, f"page_id {kind}, url string, lines array<struct<text:string,part:int,links:boolean>>")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    placed = cut.select("page_id", "url", "lines", host.alias("host"), path.alias("path"))
-    near = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url").drop("path")
+    placed = rows.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
+    near = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url").drop("path").withColumns({"bucket": F.lit(0), "own": F.lit(True)})
     return near.mapInArrow(_difference, f"page_id {kind}, url string, text string")

@@ -222,3 +222,33 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in found.collect()}
     assert kept and kept <= {d for d, p in scores.items() if not p}
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+
+
+def prose(rng, n=12):
+    return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10_000)}" for _ in range(n))
+
+
+def test_html_template_lines_in_articles(spark):
+    rng = random.Random(11)
+    own = [[prose(rng) for _ in range(3)] for _ in range(6)]
+    quoted = prose(rng, 6)  # two pages of six quote the same line: not the site's
+    own[0].append(quoted), own[1].append(quoted)
+    page = lambda body: "<article><p>By the editors</p>" + "".join(f"<p>{x}</p>" for x in body) + "<p>Licensed under these terms</p></article>"
+    rows = [(f"http://h/{i}", page(b)) for i, b in enumerate(own)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages_of(spark, rows)).collect()}
+    assert got == {i: "\n".join(b) for i, b in enumerate(own)}
+    texts = [[x[0] for x in htmltext.lines(h)] for _, h in rows]
+    for i, a in enumerate(texts):  # one longest common subsequence, by brute force over the shorter's subsets
+        b = texts[i - 1]
+        found = sorted(htmltext.common_lines(a, b))
+        best = max((s for m in range(1 << len(a)) if (s := [i for i in range(len(a)) if m >> i & 1]) and subsequence([a[i] for i in s], b)), key=len)
+        assert len(found) == len(best) and subsequence([a[i] for i in found], b)
+
+
+def subsequence(x, y):
+    at = iter(y)
+    return all(v in at for v in x)
