@@ -19,10 +19,10 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, shuffle_partitions
 
 #: Distinct pages of a host, on either side, among which the nearest with another article is looked for.
 WINDOW = 16
@@ -253,17 +253,73 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(rows)
 
 
-def extract(df: DataFrame) -> DataFrame:
+def _bucket(bounds: list[tuple]):
+    """The number of bounds (host, path, page_id) that are not above a row's place, as nested comparisons of log depth."""
+
+    def reached(b: tuple):
+        host, path, page_id = (F.lit(x) for x in b)
+        return (F.col("host") > host) | (F.col("host") == host) & ((F.col("path") > path) | (F.col("path") == path) & F.coalesce(F.col("page_id") >= page_id, F.lit(False)))
+
+    def part(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(reached(bounds[mid]), part(mid + 1, hi)).otherwise(part(lo, mid))
+
+    return part(0, len(bounds))
+
+
+def _carried(ends: list[dict]) -> list[tuple]:
+    """(host, path, page_id, digest, to): which rows near a range's border are shown to the ranges beside it."""
+    ranges: dict[int, list[dict]] = {}
+    for r in ends:
+        ranges.setdefault(r["bucket"], []).append(r)
+    order, out = sorted(ranges), []
+    for step, nth, edge, ways in ((-1, "from_end", "from_start", order), (1, "from_start", "from_end", order[::-1])):
+        at = {b: i for i, b in enumerate(ways)}
+        for b in ways:
+            host = min(ranges[b], key=lambda r: r[edge])["host"]
+            found: dict[int, dict] = {}
+            for c in ways[: at[b]][::-1]:
+                near = sorted((r for r in ranges[c] if r[nth] <= WINDOW), key=lambda r: r[nth])
+                for r in itertools.takewhile(lambda r: r["host"] == host, near):
+                    if len(found) < WINDOW:
+                        found.setdefault(r["digest"], r)
+                if len(found) >= WINDOW or not near or near[-1]["host"] != host:
+                    break
+            out += [(r["host"], *((r["last"] if step < 0 else r["first"])[k] for k in ("path", "page_id")), r["digest"], b) for r in found.values()]
+    return out
+
+
+def extract(df: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """page_id, url, text: the main text of every row's html, '' where there is none.
 
     A null html counts as empty.  Pages without a URL share the host ''.  Equal URLs follow each other by
-    page_id.  Hosts are ranged over partitions by URL, so that a large host is split; a page that is alone in
-    its partition's part of a host has no neighbour and loses no lines by comparison.
+    page_id.  Hosts are ranged by URL, so that a large host is split; a range is shown the ``WINDOW`` nearest
+    distinct pages of the same host on either side.  Only keys of a sample and of rows at borders pass through
+    the driver.
     """
+    spark = df.sparkSession
     rows = pick(df, "page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    placed = rows.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    near = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url").drop("path").withColumns({"bucket": F.lit(0), "own": F.lit(True)})
+    placed = rows.withColumns({"host": host, "path": path, "digest": F.xxhash64("html")})
+    n = n_ranges or shuffle_partitions(spark)
+    keys = placed.where("page_id is not null").select("host", "path", "page_id")
+    sample = sorted(tuple(r) for r in keys.orderBy(F.xxhash64("page_id", "path")).limit(50 * n).collect()) if n > 1 else []
+    bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+    dealt = placed.withColumn("bucket", _bucket(bounds))
+    shown = dealt.withColumn("own", F.lit(True))
+    if bounds:
+        place = F.struct("path", "page_id")
+        distinct = dealt.groupBy("bucket", "host", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        nth = {"from_start": F.row_number().over(Window.partitionBy("bucket").orderBy("host", "first", "digest")), "from_end": F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("host"), F.desc("last"), "digest"))}
+        ends = [r.asDict() for r in distinct.withColumns(nth).where(f"from_start <= {WINDOW} or from_end <= {WINDOW}").collect()]
+        carried = _carried(ends)
+        if carried:
+            to = spark.createDataFrame(carried, f"c_host string, c_path string, c_id {kind}, c_digest long, to int")
+            also = dealt.join(F.broadcast(to), F.expr("host = c_host and path = c_path and digest = c_digest and page_id <=> c_id"))
+            shown = shown.unionByName(also.select("page_id", "url", "html", "host", "path", "digest", F.col("to").alias("bucket"), F.lit(False).alias("own")))
+    near = shown.repartition(n, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url", "digest").drop("path", "digest")
     return near.mapInArrow(_difference, f"page_id {kind}, url string, text string")

@@ -252,3 +252,16 @@ def test_html_template_lines_in_articles(spark):
 def subsequence(x, y):
     at = iter(y)
     return all(v in at for v in x)
+
+
+def test_html_short_articles_and_copies(spark):
+    rng = random.Random(12)
+    site = [prose(rng, 20) for _ in range(5)]
+    div = lambda body: "".join(f"<div>{x}</div>" for x in site[:3] + body + site[3:])
+    short = [[prose(rng) for _ in range(3)] for _ in range(4)]
+    copy = [prose(rng, 40), prose(rng), prose(rng)]
+    rows = [(f"http://h/a{i}", div(b)) for i, b in enumerate(short)] + [(f"http://h/b{i:02}", div(copy)) for i in range(30)] + [("http://h/c", div([prose(rng, 50)])), (None, "<p>x</p>")]
+    want = {i: "\n".join(b) for i, b in enumerate(short)} | {i: "\n".join(copy) for i in range(4, 34)} | {34: rows[34][1].split("<div>")[4].removesuffix("</div>"), 35: "x"}
+    for n in (1, 2, 5, 40):  # ranges cut the run of copies, and the answer stays
+        got = {r["page_id"]: r["text"] for r in htmltext.extract(pages_of(spark, rows), n).collect()}
+        assert got == want
