@@ -5,7 +5,8 @@ by longest common subsequence with the nearest page of the same host that has an
 copies of one article don't take it from each other; shared lines are the site's template and go, inside
 articles only if all of the nearest three such pages have them.  Where all pages near by have the same longest
 line, the nearest that differs at all is taken, and lines of an article element that aren't links stay.  What markup names as no part of the text (menus, forms,
-adverts, comments and the like) goes as well.
+adverts, comments and the like) goes as well, unless it holds an article, or most of the text of a page without one; a name that is
+only part of a longer one must be confirmed by links, or its lines by the comparison.
 """
 
 from __future__ import annotations
@@ -31,29 +32,50 @@ WITNESSES = 3
 
 #: Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-DROPPED = frozenset("nav header footer aside form script style noscript template head title svg math iframe object button select textarea dialog menu canvas audio video datalist search".split())
+DROPPED = frozenset("nav footer aside script style noscript template head title svg math iframe object button select textarea dialog menu canvas audio video datalist search".split())
+#: Elements that may stand in a head; any other closes one left open.
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
+#: Elements that markup or names only propose to drop.
+PROPOSED = frozenset("header form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that name what is no part of an article.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side-?bar|rail|widget|menu|nav\w*|breadcrumbs?|toc|pagination|pager|"
-    r"header|masthead|footer|foot|comments?|comment-?list|commentlist|disqus|replies|responses|discussion|related|recommended|share|sharing|social|toolbar|skip|complementary|contentinfo|search|form)(?:$|[\s_-])", re.I)
+WORDS = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side-?bar|rail|widget|menu|nav\w*|breadcrumbs?|toc|pagination|pager|"
+    r"header|masthead|footer|foot|comments?|comment-?list|commentlist|disqus|replies|responses|discussion|related|recommended|share|sharing|social|toolbar|skip|complementary|contentinfo|search|form)")
+#: A whole name, as class="sidebar", and a part of one, as class="no-sidebar".
+NAMED, PART_NAMED = re.compile(rf"(?:^|\s){WORDS}(?:$|\s)", re.I), re.compile(rf"(?:^|[\s_-]){WORDS}(?:$|[\s_-])", re.I)
+
+
+class _Part:
+    """An element that is proposed for removal."""
+
+    def __init__(self, sure: bool, own_header: bool) -> None:
+        self.sure, self.holds_article = sure, own_header
+        self.chars = self.link_chars = 0
+
+    def removed(self, page_chars: int, articles: bool) -> bool:
+        """Never if it holds an article, or most of the text of a page without one; on a part of a name alone, if it is mostly links."""
+        if self.holds_article or 2 * self.chars > page_chars and not (self.sure and articles):
+            return False
+        return self.sure or 2 * self.link_chars > self.chars
 
 
 class _Lines(HTMLParser):
-    """Lines of a page as (text, in an article, only links)."""
+    """Lines of a page as (text, in an article, only links, the proposed elements around it)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, bool, _Part | None]] = []
         self.dropped = self.articles = self.mains = self.links = 0
         self.parts: list[str] = []
         self.linked: list[bool] = []
-        self.lines: list[tuple[str, int, bool]] = []
+        self.around: list[_Part] = []
+        self.lines: list[tuple[str, int, bool, tuple[_Part, ...]]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, 2 if self.articles else 1 if self.mains else 0, all(self.linked)))
+            self.lines.append((text, 2 if self.articles else 1 if self.mains else 0, all(self.linked), tuple(self.around)))
         self.parts, self.linked = [], []
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -63,13 +85,25 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        if tag == "p" and any(t == "p" for t, _ in self.stack[-3:]):
+        if tag == "p" and any(x[0] == "p" for x in self.stack[-3:]):
             self.close("p")
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+        if tag not in HEAD and any(x[0] == "head" for x in self.stack):  # an end tag left out
+            self.close("head")
+        names = [v for k, v in attrs if k in ("class", "id", "role") and v]
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
-        drop = tag in DROPPED or hidden or bool(names) and tag not in ("html", "body", "article", "main") and bool(NAMED.search(names))
-        self.stack.append((tag, drop))
-        self.count(tag, drop, 1)
+        part = None
+        if tag in ("article", "main"):
+            for x in self.around:
+                x.holds_article = True
+        elif tag not in ("html", "body"):
+            sure = tag in PROPOSED or any(NAMED.search(x) for x in names)
+            if sure or any(PART_NAMED.search(x) for x in names):
+                if self.parts:
+                    self.flush()
+                part = _Part(sure, tag == "header" and self.articles > 0)
+                self.around.append(part)
+        self.stack.append((tag, tag in DROPPED or hidden, part))
+        self.count(tag, self.stack[-1][1], 1)
 
     def count(self, tag: str, drop: bool, by: int) -> None:
         self.dropped += by * drop
@@ -80,7 +114,10 @@ class _Lines(HTMLParser):
     def close(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                for t, d in reversed(self.stack[i:]):
+                for t, d, part in reversed(self.stack[i:]):
+                    if part:
+                        self.flush()
+                        self.around.pop()
                     self.count(t, d, -1)
                 del self.stack[i:]
                 return
@@ -98,10 +135,16 @@ class _Lines(HTMLParser):
         self.close(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.dropped and data.strip() and self.stack[-1][0] == "head":  # text ends a head left open
+            self.close("head")
         if not self.dropped:
             self.parts.append(data)
-            if data.strip():
+            size = len(data.strip())
+            if size:
                 self.linked.append(self.links > 0)
+                for x in self.around:
+                    x.chars += size
+                    x.link_chars += size * (self.links > 0)
 
 
 def lines(html: str | None) -> list[tuple[str, int, bool]]:
@@ -109,7 +152,9 @@ def lines(html: str | None) -> list[tuple[str, int, bool]]:
     reader.feed(html or "")
     HTMLParser.close(reader)
     reader.flush()
-    return reader.lines
+    chars, articles = sum(len(x[0]) for x in reader.lines), any(x[1] == 2 for x in reader.lines)
+    gone = {id(p) for x in reader.lines for p in x[3] if p.removed(chars, articles)}
+    return [x[:3] for x in reader.lines if not any(id(p) in gone for p in x[3])]
 
 
 def main_part(found: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]:

@@ -265,3 +265,25 @@ def test_html_short_articles_and_copies(spark):
     for n in (1, 2, 5, 40):  # ranges cut the run of copies, and the answer stays
         got = {r["page_id"]: r["text"] for r in htmltext.extract(pages_of(spark, rows), n).collect()}
         assert got == want
+
+
+def test_html_names_around_articles(spark):
+    body = "<h1>Title</h1><p>one two three four</p>"
+    both = "Title\none two three four"
+    pages = [
+        f"<div class='{c}'><article>{body}</article></div><div class='sidebar'>aside</div>" for c in ("layout no-sidebar", "has-toc", "page with-sidebar", "search-results", "alert-body", "sidebar")
+    ] + [
+        f"<div class='alert-body'>{body}</div>",
+        f"<form id='f'>{body}</form>",
+        "<article><div class='entry-header'><h1>Title</h1></div><p>one two three four</p></article>",
+        "<article><header><h1>Title</h1></header><p>one two three four</p></article><header>site</header>",
+        f"<html><head><title>T</title><meta name='x'><body>{body}",
+        f"<html><head><title>T</title><script>s</script>{body}",
+        f"<div>{body}</div><div class='side-menu'><a href='/'>a</a> <a href='/b'>b</a></div>",
+        f"<div class='ad'>{'buy ' * 40}</div><article>{body}</article>",
+        f"<nav><a href='/'>a</a></nav><article>{body}</article><div class='comments'>hm</div>",
+    ]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages_of(spark, [(f"http://h{i}/", p) for i, p in enumerate(pages)])).collect()}
+    assert got == dict.fromkeys(range(len(pages)), both)
+    outside = f"<article><p>see this</p></article><div>{body}<p>" + "long text " * 9 + "</p></div>"
+    assert both in htmltext.extract(pages_of(spark, [("http://h/", outside)])).first()["text"]
