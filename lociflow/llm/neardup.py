@@ -77,7 +77,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sketches.append(min_max(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "digest", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), batch.column(2)], ["doc_id", "n", "digest", "sketch", "node"])
 
 
 def bucket_keys(sketch: np.ndarray) -> np.ndarray:
@@ -227,18 +227,19 @@ def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text:
     """
     rows = pick(df, key, text).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sketched = cut(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_sketch, "doc_id long, n long, digest binary, sketch binary"))
-    classes = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("node"))
+    sketched = cut(rows.mapInArrow(_sketch, "doc_id long, n long, digest binary, sketch binary, node long"))
+    classes = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     by_bucket = Window.partitionBy("bucket")
     buckets = cut(
-        classes.select(F.col("rep").alias("doc_id"), "n", "sketch")
+        classes.select(F.col("node").alias("doc_id"), "n", "sketch")
         .mapInArrow(_bands, "bucket long, doc long, n long, place long")
         .withColumn("size", F.count("*").over(by_bucket))
         .where("size > 1")
         .drop("size")
     )
     members = buckets.select("doc").distinct()
-    sets = cut(rows.select(F.col("doc_id").cast("long").alias("doc"), "text").join(members, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets, "doc long, hashes binary"))
+    sets = cut(rows.select(F.col("node").alias("doc"), "text").join(members, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets, "doc long, hashes binary"))
 
     full = _pairs(buckets, percent, neighbours).join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     links = cut(full.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b"))
@@ -246,7 +247,8 @@ def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text:
     more = cut(_remaining_links(buckets, labels, sets, percent, neighbours))
     if not more.isEmpty():
         labels = components(labels.select(F.col("doc").alias("a"), F.col("label").alias("b")).union(more))
-    rep_labels = classes.select("digest", "rep").join(labels.withColumnRenamed("doc", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
+    labelled = classes.select("digest", "rep", "node").join(labels.withColumnRenamed("doc", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rep_labels = labelled.select("digest", "label").join(labelled.groupBy("label").agg(F.min("rep").alias("component")), "label").select("digest", "component")
     return (
         sketched.select("doc_id", "n", "digest")
         .join(rep_labels, "digest", "left")

@@ -287,3 +287,13 @@ def test_html_names_around_articles(spark):
     assert got == dict.fromkeys(range(len(pages)), both)
     outside = f"<article><p>see this</p></article><div>{body}<p>" + "long text " * 9 + "</p></div>"
     assert both in htmltext.extract(pages_of(spark, [("http://h/", outside)])).first()["text"]
+
+
+def test_near_duplicates_of_repeated_keys(spark):
+    rng = random.Random(13)
+    one, two = ([f"{c}{rng.randrange(900)}" for _ in range(60)] for c in "pq")
+    near = lambda w, i: " ".join([*w[:-1], f"end{i}"])
+    rows = [(5, near(one, 0)), (5, near(two, 0)), (7, near(one, 1)), (8, near(two, 1)), (5, "alone in this text"), (9, near(two, 0))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(5, 5, True)] * 3 + [(i, 5, False) for i in (7, 8, 9)]
