@@ -366,5 +366,5 @@ def extract(df: DataFrame, n_ranges: int | None = None) -> DataFrame:
             to = spark.createDataFrame(carried, f"c_host string, c_path string, c_id {kind}, c_digest long, to int")
             also = dealt.join(F.broadcast(to), F.expr("host = c_host and path = c_path and digest = c_digest and page_id <=> c_id"))
             shown = shown.unionByName(also.select("page_id", "url", "html", "host", "path", "digest", F.col("to").alias("bucket"), F.lit(False).alias("own")))
-    near = shown.repartition(n, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url", "digest").drop("path", "digest")
+    near = shown.repartitionById(n, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url", "digest").drop("path", "digest")
     return near.mapInArrow(_difference, f"page_id {kind}, url string, text string")
