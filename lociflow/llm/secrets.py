@@ -1,7 +1,7 @@
 """Secret scans: three patterns, and a token-efficiency test for random strings.
 
 A string that a public BPE vocabulary can only write with few characters per token is random; digests,
-UUIDs, numbers and dotted names are left out.  Such spans are reported as ``random`` where no pattern matched.
+UUIDs, dates, numbers and dotted names are left out.  Such spans are reported as ``random`` where no pattern matched.
 """
 
 from __future__ import annotations
@@ -23,7 +23,11 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 LONG_HEX = re.compile("[0-9a-f]{32}")
-RUN = re.compile("[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile("[A-Za-z0-9+/_=-]{8,}")
+#: Dates and times are identifiers, too.
+STAMP = re.compile("[0-9]{4}-?[0-9]{2}-?[0-9]{2}([T_-]?[0-9]{2,6}Z?)?")
+#: Limits of characters per token for runs under 20, by alphabet, from each length on: clean text of one case is as hard to write as short random strings.
+LIMITS = {"digits": ((16, 2.0), (12, 1.8), (8, 1.6)), "mixed": ((16, 2.0), (12, 1.8), (8, 1.6)), "single": ((16, 1.6), (12, 1.5), (8, 1.25))}
 UUID = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile("([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 
@@ -49,14 +53,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def alphabet(s: str) -> str | None:
+    """Letters with digits, letters of mixed case (beyond a capital), of one case; None without letters."""
+    if not any(c.isalpha() for c in s):
+        return None
+    if any(c.isdigit() for c in s):
+        return "digits"
+    return "mixed" if any(c.isupper() for c in s[1:]) and any(c.islower() for c in s) else "single"
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in RUN.finditer(text):
         s = m[0]
-        mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-        if not mixed or UUID.fullmatch(s) or DIGEST.fullmatch(s) or any(a < m.end() and m.start() < b for a, _, b in taken):
+        kind = alphabet(s)
+        if not kind or UUID.fullmatch(s) or DIGEST.fullmatch(s) or STAMP.fullmatch(s) or any(a < m.end() and m.start() < b for a, _, b in taken):
             continue
-        if len(s) < ratio * len(encode(s)):
+        limit = ratio if len(s) >= 20 else next(x for n, x in LIMITS[kind] if len(s) >= n)
+        if len(s) < limit * len(encode(s)):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -78,9 +92,9 @@ def _finder(ranks: bytes, pattern: str, ratio: float):
 def find_secrets(df: DataFrame, ranks: bytes, pattern: str, ratio: float = 2.2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, spans: array of (kind, start, end) by start, then kind; code points, end exclusive.
 
-    ``ranks`` is the content of a tiktoken file, ``pattern`` its split pattern.  A run of 20 or more of
-    ``A-Za-z0-9+/_=-`` with letters and digits is ``random`` when it has fewer than ``ratio`` characters per
-    token.  A null text has no spans and stays null.
+    ``ranks`` is the content of a tiktoken file, ``pattern`` its split pattern.  A run of 8 or more of
+    ``A-Za-z0-9+/_=-`` with a letter is ``random`` when it has fewer characters per token than ``ratio``, or,
+    under 20 characters, than its length and alphabet allow (``LIMITS``).  A null text has no spans and stays null.
     """
     rows = pick(df, key, text).toDF("key", "text")
     kind = rows.schema["key"].dataType.simpleString()

@@ -297,3 +297,19 @@ def test_near_duplicates_of_repeated_keys(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
     assert got == [(5, 5, True)] * 3 + [(i, 5, False) for i in (7, 8, 9)]
+
+
+def test_random_strings(spark):
+    import string
+
+    rng = random.Random(14)
+    ranks = queries.tokenizer_file("byte_bpe_50k.tiktoken").read_bytes()
+    least = {(string.ascii_letters, 32): 0.95, (string.ascii_letters, 20): 0.9, (string.ascii_letters + string.digits, 20): 0.95, (string.ascii_letters + string.digits, 16): 0.85, (string.ascii_letters, 12): 0.6, (string.ascii_lowercase, 32): 0.85}
+    planted = [(k, "".join(rng.choice(k[0]) for _ in range(k[1]))) for k in least for _ in range(100)]
+    clean = ["the international organisation responsibly", "2026-11-28T04 getElementById HashMapEntry", "123e4567-e89b-12d3-a456-426614174000"]
+    found = secrets.find_secrets(docs(spark, [f"see {x} here" for _, x in planted] + clean), ranks, queries.split_pattern()).collect()
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in found}
+    for k, share in least.items():
+        mine = [i for i, (kind, _) in enumerate(planted) if kind == k]
+        assert sum(("random", 4, 4 + k[1]) in got[i] for i in mine) >= share * len(mine), k
+    assert not any(got[i] for i in range(len(planted), len(planted) + len(clean)))
