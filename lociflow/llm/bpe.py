@@ -3,9 +3,12 @@
 A word is a run of white space with the run of other characters after it.  The tokenizer's own pre-tokenizer
 never joins characters across the start of such a run, so encoding word by word gives the ids of the whole
 text.  Documents are packed into compressed blocks of bounded size.  Each block lists its distinct words, dealt
-by hash; the task that gets a hash part encodes each distinct word once, looks its ids up in the id-to-piece
-table, and answers every block that asked.  In a block, words are then replaced by position.  Texts are
-shuffled once, and compressed; neither words nor answers travel as single rows.
+by hash; the task that gets a hash part holds its share of the table of distinct words, encodes each of them
+once, and answers every block that asked with the ids in the order of its list.  In a block, words are then
+replaced by position.  Texts are shuffled once, and compressed; words and ids travel as lists.
+
+Decoding looks only at ids: each is joined to its piece in the id-to-piece table, whose size the tokenizer
+fixes, so that every task has it whole and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, shuffle_partitions, text_bytes
+from .common import pick, ship, shuffle_partitions, text_bytes
 
 #: The code points of Unicode's White_Space property.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -57,10 +61,10 @@ def piece_bytes(spec: str) -> dict[int, bytes]:
     return {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in vocabulary.items()}
 
 
-def piece_table(spark, spec: str) -> DataFrame:
-    """id, piece (binary): one row per vocabulary entry, so its size is fixed by the tokenizer."""
+def piece_table(spec: str) -> pa.Array:
+    """The id-to-piece table: the piece of id i at place i, and an empty one after the last."""
     pieces = piece_bytes(spec)
-    return spark.createDataFrame(pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())}))
+    return pa.array([pieces.get(i, b"") for i in range(max(pieces) + 2)], pa.large_binary())
 
 
 def _pack(batch: pa.RecordBatch) -> bytes:
@@ -105,6 +109,14 @@ def _packer(block_bytes: int):
     return pack
 
 
+def _by_part(words, n_parts: int) -> dict[int, list[str]]:
+    """The words in order, by hash part."""
+    parts = defaultdict(list)
+    for w in sorted(words):
+        parts[zlib.crc32(w.encode()) % n_parts].append(w)
+    return parts
+
+
 def _lister(n_parts: int):
     """The distinct words of each block, by hash part."""
 
@@ -114,101 +126,143 @@ def _lister(n_parts: int):
                 found: set[str] = set()
                 for text in _unpack(docs).column("text").to_pylist():
                     found.update(WORD.findall(text))
-                parts = defaultdict(list)
-                for w in sorted(found):
-                    parts[zlib.crc32(w.encode()) % n_parts].append(w)
+                parts = _by_part(found, n_parts)
                 packed = [_pack_words(x) for x in parts.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(packed, pa.binary())], ["part", "block", "words"])
 
     return lists
 
 
-def _encoder(spec: str, pieces: dict[int, bytes], most_words: int):
-    """Answers each list of words with the words, their ids, and the pieces those join to where that isn't the word itself."""
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` with these starts and lengths, one after another."""
+    return flat[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
+
+
+class _Words:
+    """A part of the table of distinct words: the ids of each, in the order in which words came."""
+
+    def __init__(self, spec: str) -> None:
+        self.made, self.place, self.ids, self.ends = tokenizer(spec), _Numbers(), array("i"), array("q", [0])
+
+    def add(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.place]
+        for i in range(0, len(new), 20_000):
+            for w, x in zip(new[i : i + 20_000], self.made.encode_batch(new[i : i + 20_000], add_special_tokens=False), strict=True):
+                self.place[w]
+                self.ids.extend(x.ids)
+                self.ends.append(len(self.ids))
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids."""
+        at, ends = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)), np.frombuffer(self.ends, np.int64)
+        counts = ends[at + 1] - ends[at]
+        return counts, _gather(np.frombuffer(self.ids, np.int32), ends[at], counts) if len(self.ids) else np.empty(0, np.int32)
+
+
+def _encoder(spec: str):
+    """Answers each list of words with their ids; a task has one part of the table."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, known = tokenizer(spec), {}
+        table = _Words(spec)
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            for part, block, data in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "words")), strict=True):
                 words = _words_of(_unpack(data))
-                if len(known) > most_words:
-                    known.clear()
-                new = [w for w in words if w not in known]
-                for w, x in zip(new, made.encode_batch(new, add_special_tokens=False), strict=True):
-                    joined = b"".join([pieces[i] for i in x.ids])
-                    known[w] = x.ids, None if joined == w.encode() else joined
-                ids, decoded = zip(*(known[w] for w in words), strict=True)
-                counts = pa.array([len(x) for x in ids], pa.int32())
-                answer = _pack_words(words, counts=counts, ids=pa.array([i for x in ids for i in x], pa.int32()), pieces=pa.array(decoded, pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([answer], pa.binary())], ["block", "answer"])
+                table.add(words)
+                counts, ids = table.ids_of(words)
+                answer = _pack(pa.RecordBatch.from_arrays([_one_list(pa.array(counts, pa.int32())), _one_list(pa.array(ids, pa.int32()))], ["counts", "ids"]))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([answer], pa.binary())], ["part", "block", "answer"])
 
     return encode
 
 
-def _joined(pieces: list[str | bytes]) -> str:
-    """Pieces as text; those that are bytes can hold a part of a character."""
-    try:
-        return "".join(pieces)
-    except TypeError:
-        return b"".join([x if isinstance(x, bytes) else x.encode() for x in pieces]).decode("utf-8", "replace")
-
-
-def _replace(packed: pa.Table, answers: pa.Table) -> pa.Table:
-    """Ids and decoded text of each document of a block, by the position of its words."""
-    place: dict[str, int] = {}
-    pieces, flat, sizes = [], [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-    for answer in map(_unpack, answers["answer"].to_pylist()):
-        words = _words_of(answer)
-        place.update(zip(words, range(len(pieces), len(pieces) + len(words)), strict=True))
-        pieces += [w if p is None else p for w, p in zip(words, answer.column("pieces")[0].as_py(), strict=True)]
-        flat.append(answer.column("ids").flatten().to_numpy(zero_copy_only=False))
-        sizes.append(answer.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-    flat, bounds = np.concatenate(flat), np.cumsum(np.concatenate(sizes))
-    out = []
-    for docs in map(_unpack, packed["docs"].to_pylist()):
-        ids, ends, decoded = [np.empty(0, np.int32)], [0], []
-        for text in docs.column("text").to_pylist():
-            at = np.fromiter(map(place.__getitem__, WORD.findall(text)), np.int64)
-            lengths = bounds[at + 1] - bounds[at]
-            total = int(lengths.sum())
-            ids.append(flat[np.repeat(bounds[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(total)])
-            ends.append(ends[-1] + total)
-            decoded.append(_joined([pieces[i] for i in at.tolist()]))
-        arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-        out.append(pa.table({"doc_id": docs.column("doc_id"), "ids": arrays, "decoded": pa.array(decoded, pa.string())}))
-    return pa.concat_tables(out)
-
-
-def encode_decode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, most_words: int = 250_000) -> DataFrame:
-    """key, ids (array<int>), decoded (string), one row per input row.
-
-    ``spec`` is the content of a tokenizers JSON file.  A null text counts as empty: no ids, empty decoded text.
-    Special tokens' strings in a text become their ids, as in the library.  Keys may be null or repeat.
-    Memory in a task is bounded by ``block_bytes``, or by the longest text.  A task that has met more than
-    ``most_words`` distinct words forgets them, and encodes those that come again anew.
+def _replacer(n_parts: int):
+    def replace(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        """Ids of each document of a block, by the position of its words."""
+        keys, codes, number = [], [], _Numbers()
+        for docs in map(_unpack, packed["docs"].to_pylist()):
+            keys.append(docs.column("doc_id"))
+            codes += [np.fromiter(map(number.__getitem__, WORD.findall(text)), np.int32) for text in docs.column("text").to_pylist()]
+        asked = _by_part(number, n_parts)
+        starts, counts, flat, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.empty(0, np.int32)], 0
+        for part, answer in zip(answers["part"].to_pylist(), map(_unpack, answers["answer"].to_pylist()), strict=True):
+            at = np.fromiter(map(number.__getitem__, asked[part]), np.int64)
+            counts[at] = found = answer.column("counts").flatten().to_numpy().astype(np.int64)
+            starts[at] = size + np.cumsum(found) - found
+            flat.append(answer.column("ids").flatten().to_numpy())
+            size += len(flat[-1])
+        flat = np.concatenate(flat)
+        ids = [_gather(flat, starts[c], counts[c]) for c in codes]
+        ends = np.cumsum([0, *map(len, ids)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        return pa.table({"doc_id": pa.chunked_array(keys).combine_chunks(), "ids": lists})
+
+    return replace
+
+
+def encode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, part_words: int = 200_000) -> DataFrame:
+    """key, ids (array<int>), one row per input row; other columns are ignored, and an empty table gives no rows.
+
+    ``spec`` is the content of a tokenizers JSON file.  A null text counts as empty: no ids.  Special tokens'
+    strings in a text become their ids, as in the library.  Keys may be null or repeat; rows that repeat are
+    encoded row by row.  Memory in a task is bounded by ``block_bytes``, or by the longest text, and by its share
+    of the distinct words, which are counted first and dealt to as many tasks as ``part_words`` for each needs.
     """
     spark = df.sparkSession
+    ship(spark)
     filled = F.coalesce("text", F.lit(""))
     rows = pick(df, key, text).toDF("doc_id", "text").select("doc_id", filled.alias("text"), F.octet_length(filled).alias("size"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    n_blocks = max(math.ceil(text_bytes(rows, "text") / block_bytes), spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
-    n_parts = min(n_blocks, 4096)
+    least = max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))
+    n_blocks = max(math.ceil(text_bytes(rows, "text") / block_bytes), least)
+    n_words = rows.select(F.explode(F.split("text", r"\s")).alias("word")).agg(F.approx_count_distinct("word")).first()[0]
+    n_parts = max(math.ceil(n_words / part_words), least)
     # a block's id follows from its place in the scan; both uses of the blocks read the same exchange
     blocks = rows.mapInArrow(_packer(block_bytes), "docs binary").withColumn("block", F.monotonically_increasing_id()).repartition(n_blocks, "block")
-    asked = blocks.mapInArrow(_lister(n_parts), "part int, block long, words binary").repartition(n_parts, "part")
-    answers = asked.mapInArrow(_encoder(spec, piece_bytes(spec), most_words), "block long, answer binary")
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replace, f"doc_id {kind}, ids array<int>, decoded string")
+    asked = blocks.mapInArrow(_lister(n_parts), "part int, block long, words binary").repartitionById(n_parts, "part")
+    answers = asked.mapInArrow(_encoder(spec), "part int, block long, answer binary")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replacer(n_parts), f"doc_id {kind}, ids array<int>")
     return out.withColumnRenamed("doc_id", key)
 
 
+def _decoder(pieces: pa.Array):
+    last = len(pieces) - 1
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+            ids = lists.flatten().fill_null(last).to_numpy(zero_copy_only=False).astype(np.int64)
+            joined = pieces.take(pa.array(np.where((ids < 0) | (ids > last), last, ids)))
+            ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[np.cumsum([0, *lists.value_lengths().to_pylist()])]
+            whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends)), joined.buffers()[2]])
+            try:
+                texts = whole.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:  # ids that end inside a character
+                texts = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["key", "ids", "decoded"])
+
+    return decode
+
+
 def decode(df: DataFrame, spec: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """key, decoded: any lists of ids through the id-to-piece join, one row per input row; null and empty lists give ''."""
-    rows = pick(df, key, ids).toDF("key", "ids").withColumn("row", F.monotonically_increasing_id())
-    pieces = piece_table(df.sparkSession, spec)
-    return (
-        rows.select("row", "key", F.posexplode_outer("ids").alias("at", "id"))
-        .join(F.broadcast(pieces), "id", "left")
-        .groupBy("row", "key")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("piece")))), lambda x: x["piece"]), "").alias("hex"))
-        .select(F.col("key").alias(key), F.make_valid_utf8(F.unhex("hex").cast("string")).alias("decoded"))
-    )
+    """key, ids, decoded: any lists of ids through the id-to-piece table, one row per input row; no shuffle.
+
+    Null and empty lists give '', ids that are null or not in the vocabulary give nothing, and bytes that are no
+    UTF-8 give U+FFFD, as in the library.
+    """
+    ship(df.sparkSession)
+    rows = pick(df, key, ids).toDF("key", "ids")
+    kinds = [f.dataType.simpleString() for f in rows.schema]
+    return rows.mapInArrow(_decoder(piece_table(spec)), f"key {kinds[0]}, ids {kinds[1]}, decoded string").toDF(key, ids, "decoded")
+
+
+def encode_decode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """key, ids, decoded: decode() of encode()."""
+    return decode(encode(df, spec, key, text, block_bytes), spec, key)
