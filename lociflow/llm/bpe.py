@@ -183,9 +183,31 @@ def _encoder(spec: str):
     return encode
 
 
-def _replacer(n_parts: int):
+def _decoded(lists: pa.ListArray, pieces: pa.Array) -> pa.StringArray:
+    """The text of each list of ids, by a join of all ids to their pieces."""
+    last = len(pieces) - 1
+    lists = lists.fill_null([]) if lists.null_count else lists
+    ids = lists.flatten().fill_null(last).to_numpy(zero_copy_only=False)
+    joined = pieces.take(pa.array(np.where((ids < 0) | (ids > last), last, ids)))
+    ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[np.cumsum([0, *lists.value_lengths().to_pylist()])]
+    whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends)), joined.buffers()[2]])
+    try:
+        return whole.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # ids that end inside a character
+        return pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
+
+
+def _decoder(pieces: pa.Array):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(batch.column(1), pieces)], ["key", "ids", "decoded"])
+
+    return decode
+
+
+def _replacer(n_parts: int, pieces: pa.Array | None):
     def replace(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        """Ids of each document of a block, by the position of its words."""
+        """Ids of each document of a block, by the position of its words; with ``pieces`` also the text they decode to."""
         keys, codes, number = [], [], _Numbers()
         for docs in map(_unpack, packed["docs"].to_pylist()):
             keys.append(docs.column("doc_id"))
@@ -202,14 +224,17 @@ def _replacer(n_parts: int):
         ids = [_gather(flat, starts[c], counts[c]) for c in codes]
         ends = np.cumsum([0, *map(len, ids)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-        return pa.table({"doc_id": pa.chunked_array(keys).combine_chunks(), "ids": lists})
+        made = pa.table({"doc_id": pa.chunked_array(keys).combine_chunks(), "ids": lists})
+        return made if pieces is None else made.append_column("decoded", _decoded(lists, pieces))
 
     return replace
 
 
-def encode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, part_words: int = 200_000) -> DataFrame:
+def encode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20, part_words: int = 200_000, with_text: bool = False) -> DataFrame:
     """key, ids (array<int>), one row per input row; other columns are ignored, and an empty table gives no rows.
 
+    ``with_text`` adds decoded, what decode() makes of the ids, in the same tasks.
+
     ``spec`` is the content of a tokenizers JSON file.  A null text counts as empty: no ids.  Special tokens'
     strings in a text become their ids, as in the library.  Keys may be null or repeat; rows that repeat are
     encoded row by row.  Memory in a task is bounded by ``block_bytes``, or by the longest text, and by its share
@@ -228,29 +253,10 @@ def encode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", bl
     blocks = rows.mapInArrow(_packer(block_bytes), "docs binary").withColumn("block", F.monotonically_increasing_id()).repartition(n_blocks, "block")
     asked = blocks.mapInArrow(_lister(n_parts), "part int, block long, words binary").repartitionById(n_parts, "part")
     answers = asked.mapInArrow(_encoder(spec), "part int, block long, answer binary")
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replacer(n_parts), f"doc_id {kind}, ids array<int>")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replacer(n_parts, piece_table(spec) if with_text else None), f"doc_id {kind}, ids array<int>" + ", decoded string" * with_text)
     return out.withColumnRenamed("doc_id", key)
 
 
-def _decoder(pieces: pa.Array):
-    last = len(pieces) - 1
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
-            ids = lists.flatten().fill_null(last).to_numpy(zero_copy_only=False).astype(np.int64)
-            joined = pieces.take(pa.array(np.where((ids < 0) | (ids > last), last, ids)))
-            ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1)[np.cumsum([0, *lists.value_lengths().to_pylist()])]
-            whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends)), joined.buffers()[2]])
-            try:
-                texts = whole.cast(pa.large_string()).cast(pa.string())
-            except pa.ArrowInvalid:  # ids that end inside a character
-                texts = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["key", "ids", "decoded"])
-
-    return decode
-
-
 def decode(df: DataFrame, spec: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key, ids, decoded: any lists of ids through the id-to-piece table, one row per input row; no shuffle.
 
@@ -264,5 +270,5 @@ def decode(df: DataFrame, spec: str, key: str = "doc_id", ids: str = "ids") -> D
 
 
 def encode_decode(df: DataFrame, spec: str, key: str = "doc_id", text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """key, ids, decoded: decode() of encode()."""
-    return decode(encode(df, spec, key, text, block_bytes), spec, key)
+    """key, ids, decoded: encode() with what decode() makes of its ids."""
+    return encode(df, spec, key, text, block_bytes, with_text=True)

@@ -40,6 +40,7 @@ def test_each_distinct_word_is_encoded_once():
 def test_many_parts_of_the_word_table(spark):
     df = spark.createDataFrame([(i, f"w{i} v{i} the") for i in range(200)], "doc_id long, text string").repartition(7)
     got = bpe.decode(bpe.encode(df, SPEC, part_words=3, block_bytes=500), SPEC)
+    assert sorted(got.collect()) == sorted(bpe.encode(df, SPEC, with_text=True).collect())
     assert got.where(F.col("decoded") == F.format_string("w%d v%d the", "doc_id", "doc_id")).count() == 200
 
 
