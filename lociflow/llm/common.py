@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept for as long as they are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word)
+        return h
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -31,16 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder; lineage ends there.
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run in here remove their shuffle files when they end, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    Shuffle files stay until the driver's JVM collects what points to them, and a driver that only plans seldom
-    does so by itself; asking for it here frees the disk of earlier rounds.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder; lineage ends there, and so do the shuffle files that led to it."""
     shared_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def text_bytes(df: DataFrame, column: str) -> int:

@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from .common import cut, pick
+from .common import WordHashes, cut, pick
 
 PERMUTATIONS, BAND = 64, 4
 _rng = np.random.default_rng(20240501)
@@ -32,15 +31,7 @@ _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
+_HASHES = WordHashes()
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
