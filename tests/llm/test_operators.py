@@ -135,14 +135,15 @@ def brute_hits(text, items):
     return len(w), len(hit), found
 
 
-@pytest.mark.parametrize("slice_bytes", [4 << 20, 200])
-def test_decontamination(spark, slice_bytes):
+@pytest.mark.parametrize("most_bits", [1 << 27, 1 << 15])
+def test_decontamination(spark, most_bits, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_BITS", most_bits)
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(n))
     items = [(i, text(rng.choice([2, 5, 13, 20]))) for i in range(12)] + [(50, ""), (51, None), (52, "!!"), (53, "É x"), (None, "a b")]
-    texts = [None, "", text(300), text(900)] + [f"{text(10)}. {t.upper()}! {text(3)}" for _, t in items[:12]] + ["é X", "É-x"]
+    texts = [None, "", text(300), text(20_000)] + [f"{text(10)}. {t.upper()}! {text(3)}" for _, t in items[:12]] + ["é X", "É-x"]
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, key int")
-    rows = decontam.find_contamination(docs(spark, texts), bench, slice_bytes=slice_bytes).withColumn("n_hit", decontam.hit_words()).collect()
+    rows = decontam.find_contamination(docs(spark, texts), bench).withColumn("n_hit", decontam.hit_words()).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], set(r["items"])) for r in rows}
     assert got == {i: brute_hits(t, [x for x in items if x[0] is not None]) for i, t in enumerate(texts)}
     kept = {r["doc_id"] for r in decontam.drop_contaminated(docs(spark, texts), bench).collect()}
