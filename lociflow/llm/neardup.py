@@ -8,8 +8,8 @@ share a bucket.
 A bucket never gives all its pairs.  First its rows meet a pivot and their next neighbours in an order by
 further signature values, which brings similar rows together; what is found is made into components.  Buckets
 of more rows than neighbours can cover, and that still hold several components, are then compared whole: rows
-are cut into blocks, and tasks compare two blocks at a time, first by signature, then on the full sets; only
-links come out.  Every link is confirmed on the full sets.
+are dealt to blocks of up to some thousand, and tasks compare two blocks at a time, first by signature, then on
+the full sets; only links come out.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -171,21 +171,26 @@ def _linked(percent: int, least_share: float):
     return linked
 
 
-def _remaining_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, neighbours: int, block: int = 128) -> DataFrame:
+def _remaining_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, neighbours: int, block_rows: int = 4096, block_bytes: int = 16 << 20) -> DataFrame:
     """Links (a, b) between different components in buckets that neighbours don't cover.
 
-    Rows are ordered by label, so that two blocks of one and the same label, as a large group of copies has
-    many, never meet.  At a similarity of 75 % two signatures of 128 values agree in fewer than 55 % with a
-    probability under one in a million.
+    Rows of one label share a block of the bucket, or have blocks of their own if they are many, and blocks of one
+    and the same label, as a large group of copies has, never meet.  A row is shipped once for each block that its own
+    meets, so up to a block's size only once.  At a similarity of 75 % two signatures of 128 values agree in fewer than
+    55 % with a probability under one in a million.
     """
     rows = buckets.select("bucket", "doc", "n").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(f"k > {neighbours + 1} and lo < hi").select("bucket")
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "doc")) - 1
-    dealt = cut(rows.join(mixed, "bucket", "left_semi").withColumn("block", F.floor(nth / block).cast("int")))
+    share = F.greatest(F.lit(1 / block_rows), F.col("n") * 8 / block_bytes)
+    sizes = rows.groupBy("bucket", "label").agg(F.sum(share).alias("share"), F.count("*").alias("k"))
+    small = F.when(F.col("share") <= 0.5, F.col("share")).otherwise(0)
+    mixed = sizes.groupBy("bucket").agg(F.sum("k").alias("all"), F.count("*").alias("labels"), F.sum(small).alias("small")).where(f"all > {neighbours + 1} and labels > 1")
+    kept = sizes.join(mixed, "bucket").select("bucket", "label", "share", "small")
+    own = F.xxhash64(F.lit("own"), "label", F.pmod(F.xxhash64("doc"), F.ceil("share")))
+    block = F.when(F.col("share") > 0.5, own).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil("small"), F.lit(1))))
+    dealt = cut(rows.join(kept, ["bucket", "label"]).select("bucket", "doc", "n", "label", block.cast("long").alias("block")))
     blocks = dealt.groupBy("bucket", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    listed = blocks.groupBy("bucket").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("blocks"))
-    meets = F.filter("blocks", lambda x: ~((F.col("lo") == F.col("hi")) & (x["lo"] == x["hi"]) & (x["lo"] == F.col("lo"))))
-    pairs = blocks.join(listed, "bucket").select("bucket", "block", F.explode(meets).alias("other")).select("bucket", "block", F.least("block", "other.block").alias("bi"), F.greatest("block", "other.block").alias("bj"))
+    both = blocks.alias("x").join(blocks.alias("y"), "bucket").where("x.block <= y.block and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)")
+    pairs = both.select("bucket", F.col("x.block").alias("bi"), F.col("y.block").alias("bj")).withColumn("block", F.explode(F.array_distinct(F.array("bi", "bj"))))
     met = dealt.join(pairs, ["bucket", "block"]).join(sets, "doc")
     near = met.select("bucket", "bi", "bj", "block", "doc", "label", "n", "hashes").repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "block")
     return near.mapInArrow(_linked(percent, percent / 100 - 0.2), "a long, b long").distinct()
