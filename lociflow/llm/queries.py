@@ -81,7 +81,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, path = table(spark, sf_dir, "pages"), warc.new_path(spark)
     warc.write_archive(pages, path, least_bytes=100)
-    return warc.read_catalog(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to as long)").alias("refers_to"))
+    return warc.catalog(warc.read_archive(spark, path)).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to as long)").alias("refers_to"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -110,15 +110,49 @@ def test_secrets(spark):
 
 
 def test_warc(spark, tmp_path):
-    long, other = "<p>" + "é" * 100, "y" * 100
-    pages = spark.createDataFrame([(5, "http://a/1", long), (3, "http://b/\r\nX: 1", long), (4, None, long), (1, "u", "short"), (2, "u", "short"), (6, "u", None), (7, "u", other)], "page_id long, url string, html string")
-    warc.write_archive(pages, str(tmp_path / "w"))
-    got = {int(r["record_id"]): r for r in warc.read_catalog(spark, str(tmp_path / "w")).collect()}
-    assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items() if r["record_type"] == "revisit"} == {4: ("revisit", "3"), 5: ("revisit", "3")}
-    assert all(got[r["page_id"]]["payload_digest"] == hashlib.sha256((r["html"] or "").encode()).hexdigest() for r in pages.collect())
-    assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 4
-    whole = {r["record_id"]: bytes(r["payload"]).decode() for r in warc.read_archive(spark, str(tmp_path / "w")).collect()}
-    assert whole == {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    long, other, very = "<p>" + "é" * 100, "y" * 100, "z" * 3_000_000
+    rows = [(5, "http://a/1", long), (3, "http://b/\r\nX: 1", long), (4, None, long), (1, "u", "short"), (2, "u", "short"), (6, "u", None), (7, "u", other), (7, "v", other), (None, "w", other), (None, None, None), (9, "u", very)]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, digest int, payload string")
+    path = str(tmp_path / "w")
+    warc.write_archive(pages, path, date="2020-02-02T00:00:00Z")
+    records = warc.read_archive(spark, path).collect()
+    got = [(r["record_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.catalog(warc.read_archive(spark, path)).collect()]
+    first = {long: 3, other: 7, very: 9}
+    want = []
+    for i, _, t in rows:
+        b = (t or "").encode()
+        again = t in first and i != first[t]
+        want.append((i, "revisit" if again else "response", str(first[t]) if again else None, len(b), hashlib.sha256(b).hexdigest()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert spark.read.parquet(f"{path}/payloads").count() == 5
+    assert sorted((r["record_id"], bytes(r["payload"]).decode()) for r in records if r["record_id"] is not None) == sorted((i, t or "") for i, _, t in rows if i is not None)
+    ids = {warc_fields(r["header"])["WARC-Record-ID"]: r["record_id"] for r in records}
+    assert len(ids) == len(rows)
+    for r in records:
+        f = warc_fields(r["header"])
+        if f["WARC-Type"] == "revisit":
+            assert ids[f["WARC-Refers-To"]] == int(f["Refers-To-Key"])
+    # the files hold exactly the headers and payloads, one record after another
+    warc.export(spark, path, str(tmp_path / "files"), records_per_file=3)
+    found = []
+    for file in (tmp_path / "files").glob("part-*"):
+        data, at = file.read_bytes(), 0
+        while at < len(data):
+            stop = data.index(b"\r\n\r\n", at) + 4
+            f = warc_fields(data[at:stop].decode())
+            end = stop + int(f["Content-Length"])
+            assert data[end : end + 4] == b"\r\n\r\n" and f["WARC-Date"] == "2020-02-02T00:00:00Z"
+            found.append((data[at:stop].decode(), data[stop:end]))
+            at = end + 4
+    assert sorted(found) == sorted((r["header"], b"" if "WARC-Type: revisit" in r["header"] else bytes(r["payload"])) for r in records)
+    warc.write_archive(pages.limit(0), str(tmp_path / "none"))
+    assert warc.catalog(warc.read_archive(spark, str(tmp_path / "none"))).count() == 0
+
+
+def warc_fields(header: str) -> dict[str, str]:
+    lines = header.split("\r\n")
+    assert lines[0] == "WARC/1.1" and lines[-2:] == ["", ""]
+    return dict(x.split(": ", 1) for x in lines[1:-2])
 
 
 def brute_hits(text, items):
@@ -208,11 +242,11 @@ def test_toxicity_without_labels(spark):
 
 def test_near_dedup_stage_with_repeated_and_null_ids(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    texts = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f g"), (3, "other words stand in this row"), (4, ""), (4, ""), (None, "a b c d e f g"), (None, None)]
+    texts = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f g"), (3, "other words stand in this row"), (4, ""), (4, ""), (None, "a b c d e f g"), (None, None), (1, "a b c d e f g")]
     df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, kept int")
     left = corpus_pipeline.near_dedup_stage(spark, df, SF)
     assert left.columns == list(corpus_pipeline.COLUMNS)
-    assert sorted((r["doc_id"], r["text"]) for r in left.where("doc_id is not null").collect()) == [(1, texts[0][1]), (3, texts[0][1]), (3, texts[3][1]), (4, ""), (4, "")]
+    assert sorted((r["doc_id"], r["text"]) for r in left.where("doc_id is not null").collect()) == [(1, texts[0][1]), (3, texts[3][1]), (4, ""), (4, "")]
     assert left.where("doc_id is null").count() == 2
 
 
