@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -23,11 +23,41 @@ class WordHashes(dict):
         return h
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """All columns, named by their places _c0, _c1 and so on, since names may repeat."""
+    ship(df.sparkSession)
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, by exact name and first place, so that extra or repeated columns can't clash."""
     at = [df.columns.index(n) for n in names]
-    by_place = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    return by_place.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+    return by_place(df).select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def range_of(bounds: list[tuple], columns: list[str]) -> Column:
+    """How many of the sorted bounds are not above a row's place in the order of ``columns``, nulls first; by nested comparisons of log depth."""
+
+    def reached(bound: tuple) -> Column:
+        out = F.lit(True)
+        for c, v in reversed(list(zip(columns, bound, strict=True))):
+            x = F.col(c)
+            above, same = (x.isNotNull(), x.isNull()) if v is None else (F.coalesce(x > F.lit(v), F.lit(False)), F.coalesce(x == F.lit(v), F.lit(False)))
+            out = above | (same & out)
+        return out
+
+    def part(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(reached(bounds[mid]), part(mid + 1, hi)).otherwise(part(lo, mid))
+
+    return part(0, len(bounds))
+
+
+def ordered(rows: list[tuple]) -> list[tuple]:
+    """Distinct rows in Spark's order, nulls first."""
+    return sorted(set(rows), key=lambda r: [(x is not None, x if x is not None else 0) for x in r])
 
 
 def shared_dir(spark: SparkSession) -> str:
