@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, shuffle_partitions
+from .common import pick, range_of, shuffle_partitions
 
 #: Distinct pages of a host, on either side, among which the nearest with another article is looked for.
 WINDOW = 16
@@ -164,6 +164,10 @@ def main_part(found: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]
     return [x for x in found if x[1] >= part]
 
 
+#: Bytes of the alignment's table that a task may hold; larger ones are cut in halves first.
+TABLE_BYTES = 16 << 20
+
+
 def common_lines(a: list[str], b: list[str]) -> set[int]:
     """Places in ``a`` of one longest common subsequence with ``b``; only lines that both have are aligned."""
     in_a, in_b = set(a), set(b)
@@ -176,23 +180,50 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     while ia and ib and a[ia[-1]] == ib[-1]:
         found.add(ia.pop())
         ib.pop()
-    if not ia or not ib:
-        return found
-    codes = {x: i for i, x in enumerate(dict.fromkeys(ib))}
-    x, y = [codes[a[i]] for i in ia], np.array([codes[v] for v in ib])
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i, v in enumerate(x, 1):
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], (table[i - 1, :-1] + 1) * (y == v)))
+    return found | {ia[i] for i in _aligned([a[i] for i in ia], ib)}
+
+
+def _rows(x: list[str], y: list[str]) -> Iterator[int]:
+    """The alignment's table, a row for each line of ``x``: bit j is 0 where the common length grows from j to j + 1 lines of ``y``."""
+    masks: dict[str, int] = collections.defaultdict(int)
+    for j, line in enumerate(y):
+        masks[line] |= 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for line in x:
+        same = row & masks.get(line, 0)
+        row = (row + same | row - same) & full
+        yield row
+
+
+def _lengths(x: list[str], y: list[str]) -> np.ndarray:
+    """Common length of ``x`` with the first j lines of ``y``, for each j."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):  # the last one  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _aligned(x: list[str], y: list[str]) -> list[int]:
+    """Places in ``x`` of one longest common subsequence with ``y``, in memory linear in both: a large table is never held."""
+    if not x or not y:
+        return []
+    if len(x) > 1 and len(x) * len(y) // 8 > TABLE_BYTES:
+        mid = len(x) // 2
+        best = int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
+        return _aligned(x[:mid], y[:best]) + [mid + i for i in _aligned(x[mid:], y[best:])]
+    table, found = list(_rows(x, y)), []
     i, j = len(x), len(y)
     while i and j:
-        if x[i - 1] == y[j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
-            found.add(ia[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1, j] >= table[i, j - 1]:
-            i -= 1
-        else:
+        if table[i - 1] >> (j - 1) & 1:
             j -= 1
-    return found
+        else:
+            i -= 1
+            if not i or table[i - 1] >> (j - 1) & 1:
+                found.append(i)
+                j -= 1
+    return found[::-1]
 
 
 def main_text(page: list[tuple], others: list[list[tuple]], same: bool = False) -> str:
@@ -298,22 +329,6 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(rows)
 
 
-def _bucket(bounds: list[tuple]):
-    """The number of bounds (host, path, page_id) that are not above a row's place, as nested comparisons of log depth."""
-
-    def reached(b: tuple):
-        host, path, page_id = (F.lit(x) for x in b)
-        return (F.col("host") > host) | (F.col("host") == host) & ((F.col("path") > path) | (F.col("path") == path) & F.coalesce(F.col("page_id") >= page_id, F.lit(False)))
-
-    def part(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(reached(bounds[mid]), part(mid + 1, hi)).otherwise(part(lo, mid))
-
-    return part(0, len(bounds))
-
-
 def _carried(ends: list[dict]) -> list[tuple]:
     """(host, path, page_id, digest, to): which rows near a range's border are shown to the ranges beside it."""
     ranges: dict[int, list[dict]] = {}
@@ -340,7 +355,8 @@ def extract(df: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """page_id, url, text: the main text of every row's html, '' where there is none.
 
     A null html counts as empty.  Pages without a URL share the host ''.  Equal URLs follow each other by
-    page_id.  Hosts are ranged by URL, so that a large host is split; a range is shown the ``WINDOW`` nearest
+    page_id, which may be null or repeat; a row that repeats gets its text each time.  Other columns are ignored, an
+    empty table gives no rows, and of very long pages a task holds the ones it compares.  Hosts are ranged by URL, so that a large host is split; a range is shown the ``WINDOW`` nearest
     distinct pages of the same host on either side.  Only keys of a sample and of rows at borders pass through
     the driver.
     """
@@ -354,7 +370,7 @@ def extract(df: DataFrame, n_ranges: int | None = None) -> DataFrame:
     keys = placed.where("page_id is not null").select("host", "path", "page_id")
     sample = sorted(tuple(r) for r in keys.orderBy(F.xxhash64("page_id", "path")).limit(50 * n).collect()) if n > 1 else []
     bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
-    dealt = placed.withColumn("bucket", _bucket(bounds))
+    dealt = placed.withColumn("bucket", range_of(bounds, ["host", "path", "page_id"]))
     shown = dealt.withColumn("own", F.lit(True))
     if bounds:
         place = F.struct("path", "page_id")
