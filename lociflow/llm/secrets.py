@@ -1,7 +1,8 @@
 """Secret scans: three patterns, and a token-efficiency test for random strings.
 
 A string that a public BPE vocabulary can only write with few characters per token is random; digests,
-UUIDs, dates, numbers and dotted names are left out.  Such spans are reported as ``random`` where no pattern matched.
+UUIDs, dates, book numbers and digits alone are left out, also inside longer strings.  Such spans are reported as
+``random`` where no pattern matched.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import by_place, pick
 
 #: The words that name a secret, and the patterns.
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -24,12 +25,17 @@ HEX = re.compile("[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 LONG_HEX = re.compile("[0-9a-f]{32}")
 RUN = re.compile("[A-Za-z0-9+/_=-]{8,}")
-#: Dates and times are identifiers, too.
-STAMP = re.compile("[0-9]{4}-?[0-9]{2}-?[0-9]{2}([T_-]?[0-9]{2,6}Z?)?")
 #: Limits of characters per token for runs under 20, by alphabet, from each length on: clean text of one case is as hard to write as short random strings.
 LIMITS = {"digits": ((16, 2.0), (12, 1.8), (8, 1.6)), "mixed": ((16, 2.0), (12, 1.8), (8, 1.6)), "single": ((16, 1.6), (12, 1.5), (8, 1.25))}
-UUID = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-DIGEST = re.compile("([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
+#: Fixed forms of known identifiers and digests: UUID, digest with its name in base 64, hex digest by length, date with time, book number.
+FORMS = (
+    "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
+    "sha(?:256|384|512)-[A-Za-z0-9+/]{43,}={0,2}",
+    "[0-9a-fA-F]{128}|[0-9a-fA-F]{96}|[0-9a-fA-F]{64}|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32}",
+    "[0-9]{4}-?[0-9]{2}-?[0-9]{2}(?:[T_-]?[0-9]{2,6}Z?)?",
+    "(?:ISBN-?)?(?:97[89]-)?[0-9]{1,5}-[0-9]{1,7}-[0-9]{1,7}-[0-9X]",
+)
+KNOWN = re.compile(f"(?<![0-9A-Za-z])(?:{'|'.join(FORMS)})(?![0-9A-Za-z])")
 
 
 @functools.lru_cache(2)
@@ -62,16 +68,38 @@ def alphabet(s: str) -> str | None:
     return "mixed" if any(c.isupper() for c in s[1:]) and any(c.islower() for c in s) else "single"
 
 
+def unknown_parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What known identifiers leave of a run, without signs at its ends; the whole run if it holds none."""
+    at, whole = start, True
+    for m in KNOWN.finditer(text, start, end):
+        yield from _bare(text, at, m.start())
+        at, whole = m.end(), False
+    if whole:
+        yield start, end
+    else:
+        yield from _bare(text, at, end)
+
+
+def _bare(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    while start < end and not text[start].isalnum():
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    if end - start >= 8:
+        yield start, end
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: float) -> list[tuple[int, int, int]]:
     found = []
     for m in RUN.finditer(text):
-        s = m[0]
-        kind = alphabet(s)
-        if not kind or UUID.fullmatch(s) or DIGEST.fullmatch(s) or STAMP.fullmatch(s) or any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        limit = ratio if len(s) >= 20 else next(x for n, x in LIMITS[kind] if len(s) >= n)
-        if len(s) < limit * len(encode(s)):
-            found.append((m.start(), 3, m.end()))
+        for start, end in unknown_parts(text, *m.span()):
+            s = text[start:end]
+            kind = alphabet(s)
+            if not kind or any(a < end and start < b for a, _, b in taken):
+                continue
+            limit = ratio if len(s) >= 20 else next(x for n, x in LIMITS[kind] if len(s) >= n)
+            if len(s) < limit * len(encode(s)):
+                found.append((start, 3, end))
     return found
 
 
@@ -93,8 +121,10 @@ def find_secrets(df: DataFrame, ranks: bytes, pattern: str, ratio: float = 2.2,
     """key, text, spans: array of (kind, start, end) by start, then kind; code points, end exclusive.
 
     ``ranks`` is the content of a tiktoken file, ``pattern`` its split pattern.  A run of 8 or more of
-    ``A-Za-z0-9+/_=-`` with a letter is ``random`` when it has fewer characters per token than ``ratio``, or,
-    under 20 characters, than its length and alphabet allow (``LIMITS``).  A null text has no spans and stays null.
+    ``A-Za-z0-9+/_=-`` with a letter, or what known identifiers in it leave (``FORMS``), is ``random`` when it has
+    fewer characters per token than ``ratio``, or, under 20 characters, than its length and alphabet allow (``LIMITS``).
+    A null text has no spans and stays null.  Texts are scanned whole, a row at a time; rows that repeat have the same
+    spans, other columns are ignored, and an empty table gives no rows.
     """
     rows = pick(df, key, text).toDF("key", "text")
     kind = rows.schema["key"].dataType.simpleString()
@@ -120,24 +150,27 @@ def redact(found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return rows.mapInArrow(_redact, f"key {rows.schema['key'].dataType.simpleString()}, text string").toDF(key, text)
 
 
-def _redact_rows(ranks: bytes, pattern: str, ratio: float):
+def _redact_rows(ranks: bytes, pattern: str, ratio: float, text_at: int, size_at: int):
     find = _finder(ranks, pattern, ratio)
 
     def redact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {c: i for i, c in enumerate(batch.schema.names)}
-            pair = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["key", "text"])
+            pair = pa.RecordBatch.from_arrays([batch.column(text_at), batch.column(text_at)], ["key", "text"])
             new = next(_redact(find(iter([pair])))).column("text")
-            old, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
-            texts = new.to_pylist()
-            sizes = [n if a == b else len(b) for a, b, n in zip(old, texts, sizes, strict=True)]
+            old, texts = batch.column(text_at).to_pylist(), new.to_pylist()
             columns = list(batch.columns)
-            columns[at["text"]], columns[at["n_chars"]] = new, pa.array(sizes, pa.int64())
+            sizes = [n if a == b else len(b) for a, b, n in zip(old, texts, columns[size_at].to_pylist(), strict=True)]
+            columns[text_at], columns[size_at] = new, pa.array(sizes, columns[size_at].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return redact_rows
 
 
 def redact_documents(docs: DataFrame, ranks: bytes, pattern: str, ratio: float = 2.2) -> DataFrame:
-    """The rows of ``docs`` (with doc_id, text, n_chars) with secrets redacted, and n_chars new where the text is; no shuffle."""
-    return docs.mapInArrow(_redact_rows(ranks, pattern, ratio), docs.schema)
+    """The rows of ``docs``, all columns, with secrets in text redacted, and n_chars (any integer type) new where the text is; no shuffle.
+
+    Null texts stay null, further columns may repeat names, and an empty table stays empty.
+    """
+    rows = by_place(docs)
+    made = _redact_rows(ranks, pattern, ratio, docs.columns.index("text"), docs.columns.index("n_chars"))
+    return rows.mapInArrow(made, rows.schema).toDF(*docs.columns)
