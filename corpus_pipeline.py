@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next
 one's docs.  Toxic documents go, one of each group of near-duplicates stays, contaminated documents go, secrets
-are redacted, and what is left is encoded.  Null, empty and repeated rows, empty tables and further columns are
-handled as each operator's docstring says; rows that no stage rejects are kept as they are.
+are redacted, and what is left is encoded.  Null and empty texts, ties and repeated rows, empty tables and further
+columns are handled as each operator's docstring says; rows that no stage rejects are kept as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lociflow.llm import bpe, decontam, neardup, queries, secrets, toxicity
 from lociflow.llm.common import pick, shared_dir, ship
@@ -28,14 +27,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates.
-
-    Rows that repeat a doc_id are one document: they stay together where any of them is kept.  A null doc_id stays.
-    """
+    """One document of each group of near-duplicates, that with the least doc_id; a null doc_id stays."""
     ship(spark)
-    rows = pick(docs, *COLUMNS)
-    dropped = neardup.near_duplicates(rows).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
-    return rows.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return neardup.keep_one(pick(docs, *COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

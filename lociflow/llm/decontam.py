@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, pick, ship
+from .common import WordHashes, by_place, cut, pick
 
 #: Lower-cases A-Z and turns every other ASCII character but digits and a-z into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -193,7 +193,6 @@ def _chosen(rows: DataFrame, bench: DataFrame, window: int, shingle: int) -> tup
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, key: str) -> DataFrame:
     """key, digest, n_words, spans, items, one row per document; the digest is the text's."""
-    ship(docs.sparkSession)
     bench = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     rows = pick(docs, key, "text").toDF("key", "text").withColumn("digest", F.sha2("text", 256))
     chosen, sizes = _chosen(rows, bench, window, shingle)
@@ -237,6 +236,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20, wi
     found = _found(docs, benchmark, window, shingle, "doc_id")
     bad = found.where((hit_words() > 0) & (share * hit_words() >= F.col("n_words"))).select("key", "digest").distinct()
     at = [docs.columns.index(c) for c in ("doc_id", "text")]
-    rows = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    rows = by_place(docs)
     same = F.col(f"_c{at[0]}").eqNullSafe(F.col("key")) & F.sha2(F.col(f"_c{at[1]}"), 256).eqNullSafe(F.col("digest"))
     return rows.join(bad, same, "left_anti").toDF(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, pick
+from .common import WordHashes, by_place, cut, pick
 
 PERMUTATIONS, BAND = 64, 4
 _rng = np.random.default_rng(20240501)
@@ -113,9 +113,12 @@ def _confirm(percent: int):
     return confirm
 
 
-def _pairs(buckets: DataFrame, percent: int, neighbours: int) -> DataFrame:
-    """Pairs (a, b) to compare first, a < b: each row with its bucket's pivot and with its next neighbours."""
-    w = Window.partitionBy("bucket").orderBy("place", "doc")
+def _pairs(buckets: DataFrame, percent: int, neighbours: int, most: int = 100_000) -> DataFrame:
+    """Pairs (a, b) to compare first, a < b: each row with its bucket's pivot and with its next neighbours.
+
+    Neighbours in a bucket of more than ``most`` rows are looked for in parts of it.
+    """
+    w = Window.partitionBy("bucket", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / most))).orderBy("place", "doc")
     me = F.struct("doc", "n")
     partners = [F.lead(me, i).over(w) for i in range(1, neighbours + 1)]
     pivots = buckets.groupBy("bucket").agg(F.min(me).alias("y"))
@@ -214,16 +217,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", neighbours: int = 3) -> DataFrame:
-    """key, n_shingles, component_id (least key reachable over links), kept (key = component_id).
+def _labelled(rows: DataFrame, percent: int, neighbours: int) -> DataFrame:
+    """doc_id, n, node, label, component of rows of doc_id (long), text and node, a hash of the text.
 
-    Two documents are linked when 100 * common >= percent * union of their 5-word shingle sets.  Null, empty
-    and blank texts have no shingles and stay alone; so do rows with a null key, whose component is null and
-    which are kept.  Rows with the same key and equal sets are one document; keys must be integers.
+    ``label`` tells the components apart and ``component`` is the least doc_id of each; both are null without doc_id or shingles.
     """
-    rows = pick(df, key, text).toDF("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("node"))
     sketched = cut(rows.mapInArrow(_sketch, "doc_id long, n long, digest binary, sketch binary, node long"))
     classes = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     by_bucket = Window.partitionBy("bucket")
@@ -232,7 +230,6 @@ def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text:
         .mapInArrow(_bands, "bucket long, doc long, n long, place long")
         .withColumn("size", F.count("*").over(by_bucket))
         .where("size > 1")
-        .drop("size")
     )
     members = buckets.select("doc").distinct()
     sets = cut(rows.select(F.col("node").alias("doc"), "text").join(members, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets, "doc long, hashes binary"))
@@ -244,14 +241,41 @@ def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text:
     if not more.isEmpty():
         labels = components(labels.select(F.col("doc").alias("a"), F.col("label").alias("b")).union(more))
     labelled = classes.select("digest", "rep", "node").join(labels.withColumnRenamed("doc", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rep_labels = labelled.select("digest", "label").join(labelled.groupBy("label").agg(F.min("rep").alias("component")), "label").select("digest", "component")
-    return (
-        sketched.select("doc_id", "n", "digest")
-        .join(rep_labels, "digest", "left")
-        .select(
-            F.col("doc_id").cast(kind).alias(key),
-            F.col("n").alias("n_shingles"),
-            F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id")).cast(kind).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    found = labelled.select("digest", "label").join(labelled.groupBy("label").agg(F.min("rep").alias("component")), "label")
+    mine = F.col("doc_id").isNotNull()
+    return sketched.select("doc_id", "n", "digest", "node").join(found, "digest", "left").select("doc_id", "n", "node", *(F.when(mine, F.col(c)).alias(c) for c in ("label", "component")))
+
+
+def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", neighbours: int = 3) -> DataFrame:
+    """key, n_shingles, component_id (least key reachable over links), kept (key = component_id).
+
+    Two documents are linked when 100 * common >= percent * union of their 5-word shingle sets.  Null, empty
+    and blank texts have no shingles and stay alone; so do rows with a null key, whose component is null and
+    which are kept.  Links are between texts: of a key with several, each row has the component of its own.  Keys must
+    be integers; texts count whole, other columns are ignored, and an empty table gives no rows.
+    """
+    rows = pick(df, key, text).toDF("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = _labelled(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("node")), percent, neighbours)
+    return found.select(
+        F.col("doc_id").cast(kind).alias(key),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component", "doc_id").cast(kind).alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(df: DataFrame, percent: int = 75, neighbours: int = 3) -> DataFrame:
+    """The rows of ``df``, all columns, with one row of each component of near_duplicates(): that of its least doc_id.
+
+    Of several texts of that doc_id the one with the least hash stays, and of rows with the same doc_id and text the least in
+    all columns.  Rows without doc_id or shingles all stay.  Further columns may repeat names, and an empty table stays empty.
+    """
+    columns = by_place(df).columns
+    key, text = (F.col(f"_c{df.columns.index(c)}") for c in ("doc_id", "text"))
+    rows = by_place(df).withColumns({"doc_id": key.cast("long"), "node": F.xxhash64(text)})
+    grouped = key.isNotNull() & F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    found = _labelled(rows.select("doc_id", text.alias("text"), "node"), percent, neighbours)
+    keepers = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("x")).select("x.doc_id", "x.node").distinct()
+    one = rows.where(grouped).join(keepers, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min(F.struct(*columns)).alias("x"))
+    return one.select("x.*").union(rows.where(~grouped).select(*columns)).toDF(*df.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import by_place, pick
 
 BITS = 20
 ORDERS = (4, 5, 6)
@@ -122,7 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """doc_id, score in 0 to 1, one row per input row; a null or empty text has the features of a blank."""
+    """doc_id, score in 0 to 1, one row per input row.
+
+    A null or empty text has the features of a blank; texts are scored whole, whatever their length.  doc_id may be null or
+    repeat, other columns are ignored, and an empty table gives no rows.
+    """
     rows = pick(docs, "doc_id", "text")
     return rows.mapInArrow(_scorer(weights, bias), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -136,12 +140,12 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return pick(labels, "doc_id", "toxic").where(~F.coalesce(held_out(), F.lit(False)))
 
 
-def _keeper(weights: np.ndarray, bias: float, limit: float):
+def _keeper(weights: np.ndarray, bias: float, limit: float, at: int):
     one = _scorer(weights, bias)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
+            pair = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["doc_id", "text"])
             scores = next(one(iter([pair]))).column("score").to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(scores < limit))
 
@@ -149,5 +153,9 @@ def _keeper(weights: np.ndarray, bias: float, limit: float):
 
 
 def keep_clean(docs: DataFrame, weights: np.ndarray, bias: float, limit: float) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores under ``limit``; no shuffle."""
-    return docs.mapInArrow(_keeper(weights, bias, limit), docs.schema)
+    """The rows of ``docs``, all columns, whose (first) text column scores under ``limit``; no shuffle.
+
+    Further columns may repeat names; rows that repeat are judged alike, and an empty table stays empty.
+    """
+    rows = by_place(docs)
+    return rows.mapInArrow(_keeper(weights, bias, limit, docs.columns.index("text")), rows.schema).toDF(*docs.columns)
