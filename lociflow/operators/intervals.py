@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schemas import BED
+from .reads import number_in_order
+
 
 def contig_lengths(reference: DataFrame, block_size: int) -> DataFrame:
     """contig, length of a blocked reference."""
@@ -76,5 +79,10 @@ def merge_windows(positions: DataFrame, distance: int = 0, offset: int = 0, adja
 
 
 def numbered(intervals: DataFrame) -> DataFrame:
-    """Adds idx, the place of each row in the order of contig, start, stop, counted from 0 on each contig."""
-    return intervals.withColumn("idx", F.row_number().over(Window.partitionBy("contig").orderBy("start", "stop")) - 1)
+    """Adds idx, the place of each row in the order of contig, start, stop, counted from 0 on each contig.  No task sees a whole contig."""
+    return number_in_order(intervals, "start", ["stop"], "idx", per_contig=True).withColumn("idx", (F.col("idx") - 1).cast("int"))
+
+
+def from_list(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
+    """Intervals (contig, start, stop) from a list."""
+    return spark.createDataFrame(rows, BED)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,32 +34,61 @@ def reference_bases(reference: DataFrame, intervals: DataFrame, block_size: int,
     return found.where("piece_bases <> ''").drop("_block_seq", "block")
 
 
-def events(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
-    """One row per read and position it has something to say on.
+def _pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig, keep: Sequence[str]) -> DataFrame:
+    """CIGAR operations cut at block borders, with ``bases``: an array of (ref_base, allele) for each position of the piece.
 
-    contig, pos, read_ord, op_idx, cls (0 base or deletion, 1 insertion), allele, ref_base, cov, mm, edit.  Deletions
-    and skips give ``*`` at every position; an insertion stands at the base before it and covers nothing.
+    Strings are cut to the piece once and split, so that the work grows with their length and no later row carries them.
     """
     walked = cigar_ops(valid_reads(well_mapped(reads, config.min_mapq), config.invalid), "contig", "ref_start", *keep).where("op in ('M', 'I', 'D', 'N') and n > 0")
     at = F.col("ref_start") + F.col("rp")
     inserted = F.col("op") == "I"
     spans = walked.withColumn("start", F.when(inserted, at - 1).otherwise(at)).withColumn("stop", F.when(inserted, at).otherwise(at + F.col("n")))
     pieces = reference_bases(reference, spans, block_size)
-    bases = pieces.withColumn("_k", F.explode(F.sequence(F.lit(0), F.length("piece_bases") - 1)))
-    k = F.col("_k")
-    placed = bases.select(
-        *SITE[:1], (F.col("piece_start") + k).cast("int").alias("pos"), *ARRIVAL, *keep,
-        F.when(inserted, INSERTION).otherwise(SNP_OR_DELETION).alias("cls"),
-        F.when(F.col("op") == "M", F.substring("bases", (F.col("piece_start") - F.col("start") + k + 1).cast("int"), F.lit(1))).when(inserted, F.col("bases")).otherwise(DELETED).alias("allele"),
-        F.substring("piece_bases", k + 1, F.lit(1)).alias("ref_base"), "op",
-    )
-    mismatch = (F.col("op") != "M") | (F.col("allele") != F.col("ref_base"))
+    size = F.length("piece_bases")
+    matched = F.split(F.substring("bases", (F.col("piece_start") - F.col("start") + 1).cast("int"), size), "")
+    alleles = F.when(F.col("op") == "M", matched).when(inserted, F.array("bases")).otherwise(F.array_repeat(F.lit(DELETED), size))
+    both = F.arrays_zip(F.split("piece_bases", "").alias("ref_base"), alleles.alias("allele"))
+    cls = F.when(inserted, INSERTION).otherwise(SNP_OR_DELETION)
+    return pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", size.alias("size"), cls.alias("cls"), both.alias("both"))
+
+
+def events(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
+    """One row per read and position it has something to say on.
+
+    contig, pos, read_ord, op_idx, cls (0 base or deletion, 1 insertion), allele, ref_base, cov, mm, edit.  Deletions
+    and skips give ``*`` at every position; an insertion stands at the base before it and covers nothing.
+    """
+    pieces = _pieces(reads, reference, block_size, config, keep)
+    placed = pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", "cls", F.posexplode("both").alias("k", "base"))
+    mismatch = (F.col("op") != "M") | (F.col("base.allele") != F.col("base.ref_base"))
     return placed.select(
-        *SITE, *ARRIVAL, *keep, "cls", "allele", "ref_base",
+        "contig", (F.col("piece_start") + F.col("k")).cast("int").alias("pos"), *ARRIVAL, *keep, "cls", F.col("base.allele").alias("allele"), F.col("base.ref_base").alias("ref_base"),
         (F.col("op") != "I").cast("int").alias("cov"), mismatch.cast("int").alias("mm"), (mismatch & F.col("op").isin("M", "I")).cast("int").alias("edit"),
     )
 
 
+def sparse_events(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
+    """What candidates need of events(): a row per mismatch, and a row per stretch [pos, stop) that a read covers.
+
+    contig, pos, stop, read_ord, op_idx, cls, allele, ref_base; cls is null for a stretch.  Matching bases give no rows.
+    """
+    pieces = _pieces(reads, reference, block_size, config, keep)
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("ref_base"), F.lit(None).cast("string").alias("allele")))  # stands for the stretch
+    placed = pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", "size", "cls", F.posexplode(F.concat(whole, "both")).alias("k", "base"))
+    stretch = F.col("k") == 0
+    mismatch = (F.col("op") != "M") | (F.col("base.allele") != F.col("base.ref_base"))
+    kept = placed.where(F.when(stretch, F.col("op") != "I").otherwise(mismatch))
+    pos = F.when(stretch, F.col("piece_start")).otherwise(F.col("piece_start") + F.col("k") - 1).cast("int")
+    stop = F.when(stretch, F.col("piece_start") + F.col("size")).otherwise(F.col("piece_start") + F.col("k")).cast("int")
+    return kept.select("contig", pos.alias("pos"), stop.alias("stop"), *ARRIVAL, *keep, F.when(~stretch, F.col("cls")).alias("cls"), F.col("base.allele").alias("allele"), F.col("base.ref_base").alias("ref_base"))
+
+
+def clip(sparse: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """Mismatches at positions from start to stop, both included, and what stretches have of them."""
+    cut = sparse.withColumn("pos", F.greatest("pos", F.when(F.col("cls").isNull(), start).otherwise(F.col("pos")))).withColumn("stop", F.least("stop", stop + 1))
+    return cut.where((F.col("pos") < F.col("stop")) & (F.col("pos") >= start))
+
+
 def over_limits(mismatches: Column, coverage: Column, config: PileupConfig) -> Column:
     """The candidate test; the percentage is compared after rounding down."""
     return (mismatches > config.min_mismatches) & (coverage > config.min_coverage) & (mismatches * 100 >= coverage * (config.min_percent + 1))
@@ -91,42 +122,91 @@ def allele_histogram(events: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
     return events.where("mm = 1").groupBy(*by, "ref_base", "cls", "allele").agg(F.count("*").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"))
 
 
-def _flagged(events: DataFrame, config: PileupConfig, by: Sequence[str]) -> DataFrame:
-    """Mismatch events with ``ok``: whether the position passes the limits when that event has arrived (or at the end)."""
-    at = Window.partitionBy(*by)
-    if config.threshold == "running":
-        at = at.orderBy(*ARRIVAL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = events.withColumn("_cov", F.sum("cov").over(at)).withColumn("_mm", F.sum("mm").over(at))
-    return counted.where("mm = 1").withColumn("ok", over_limits(F.col("_mm"), F.col("_cov"), config)).drop("_cov", "_mm")
+def _binned(sparse: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """Sparse events dealt by (``by`` without pos, bin of positions) in order of arrival; a stretch is cut at the borders of bins."""
+    keys = [c for c in by if c != "pos"]
+    bins = F.sequence(F.floor(F.col("pos") / width), F.floor((F.col("stop") - 1) / width))
+    rows = sparse.withColumn("bin", F.explode(bins)).withColumn("from", F.greatest(F.col("pos") - F.col("bin") * width, F.lit(0)).cast("int")).withColumn("to", F.least(F.col("stop") - F.col("bin") * width, F.lit(width)).cast("int"))
+    return rows.repartition(*keys, "bin").sortWithinPartitions(*keys, "bin", *ARRIVAL, F.col("cls").isNotNull()).drop("stop")
+
+
+def _counting(keys: Sequence[str], width: int, final: bool):
+    """Adds n_cov and n_mm to each mismatch: what its position has when it arrives.  ``final``: a row per position with the totals."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bin_now, cov, mm = None, np.zeros(width, np.int64), np.zeros(width, np.int64)
+
+        def totals() -> pa.RecordBatch:
+            at = np.flatnonzero(mm)
+            place = [pa.array([k] * len(at), t) for k, t in zip(bin_now[:-1], kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*place, pa.array(at + bin_now[-1] * width, pa.int32()), pa.array(cov[at]), pa.array(mm[at])], [*keys, "pos", "n_cov", "n_mm"])
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            bins = zip(*(batch.column(k).to_pylist() for k in (*keys, "bin")), strict=True)
+            starts, stops = batch.column("from").to_pylist(), batch.column("to").to_pylist()
+            is_mismatch = np.asarray(batch.column("cls").is_valid())
+            keep, n_cov, n_mm = np.flatnonzero(is_mismatch), [], []
+            for key, a, b, one in zip(bins, starts, stops, is_mismatch.tolist(), strict=True):
+                if key != bin_now:
+                    if final and bin_now is not None:
+                        yield totals()
+                    bin_now = key
+                    cov[:] = 0
+                    mm[:] = 0
+                if one:
+                    mm[a] += 1
+                    n_cov.append(cov[a])
+                    n_mm.append(mm[a])
+                else:
+                    cov[a:b] += 1
+            if not final:
+                rows = batch.take(pa.array(keep)).drop_columns(["bin", "from", "to"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_cov, pa.int64()), pa.array(n_mm, pa.int64())], [*rows.schema.names, "n_cov", "n_mm"])
+        if final and bin_now is not None:
+            yield totals()
+
+    return count
+
+
+def _counted(sparse: DataFrame, config: PileupConfig, by: Sequence[str], width: int = 1024) -> DataFrame:
+    """The mismatches with ``ok``: whether their position passes the limits when they arrive; or with "final", positions that have mismatches.
+
+    Only mismatches and stretches are shuffled, by bins of positions; a task holds the counts of one bin.
+    """
+    final = config.threshold == "final"
+    keys = [c for c in by if c != "pos"]
+    binned = _binned(sparse, by, width)
+    kept = [f for f in binned.schema if f.name not in ("bin", "from", "to") and (not final or f.name in by)]
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted(kept, key=lambda f: final and f.name == "pos")), "n_cov long", "n_mm long"]
+    counted = binned.mapInArrow(_counting(keys, width, final), ", ".join(fields))
+    return counted.withColumn("ok", over_limits(F.col("n_mm"), F.col("n_cov"), config)).drop("n_cov", "n_mm")
 
 
-def candidate_positions(events: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
-    """Distinct positions that pass the limits.
+def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
+    """Distinct positions that pass the limits, from sparse_events().
 
     "running" is order dependent: a position stays in once it passed at some mismatch, even if later reads dilute it,
-    and one whose last mismatch came too early never passes.  "final" needs no order and is one aggregate.
+    and one whose last mismatch came too early never passes.  "final" tests totals.
     """
-    if config.threshold == "final":
-        counts = events.groupBy(*by).agg(F.sum("mm").alias("_mm"), F.sum("cov").alias("_cov"))
-        return counts.where(over_limits(F.col("_mm"), F.col("_cov"), config)).select(*by)
-    return _flagged(events, config, by).where("ok").select(*by).distinct()
+    found = _counted(sparse, config, by).where("ok").select(*by)
+    return found if config.threshold == "final" else found.distinct()
 
 
-def candidate_alleles(events: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
-    """contig, pos, ref_base, cls, allele, freq, rnk: up to ``ploidy`` alleles per class of every candidate position.
+def candidate_alleles(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
+    """contig, pos, ref_base, cls, allele, freq, rnk: up to ``ploidy`` alleles per class of every candidate position, from sparse_events().
 
-    Equal counts go by first appearance.  The window, both aggregates and both ranks need one shuffle by position.
+    Equal counts go by first appearance.  Mismatches are counted by allele before they are shuffled by position.
     """
-    alleles = (
-        _flagged(events, config, by)
-        .groupBy(*by, "ref_base", "cls", "allele")
-        .agg(F.count("*").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"), F.max("ok").alias("ok"))
-        .withColumn("ok", F.max("ok").over(Window.partitionBy(*by)))
-        .where("ok")
-    )
+    if config.threshold == "final":
+        found = sparse.where("cls is not null").join(candidate_positions(sparse, config, by), list(by), "left_semi").withColumn("ok", F.lit(True))
+    else:
+        found = _counted(sparse, config, by)
+    alleles = found.groupBy(*by, "ref_base", "cls", "allele").agg(F.count("*").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"), F.max("ok").alias("ok"))
+    passed = alleles.withColumn("ok", F.max("ok").over(Window.partitionBy(*by))).where("ok")
     order = F.col("freq").asc() if config.allele_order == "rarest" else F.col("freq").desc()
     rank = F.row_number().over(Window.partitionBy(*by, "cls").orderBy(order, "first_seen"))
-    return alleles.withColumn("rnk", rank).where(F.col("rnk") <= config.ploidy).select(*by, "ref_base", "cls", "allele", "freq", "rnk")
+    return passed.withColumn("rnk", rank).where(F.col("rnk") <= config.ploidy).select(*by, "ref_base", "cls", "allele", "freq", "rnk")
 
 
 def candidate_sites(alleles: DataFrame) -> DataFrame:

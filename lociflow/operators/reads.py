@@ -15,9 +15,14 @@ def with_end(reads: DataFrame) -> DataFrame:
     return reads.withColumn("ref_end", C.reference_end("ref_start", "cigar"))
 
 
-def in_region(reads: DataFrame, contig: str, start: int, stop: int) -> DataFrame:
-    """Reads that overlap [start, stop); contig and ref_start are pushed to the scan.  No flag is filtered."""
+def in_region(reads: DataFrame, contig: str, start: int, stop: int, max_span: int | None = None) -> DataFrame:
+    """Reads that overlap [start, stop); contig and ref_start are pushed to the scan.  No flag is filtered.
+
+    ``max_span``: how many positions a read spans at most, if that is known; the scan then starts near the region.
+    """
     near = reads.where((F.col("contig") == contig) & (F.col("ref_start") < stop))
+    if max_span is not None:
+        near = near.where(F.col("ref_start") > start - max_span)
     return with_end(near).where(F.col("ref_end") > start)
 
 
@@ -44,15 +49,16 @@ def invalid_reads(reads: DataFrame) -> DataFrame:
     return reads.where(~is_valid())
 
 
-def number_in_order(rows: DataFrame, position: str, ties: Sequence[str], name: str, bin_width: int = 65_536) -> DataFrame:
-    """Adds ``name``, counting from 1 in the order of (contig, position, *ties), which must be unique.
+def number_in_order(rows: DataFrame, position: str, ties: Sequence[str], name: str, bin_width: int = 65_536, per_contig: bool = False) -> DataFrame:
+    """Adds ``name``, counting from 1 in the order of (contig, position, *ties), which must be unique; ``per_contig`` counts each contig anew.
 
     Rows are dealt by (contig, bin of position) and numbered inside each bin; the bins' row counts, one row per
     bin of the genome, give where each starts.  No task sees the whole table.
     """
     binned = rows.withColumn("_bin", F.floor(F.col(position) / bin_width))
     counts = binned.groupBy("contig", "_bin").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("contig", "_bin").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("contig").orderBy("_bin") if per_contig else Window.orderBy("contig", "_bin")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("contig", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("contig", "_bin").orderBy(position, *ties)
     return binned.join(starts, ["contig", "_bin"]).withColumn(name, (F.col("_before") + F.row_number().over(inside)).cast("long")).drop("_bin", "_before")

@@ -55,7 +55,7 @@ ev0 AS (SELECT *, unnest(CASE WHEN op = 'I' THEN [-1::BIGINT] ELSE range(n) END)
 ev1 AS (SELECT contig, (ref_start + rp + k)::INT AS pos, read_ord, op_idx, read_name, op, (op = 'I')::INT AS cls,
                CASE op WHEN 'M' THEN substr(seq, (qp + k + 1)::INT, 1) WHEN 'I' THEN substr(seq, (qp + 1)::INT, n) ELSE '*' END AS allele FROM ev0),
 ev2 AS (SELECT e.*, substr(f.seq, pos % 32 + 1, 1) AS ref_base FROM ev1 e JOIN syn_ref f ON f.contig = e.contig AND f.block = pos // 32),
-ev AS (SELECT *, (op <> 'I')::INT AS cov, (op <> 'M' OR allele <> ref_base)::INT AS mm, (op = 'I' OR op = 'M' AND allele <> ref_base)::INT AS edit FROM ev2)"""
+ev AS MATERIALIZED (SELECT *, (op <> 'I')::INT AS cov, (op <> 'M' OR allele <> ref_base)::INT AS mm, (op = 'I' OR op = 'M' AND allele <> ref_base)::INT AS edit FROM ev2)"""
 )
 
 RUNNING = (
@@ -92,13 +92,13 @@ truth AS (
     )
 
 
-def labelled(span: int = 2) -> str:
+def labelled(span: int = 2, start: str | None = None) -> str:
     return (
-        truth(start=ranked())
+        truth(start=start or ranked())
         + f""",
-matched AS (SELECT a.contig, a.pos, a.cls, a.allele, arg_max(t.gt, ((t.vpos::HUGEINT * 1000000 + t.rec_ord) * 100 + t.alt_idx) * 100 + t.i) AS gt
-            FROM alleles a JOIN truth t ON t.contig = a.contig AND t.vpos BETWEEN a.pos AND a.pos + {span - 1} AND t.cls = a.cls AND t.valt = CASE a.cls WHEN 1 THEN a.ref_base || a.allele ELSE a.allele END GROUP BY ALL),
-lab AS (SELECT a.*, coalesce(m.gt, 0) AS gt FROM alleles a LEFT JOIN matched m USING (contig, pos, cls, allele))"""
+spoken AS (SELECT contig, unnest(range(vpos - {span - 1}, vpos + 1)) AS pos, cls, valt, gt, ((vpos::HUGEINT * 1000000 + rec_ord) * 100 + alt_idx) * 100 + i AS nth FROM truth),
+last_said AS (SELECT contig, pos, cls, valt, arg_max(gt, nth) AS gt FROM spoken GROUP BY contig, pos, cls, valt),
+lab AS (SELECT a.*, coalesce(m.gt, 0) AS gt FROM alleles a LEFT JOIN last_said m ON m.contig = a.contig AND m.pos = a.pos AND m.cls = a.cls AND m.valt = CASE a.cls WHEN 1 THEN a.ref_base || a.allele ELSE a.allele END)"""
     )
 
 
@@ -127,12 +127,17 @@ CHUNK_CANDIDATES = (
 placed AS (SELECT c.chunk_id, e.* FROM ev e JOIN syn_reads r USING (read_ord) JOIN chunks c ON c.contig = r.contig AND r.ref_start < c.stop AND r.ref_end > c.start WHERE e.pos BETWEEN c.start AND c.stop),
 counted AS (SELECT *, sum(cov) OVER w AS rc, sum(mm) OVER w AS rm FROM placed WINDOW w AS (PARTITION BY chunk_id, contig, pos ORDER BY read_ord, op_idx ROWS UNBOUNDED PRECEDING)),
 cand AS (SELECT DISTINCT chunk_id, contig, pos FROM counted WHERE mm = 1 AND rm > 2 AND rc > 10 AND floor(rm * 100 / rc) > 2),
-hist AS (SELECT chunk_id, contig, pos, any_value(ref_base) AS ref_base, cls, allele, count(*) AS freq, min(read_ord * 64 + op_idx) AS seen FROM placed WHERE mm = 1 GROUP BY chunk_id, contig, pos, cls, allele)
-SELECT chunk_id, contig, pos, ref_base, cls, allele, freq, (row_number() OVER (PARTITION BY chunk_id, contig, pos, cls ORDER BY freq, seen))::INT AS rnk FROM hist SEMI JOIN cand USING (chunk_id, contig, pos) QUALIFY rnk <= 2"""
+hist AS (SELECT chunk_id, contig, pos, any_value(ref_base) AS ref_base, cls, allele, count(*) AS freq, min(read_ord * 64 + op_idx) AS seen FROM placed WHERE mm = 1 GROUP BY chunk_id, contig, pos, cls, allele),
+alleles AS (SELECT chunk_id, contig, pos, ref_base, cls, allele, freq, (row_number() OVER (PARTITION BY chunk_id, contig, pos, cls ORDER BY freq, seen))::INT AS rnk FROM hist SEMI JOIN cand USING (chunk_id, contig, pos) QUALIFY rnk <= 2)"""
 )
 
-#: The region has the reads that overlap the half-open range, and positions up to its end, included.
-REGION = labelled().replace("AS parts FROM syn_reads", "AS parts FROM syn_reads WHERE contig = 'chr1' AND ref_start < 1500 AND ref_end > 500") + ROWS + " WHERE pos BETWEEN 500 AND 1500"
+#: The middle half of a contig.  It has the reads that overlap the half-open range, and positions up to its end, included.
+FROM, TO = "(SELECT len // 4 FROM dims)", "(SELECT 3 * len // 4 FROM dims)"
+IN_REGION = f"contig = 'chr1' AND ref_start < {TO} AND ref_end > {FROM}"
+REGION = labelled().replace("AS parts FROM syn_reads", f"AS parts FROM syn_reads WHERE {IN_REGION}") + ROWS + f" WHERE pos BETWEEN {FROM} AND {TO}"
+
+#: Variants with ALT alleles that are missing, symbolic or a deletion marker, and with several filters.
+ODD = "(SELECT * REPLACE (CASE pos % 4 WHEN 0 THEN '.' WHEN 1 THEN '<DEL>' WHEN 2 THEN '*' ELSE alt END AS alt) FROM syn_variants)"
 
 SHOWN = "struct_pack(allele := allele, cls := cls, freq := freq, pos := pos, ref_base := ref_base)"
 DOCUMENTS = (
@@ -145,7 +150,7 @@ docs AS (SELECT r.contig, r.start, r.stop, list({SHOWN} ORDER BY a.pos, a.cls, a
 
 SQL: dict[str, str] = {
     "src1_sam_roundtrip": TABLES + " SELECT read_name, contig, ref_start, mapq, 0 AS flag, cigar, seq FROM syn_reads",
-    "src2_region_scan": TABLES + " SELECT read_ord, read_name, ref_start, ref_end FROM syn_reads WHERE contig = 'chr1' AND ref_start < 1500 AND ref_end > 500",
+    "src2_region_scan": TABLES + f" SELECT read_ord, read_name, ref_start, ref_end FROM syn_reads WHERE {IN_REGION}",
     "src3_pileup_columns": EVENTS + " SELECT contig, pos, count(*) AS n_reads, string_agg(allele, '' ORDER BY read_ord, op_idx) AS bases FROM ev WHERE cov = 1 GROUP BY contig, pos",
     "src4_fasta_roundtrip": TABLES + ", whole AS (SELECT contig, string_agg(seq, '' ORDER BY block) AS s FROM syn_ref GROUP BY contig) SELECT contig, b::INT AS block, substr(s, (b * 100 + 1)::BIGINT, 100) AS seq FROM (SELECT *, unnest(range(ceil(length(s) / 100)::BIGINT)) AS b FROM whole)",
     "src5_reference_bases": TABLES + " SELECT read_ord, substr(both_seq, ref_start % 32 + 1, ref_end - ref_start) AS bases FROM syn_reads r JOIN pairs p ON p.contig = r.contig AND p.block = ref_start // 32",
@@ -153,7 +158,13 @@ SQL: dict[str, str] = {
     "src7_vcf_roundtrip": TABLES + " SELECT contig, pos, ref, alt, filter, gt FROM syn_variants",
     "src8_records": TABLES + " SELECT rec_ord, contig, pos, ref, alt AS alts, len(split(gt, '/'))::INT AS n_gt, filter, 10.0::DOUBLE AS qual FROM syn_variants WHERE filter = 'PASS' AND gt <> '0/0'",
     "src11_bed_index": BEDS + " SELECT contig, start, stop, (row_number() OVER (PARTITION BY contig ORDER BY start, stop) - 1)::INT AS idx FROM b",
-    "src12_list_files": "SELECT contig, 'csv' AS kind FROM (VALUES ('chr1'), ('chr2')) c(contig)",
+    "src7_region_scan": TABLES + f" SELECT rec_ord, contig, pos, ref FROM syn_variants WHERE contig = 'chr1' AND pos - 1 < {TO} AND pos - 1 + length(ref) > {FROM}",
+    "src9_bed_load": BEDS + " SELECT contig, start, stop, name::VARCHAR AS name FROM a",
+    "src10_list_to_bed": "SELECT 'chr' || (n_regionkey + 1)::VARCHAR AS contig, (n_nationkey * 100)::INT AS start, (n_nationkey * 100 + length(n_name))::INT AS stop FROM nation",
+    "src12_list_files": labelled() + " SELECT contig, 'csv' AS kind, sum(length(concat_ws(chr(9), contig, pos, pos + 1, ref_base, allele, coalesce(gt::VARCHAR, ''))) + 1)::BIGINT AS bytes FROM lab GROUP BY contig",
+    "flt10_invalid_reads": TABLES + " SELECT read_ord FROM syn_reads WHERE mapq % 4 = 0",
+    "fn4_odd_alts": truth(hom_filter=False).replace("FROM syn_variants", f"FROM {ODD}") + " SELECT * FROM truth",
+    "lim1_first_filter": TABLES + " SELECT contig, pos, ref, alt, gt, filter FROM syn_variants",
     "flt1_mapq": TABLES + " SELECT read_ord, read_name, mapq FROM syn_reads WHERE mapq > 5",
     "flt8_supported": labelled() + " SELECT contig, pos, bool_or(gt <> 0) AS supported, coalesce(bool_or(gt <> 0) FILTER (cls = 1), false) AS in_supported, coalesce(bool_or(gt <> 0) FILTER (cls = 0), false) AS snp_supported, count(DISTINCT gt) AS n_genotypes FROM lab GROUP BY contig, pos",
     "flt8_supported_lists": labelled() + " SELECT contig, pos, cls, count(*) AS n, bool_or(gt <> 0) AS supported FROM lab GROUP BY contig, pos, cls",
@@ -183,7 +194,8 @@ SQL: dict[str, str] = {
     "join5_intersect": BEDS + " SELECT a.contig, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop, name FROM a JOIN b ON a.contig = b.contig AND a.start < b.stop AND b.start < a.stop",
     "par1_chunks": TABLES + CHUNKS + " SELECT * FROM chunks",
     "par2_equal_chunks": TABLES + LENGTHS + " SELECT contig, i::INT AS chunk_id, (i * ceil(length / 5))::INT AS start, ((i + 1) * ceil(length / 5) + 1000)::INT AS stop FROM lengths, range(5) t(i)",
-    "par3_chunk_candidates": CHUNK_CANDIDATES,
+    "par3_chunk_candidates": CHUNK_CANDIDATES + " SELECT * FROM alleles",
+    "par5_chunk_labels": labelled(start=CHUNK_CANDIDATES) + " SELECT chunk_id, contig, pos AS start, pos + 1 AS stop, ref_base AS ref, allele, gt FROM lab",
     "par5_region": REGION,
     "sink1_bed_roundtrip": labelled() + ROWS,
     "sink2_json_roundtrip": DOCUMENTS + ", rows AS (SELECT contig, start, stop, unnest(CASE WHEN found IS NULL THEN [NULL] ELSE found END) AS x FROM docs) SELECT contig AS chromosome_name, start AS start_position, stop AS end_position, x.allele AS allele, x.cls AS cls, x.freq AS freq, x.pos AS pos, x.ref_base AS ref_base FROM rows",

@@ -11,7 +11,7 @@ from ..operators import intervals, labels, pileup, reads, variants
 
 def find_candidates(read_rows: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig()) -> DataFrame:
     """Candidate alleles over all contigs at once: chunks are left to Spark's partitioning, and no position counts twice."""
-    return pileup.candidate_alleles(pileup.events(read_rows, reference, block_size, config), config)
+    return pileup.candidate_alleles(pileup.sparse_events(read_rows, reference, block_size, config), config)
 
 
 def find_candidates_by_chunk(read_rows: DataFrame, reference: DataFrame, block_size: int, chunk_rows: DataFrame, config: PileupConfig = PileupConfig()) -> DataFrame:
@@ -20,8 +20,8 @@ def find_candidates_by_chunk(read_rows: DataFrame, reference: DataFrame, block_s
     A chunk has the reads that overlap [start, stop) and reports positions from start to stop, both included.
     """
     in_chunks = intervals.assign_chunks(reads.with_end(reads.well_mapped(read_rows, config.min_mapq)), chunk_rows)
-    found = pileup.events(in_chunks, reference, block_size, config, keep=("chunk_id", "chunk_start", "chunk_stop"))
-    inside = found.where(F.col("pos").between(F.col("chunk_start"), F.col("chunk_stop")))
+    found = pileup.sparse_events(in_chunks, reference, block_size, config, keep=("chunk_id", "chunk_start", "chunk_stop"))
+    inside = pileup.clip(found, F.col("chunk_start"), F.col("chunk_stop")).drop("chunk_start", "chunk_stop")
     return pileup.candidate_alleles(inside, config, by=("chunk_id", "contig", "pos"))
 
 
@@ -34,6 +34,6 @@ def label_candidates(read_rows: DataFrame, reference: DataFrame, records: DataFr
 def label_region(read_rows: DataFrame, reference: DataFrame, records: DataFrame, block_size: int, contig: str, start: int, stop: int, config: PileupConfig = PileupConfig()) -> DataFrame:
     """The six output columns for the candidates of one region, positions start to stop, both included."""
     near = reads.in_region(read_rows, contig, start, stop)
-    found = pileup.events(near, reference.where(F.col("contig") == contig), block_size, config).where(F.col("pos").between(start, stop))
+    found = pileup.clip(pileup.sparse_events(near, reference.where(F.col("contig") == contig), block_size, config), F.lit(start), F.lit(stop))
     truth = variants.decompose(records.where(F.col("contig") == contig), config=config)
     return labels.labelled_rows(labels.label_alleles(pileup.candidate_alleles(found, config), truth, config))

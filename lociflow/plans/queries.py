@@ -18,15 +18,24 @@ from . import alignment as A
 from . import pipelines
 
 CHUNK, OVERLAP = 500, 10
-REGION = ("chr1", 500, 1500)
 
 
 def events(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return pileup.events(A.reads(spark, sf_dir), A.reference(spark, sf_dir), A.BLOCK, keep=keep)
 
 
+def sparse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.sparse_events(A.reads(spark, sf_dir), A.reference(spark, sf_dir), A.BLOCK)
+
+
+def region(spark: SparkSession, sf_dir: str) -> tuple[str, int, int]:
+    """The middle half of a contig."""
+    n = A.contig_length(spark, sf_dir)
+    return A.CONTIGS[0], n // 4, 3 * n // 4
+
+
 def src2_region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.in_region(A.reads(spark, sf_dir), *REGION).select("read_ord", "read_name", "ref_start", "ref_end")
+    return R.in_region(A.reads(spark, sf_dir), *region(spark, sf_dir), max_span=2 * A.BLOCK).select("read_ord", "read_name", "ref_start", "ref_end")
 
 
 def src3_pileup_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +75,38 @@ def src7_vcf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_vcf(spark, path).select("contig", "pos", "ref", "alt", "filter", "gt")
 
 
+def src7_region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.variants_in_region(A.raw_variants(spark, sf_dir), *region(spark, sf_dir)).select("rec_ord", "contig", "pos", "ref")
+
+
 def src8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = variants.passing(A.records(spark, sf_dir))
     return rows.select("rec_ord", "contig", "pos", "ref", F.array_join("alts", ",").alias("alts"), F.size("gt").alias("n_gt"), "filter", "qual")
 
 
+def lim1_first_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a second filter and a second sample, of which the first counts, through a file."""
+    path = new_path(spark, "vcf")
+    raw = A.raw_variants(spark, sf_dir).withColumn("filter", F.concat("filter", F.lit(";s50")))
+    lines = text.render_vcf(raw).withColumn("value", F.concat("value", F.lit("\t9/9")))
+    lines.write.text(path)
+    shown = F.array_join(F.transform("gt", lambda g: F.coalesce(g.cast("string"), F.lit("."))), "/")
+    return variants.parse_records(text.read_vcf(spark, path)).select("contig", "pos", "ref", F.array_join("alts", ",").alias("alt"), shown.alias("gt"), "filter")
+
+
+def fn4_odd_alts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALT alleles that are missing, symbolic or a deletion marker; those as long as a longer REF have no class."""
+    kind = F.col("pos") % 4
+    odd = F.when(kind == 0, ".").when(kind == 1, "<DEL>").when(kind == 2, "*").otherwise(F.col("alt"))
+    return variants.decompose(variants.parse_records(A.raw_variants(spark, sf_dir).withColumn("alt", odd)), hom_filter=False)
+
+
+def flt10_invalid_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads that are set aside, once every fourth mapping quality writes matches with ``=``."""
+    marked = F.when(F.col("mapq") % 4 == 0, F.translate("cigar", "M", "=")).otherwise(F.col("cigar"))
+    return R.invalid_reads(A.reads(spark, sf_dir).withColumn("cigar", marked)).select("read_ord")
+
+
 def flt1_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.well_mapped(A.reads(spark, sf_dir)).select("read_ord", "read_name", "mapq")
 
@@ -100,11 +136,11 @@ def agg7_covered_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win1_candidates_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.candidate_positions(events(spark, sf_dir))
+    return pileup.candidate_positions(sparse_events(spark, sf_dir))
 
 
 def win1_candidates_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.candidate_positions(events(spark, sf_dir), PileupConfig(threshold="final"))
+    return pileup.candidate_positions(sparse_events(spark, sf_dir), PileupConfig(threshold="final"))
 
 
 def topk1_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +212,14 @@ def flt8_supported_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def par5_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.label_region(A.reads(spark, sf_dir), A.reference(spark, sf_dir), A.records(spark, sf_dir), A.BLOCK, *REGION)
+    return pipelines.label_region(A.reads(spark, sf_dir), A.reference(spark, sf_dir), A.records(spark, sf_dir), A.BLOCK, *region(spark, sf_dir))
+
+
+def par5_chunk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows of every chunk."""
+    found = par3_chunk_candidates(spark, sf_dir)
+    done = labels.label_alleles(found, variants.decompose(A.records(spark, sf_dir)))
+    return done.select("chunk_id", "contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("stop"), F.col("ref_base").alias("ref"), "allele", "gt")
 
 
 def par1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +251,17 @@ def join5_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.intersect(*bed_rows(spark, sf_dir), width=256).select("contig", "start", "stop", "name")
 
 
+def src9_bed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "bed")
+    bed_rows(spark, sf_dir)[0].select(F.concat_ws("\t", "contig", "start", "stop", "name")).write.text(path)
+    return text.read_bed(spark, path, "contig string, start int, stop int, name string")
+
+
+def src10_list_to_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = A.table(spark, sf_dir, "nation").collect()  # 25 rows
+    return intervals.from_list(spark, [(f"chr{r['n_regionkey'] + 1}", r["n_nationkey"] * 100, r["n_nationkey"] * 100 + len(r["n_name"])) for r in nations])
+
+
 def src11_bed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.numbered(bed_rows(spark, sf_dir)[1]).select("contig", "start", "stop", "idx")
 
@@ -230,12 +284,12 @@ def sink2_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src12_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the files that a BED writer left, by contig folder."""
+    """Kind and bytes of the files that a BED writer left, by contig folder."""
     path = new_path(spark, "files")
     sinks.write_bed(join3_label(spark, sf_dir), path)
     found = None
     for contig in A.CONTIGS:
-        files = text.list_files(spark, f"{path}/chrom={contig}").select(F.lit(contig).alias("contig"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind")).distinct()
+        files = text.list_files(spark, f"{path}/chrom={contig}").groupBy(F.lit(contig).alias("contig"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind")).agg(F.sum("length").alias("bytes"))
         found = files if found is None else found.union(files)
     return found
 
@@ -243,10 +297,10 @@ def src12_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        src1_sam_roundtrip, src2_region_scan, src3_pileup_columns, src4_fasta_roundtrip, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src8_records, src11_bed_index, src12_list_files,
-        flt1_mapq, flt8_supported, flt8_supported_lists, exp1_cigar_ops, exp2_mismatch_events, agg1_pileup, agg4_reads_by_position, agg5_allele_histogram, agg7_covered_reference, agg9_genotype_counts,
+        src1_sam_roundtrip, src2_region_scan, src3_pileup_columns, src4_fasta_roundtrip, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src7_region_scan, src8_records, src9_bed_load, src10_list_to_bed, src11_bed_index, src12_list_files,
+        lim1_first_filter, fn4_odd_alts, flt10_invalid_reads, flt1_mapq, flt8_supported, flt8_supported_lists, exp1_cigar_ops, exp2_mismatch_events, agg1_pileup, agg4_reads_by_position, agg5_allele_histogram, agg7_covered_reference, agg9_genotype_counts,
         agg10_position_index, agg11_region_json, win1_candidates_running, win1_candidates_final, win3_merge_windows, win3_merge_windows_apart, topk1_alleles, topk1_alleles_commonest, prj1_candidate_sites,
         vcf_decompose, vcf_decompose_unchanged, fn13_record_text, join1_chunk_overlap, join3_label, join3_label_one_position, join3_label_none, join5_intersect, par1_chunks, par2_equal_chunks,
-        par3_chunk_candidates, par5_region, sink1_bed_roundtrip, sink2_json_roundtrip,
+        par3_chunk_candidates, par5_region, par5_chunk_labels, sink1_bed_roundtrip, sink2_json_roundtrip,
     )
 }

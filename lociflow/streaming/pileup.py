@@ -20,6 +20,10 @@ def pileup_stream(reads: DataFrame, reference: DataFrame, block_size: int, confi
     return P.pileup(P.events(reads, reference, block_size, config))
 
 
-def write_counts(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Run a pileup_stream() into an in-memory table until the files that are there now are used up."""
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run a pileup_stream() until the files that are there now are used up; ``path``/batch=N has the counts after batch N."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

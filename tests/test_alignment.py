@@ -99,7 +99,8 @@ def test_invalid_reads_are_quarantined_or_raise(spark):
 
 def test_leading_insertion_does_not_flag(spark):
     ev = pileup.events(make_reads(spark, [(5, "2I3M", "GGCGT"), (0, "2I3M", "GGACG")]), reference(spark, c="ACGTACGTAC"), BLOCK)
-    assert pileup.candidate_positions(ev).count() == 0
+    sparse = pileup.sparse_events(make_reads(spark, [(5, "2I3M", "GGCGT"), (0, "2I3M", "GGACG")]), reference(spark, c="ACGTACGTAC"), BLOCK)
+    assert pileup.candidate_positions(sparse).count() == 0
     assert column(ev.where("cls = 1"), "pos") == [(4,)]
     assert pileup.pileup(ev).where("pos = 4").first()["percent"] is None
 
@@ -109,19 +110,19 @@ def test_leading_insertion_does_not_flag(spark):
     [({9, 10, 12}, 300, True, False), ({1, 2, 3}, 50, False, True), ({5, 20}, 20, False, False), ({8, 9, 10}, 10, False, False), ({8, 9, 11}, 11, True, True), ({1, 2, 101}, 101, False, False)],
 )
 def test_threshold_depends_on_order(spark, mismatches, total, running, final):
-    ev = pileup.events(make_reads(spark, [(0, "1M", "T" if i + 1 in mismatches else "A") for i in range(total)]), reference(spark, c="A"), BLOCK)
-    assert bool(pileup.candidate_positions(ev).count()) == running
-    assert bool(pileup.candidate_positions(ev, PileupConfig(threshold="final")).count()) == final
+    sparse = pileup.sparse_events(make_reads(spark, [(0, "1M", "T" if i + 1 in mismatches else "A") for i in range(total)]), reference(spark, c="A"), BLOCK)
+    assert bool(pileup.candidate_positions(sparse).count()) == running
+    assert bool(pileup.candidate_positions(sparse, PileupConfig(threshold="final")).count()) == final
 
 
 def test_alleles_by_frequency_and_first_seen(spark):
     rows = [(0, "1M", x) for x in "CGTTGGCGGGGTTTGGGT"]  # C 2, G 9, T 7... against A
-    ev = pileup.events(make_reads(spark, rows), reference(spark, c="A"), BLOCK)
+    sparse = pileup.sparse_events(make_reads(spark, rows), reference(spark, c="A"), BLOCK)
     count = Counter("CGTTGGCGGGGTTTGGGT")
-    assert [tuple(r) for r in pileup.candidate_alleles(ev).orderBy("rnk").select("allele", "freq").collect()] == [("C", count["C"]), ("T", count["T"])]
-    top = pileup.candidate_alleles(ev, PileupConfig(allele_order="commonest")).orderBy("rnk").select("allele")
+    assert [tuple(r) for r in pileup.candidate_alleles(sparse).orderBy("rnk").select("allele", "freq").collect()] == [("C", count["C"]), ("T", count["T"])]
+    top = pileup.candidate_alleles(sparse, PileupConfig(allele_order="commonest")).orderBy("rnk").select("allele")
     assert [r[0] for r in top.collect()] == ["G", "T"]
-    ties = pileup.events(make_reads(spark, [(0, "1M", x) for x in "TCGGCTTCGTCG"]), reference(spark, c="A"), BLOCK)
+    ties = pileup.sparse_events(make_reads(spark, [(0, "1M", x) for x in "TCGGCTTCGTCG"]), reference(spark, c="A"), BLOCK)
     assert [r[0] for r in pileup.candidate_alleles(ties).orderBy("rnk").select("allele").collect()] == ["T", "C"]
 
 
@@ -148,13 +149,14 @@ def test_random_reads_against_a_sequential_walk(spark):
             rows.append((start, "".join(cig), seq, rng.choice([3, 5, 6, 60])))
     cov, mm, hist, flagged = walk(rows, ref)
     ev = pileup.events(make_reads(spark, rows), reference(spark, c=ref), BLOCK)
+    sparse = pileup.sparse_events(make_reads(spark, rows), reference(spark, c=ref), BLOCK)
     counts = pileup.pileup(ev).collect()
     assert {r["pos"]: r["coverage"] for r in counts if r["coverage"]} == dict(cov)
     assert {r["pos"]: r["mismatches"] for r in counts if r["mismatches"]} == dict(mm)
-    assert {p for (p,) in column(pileup.candidate_positions(ev), "pos")} == flagged
+    assert {p for (p,) in column(pileup.candidate_positions(sparse), "pos")} == flagged
     want = sorted((p, cls, a, n, i + 1) for (p, cls), h in hist.items() if p in flagged for i, (a, n) in enumerate(sorted(h.items(), key=lambda x: x[1])[:2]))
-    assert column(pileup.candidate_alleles(ev), "pos", "cls", "allele", "freq", "rnk") == want
-    sites = pileup.candidate_sites(pileup.candidate_alleles(ev))
+    assert column(pileup.candidate_alleles(sparse), "pos", "cls", "allele", "freq", "rnk") == want
+    sites = pileup.candidate_sites(pileup.candidate_alleles(sparse))
     assert sum(len(r["in_alleles"]) + len(r["snp_alleles"]) for r in sites.collect()) == len(want)
 
 
@@ -229,8 +231,29 @@ def test_documents(spark):
     assert '"all_candidates":[]' in got[10]
 
 
+def test_long_reads_cost_no_more_per_base(spark):
+    """Every base of a read of 40,000 is compared, in pieces of the reference's blocks, and only mismatches and stretches are rows."""
+    ref = "ACGT" * 10_000
+    seq = ref[:999] + "A" + ref[1000:]
+    rows = make_reads(spark, [(0, "40000M", seq)] * 12)
+    sparse = pileup.sparse_events(rows, reference(spark, c=ref), BLOCK)
+    blocks = len(range(0, 40_000, BLOCK))
+    assert sparse.where("cls is null").count() == 12 * blocks and column(sparse.where("cls = 0"), "pos", "allele") == [(999, "A")] * 12
+    assert column(pileup.candidate_positions(sparse), "pos") == column(pileup.candidate_positions(sparse, PileupConfig(threshold="final")), "pos") == [(999,)]
+    assert pileup.events(rows, reference(spark, c=ref), BLOCK).agg(F.sum("cov")).first()[0] == 480_000
+    clipped = pileup.clip(sparse, F.lit(990), F.lit(999))
+    assert clipped.where("cls is null").agg(F.sum(F.col("stop") - F.col("pos"))).first()[0] == 120 and clipped.where("cls = 0").count() == 12
+
+
+def test_final_alleles(spark):
+    rows = [(0, "1M", x) for x in "CGTTGGCGGGGTTTGGGT"]
+    sparse = pileup.sparse_events(make_reads(spark, rows), reference(spark, c="A"), BLOCK)
+    got = pileup.candidate_alleles(sparse, PileupConfig(threshold="final")).orderBy("rnk").select("allele").collect()
+    assert [r[0] for r in got] == ["C", "T"]
+
+
 def test_empty_tables(spark):
     none = make_reads(spark, [(0, "1M", "A")]).where("false")
-    ev = pileup.events(none, reference(spark, c="ACGT"), BLOCK)
-    assert pileup.candidate_alleles(ev).count() == 0
-    assert intervals.merge_windows(pileup.candidate_positions(ev)).count() == 0
+    sparse = pileup.sparse_events(none, reference(spark, c="ACGT"), BLOCK)
+    assert pileup.candidate_alleles(sparse).count() == 0
+    assert intervals.merge_windows(pileup.candidate_positions(sparse)).count() == 0
