@@ -2,7 +2,8 @@
 
 ``spark.dataSource.register(BamSource)``, then ``spark.read.format("bam").load(path)``.  With a ``.bai`` index beside
 a file, its linear index gives places where records start, and tasks share the file between them; without one, one
-task reads it.  Blocks are decompressed one at a time, so memory doesn't grow with the file.
+task reads it.  Option ``region`` reads only what overlaps a region, from the place the index gives for it.  Blocks
+are decompressed one at a time, so memory doesn't grow with the file.
 """
 
 from __future__ import annotations
@@ -99,15 +100,15 @@ def header(path: str) -> tuple[list[str], int]:
     return names, blocks.offset
 
 
-def index_offsets(path: str) -> list[int]:
-    """Virtual offsets at which records start, from the linear index of a .bai file; none without one."""
+def linear_index(path: str) -> list[list[int]] | None:
+    """The linear index of a .bai file: for each contig and 16,384 positions the virtual offset of the first record that overlaps them, or 0; None without a file."""
     for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
         system, where = _open(name)
         if system.get_file_info(where).type != fs.FileType.NotFound:
             break
     else:
-        return []
-    data, found = system.open_input_file(where).read(), set()
+        return None
+    data, found = system.open_input_file(where).read(), []
     at = 8
     for _ in range(struct.unpack_from("<i", data, 4)[0]):
         bins = struct.unpack_from("<i", data, at)[0]
@@ -115,9 +116,24 @@ def index_offsets(path: str) -> list[int]:
         for _ in range(bins):
             at += 8 + 16 * struct.unpack_from("<i", data, at + 4)[0]
         intervals = struct.unpack_from("<i", data, at)[0]
-        found.update(struct.unpack_from(f"<{intervals}Q", data, at + 4))
+        found.append(list(struct.unpack_from(f"<{intervals}Q", data, at + 4)))
         at += 4 + 8 * intervals
-    return sorted(found - {0})
+    return found
+
+
+@dataclass(frozen=True)
+class Region:
+    """Positions [start, stop) of a contig."""
+
+    contig: str
+    start: int
+    stop: int
+
+    @classmethod
+    def of(cls, text: str) -> Region:
+        contig, _, span = text.rpartition(":")
+        start, _, stop = span.partition("-")
+        return cls(contig, int(start), int(stop))
 
 
 @dataclass
@@ -127,13 +143,41 @@ class BamPart(InputPartition):
     start: int
     stop: int | None
     nth: int
+    sorted: bool = False  # by contig and position, as an index requires
 
 
-def _record(data: bytes, names: list[str]) -> tuple:
+#: Fixed values of the format: bytes of a tag's value by its type, and the operations that move along the reference.
+_TAG_BYTES, _ON_REFERENCE = dict(zip("AcCsSiIf", (1, 1, 1, 2, 2, 4, 4, 4), strict=True)), (0, 2, 3, 7, 8)
+
+
+def _long_cigar(data: bytes, at: int) -> tuple[int, ...] | None:
+    """The operations in tag CG, which holds those that are too many for a record's own field."""
+    while at + 3 <= len(data):
+        tag, kind = data[at : at + 2], chr(data[at + 2])
+        at += 3
+        if kind in "ZH":
+            at = data.index(0, at) + 1
+        elif kind == "B":
+            n = struct.unpack_from("<i", data, at + 1)[0]
+            if tag == b"CG":
+                return struct.unpack_from(f"<{n}I", data, at + 5)
+            at += 5 + n * _TAG_BYTES[chr(data[at])]
+        else:
+            at += _TAG_BYTES[kind]
+    return None
+
+
+def _record(data: bytes, names: list[str], region: Region | None = None) -> tuple | None:
+    """The fields of a record, or None if it doesn't overlap the region."""
     ref, pos, name_size, mapq, _, n_ops, flag, length = struct.unpack_from("<iiBBHHHi", data)
     at = 32 + name_size
     ops = struct.unpack_from(f"<{n_ops}I", data, at)
-    packed = data[at + 4 * n_ops : at + 4 * n_ops + (length + 1) // 2]
+    bases = at + 4 * n_ops
+    if n_ops == 2 and ops[0] == length << 4 | 4 and ops[1] & 15 == 3:  # a clip of the whole read and a skip stand for a long CIGAR
+        ops = _long_cigar(data, bases + (length + 1) // 2 + length) or ops
+    if region and pos + sum(x >> 4 for x in ops if x & 15 in _ON_REFERENCE) <= region.start:
+        return None
+    packed = data[bases : bases + (length + 1) // 2]
     return (
         data[32 : at - 1].decode(), names[ref] if ref >= 0 else None, pos, mapq, flag,
         "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops) or "*", "".join(map(_PAIRS.__getitem__, packed))[:length] or "*",
@@ -143,27 +187,50 @@ def _record(data: bytes, names: list[str]) -> tuple:
 class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.split_bytes = options["path"], int(options.get("splitBytes", 64 << 20))
+        self.region = Region.of(options["region"]) if "region" in options else None
 
     def partitions(self) -> list[BamPart]:
         parts: list[BamPart] = []
         for path in _files(self.path):
             names, first = header(path)
+            index = linear_index(path)
+            stop, offsets = None, sorted({x for contig in index or [] for x in contig} - {0})
+            if index and self.region:
+                ref = names.index(self.region.contig) if self.region.contig in names else len(index)
+                mine = index[ref][max(self.region.start, 0) >> 14 :] if ref < len(index) else []
+                first = min((x for x in mine if x), default=None)
+                if first is None:
+                    continue
+                stop = min((x for contig in index[ref + 1 :] for x in contig if x), default=None)
+                offsets = [x for x in offsets if x > first and (stop is None or x < stop)]
             cuts = [first]
-            for offset in index_offsets(path):
+            for offset in offsets:
                 if (offset >> 16) - (cuts[-1] >> 16) >= self.split_bytes:
                     cuts.append(offset)
-            parts += [BamPart(path, names, a, b, len(parts) + i) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))]
-        return parts
+            parts += [BamPart(path, names, a, b, len(parts) + i, bool(index)) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], stop], strict=True))]
+        return parts or [BamPart("", [], 0, 0, 0)]
 
     def read(self, partition: BamPart) -> Iterator[pa.RecordBatch]:
-        blocks, rows, n = _Blocks(partition.path, partition.start), [], 0
+        if partition.start == partition.stop:
+            return
+        blocks, rows, n, region = _Blocks(partition.path, partition.start), [], 0, self.region
+        ref = partition.names.index(region.contig) if region and region.contig in partition.names else -1
         while partition.stop is None or blocks.offset < partition.stop:
             size = blocks.read(4)
             if len(size) < 4:
                 break
             data = blocks.read(struct.unpack("<i", size)[0])
-            rows.append((partition.nth << 40 | n, *_record(data, partition.names)))
             n += 1
+            if region:
+                on, pos = struct.unpack_from("<ii", data)
+                beyond = ref < 0 or on != ref or pos >= region.stop
+                if beyond and partition.sorted:
+                    break
+                found = None if beyond else _record(data, partition.names, region)
+            else:
+                found = _record(data, partition.names)
+            if found:
+                rows.append((partition.nth << 40 | n - 1, *found))
             if len(rows) >= 4096:
                 yield self.batch(rows)
                 rows = []
@@ -176,7 +243,11 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """Options: path (a .bam file or a folder of them), splitBytes (compressed bytes per task, with an index)."""
+    """Options: path (a .bam file or a folder of them), splitBytes (compressed bytes per task, with an index), region.
+
+    ``region`` is contig:start-stop, 0-based and half-open; reads that overlap it come with the read_ord they have in
+    its part of the file.  With an index, only that part is read.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -102,6 +102,48 @@ def test_bam_with_and_without_index(spark, tmp_path):
     assert rows == want and df.rdd.getNumPartitions() == 5
 
 
+def test_bam_region_and_long_cigar(spark, tmp_path):
+    names = ["chr1", "chr2", "chr3"]
+    data = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 3) + b"".join(struct.pack("<i", 5) + n.encode() + b"\0" + struct.pack("<i", 10**6) for n in names)
+    reads, index, plain = [], [{}, {}, {}], []
+    for ref in (0, 2):
+        for i in range(300):
+            pos, long = i * 137, i % 50 == 7
+            ops = [(4, 0), (20_000 if long else 3, 2), (4, 0)]
+            field = [(8, 4), (sum(n for n, o in ops), 3)] if long else ops
+            body = struct.pack("<iiBBHHHiiii", ref, pos, 3, 9, 0, len(field), 0, 8, -1, -1, 0) + b"r1\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in field) + b"\x11" * 4 + b"\xff" * 8
+            body += b"NMC\1XZZab\0XBBS" + struct.pack("<iHH", 2, 1, 2) + (b"CGBI" + struct.pack("<i3I", 3, *(n << 4 | o for n, o in ops)) if long else b"")
+            end = pos + sum(n for n, _ in ops)
+            plain.append((len(data), ref, pos, end))
+            reads.append((names[ref], pos, end, "".join(f"{n}{'MID'[o]}" for n, o in ops)))
+            data += struct.pack("<i", len(body)) + body
+    packed, places = bgzf(data, 3000)
+    (tmp_path / "a.bam").write_bytes(packed)
+    for at, ref, pos, end in plain:
+        where = next(f << 16 | at - p for p, f in reversed(places) if p <= at)
+        for w in range(pos >> 14, (end - 1 >> 14) + 1):
+            index[ref].setdefault(w, where)
+    spark.dataSource.register(bam.BamSource)
+
+    def check(**options):
+        for region in (("chr1", 30_000, 31_000), ("chr3", 0, 138), ("chr2", 0, 10**6), ("none", 0, 9), ("chr3", 41_000, 900_000), ("chr1", 900_000, 900_001)):
+            df = spark.read.format("bam").options(region="{}:{}-{}".format(*region), **options).load(str(tmp_path / "a.bam"))
+            want = [(c, s, cig) for c, s, e, cig in reads if c == region[0] and s < region[2] and e > region[1]]
+            assert [tuple(r) for r in df.orderBy("read_ord").select("contig", "ref_start", "cigar").collect()] == want
+        return df
+
+    check()
+    bai = b"BAI\1" + struct.pack("<i", 3)
+    for x in index:
+        n = max(x, default=-1) + 1
+        bai += struct.pack("<ii", 0, n) + b"".join(struct.pack("<Q", x.get(w, 0)) for w in range(n))
+    (tmp_path / "a.bam.bai").write_bytes(bai)
+    check()
+    check(splitBytes=1)
+    reader = bam.BamReader({"path": str(tmp_path / "a.bam"), "region": "chr3:41000-900000"})
+    assert reader.partitions()[0].start > bam.BamReader({"path": str(tmp_path / "a.bam"), "region": "chr3:0-9"}).partitions()[0].start
+
+
 def test_streaming_counts(spark, tmp_path):
     ref = spark.createDataFrame([("c", 0, "ACGT")], "contig string, block int, seq string")
     for i in range(2):
