@@ -89,13 +89,46 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty:
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count: int = 5, least_ratio: float = 1.5, penalty: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least_count: int, least_ratio: float) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket from the documents of each class that have it; 0 for buckets that are rare or say little."""
+    ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
+    return np.where((clean + toxic >= least_count) & (np.abs(ratio) >= least_ratio), ratio, 0.0)
+
+
+def best_cut(logits: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
+    """The logit from which on calling a text toxic gives the largest F1, where a clean text stands for ``clean_weight`` of them."""
+    order = np.argsort(-logits, kind="stable")
+    hit, false = np.cumsum(y[order]), np.cumsum(1 - y[order]) * clean_weight
+    f1 = 2 * hit / (hit + false + y.sum())
+    last = np.append(logits[order][:-1] != logits[order][1:], True)  # equal logits are on one side
+    best = int(np.argmax(np.where(last, f1, -1)))
+    return float(logits[order][best] + logits[order][min(best + 1, len(order) - 1)]) / 2
+
+
+def _out_of_fold(rows: list[np.ndarray], y: np.ndarray, size: int, least_count: int, least_ratio: float, penalty: float, steps: int, folds: int = 3) -> np.ndarray | None:
+    """The logit of each row from a model that has not seen it nor equal rows; None if a fold leaves one class only."""
+    fold, logits = np.array([(int(r.sum()) + len(r)) % folds for r in rows]), np.zeros(len(rows))
+    for f in range(folds):
+        seen = [r for r, k in zip(rows, fold, strict=True) if k != f]
+        known = y[fold != f]
+        if not 0 < known.sum() < len(known):
+            return None
+        counts = [np.bincount(np.concatenate([r for r, k in zip(seen, known, strict=True) if k == c]), minlength=size) for c in (0, 1)]
+        scale = log_ratios(counts[1], counts[0], int(known.sum()), int((1 - known).sum()), least_count, least_ratio)
+        w, b = logistic(seen, known, scale, penalty, steps)
+        for i in np.flatnonzero(fold == f):
+            logits[i] = (w * scale)[rows[i]].sum() + b
+    return logits
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count: int = 5, least_ratio: float = 1.5, penalty: float = 1e-3, steps: int = 300, limit: float = 0.7) -> tuple[np.ndarray, float]:
     """A weight per bucket, and the bias.
 
     ``labels`` has doc_id and toxic (0 or 1; other values and nulls are left out; of a repeated doc_id the
     larger).  At most ``sample_rows`` rows of each class are used, picked by a hash of doc_id.  Buckets seen in
-    fewer than ``least_count`` of these documents, or with a log-count ratio under ``least_ratio``, get no weight.  With one
-    class or none the weights are 0 and the bias gives the smoothed share of toxic rows.
+    fewer than ``least_count`` of these documents, or with a log-count ratio under ``least_ratio``, get no weight.  The bias
+    is moved so that a score of ``limit`` is where rows kept out of the fit are told apart best.  With one class or none the
+    weights are 0 and the bias gives the smoothed share of toxic rows.
     """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -104,19 +137,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count
     counts = texts.mapInArrow(_count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, clean, toxic = (counts[c].to_numpy() for c in ("bucket", "clean", "toxic"))
     weights = np.zeros(1 << BITS, np.float32)
-    n = np.zeros(2)
+    n, labelled = np.zeros(2), np.ones(2)
     for r in texts.groupBy("toxic").count().collect():
         n[r["toxic"]] = r["count"]
+    for r in known.groupBy("toxic").count().collect():
+        labelled[r["toxic"]] = r["count"]
     if not n.all():
         return weights, float(np.log((n[1] + 1) / (n[0] + 1)))
-    ratio = np.log((toxic + 1) / (n[1] + 2)) - np.log((clean + 1) / (n[0] + 2))
-    keep = (clean + toxic >= least_count) & (np.abs(ratio) >= least_ratio)
-    order = np.argsort(bucket[keep])
-    kept, ratio = bucket[keep][order], ratio[keep][order]
+    ratio = log_ratios(toxic, clean, n[1], n[0], least_count, least_ratio)
+    kept = np.flatnonzero(ratio)
+    order = kept[np.argsort(bucket[kept])]
+    kept, ratio = bucket[order], ratio[order]
     found = texts.mapInArrow(_features(kept), "toxic int, at array<int>").toArrow()
     y = found["toxic"].to_numpy()
     rows = [np.asarray(x.values, np.int64) for x in found["at"]]
     w, b = logistic(rows, y, ratio, penalty, steps)
+    logits = _out_of_fold(rows, y, len(kept), least_count, least_ratio, penalty, steps)
+    if logits is not None:
+        b += np.log(limit / (1 - limit)) - best_cut(logits, y, labelled[0] / n[0] / (labelled[1] / n[1]))
     weights[kept] = w * ratio
     return weights, float(b)
 
