@@ -55,9 +55,27 @@ def range_of(bounds: list[tuple], columns: list[str]) -> Column:
     return part(0, len(bounds))
 
 
+def range_bounds(rows: DataFrame, columns: list[str], n: int, size: str, total: int, each: int = 40) -> list[tuple]:
+    """Bounds of up to ``n`` ranges of ``columns`` with about equal sums of the column ``size``, whose sum over all rows is ``total``.
+
+    They are taken from a sample of about ``each`` rows for a range, in which a row's chance grows with its size.
+    """
+    if n < 2 or not total:
+        return []
+    chance = (F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    sample = rows.where(chance < F.col(size) * (each * n / total)).select(*columns).collect()
+    found = sorted((tuple(r) for r in sample), key=place_of)
+    return sorted({found[len(found) * i // n] for i in range(1, n)}, key=place_of) if found else []
+
+
+def place_of(row: tuple) -> list[tuple]:
+    """A key that sorts rows as Spark does, nulls first."""
+    return [(x is not None, x if x is not None else 0) for x in row]
+
+
 def ordered(rows: list[tuple]) -> list[tuple]:
     """Distinct rows in Spark's order, nulls first."""
-    return sorted(set(rows), key=lambda r: [(x is not None, x if x is not None else 0) for x in r])
+    return sorted(set(rows), key=place_of)
 
 
 def shared_dir(spark: SparkSession) -> str:

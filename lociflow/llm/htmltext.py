@@ -14,6 +14,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, range_of, shuffle_partitions
+from .common import pick, range_bounds, range_of, shuffle_partitions
 
 #: Distinct pages of a host, on either side, among which the nearest with another article is looked for.
 WINDOW = 16
@@ -351,14 +352,14 @@ def _carried(ends: list[dict]) -> list[tuple]:
     return out
 
 
-def extract(df: DataFrame, n_ranges: int | None = None) -> DataFrame:
+def extract(df: DataFrame, n_ranges: int | None = None, range_bytes: int = 8 << 20) -> DataFrame:
     """page_id, url, text: the main text of every row's html, '' where there is none.
 
     A null html counts as empty.  Pages without a URL share the host ''.  Equal URLs follow each other by
     page_id, which may be null or repeat; a row that repeats gets its text each time.  Other columns are ignored, an
-    empty table gives no rows, and of very long pages a task holds the ones it compares.  Hosts are ranged by URL, so that a large host is split; a range is shown the ``WINDOW`` nearest
-    distinct pages of the same host on either side.  Only keys of a sample and of rows at borders pass through
-    the driver.
+    empty table gives no rows, and of very long pages a task holds the ones it compares.  Hosts are ranged by URL, with
+    about equal bytes, so that a large host is split; a range is shown the ``WINDOW`` nearest distinct pages of the same
+    host on either side.  Only keys of a sample and of rows at borders pass through the driver.
     """
     spark = df.sparkSession
     rows = pick(df, "page_id", "url", "html")
@@ -366,11 +367,12 @@ def extract(df: DataFrame, n_ranges: int | None = None) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     placed = rows.withColumns({"host": host, "path": path, "digest": F.xxhash64("html")})
-    n = n_ranges or shuffle_partitions(spark)
-    keys = placed.where("page_id is not null").select("host", "path", "page_id")
-    sample = sorted(tuple(r) for r in keys.orderBy(F.xxhash64("page_id", "path")).limit(50 * n).collect()) if n > 1 else []
-    bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
-    dealt = placed.withColumn("bucket", range_of(bounds, ["host", "path", "page_id"]))
+    size = F.octet_length(F.coalesce("html", F.lit(""))) + 64
+    total = placed.agg(F.sum(size)).first()[0] or 0
+    n = n_ranges or max(shuffle_partitions(spark), math.ceil(total / range_bytes))
+    place = ["host", "path", "page_id"]
+    bounds = range_bounds(placed.withColumn("size", size), place, n, "size", total)
+    dealt = placed.withColumn("bucket", range_of(bounds, place))
     shown = dealt.withColumn("own", F.lit(True))
     if bounds:
         place = F.struct("path", "page_id")

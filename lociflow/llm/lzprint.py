@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ordered, pick, range_of, shuffle_partitions, text_bytes
+from .common import pick, range_bounds, range_of, shuffle_partitions
 
 SIZE = 128
 _rng = np.random.default_rng(777)
@@ -89,7 +89,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(_map, f"key {rows.schema['key'].dataType.simpleString()}, fingerprint string").withColumnRenamed("key", key)
 
 
-def in_order(df: DataFrame, n_ranges: int | None = None, range_bytes: int = 32 << 20) -> tuple[DataFrame, int]:
+def in_order(df: DataFrame, n_ranges: int | None = None, range_bytes: int = 16 << 20) -> tuple[DataFrame, int]:
     """doc_id, text, tie, bucket, tail, and the number of ranges: rows dealt in ranges of (doc_id, tie), each range ending with the row that follows it (tail).
 
     ``tie`` is a hash of the text.  Ranges have about equal bytes: their bounds come from a sample in which a row's chance grows
@@ -98,11 +98,10 @@ def in_order(df: DataFrame, n_ranges: int | None = None, range_bytes: int = 32 <
     """
     spark = df.sparkSession
     rows = pick(df, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
-    n = n_ranges or max(shuffle_partitions(spark), math.ceil(text_bytes(rows, "text") / range_bytes))
-    chance = F.log((F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 30)) + 0.5) / (1 << 30)) / (F.octet_length("text") + 64)
-    sample = rows.select("doc_id", "tie", chance.alias("chance")).orderBy(F.desc("chance")).limit(50 * n).select("doc_id", "tie").collect() if n > 1 else []
-    sample = sorted((tuple(r) for r in sample), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    bounds = ordered([sample[len(sample) * i // n] for i in range(1, n)]) if sample else []
+    size = F.octet_length("text") + 64
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    n = n_ranges or max(shuffle_partitions(spark), math.ceil(total / range_bytes))
+    bounds = range_bounds(rows.withColumn("size", size), ["doc_id", "tie"], n, "size", total)
     dealt = rows.withColumn("bucket", range_of(bounds, ["doc_id", "tie"]))
     firsts = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     # one row per range

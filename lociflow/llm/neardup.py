@@ -224,13 +224,9 @@ def _labelled(rows: DataFrame, percent: int, neighbours: int) -> DataFrame:
     """
     sketched = cut(rows.mapInArrow(_sketch, "doc_id long, n long, digest binary, sketch binary, node long"))
     classes = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("node").alias("node"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    by_bucket = Window.partitionBy("bucket")
-    buckets = cut(
-        classes.select(F.col("node").alias("doc_id"), "n", "sketch")
-        .mapInArrow(_bands, "bucket long, doc long, n long, place long")
-        .withColumn("size", F.count("*").over(by_bucket))
-        .where("size > 1")
-    )
+    bands = classes.select(F.col("node").alias("doc_id"), "n", "sketch").mapInArrow(_bands, "bucket long, doc long, n long, place long")
+    # counted before the shuffle, and joined, so that a hot bucket is nowhere in one task
+    buckets = cut(bands.join(bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
     members = buckets.select("doc").distinct()
     sets = cut(rows.select(F.col("node").alias("doc"), "text").join(members, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets, "doc long, hashes binary"))
 
