@@ -3,7 +3,7 @@
 Every page is cut into lines, one per block.  Pages are put in order of host and URL path, and each is aligned
 by longest common subsequence with the nearest page of the same host that has another longest line, so that
 copies of one article don't take it from each other; shared lines are the site's template and go, inside
-articles only if all of the nearest three such pages have them.  Where all pages near by have the same longest
+articles only if all of the nearest five such pages have them.  Where all pages near by have the same longest
 line, the nearest that differs at all is taken, and lines of an article element that aren't links stay.  What markup names as no part of the text (menus, forms,
 adverts, comments and the like) goes as well, unless it holds an article, or most of the text of a page without one; a name that is
 only part of a longer one must be confirmed by links, or its lines by the comparison.
@@ -29,7 +29,7 @@ from .common import pick, range_bounds, range_of, shuffle_partitions
 #: Distinct pages of a host, on either side, among which the nearest with another article is looked for.
 WINDOW = 16
 #: Pages with other articles that are asked whether a line of an article is the site's.
-WITNESSES = 3
+WITNESSES = 5
 
 #: Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
