@@ -89,15 +89,18 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty:
     return w, b
 
 
-def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least_count: int, least_z: float) -> np.ndarray:
+def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least_count: int, least_z: float, most: int) -> np.ndarray:
     """Naive Bayes log-count ratio of each bucket from the documents of each class that have it.
 
-    0 for buckets that are rare, or whose toxic documents are within ``least_z`` standard deviations of what chance would give.
+    0 for buckets that are rare, whose toxic documents are within ``least_z`` standard deviations of what chance would give,
+    or that are not among the ``most`` that are farthest from it.
     """
     ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
     n, share = clean + toxic, n_toxic / (n_toxic + n_clean)
     z = (toxic - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
-    return np.where((n >= least_count) & (np.abs(z) >= least_z), ratio, 0.0)
+    far = np.where(n >= least_count, np.abs(z), 0.0)
+    least = max(least_z, np.partition(far, -most)[-most]) if len(far) > most else least_z
+    return np.where((far > 0) & (far >= least), ratio, 0.0)
 
 
 def best_cut(logits: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
@@ -110,7 +113,7 @@ def best_cut(logits: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
     return float(logits[order][best] + logits[order][min(best + 1, len(order) - 1)]) / 2
 
 
-def _out_of_fold(rows: list[np.ndarray], y: np.ndarray, size: int, least_count: int, least_z: float, penalty: float, steps: int, folds: int = 3) -> np.ndarray | None:
+def _out_of_fold(rows: list[np.ndarray], y: np.ndarray, size: int, least_count: int, least_z: float, most: int, penalty: float, steps: int, folds: int = 3) -> np.ndarray | None:
     """The logit of each row from a model that has not seen it nor equal rows; None if a fold leaves one class only."""
     fold, logits = np.array([(int(r.sum()) + len(r)) % folds for r in rows]), np.zeros(len(rows))
     for f in range(folds):
@@ -119,19 +122,20 @@ def _out_of_fold(rows: list[np.ndarray], y: np.ndarray, size: int, least_count:
         if not 0 < known.sum() < len(known):
             return None
         counts = [np.bincount(np.concatenate([r for r, k in zip(seen, known, strict=True) if k == c]), minlength=size) for c in (0, 1)]
-        scale = log_ratios(counts[1], counts[0], int(known.sum()), int((1 - known).sum()), least_count, least_z)
+        scale = log_ratios(counts[1], counts[0], int(known.sum()), int((1 - known).sum()), least_count, least_z, most)
         w, b = logistic(seen, known, scale, penalty, steps)
         for i in np.flatnonzero(fold == f):
             logits[i] = (w * scale)[rows[i]].sum() + b
     return logits
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count: int = 5, least_z: float = 3.0, penalty: float = 2e-3, steps: int = 300, limit: float = 0.7) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count: int = 5, least_z: float = 3.0, most_buckets: int = 4096, penalty: float = 2e-3, steps: int = 300, limit: float = 0.7) -> tuple[np.ndarray, float]:
     """A weight per bucket, and the bias.
 
     ``labels`` has doc_id and toxic (0 or 1; other values and nulls are left out; of a repeated doc_id the
     larger).  At most ``sample_rows`` rows of each class are used, picked by a hash of doc_id.  Buckets seen in
-    fewer than ``least_count`` of these documents, or about as often in toxic ones as by chance (``least_z``), get no weight.  The bias
+    fewer than ``least_count`` of these documents, or about as often in toxic ones as by chance (``least_z``), get no weight, nor do
+    those beyond the ``most_buckets`` that tell most.  The bias
     is moved so that a score of ``limit`` is where rows kept out of the fit are told apart best.  With one class or none the
     weights are 0 and the bias gives the smoothed share of toxic rows.
     """
@@ -149,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count
         labelled[r["toxic"]] = r["count"]
     if not n.all():
         return weights, float(np.log((n[1] + 1) / (n[0] + 1)))
-    ratio = log_ratios(toxic, clean, n[1], n[0], least_count, least_z)
+    ratio = log_ratios(toxic, clean, n[1], n[0], least_count, least_z, most_buckets)
     kept = np.flatnonzero(ratio)
     order = kept[np.argsort(bucket[kept])]
     kept, ratio = bucket[order], ratio[order]
@@ -157,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count
     y = found["toxic"].to_numpy()
     rows = [np.asarray(x.values, np.int64) for x in found["at"]]
     w, b = logistic(rows, y, ratio, penalty, steps)
-    logits = _out_of_fold(rows, y, len(kept), least_count, least_z, penalty, steps)
+    logits = _out_of_fold(rows, y, len(kept), least_count, least_z, most_buckets, penalty, steps)
     if logits is not None:
         b += np.log(limit / (1 - limit)) - best_cut(logits, y, labelled[0] / n[0] / (labelled[1] / n[1]))
     weights[kept] = w * ratio
