@@ -49,14 +49,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_quantity as int) as mapq", "cast(l_quantity as int) % 5 as k", "cast(6 + l_linenumber as int) as j", "l_suppkey % 3 as rot",
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
     )
-    shaped = _with_bases(lines, reference(spark, sf_dir), "ref_start", BLOCK).selectExpr(
+    numbered = number_in_order(lines, "ref_start", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "read_ord", bin_width=4096)
+    shaped = _with_bases(numbered, reference(spark, sf_dir), "ref_start", BLOCK).selectExpr(
         "*",
         "case k when 0 then '30M' when 1 then '4S10M2I16M' when 2 then '12M3D17M' when 3 then '10M1I5M2N13M' else '2H30M' end as cigar",
         """case k when 1 then concat('NNNN', substr(t, 1, 10), 'GT', substr(t, 11, 16)) when 2 then concat(substr(t, 1, 12), substr(t, 16, 17))
            when 3 then concat(substr(t, 1, 10), 'A', substr(t, 11, 5), substr(t, 18, 13)) else substr(t, 1, 30) end as q""",
     )
-    ordered = number_in_order(shaped, "ref_start", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "read_ord", bin_width=4096)
-    return ordered.selectExpr(
+    return shaped.selectExpr(
         "read_ord", "concat('r', cast(l_orderkey as string), '_', cast(l_linenumber as string)) as read_name", "contig", "ref_start", "mapq", "0 as flag", "cigar",
         "concat(substr(q, 1, j), translate(substr(q, j + 1, 1), 'ACGT', case rot when 0 then 'CGTA' when 1 then 'GTAC' else 'TACG' end), substr(q, j + 2)) as seq",
     )
@@ -69,7 +69,7 @@ def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderpriority", "concat('chr', cast(o_orderkey % 2 + 1 as string)) as contig",
         f"cast((o_orderkey * 11 + o_custkey) % {length - 64} as int) as p0", "o_orderkey % 6 as k",
     )
-    placed = number_in_order(_with_bases(rows, reference(spark, sf_dir), "p0", 4), "p0", ["o_orderkey"], "rec_ord", bin_width=4096)
+    placed = _with_bases(number_in_order(rows, "p0", ["o_orderkey"], "rec_ord", bin_width=4096), reference(spark, sf_dir), "p0", 4)
     return placed.selectExpr(
         "rec_ord", "contig", "p0 + 1 as pos", "case k when 2 then substr(t, 1, 4) when 4 then substr(t, 1, 2) else substr(t, 1, 1) end as ref",
         """case k when 1 then concat(substr(t, 1, 1), 'GT') when 2 then substr(t, 1, 1)

@@ -1,8 +1,8 @@
 """BAM files as a Spark data source.
 
 ``spark.dataSource.register(BamSource)``, then ``spark.read.format("bam").load(path)``.  With a ``.bai`` index beside
-a file, its linear index gives places where records start, and tasks share the file between them; without one, one
-task reads it.  Option ``region`` reads only what overlaps a region, from the place the index gives for it.  Blocks
+a file, its linear index gives places where records start, and tasks share the file between them; without one, a task
+looks for the first chain of records that fit together in its part of the file.  Option ``region`` reads only what overlaps a region, from the place the index gives for it.  Blocks
 are decompressed one at a time, so memory doesn't grow with the file.
 """
 
@@ -25,14 +25,14 @@ _PAIRS = [a + b for a in BASES for b in BASES]
 _ARROW = pa.schema([("read_ord", pa.int64()), ("read_name", pa.string()), ("contig", pa.string()), ("ref_start", pa.int32()), ("mapq", pa.int32()), ("flag", pa.int32()), ("cigar", pa.string()), ("seq", pa.string())])
 
 
-def _open(path: str):
+def open_path(path: str):
     system, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     return system, where
 
 
 def _files(path: str) -> list[str]:
     """The path itself, or the .bam files of a folder."""
-    system, where = _open(path)
+    system, where = open_path(path)
     if system.get_file_info(where).type != fs.FileType.Directory:
         return [path]
     return sorted(f"{path.rstrip('/')}/{x.base_name}" for x in system.get_file_info(fs.FileSelector(where)) if x.base_name.endswith(".bam"))
@@ -42,7 +42,7 @@ class _Blocks:
     """Bytes of a BGZF file from a virtual offset on; ``offset`` is that of the next byte."""
 
     def __init__(self, path: str, offset: int = 0) -> None:
-        system, where = _open(path)
+        system, where = open_path(path)
         self.file = system.open_input_file(where)
         self.at, self.data, self.used = offset >> 16, b"", 0
         self.load()
@@ -103,7 +103,7 @@ def header(path: str) -> tuple[list[str], int]:
 def linear_index(path: str) -> list[list[int]] | None:
     """The linear index of a .bai file: for each contig and 16,384 positions the virtual offset of the first record that overlaps them, or 0; None without a file."""
     for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
-        system, where = _open(name)
+        system, where = open_path(name)
         if system.get_file_info(where).type != fs.FileType.NotFound:
             break
     else:
@@ -144,6 +144,69 @@ class BamPart(InputPartition):
     stop: int | None
     nth: int
     sorted: bool = False  # by contig and position, as an index requires
+    searched: bool = False  # whether the start is only a byte of the file, from which the first record is looked for
+
+
+#: Records in a row that must fit together for the first of them to count as one.
+_CHAIN = 8
+
+
+def _next_block(path: str, at: int) -> int | None:
+    """The byte at which the first block from ``at`` on starts: one that another block, or the file's end, follows."""
+    system, where = open_path(path)
+    file = system.open_input_file(where)
+    file.seek(at)
+    data, size = file.read(3 << 16), file.size()
+    i = data.find(b"\x1f\x8b\x08\x04")
+    while i >= 0:
+        if data[i + 12 : i + 16] == b"BC\x02\0":
+            after = i + struct.unpack_from("<H", data, i + 16)[0] + 1
+            if at + after == size or data[after : after + 4] == b"\x1f\x8b\x08\x04":
+                return at + i
+        i = data.find(b"\x1f\x8b\x08\x04", i + 1)
+    return None
+
+
+def first_record(path: str, start: int, stop: int, contigs: int) -> int | None:
+    """The virtual offset of the first record that starts in blocks from byte ``start`` to before ``stop``."""
+    at = _next_block(path, start)
+    if at is None or at >= stop:
+        return None
+    blocks, plain, places = _Blocks(path, at << 16), bytearray(), []
+
+    def have(n: int) -> bool:
+        while len(plain) < n:
+            if places and not blocks.load() or not blocks.data and places and blocks.at >= blocks.file.size():
+                return False
+            places.append((len(plain), blocks.start))
+            plain.extend(blocks.data)
+        return True
+
+    def after(i: int) -> int:
+        """The place after the record at i, or 0 if none can be there."""
+        if not have(i + 37):
+            return 0
+        size, ref, pos, name, _, _, ops, _, length, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", plain, i)
+        fits = -1 <= ref < contigs and -1 <= mate < contigs and pos >= -1 and mate_pos >= -1 and name and length >= 0 and size >= 32 + name + 4 * ops + length + (length + 1) // 2
+        if not fits or not have(i + 36 + name):
+            return 0
+        text = plain[i + 36 : i + 36 + name]
+        return i + 4 + size if text[-1] == 0 and all(32 < c < 127 for c in text[:-1]) else 0
+
+    i = 0
+    while have(i + 1):
+        file_at = next(f for p, f in reversed(places) if p <= i)
+        if file_at >= stop:
+            return None
+        j, n = i, 0
+        while n < _CHAIN and (j := after(j)):
+            n += 1
+            if not have(j + 1):  # the file ends with this record
+                n = _CHAIN if len(plain) == j else 0
+        if n == _CHAIN:
+            return file_at << 16 | i - next(p for p, f in reversed(places) if p <= i)
+        i += 1
+    return None
 
 
 #: Fixed values of the format: bytes of a tag's value by its type, and the operations that move along the reference.
@@ -203,6 +266,11 @@ class BamReader(DataSourceReader):
                     continue
                 stop = min((x for contig in index[ref + 1 :] for x in contig if x), default=None)
                 offsets = [x for x in offsets if x > first and (stop is None or x < stop)]
+            if index is None:
+                system, where = open_path(path)
+                cuts = [first, *(x << 16 for x in range(self.split_bytes, system.get_file_info(where).size, self.split_bytes) if x > first >> 16)]
+                parts += [BamPart(path, names, a, b, len(parts) + i, searched=i > 0) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))]
+                continue
             cuts = [first]
             for offset in offsets:
                 if (offset >> 16) - (cuts[-1] >> 16) >= self.split_bytes:
@@ -213,7 +281,12 @@ class BamReader(DataSourceReader):
     def read(self, partition: BamPart) -> Iterator[pa.RecordBatch]:
         if partition.start == partition.stop:
             return
-        blocks, rows, n, region = _Blocks(partition.path, partition.start), [], 0, self.region
+        start = partition.start
+        if partition.searched:
+            start = first_record(partition.path, start >> 16, (partition.stop or 1 << 64) >> 16, len(partition.names))
+            if start is None:
+                return
+        blocks, rows, n, region = _Blocks(partition.path, start), [], 0, self.region
         ref = partition.names.index(region.contig) if region and region.contig in partition.names else -1
         while partition.stop is None or blocks.offset < partition.stop:
             size = blocks.read(4)

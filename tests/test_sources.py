@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.operators import variants
 from lociflow.schemas import READS
-from lociflow.sources import bam, text
+from lociflow.sources import bam, fasta, text
 from lociflow.streaming import pileup as S
 
 SAM = """@HD\tVN:1.6
@@ -54,6 +54,29 @@ def test_fasta_over_splits(spark, tmp_path):
     assert got == contigs
 
 
+def test_indexed_fasta(spark, tmp_path):
+    contigs = {"one": "ACGTN" * 4001, "two": "TTGCA" * 3, "empty": "", "three": "gattaca" * 300}
+    body, index = "", ""
+    for n, s in contigs.items():
+        body += f">{n} some text\n"
+        index += f"{n}\t{len(s)}\t{len(body)}\t60\t61\n"
+        body += "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60))
+    path = str(tmp_path / "a.fa")
+    (tmp_path / "a.fa").write_text(body)
+    (tmp_path / "a.fa.fai").write_text(index)
+    spark.dataSource.register(fasta.FastaSource)
+    whole = spark.read.format("fasta").options(blockSize=1000, blocksPerTask=3).load(path)
+    assert whole.rdd.getNumPartitions() == 9
+    got = {}
+    for r in whole.orderBy("contig", "block").collect():
+        got[r["contig"]] = got.get(r["contig"], "") + r["seq"]
+    assert got == {n: s.upper() for n, s in contigs.items() if s}
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, text.read_fasta(spark, path, block_size=1000).collect()))
+    part = spark.read.format("fasta").options(blockSize=1000, region="one:2500-4001").load(path).orderBy("block").collect()
+    assert [(r["block"], r["seq"]) for r in part] == [(b, contigs["one"][b * 1000 : b * 1000 + 1000]) for b in (2, 3, 4)]
+    assert spark.read.format("fasta").options(region="none:0-5").load(path).count() == 0
+
+
 def test_bed_and_files(spark, tmp_path):
     (tmp_path / "a.bed").write_text("chr1\t1\t5\nchr1\t7\t9\n")
     (tmp_path / "sub").mkdir()
@@ -96,6 +119,9 @@ def test_bam_with_and_without_index(spark, tmp_path):
         return df, [tuple(r)[1:] for r in df.orderBy("read_ord").collect()]
 
     assert read()[1] == want
+    for split in (300, 1000, 3000):  # without an index, tasks look for their first record
+        df, rows = read(splitBytes=split)
+        assert rows == want and df.rdd.getNumPartitions() > 3
     virtual = [next(f << 16 | s - p for p, f in reversed(places) if p <= s) for s in starts]
     (tmp_path / "a.bam.bai").write_bytes(b"BAI\1" + struct.pack("<i", 2) + struct.pack("<ii", 0, 3) + struct.pack("<3Q", *virtual[100:400:100]) + struct.pack("<iIiQQi", 1, 4681, 1, 0, 1, 1) + struct.pack("<Q", virtual[450]))
     df, rows = read(splitBytes=1)
