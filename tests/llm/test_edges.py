@@ -73,6 +73,15 @@ def test_repeated_column_names(spark, tokenizer):
         assert got.columns == both.columns and sorted(map(tuple, got.collect()), key=str) == want
 
 
+def test_empty_benchmark(spark):
+    df = clashing(spark, [(1, "a b c"), (None, None)])
+    none = spark.createDataFrame([], "item_id long, text string")
+    odd = spark.createDataFrame([(None, "a b c"), (1, None), (2, ""), (3, "!")], "item_id long, text string")
+    for bench in (none, odd):
+        assert sorted(((r["doc_id"], r["n_words"], r["spans"], r["items"]) for r in decontam.find_contamination(df, bench).collect()), key=str) == [(1, 3, [], []), (None, 0, [], [])]
+        assert decontam.drop_contaminated(df, bench).count() == 2
+
+
 def test_shards_are_written_whole(spark, tmp_path):
     rng = random.Random(5)
     rows = [(rng.choice([None, 1, 2, *range(3, 200)]), rng.choice([None, "", "x" * rng.randrange(300)])) for _ in range(500)]
