@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import tempfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -55,11 +57,16 @@ def range_of(bounds: list[tuple], columns: list[str]) -> Column:
     return part(0, len(bounds))
 
 
+#: Ranges at most: their bounds, and a sample of some rows for each, pass through the driver.
+MOST_RANGES = 20_000
+
+
 def range_bounds(rows: DataFrame, columns: list[str], n: int, size: str, total: int, each: int = 40) -> list[tuple]:
     """Bounds of up to ``n`` ranges of ``columns`` with about equal sums of the column ``size``, whose sum over all rows is ``total``.
 
     They are taken from a sample of about ``each`` rows for a range, in which a row's chance grows with its size.
     """
+    n = min(n, MOST_RANGES)
     if n < 2 or not total:
         return []
     chance = (F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) + 0.5) / (1 << 30)
@@ -73,6 +80,16 @@ def place_of(row: tuple) -> list[tuple]:
     return [(x is not None, x if x is not None else 0) for x in row]
 
 
+def range_number(bounds: list[tuple], columns: list[str]) -> Column:
+    """As range_of(), for many bounds: only ``columns`` go to Python, which searches the bounds by halves."""
+    keys = [place_of(b) for b in bounds]
+
+    def number(*values: pa.Array) -> pa.Array:
+        return pa.array([bisect.bisect_right(keys, place_of(row)) for row in zip(*(v.to_pylist() for v in values), strict=True)], pa.int32())
+
+    return F.arrow_udf(number, "int")(*columns) if bounds else F.lit(0)
+
+
 def ordered(rows: list[tuple]) -> list[tuple]:
     """Distinct rows in Spark's order, nulls first."""
     return sorted(set(rows), key=place_of)

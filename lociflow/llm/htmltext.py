@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, range_bounds, range_of, shuffle_partitions
+from .common import pick, range_bounds, range_number, shuffle_partitions
 
 #: Distinct pages of a host, on either side, among which the nearest with another article is looked for.
 WINDOW = 16
@@ -372,7 +372,8 @@ def extract(df: DataFrame, n_ranges: int | None = None, range_bytes: int = 8 <<
     n = n_ranges or max(shuffle_partitions(spark), math.ceil(total / range_bytes))
     place = ["host", "path", "page_id"]
     bounds = range_bounds(placed.withColumn("size", size), place, n, "size", total)
-    dealt = placed.withColumn("bucket", range_of(bounds, place))
+    n = len(bounds) + 1
+    dealt = placed.withColumn("bucket", range_number(bounds, place))
     shown = dealt.withColumn("own", F.lit(True))
     if bounds:
         place = F.struct("path", "page_id")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, range_bounds, range_of, shuffle_partitions
+from .common import pick, range_bounds, range_number, shuffle_partitions
 
 SIZE = 128
 _rng = np.random.default_rng(777)
@@ -102,7 +102,7 @@ def in_order(df: DataFrame, n_ranges: int | None = None, range_bytes: int = 16 <
     total = rows.agg(F.sum(size)).first()[0] or 0
     n = n_ranges or max(shuffle_partitions(spark), math.ceil(total / range_bytes))
     bounds = range_bounds(rows.withColumn("size", size), ["doc_id", "tie"], n, "size", total)
-    dealt = rows.withColumn("bucket", range_of(bounds, ["doc_id", "tie"]))
+    dealt = rows.withColumn("bucket", range_number(bounds, ["doc_id", "tie"]))
     firsts = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     # one row per range
     before = firsts.select("bucket", "first", F.lag("bucket").over(Window.orderBy("bucket")).alias("previous"), F.max("bucket").over(Window.partitionBy(F.lit(1))).alias("last"))
