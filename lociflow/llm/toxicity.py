@@ -143,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count
     larger).  At most ``sample_rows`` rows of each class are used, picked by a hash of doc_id.  Buckets seen in
     fewer than ``least_count`` of these documents, or about as often in toxic ones as by chance (``least_z``), get no weight, nor do
     those beyond the ``most_buckets`` that tell most.  The bias
-    is moved so that a score of ``limit`` is where rows kept out of the fit are told apart best, with more weight on
-    leaving clean ones alone (F score of beta 0.5).  With one class or none the
+    is moved so that a score of ``limit`` is where rows kept out of the fit are told apart best, midway between the
+    cuts by F score of beta 1 and 0.7.  With one class or none the
     weights are 0 and the bias gives the smoothed share of toxic rows.
     """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count
     w, b = logistic(has, y, ratio, penalty, steps)
     logits = _out_of_fold(has, y, fold, least_count, least_z, most_buckets, penalty, steps)
     if logits is not None:
-        b += np.log(limit / (1 - limit)) - best_cut(logits, y, labelled[0] / n[0] / (labelled[1] / n[1]), beta=0.5)
+        b += np.log(limit / (1 - limit)) - np.mean([best_cut(logits, y, labelled[0] / n[0] / (labelled[1] / n[1]), beta) for beta in (0.7, 1.0)])
     weights[kept] = w * ratio
     return weights, float(b)
 
