@@ -109,16 +109,19 @@ def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int,
     return np.where((far > 0) & (far >= least), ratio, 0.0)
 
 
-def best_cut(logits: np.ndarray, y: np.ndarray, clean_weight: float, beta: float = 1.0) -> float:
+def best_cut(logits: np.ndarray, y: np.ndarray, clean_weight: float, beta: float = 1.0) -> float | None:
     """The logit from which on calling a text toxic gives the largest F score, where a clean text stands for ``clean_weight`` of them.
 
-    With a ``beta`` under 1 it matters more that what is called toxic is so.
+    With a ``beta`` under 1 it matters more that what is called toxic is so.  At least half of it must be; None if no cut gives that.
     """
     order = np.argsort(-logits, kind="stable")
     hit, false = np.cumsum(y[order]), np.cumsum(1 - y[order]) * clean_weight
     f = (1 + beta**2) * hit / (hit + false + beta**2 * y.sum())
     last = np.append(logits[order][:-1] != logits[order][1:], True)  # equal logits are on one side
-    best = int(np.argmax(np.where(last, f, -1)))
+    f = np.where(last & (hit >= false), f, -1)
+    best = int(np.argmax(f))
+    if f[best] <= 0:
+        return None
     return float(logits[order][best] + logits[order][min(best + 1, len(order) - 1)]) / 2
 
 
@@ -171,8 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count
     has, fold = indicators(rows, len(kept)), np.array([(int(r.sum()) + len(r)) % 3 for r in rows])  # equal rows share a fold
     w, b = logistic(has, y, ratio, penalty, steps)
     logits = _out_of_fold(has, y, fold, least_count, least_z, most_buckets, penalty, steps)
-    if logits is not None:
-        b += np.log(limit / (1 - limit)) - np.mean([best_cut(logits, y, labelled[0] / n[0] / (labelled[1] / n[1]), beta) for beta in (0.7, 1.0)])
+    cuts = [best_cut(logits, y, labelled[0] / n[0] / (labelled[1] / n[1]), beta) for beta in (0.7, 1.0)] if logits is not None else [None]
+    if None not in cuts:
+        b += np.log(limit / (1 - limit)) - np.mean(cuts)
     weights[kept] = w * ratio
     return weights, float(b)
 

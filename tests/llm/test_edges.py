@@ -273,6 +273,7 @@ def test_best_cut():
     y = np.array([1, 1, 0, 1, 0, 0, 0])
     assert toxicity.best_cut(np.array([9.0, 8, 7, 6, 5, 4, 3]), y, 1.0) == 5.5
     assert toxicity.best_cut(np.array([9.0, 8, 7, 6, 5, 4, 3]), y, 10.0) == 7.5
+    assert toxicity.best_cut(np.zeros(7), y, 10.0) is None and toxicity.best_cut(np.arange(7.0), y, 10.0) is None
 
 
 def test_chat_of_odd_rows(spark):
