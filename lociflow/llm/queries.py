@@ -1,4 +1,4 @@
-"""The ten operators as queries over the standard tables, and the SQL that checks them where SQL can."""
+"""The operators as queries over the standard tables, and the SQL that checks them where SQL can."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, lzprint, neardup, secrets, sharding, toxicity, warc
+from . import bpe, chat, decontam, htmltext, lzprint, neardup, quality, secrets, sharding, toxicity, warc
 from .common import pick, ship
 
 
@@ -114,8 +114,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.clean(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_bpe, op3_toxicity, op4_near_dedup, op5_secrets, op6_warc, op7_decontamination, op8_html, op9_fingerprints, op10_chat)
+    f.__name__: f for f in (op1_sharding, op2_bpe, op3_toxicity, op4_near_dedup, op5_secrets, op6_warc, op7_decontamination, op8_html, op9_fingerprints, op10_chat, op11_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -167,4 +172,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_quality": r"""
+WITH phrases(phrase) AS (VALUES ('all rights reserved'), ('cookie policy'), ('cookie settings'), ('uses cookies'), ('privacy policy'), ('terms of use'), ('terms of service'), ('enable javascript'),
+    ('lorem ipsum'), ('skip to content'), ('skip to main content'), ('sign up for our newsletter'), ('licensed under the'), ('click here to')),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+spots AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS x FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w))),
+again AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM spots WHERE n > 1) GROUP BY r),
+lines AS (SELECT r, x, length(x) - length(replace(x, ' ', '')) AS spaces, len(regexp_extract_all(x, '[|»›•·→]')) AS separators, len(regexp_extract_all(x, '[#*$%&<>{}\\~^=_]')) AS marks
+          FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+asked AS (SELECT *, NOT regexp_matches(x, '[.!?:;…。！？]["''’”»)\]]*([\x20\x09-\x0D]|$)') OR separators >= 2 AND 4 * separators >= spaces OR marks >= 2 AND 3 * marks >= spaces
+                 OR spaces >= 3 AND regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}') OR EXISTS (SELECT 1 FROM phrases WHERE contains(lower(x), phrase)) AS goes FROM lines),
+by_doc AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines, coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (goes), 0) AS lost_chars FROM asked GROUP BY r),
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost_chars, 0)::BIGINT AS lost_chars
+      FROM w LEFT JOIN again USING (r) LEFT JOIN by_doc USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_chars <= 40 * word_chars AS kept, lost_chars FROM f""",
 }
