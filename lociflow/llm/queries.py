@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, lzprint, neardup, quality, secrets, sharding, toxicity, warc
-from .common import pick, ship
+from . import bpe, chat, decontam, htmltext, lzprint, neardup, quality, ranking, secrets, sharding, toxicity, warc
+from .common import new_path, pick, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,8 +119,14 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "index")
+    ranking.build_index(docs, path)
+    return ranking.search(ranking.read_index(spark, path), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_bpe, op3_toxicity, op4_near_dedup, op5_secrets, op6_warc, op7_decontamination, op8_html, op9_fingerprints, op10_chat, op11_quality)
+    f.__name__: f for f in (op1_sharding, op2_bpe, op3_toxicity, op4_near_dedup, op5_secrets, op6_warc, op7_decontamination, op8_html, op9_fingerprints, op10_chat, op11_quality, op13_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -189,4 +195,15 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\
       FROM w LEFT JOIN again USING (r) LEFT JOIN by_doc USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_chars <= 40 * word_chars AS kept, lost_chars FROM f""",
+    "op13_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term),
+g AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l))) AS gain FROM t JOIN f USING (term), s),
+e AS (SELECT item_id, r, doc_id, sum(times * gain)::BIGINT AS score FROM q JOIN g USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM e WHERE score > 0 QUALIFY rank <= 10""",
 }
