@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, lzprint, neardup, quality, ranking, secrets, sharding, toxicity, warc
+from . import bpe, chat, clustering, decontam, htmltext, lzprint, neardup, quality, ranking, secrets, sharding, toxicity, warc
 from .common import new_path, pick, ship
 
 
@@ -119,6 +120,15 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = clustering.integer_vectors(table(spark, sf_dir, "embeddings"))
+    found = clustering.cluster(vectors, clustering.first_by_hash(vectors, 40, "2:"), rounds=5)
+    measured = clustering.with_distance(found)
+    sums = {r["cluster"]: r["inertia"] for r in measured.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}  # a row for each centroid
+    rows = [(i, sums.get(i, 0), sum(sums.values()), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(found.centroids)]
+    return measured.join(F.broadcast(spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")), "cluster")
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), new_path(spark, "index")
     ranking.build_index(docs, path)
@@ -126,10 +136,32 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_bpe, op3_toxicity, op4_near_dedup, op5_secrets, op6_warc, op7_decontamination, op8_html, op9_fingerprints, op10_chat, op11_quality, op13_search)
+    f.__name__: f for f in (op1_sharding, op2_bpe, op3_toxicity, op4_near_dedup, op5_secrets, op6_warc, op7_decontamination, op8_html, op9_fingerprints, op10_chat, op11_quality, op12_clusters, op13_search)
 }
 
+
+
+def cluster_sql(k: int = 40, rounds: int = 5, dimensions: int = 64) -> str:
+    """Each round as two tables: who is nearest to what, and the centroids that follow."""
+    out = f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+                        WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda e: isfinite(e))) = {dimensions}),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1)::INT AS cluster, v FROM x QUALIFY cluster < {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+       FROM (SELECT r, cluster, list_sum(list_transform(range(1, {dimensions + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d FROM x, c{i} c) GROUP BY r)"""
+        if i < rounds:
+            out += f""",
+m{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (SELECT cluster, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM a{i} JOIN x USING (r)) GROUP BY cluster, i) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster))"""
+    return out + f"""
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN x USING (r) JOIN c{rounds} c USING (cluster)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_clusters": cluster_sql(),
     "op1_sharding": r"""
 WITH RECURSIVE steps AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
                          UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
