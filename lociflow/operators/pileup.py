@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import PileupConfig
 from ..functions.genotype import DELETED, INSERTION, SNP_OR_DELETION
+from ..session import cut
 from .reads import cigar_ops, valid_reads, well_mapped
 
 SITE = ("contig", "pos")
@@ -35,7 +36,7 @@ def reference_bases(reference: DataFrame, intervals: DataFrame, block_size: int,
 
 
 def _pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig, keep: Sequence[str]) -> DataFrame:
-    """CIGAR operations cut at block borders, with ``bases``: an array of (ref_base, allele) for each position of the piece.
+    """CIGAR operations cut at block borders, with ``both``: an array of (ref_base, allele) for each position of the piece; ``same``: whether all are matches.
 
     Strings are cut to the piece once and split, so that the work grows with their length and no later row carries them.
     """
@@ -45,11 +46,11 @@ def _pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: Pil
     spans = walked.withColumn("start", F.when(inserted, at - 1).otherwise(at)).withColumn("stop", F.when(inserted, at).otherwise(at + F.col("n")))
     pieces = reference_bases(reference, spans, block_size)
     size = F.length("piece_bases")
-    matched = F.split(F.substring("bases", (F.col("piece_start") - F.col("start") + 1).cast("int"), size), "")
-    alleles = F.when(F.col("op") == "M", matched).when(inserted, F.array("bases")).otherwise(F.array_repeat(F.lit(DELETED), size))
+    pieces = pieces.withColumn("read_bases", F.substring("bases", (F.col("piece_start") - F.col("start") + 1).cast("int"), size))
+    alleles = F.when(F.col("op") == "M", F.split("read_bases", "")).when(inserted, F.array("bases")).otherwise(F.array_repeat(F.lit(DELETED), size))
     both = F.arrays_zip(F.split("piece_bases", "").alias("ref_base"), alleles.alias("allele"))
     cls = F.when(inserted, INSERTION).otherwise(SNP_OR_DELETION)
-    return pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", size.alias("size"), cls.alias("cls"), both.alias("both"))
+    return pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", size.alias("size"), cls.alias("cls"), ((F.col("op") == "M") & (F.col("read_bases") == F.col("piece_bases"))).alias("same"), both.alias("both"))
 
 
 def events(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
@@ -59,7 +60,7 @@ def events(reads: DataFrame, reference: DataFrame, block_size: int, config: Pile
     and skips give ``*`` at every position; an insertion stands at the base before it and covers nothing.
     """
     pieces = _pieces(reads, reference, block_size, config, keep)
-    placed = pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", "cls", F.posexplode("both").alias("k", "base"))
+    placed = pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", "cls", F.posexplode_outer("both").alias("k", "base"))  # outer, else both is also computed to test its size
     mismatch = (F.col("op") != "M") | (F.col("base.allele") != F.col("base.ref_base"))
     return placed.select(
         "contig", (F.col("piece_start") + F.col("k")).cast("int").alias("pos"), *ARRIVAL, *keep, "cls", F.col("base.allele").alias("allele"), F.col("base.ref_base").alias("ref_base"),
@@ -74,7 +75,8 @@ def sparse_events(reads: DataFrame, reference: DataFrame, block_size: int, confi
     """
     pieces = _pieces(reads, reference, block_size, config, keep)
     whole = F.array(F.struct(F.lit(None).cast("string").alias("ref_base"), F.lit(None).cast("string").alias("allele")))  # stands for the stretch
-    placed = pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", "size", "cls", F.posexplode(F.concat(whole, "both")).alias("k", "base"))
+    shown = F.when(F.col("same"), whole).otherwise(F.concat(whole, "both"))  # most pieces of most reads are the reference's, and no base of them is looked at
+    placed = pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", "size", "cls", F.posexplode_outer(shown).alias("k", "base"))
     stretch = F.col("k") == 0
     mismatch = (F.col("op") != "M") | (F.col("base.allele") != F.col("base.ref_base"))
     kept = placed.where(F.when(stretch, F.col("op") != "I").otherwise(mismatch))
@@ -122,65 +124,129 @@ def allele_histogram(events: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
     return events.where("mm = 1").groupBy(*by, "ref_base", "cls", "allele").agg(F.count("*").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"))
 
 
-def _binned(sparse: DataFrame, by: Sequence[str], width: int) -> DataFrame:
-    """Sparse events dealt by (``by`` without pos, bin of positions) in order of arrival; a stretch is cut at the borders of bins."""
+#: Positions in a bin; reads in a run, as a power of two of read_ord.
+WIDTH, RUN_BITS = 1024, 16
+
+
+def _binned(sparse: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sparse events cut at the borders of bins of positions: ``bin``, ``run`` (of the reads, by read_ord), and ``from`` and ``to`` inside the bin."""
+    start, stop = F.col("pos") - F.col("bin") * WIDTH, F.col("stop") - F.col("bin") * WIDTH
+    rows = sparse.withColumn("bin", F.explode(F.sequence(F.floor(F.col("pos") / WIDTH), F.floor((F.col("stop") - 1) / WIDTH))))
+    return rows.select("*", F.shiftright("read_ord", RUN_BITS).alias("run"), F.greatest(start, F.lit(0)).cast("int").alias("from"), F.least(stop, F.lit(WIDTH)).cast("int").alias("to"))
+
+
+def position_totals(sparse: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
+    """``by`` (contig and pos, and what else), stop, coverage, mismatches, edits: stretches of equal coverage, with the mismatches at their first position.
+
+    A stretch of a read counts at its ends only, and ends are summed before the shuffle; then a bin has a row for each of its positions at most.
+    """
     keys = [c for c in by if c != "pos"]
-    bins = F.sequence(F.floor(F.col("pos") / width), F.floor((F.col("stop") - 1) / width))
-    rows = sparse.withColumn("bin", F.explode(bins)).withColumn("from", F.greatest(F.col("pos") - F.col("bin") * width, F.lit(0)).cast("int")).withColumn("to", F.least(F.col("stop") - F.col("bin") * width, F.lit(width)).cast("int"))
-    return rows.repartition(*keys, "bin").sortWithinPartitions(*keys, "bin", *ARRIVAL, F.col("cls").isNotNull()).drop("stop")
-
-
-def _counting(keys: Sequence[str], width: int, final: bool):
-    """Adds n_cov and n_mm to each mismatch: what its position has when it arrives.  ``final``: a row per position with the totals."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bin_now, cov, mm = None, np.zeros(width, np.int64), np.zeros(width, np.int64)
-
-        def totals() -> pa.RecordBatch:
-            at = np.flatnonzero(mm)
-            place = [pa.array([k] * len(at), t) for k, t in zip(bin_now[:-1], kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*place, pa.array(at + bin_now[-1] * width, pa.int32()), pa.array(cov[at]), pa.array(mm[at])], [*keys, "pos", "n_cov", "n_mm"])
-
-        for batch in batches:
-            kinds = [batch.column(k).type for k in keys]
-            bins = zip(*(batch.column(k).to_pylist() for k in (*keys, "bin")), strict=True)
-            starts, stops = batch.column("from").to_pylist(), batch.column("to").to_pylist()
-            is_mismatch = np.asarray(batch.column("cls").is_valid())
-            keep, n_cov, n_mm = np.flatnonzero(is_mismatch), [], []
-            for key, a, b, one in zip(bins, starts, stops, is_mismatch.tolist(), strict=True):
-                if key != bin_now:
-                    if final and bin_now is not None:
-                        yield totals()
-                    bin_now = key
-                    cov[:] = 0
-                    mm[:] = 0
-                if one:
-                    mm[a] += 1
-                    n_cov.append(cov[a])
-                    n_mm.append(mm[a])
-                else:
-                    cov[a:b] += 1
-            if not final:
-                rows = batch.take(pa.array(keep)).drop_columns(["bin", "from", "to"])
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n_cov, pa.int64()), pa.array(n_mm, pa.int64())], [*rows.schema.names, "n_cov", "n_mm"])
-        if final and bin_now is not None:
-            yield totals()
+    at = lambda place, coverage, mismatch, edit: F.struct(place.alias("at"), coverage.alias("coverage"), mismatch.alias("mismatches"), edit.alias("edits"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = F.array(at(F.col("from"), one, none, none), at(F.col("to"), -one, none, none))
+    points = F.when(F.col("cls").isNull(), ends).otherwise(F.array(at(F.col("from"), none, one, (F.col("allele") != DELETED).cast("long"))))
+    summed = _binned(sparse, keys).select(*keys, "bin", F.inline(points)).groupBy(*keys, "bin", "at").agg(F.sum("coverage").alias("change"), F.sum("mismatches").alias("mismatches"), F.sum("edits").alias("edits"))
+    along = Window.partitionBy(*keys, "bin").orderBy("at")
+    stop = F.coalesce(F.lead("at").over(along), F.lit(WIDTH))
+    found = summed.withColumn("coverage", F.sum("change").over(along)).withColumn("stop", stop).where((F.col("at") < WIDTH) & ((F.col("coverage") > 0) | (F.col("mismatches") > 0)))
+    place = lambda c: (F.col("bin") * WIDTH + F.col(c)).cast("int").alias({"at": "pos"}.get(c, c))
+    return found.select(*keys, place("at"), place("stop"), "coverage", "mismatches", "edits")
+
+
+def sparse_pileup(sparse: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
+    """pileup() from sparse_events(): no row per base of a read, only one per position."""
+    totals = position_totals(sparse, by)
+    covered = F.when(F.col("coverage") > 0, F.sequence("pos", F.col("stop") - 1)).otherwise(F.array("pos"))
+    first = F.col("each") == F.col("pos")
+    each = totals.withColumn("each", F.explode(covered)).select(*[F.col("each").alias(c) if c == "pos" else c for c in by], "coverage", *[F.when(first, F.col(c)).otherwise(0).alias(c) for c in ("mismatches", "edits")])
+    return each.withColumn("percent", F.when(F.col("coverage") > 0, F.expr("mismatches * 100 div nullif(coverage, 0)")))
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy().astype(np.int64) for c in names]
+
+
+def _totals(table: pa.Table, keys: Sequence[str]) -> pa.Table:
+    """The coverage and the mismatches that a run gives each position of a bin."""
+    start, stop = _numbers(table, "from", "to")
+    one = table.column("cls").is_valid().to_numpy()
+    change = np.bincount(start[~one], minlength=WIDTH + 1) - np.bincount(stop[~one], minlength=WIDTH + 1)
+    lists = [pa.array([x[:WIDTH].tolist()], pa.list_(pa.int64())) for x in (np.cumsum(change), np.bincount(start[one], minlength=WIDTH))]
+    return pa.table([*(table.column(c).slice(0, 1).combine_chunks() for c in (*keys, "bin", "run")), *lists], [*keys, "bin", "run", "cov", "mm"])
+
+
+def _carried(table: pa.Table) -> pa.Table:
+    """What the runs before each run of a bin have given."""
+    table = table.sort_by("run")
+    before = [np.vstack(table.column(c).to_pylist()).cumsum(axis=0)[:-1] for c in ("cov", "mm")]
+    return table.slice(1).drop_columns(["cov", "mm"]).append_column("cov", pa.array(before[0].tolist(), pa.list_(pa.int64()))).append_column("mm", pa.array(before[1].tolist(), pa.list_(pa.int64())))
+
+
+#: Covered positions that are laid out at once.
+_LAID_OUT = 1 << 21
+
+
+def running_counts(start: np.ndarray, stop: np.ndarray, one: np.ndarray, cov: np.ndarray, mm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order of arrival, mismatches (``one``) at ``start`` and stretches [start, stop): coverage and mismatches that each mismatch finds at its position, itself included.
+
+    ``cov`` and ``mm`` have what earlier runs gave each position.  A stretch is laid out as its positions; these are sorted by position and arrival, and a mismatch
+    looks for its own place among them.  Long runs are laid out in parts, and each part hands its totals on.
+    """
+    places = np.flatnonzero(one)
+    n_cov, n_mm = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+    by_place = np.argsort(start[places], kind="stable")
+    sorted_at = start[places][by_place]
+    n_mm[by_place] = np.arange(len(places)) - np.searchsorted(sorted_at, sorted_at) + 1 + mm[sorted_at]
+    size = np.where(one, 0, stop - start)
+    ends, done, cov = np.cumsum(size), 0, cov.copy()
+    while done < len(size):
+        until = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + _LAID_OUT, "right")))
+        rows = np.flatnonzero(size[done:until]) + done
+        each = np.repeat(rows, size[rows])
+        position = np.arange(len(each)) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows]) + start[each]
+        laid = np.sort(position * (until - done) + (each - done))
+        first, last = np.searchsorted(places, (done, until))
+        mine = places[first:last]
+        at = start[mine]
+        n_cov[first:last] = np.searchsorted(laid, at * (until - done) + (mine - done)) - np.searchsorted(laid, at * (until - done)) + cov[at]
+        cov += np.bincount(position, minlength=len(cov))
+        done = until
+    return n_cov, n_mm
+
+
+def _counting(config: PileupConfig, keep: Sequence[str]):
+    """The mismatches of a run in a bin, with ``ok``: whether their position passes the limits when they arrive."""
+
+    def count(rows: pa.Table, carry: pa.Table) -> pa.Table:
+        order = np.lexsort((rows.column("cls").is_valid().to_numpy(), *_numbers(rows, *reversed(ARRIVAL))))
+        rows = rows.take(pa.array(order))
+        start, stop = _numbers(rows, "from", "to")
+        one = rows.column("cls").is_valid().to_numpy()
+        cov, mm = (np.array(carry.column(c)[0].as_py()) for c in ("cov", "mm")) if carry.num_rows else (np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64))
+        n_cov, n_mm = running_counts(start, stop, one, cov, mm)
+        ok = (n_mm > config.min_mismatches) & (n_cov > config.min_coverage) & (n_mm * 100 >= n_cov * (config.min_percent + 1))
+        return rows.select(list(keep)).filter(pa.array(one)).append_column("ok", pa.array(ok))
 
     return count
 
 
-def _counted(sparse: DataFrame, config: PileupConfig, by: Sequence[str], width: int = 1024) -> DataFrame:
-    """The mismatches with ``ok``: whether their position passes the limits when they arrive; or with "final", positions that have mismatches.
+def _counted(sparse: DataFrame, config: PileupConfig, by: Sequence[str]) -> DataFrame:
+    """The mismatches with ``ok``: whether their position passes the limits when they arrive.
 
-    Only mismatches and stretches are shuffled, by bins of positions; a task holds the counts of one bin.
+    A task counts one run of reads in one bin of positions, so a deep bin is as many tasks as it has runs.  Where a bin has several, their totals are summed
+    along the runs first and carried into each.  Sparse events are written once, since they are read for the runs, the totals and the counts.
     """
-    final = config.threshold == "final"
     keys = [c for c in by if c != "pos"]
-    binned = _binned(sparse, by, width)
-    kept = [f for f in binned.schema if f.name not in ("bin", "from", "to") and (not final or f.name in by)]
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted(kept, key=lambda f: final and f.name == "pos")), "n_cov long", "n_mm long"]
-    counted = binned.mapInArrow(_counting(keys, width, final), ", ".join(fields))
-    return counted.withColumn("ok", over_limits(F.col("n_mm"), F.col("n_cov"), config)).drop("n_cov", "n_mm")
+    rows = _binned(cut(sparse), keys)
+    several = rows.groupBy(*keys, "bin").agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last").select(*keys, "bin")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    group = ", ".join(f"`{c}` {kind[c]}" for c in (*keys, "bin", "run"))
+    arrays = f"{group}, cov array<long>, mm array<long>"
+    totals = rows.join(several, [*keys, "bin"], "left_semi").groupBy(*keys, "bin", "run").applyInArrow(lambda table: _totals(table, keys), arrays)
+    carry = totals.groupBy(*keys, "bin").applyInArrow(_carried, arrays)
+    keep = [c for c in sparse.columns if c != "stop"]
+    counted = rows.groupBy(*keys, "bin", "run").cogroup(carry.groupBy(*keys, "bin", "run"))
+    return counted.applyInArrow(_counting(config, keep), ", ".join(f"`{c}` {kind[c]}" for c in keep) + ", ok boolean")
 
 
 def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
@@ -189,8 +255,10 @@ def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig()
     "running" is order dependent: a position stays in once it passed at some mismatch, even if later reads dilute it,
     and one whose last mismatch came too early never passes.  "final" tests totals.
     """
-    found = _counted(sparse, config, by).where("ok").select(*by)
-    return found if config.threshold == "final" else found.distinct()
+    if config.threshold == "final":
+        totals = position_totals(sparse, by).where("mismatches > 0")
+        return totals.where(over_limits(F.col("mismatches"), F.col("coverage"), config)).select(*by)
+    return _counted(sparse, config, by).where("ok").select(*by).distinct()
 
 
 def candidate_alleles(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
@@ -199,6 +267,7 @@ def candidate_alleles(sparse: DataFrame, config: PileupConfig = PileupConfig(),
     Equal counts go by first appearance.  Mismatches are counted by allele before they are shuffled by position.
     """
     if config.threshold == "final":
+        sparse = cut(sparse)
         found = sparse.where("cls is not null").join(candidate_positions(sparse, config, by), list(by), "left_semi").withColumn("ok", F.lit(True))
     else:
         found = _counted(sparse, config, by)

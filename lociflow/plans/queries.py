@@ -120,7 +120,7 @@ def exp2_mismatch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg1_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pileup.pileup(events(spark, sf_dir))
+    return pileup.sparse_pileup(sparse_events(spark, sf_dir))
 
 
 def agg4_reads_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:

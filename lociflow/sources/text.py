@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BED
 
-_UNIT = 65_536
+#: Bits of a line's place in its task; above them is the number of the split that the line is in.
+_PLACE_BITS = 33
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, line_ord: every line, with a number that grows along its file.
+def in_name_order(names: list[str]) -> list[str]:
+    """Names in their order, digits in them as numbers, so that part-10 comes after part-9."""
+    return sorted(names, key=lambda name: [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", name)])
 
-    A split's start, in units of 64 KiB, comes before the line's place in the task that reads it; splits
-    are larger than that unless the session asks for smaller ones.  No shuffle and no single task orders the lines.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return lines.select("value", "file", (F.shiftleft(F.floor(F.col("_start") / _UNIT).cast("long"), 33) + place).alias("line_ord"))
+
+def _bytes(text: str) -> int:
+    """A size as sessions state it, such as 128MB or 4194304b."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", text).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit[:1].lower()]
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """The reads of a SAM file (compressed or not) as READS; header lines are left out, ``*`` as contig is null."""
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, file, line_ord: every line, with a number that grows along the files in the order of their names.
+
+    The number of a line's split comes before the line's place in the task that reads it.  Splits are numbered over all files, from the listing: a file has
+    as many as its bytes hold of the smallest split that the session can make, and one at least.  No shuffle and no single task orders the lines;
+    the files' names and sizes, which Spark lists on the driver too, are looked up by a join, unless there is one file.  Fails where 30 bits are too
+    few for the splits, which some thousands of TB would need.
+    """
+    unit = max(1, min(_bytes(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes")))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+    listed = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_size").collect()  # contents aren't read
+    sizes = {r["file_path"]: r["file_size"] for r in listed}
+    before, rows = 0, []
+    for name in in_name_order(list(sizes)):
+        rows.append((name, before))
+        before += sizes[name] // unit + 1
+    if before >= 1 << 63 - _PLACE_BITS:
+        raise ValueError(f"{path}: {before} splits of {unit} bytes are too many to number; raise spark.sql.files.openCostInBytes")
+    if len(rows) > 1:
+        lines = lines.join(F.broadcast(spark.createDataFrame(rows, "file string, _before long")), "file")
+    else:
+        lines = lines.withColumn("_before", F.lit(0).cast("long"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    split = F.col("_before") + F.floor(F.col("_start") / unit)
+    return lines.withColumn("_place", place).select("value", "file", (F.shiftleft(split, _PLACE_BITS) + F.col("_place")).alias("line_ord"))
+
+
+def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The reads of SAM files (compressed or not) as READS, in the order of the files' names; header lines are left out, ``*`` as contig is null."""
     fields = F.split("value", "\t", 12)
     field = lambda i: F.get(fields, F.lit(i))
     rows = read_lines(spark, path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
@@ -32,8 +62,8 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """rec_ord, contig, pos, ref, alt, qual, filter, gt (text of the first sample) of a VCF file, for parse_records()."""
+def read_vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """rec_ord, contig, pos, ref, alt, qual, filter, gt (text of the first sample) of VCF files, for parse_records(); rec_ord grows over files in the order of their names."""
     fields = F.split("value", "\t")
     field = lambda i: F.get(fields, F.lit(i))
     keys = F.split(field(8), ":")
@@ -61,7 +91,7 @@ def read_fasta(spark: SparkSession, path: str, block_size: int = 65_536) -> Data
     Each split sums up its lines since its last header; a prefix over the splits (a row each) says which contig,
     and how many bases of it, come before a split.  Lines are then placed inside their splits and put into blocks.
     """
-    lines = read_lines(spark, path).where("value <> ''").withColumn("split", F.shiftright("line_ord", 33))
+    lines = read_lines(spark, path).where("value <> ''").withColumn("split", F.shiftright("line_ord", _PLACE_BITS))
     name = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1))
     rows = lines.withColumn("name", name).withColumn("bases", F.when(F.col("name").isNull(), F.upper(F.trim("value"))))
     inside = Window.partitionBy("file", "split").orderBy("line_ord")

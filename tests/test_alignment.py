@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -126,7 +127,9 @@ def test_alleles_by_frequency_and_first_seen(spark):
     assert [r[0] for r in pileup.candidate_alleles(ties).orderBy("rnk").select("allele").collect()] == ["T", "C"]
 
 
-def test_random_reads_against_a_sequential_walk(spark):
+@pytest.mark.parametrize("bits", [16, 6, 2])
+def test_random_reads_against_a_sequential_walk(spark, monkeypatch, bits):
+    monkeypatch.setattr(pileup, "RUN_BITS", bits)  # few reads in a run: a position's counts are carried over many
     rng = random.Random(7)
     ref = "".join(rng.choice("ACGT") for _ in range(90))
     rows = []
@@ -257,3 +260,54 @@ def test_empty_tables(spark):
     sparse = pileup.sparse_events(none, reference(spark, c="ACGT"), BLOCK)
     assert pileup.candidate_alleles(sparse).count() == 0
     assert intervals.merge_windows(pileup.candidate_positions(sparse)).count() == 0
+
+
+def test_pileup_without_a_row_per_base(spark):
+    """Over borders of bins, with insertions where nothing is covered, and gaps."""
+    rng = random.Random(3)
+    ref = "".join(rng.choice("ACGT") for _ in range(3000))
+    rows = []
+    for _ in range(300):
+        start = rng.choice([rng.randrange(2900), rng.randrange(1000, 1030), 2040])
+        n = rng.randint(1, min(900 if rng.random() < 0.1 else 40, len(ref) - start))
+        seq = "".join(c if rng.random() < 0.9 else rng.choice("ACGT") for c in ref[start : start + n])
+        rows.append((start, f"{n}M", seq) if rng.random() < 0.7 or start == 0 else (start, f"2I{n}M", "AC" + seq))
+    made = make_reads(spark, rows)
+    want = column(pileup.pileup(pileup.events(made, reference(spark, c=ref), BLOCK)), "contig", "pos", "coverage", "mismatches", "edits", "percent")
+    assert column(pileup.sparse_pileup(pileup.sparse_events(made, reference(spark, c=ref), BLOCK)), "contig", "pos", "coverage", "mismatches", "edits", "percent") == want
+
+
+def test_a_deep_position_is_many_tasks(spark, monkeypatch):
+    """All reads at one position: no group has more than a run of them, and the order still decides."""
+    monkeypatch.setattr(pileup, "RUN_BITS", 7)
+    rng = random.Random(9)
+    bases = "".join(rng.choice("AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAT") for _ in range(4000))
+    sparse = pileup.sparse_events(make_reads(spark, [(0, "1M", x) for x in bases]), reference(spark, c="A"), BLOCK)
+    counted = pileup._counted(sparse, PileupConfig(), pileup.SITE).orderBy("read_ord").collect()
+    m, want = 0, []
+    for i, x in enumerate(bases):
+        m += x == "T"
+        if x == "T":
+            want.append((i, m > 2 and i + 1 > 10 and m * 100 // (i + 1) > 2))
+    assert [(r["read_ord"], r["ok"]) for r in counted] == want
+    sizes = pileup._binned(sparse, ["contig"]).groupBy("contig", "bin", "run").count().collect()
+    assert len(sizes) == -(-4000 // 128) and max(r["count"] for r in sizes) <= 2 * 128
+
+
+@pytest.mark.parametrize("laid_out", [1, 7, 1 << 21])
+def test_running_counts(monkeypatch, laid_out):
+    monkeypatch.setattr(pileup, "_LAID_OUT", laid_out)
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 60, 400):
+        one = rng.random(n) < 0.5
+        start = rng.integers(0, 30, n)
+        stop = np.where(one, start + 1, start + rng.integers(1, 20, n))
+        cov, mm = rng.integers(0, 9, pileup.WIDTH), rng.integers(0, 9, pileup.WIDTH)
+        c, m, want = cov.copy(), mm.copy(), []
+        for a, b, x in zip(start, stop, one, strict=True):
+            if x:
+                m[a] += 1
+                want.append((c[a], m[a]))
+            else:
+                c[a:b] += 1
+        assert list(zip(*map(list, pileup.running_counts(start, stop, one, cov, mm)), strict=True)) == want

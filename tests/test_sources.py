@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from lociflow.operators import variants
@@ -28,6 +29,35 @@ def test_sam(spark, tmp_path):
     assert [tuple(r)[1:] for r in rows] == [("r1", "chr1", 2, 60, 0, "4M", "ACGT"), ("r2", None, -1, 0, 16, "*", "*"), ("r3", "chr2", 0, 7, 4, "2S2M", "NNAC")]
 
 
+@pytest.mark.parametrize(("most", "least"), [("128MB", "4MB"), ("200000", "50000"), ("300000b", "64k")])
+def test_order_over_files_and_splits(spark, tmp_path, most, least):
+    """Numbers are unique, and grow along files in the order of their names, part-2 before part-10."""
+    rows, names = [], ["part-2.sam", "part-10.sam", "part-9 x.sam", "b/part-1.sam"]
+    for k, name in enumerate(["part-2.sam", "part-9 x.sam", "part-10.sam"]):
+        mine = [f"r{k}_{i}\t0\tchr1\t{i + 1}\t60\t4M\t*\t0\t0\tACGT\t*" for i in range((20_000, 3, 9_000)[k])]
+        rows += [x.split("\t")[0] for x in mine]
+        (tmp_path / name).write_text("@HD\tVN:1.6\n" + "\n".join(mine) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", least)
+        got = text.read_sam(spark, str(tmp_path))
+        assert [r["read_name"] for r in got.orderBy("read_ord").collect()] == rows
+        assert got.select("read_ord").distinct().count() == len(rows)
+        some = text.read_sam(spark, [str(tmp_path / n) for n in names[:2]])
+        assert [r["read_name"] for r in some.orderBy("read_ord").collect()] == rows[:20_000] + rows[20_003:]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_too_many_splits_to_number(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    monkeypatch.setattr(text, "_PLACE_BITS", 63)
+    with pytest.raises(ValueError, match="too many"):
+        text.read_lines(spark, str(tmp_path / "a.txt"))
+
+
 def test_vcf(spark, tmp_path):
     (tmp_path / "a.vcf").write_text(VCF)
     raw = text.read_vcf(spark, str(tmp_path / "a.vcf"))
