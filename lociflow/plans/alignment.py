@@ -33,11 +33,20 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("contig", "block", F.translate(digest, "0123456789abcdef", "ACGT" * 4).alias("seq"))
 
 
-def _with_bases(rows: DataFrame, ref: DataFrame, at: str, length: int) -> DataFrame:
-    """Adds t, the ``length`` reference bases from position ``at`` on."""
+#: Positions of a contig up to which the reference, a byte for each, is broadcast.
+SMALL_CONTIG = 1 << 24
+
+
+def _with_bases(rows: DataFrame, ref: DataFrame, at: str, length: int, contig: int) -> DataFrame:
+    """Adds t, the ``length`` reference bases from position ``at`` on; ``contig`` is the contigs' length.
+
+    Spark takes the rows for the smaller side where it knows only the bytes of the few columns that they come from, and would broadcast them and
+    leave all that follows to one task.
+    """
     a, b = ref.select("contig", F.col("block").alias("block_a"), F.col("seq").alias("seq_a")), ref.select("contig", (F.col("block") - 1).alias("block_a"), F.col("seq").alias("seq_b"))
     placed = rows.withColumn("block_a", F.floor(F.col(at) / BLOCK).cast("int"))
-    return placed.join(a.join(b, ["contig", "block_a"]), ["contig", "block_a"]).withColumn("t", F.substring(F.concat("seq_a", "seq_b"), F.col(at) % BLOCK + 1, F.lit(length))).drop("block_a", "seq_a", "seq_b")
+    pairs = a.join(b, ["contig", "block_a"])
+    return placed.join(F.broadcast(pairs) if contig <= SMALL_CONTIG else pairs.hint("merge"), ["contig", "block_a"]).withColumn("t", F.substring(F.concat("seq_a", "seq_b"), F.col(at) % BLOCK + 1, F.lit(length))).drop("block_a", "seq_a", "seq_b")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +59,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
     )
     numbered = number_in_order(lines, "ref_start", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "read_ord", bin_width=4096)
-    shaped = _with_bases(numbered, reference(spark, sf_dir), "ref_start", BLOCK).selectExpr(
+    shaped = _with_bases(numbered, reference(spark, sf_dir), "ref_start", BLOCK, length).selectExpr(
         "*",
         "case k when 0 then '30M' when 1 then '4S10M2I16M' when 2 then '12M3D17M' when 3 then '10M1I5M2N13M' else '2H30M' end as cigar",
         """case k when 1 then concat('NNNN', substr(t, 1, 10), 'GT', substr(t, 11, 16)) when 2 then concat(substr(t, 1, 12), substr(t, 16, 17))
@@ -69,7 +78,7 @@ def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderpriority", "concat('chr', cast(o_orderkey % 2 + 1 as string)) as contig",
         f"cast((o_orderkey * 11 + o_custkey) % {length - 64} as int) as p0", "o_orderkey % 6 as k",
     )
-    placed = _with_bases(number_in_order(rows, "p0", ["o_orderkey"], "rec_ord", bin_width=4096), reference(spark, sf_dir), "p0", 4)
+    placed = _with_bases(number_in_order(rows, "p0", ["o_orderkey"], "rec_ord", bin_width=4096), reference(spark, sf_dir), "p0", 4, length)
     return placed.selectExpr(
         "rec_ord", "contig", "p0 + 1 as pos", "case k when 2 then substr(t, 1, 4) when 4 then substr(t, 1, 2) else substr(t, 1, 1) end as ref",
         """case k when 1 then concat(substr(t, 1, 1), 'GT') when 2 then substr(t, 1, 1)

@@ -150,6 +150,9 @@ docs AS (SELECT r.contig, r.start, r.stop, list({SHOWN} ORDER BY a.pos, a.cls, a
 
 SQL: dict[str, str] = {
     "src1_sam_roundtrip": TABLES + " SELECT read_name, contig, ref_start, mapq, 0 AS flag, cigar, seq FROM syn_reads",
+    "src1_bam_roundtrip": TABLES + " SELECT read_ord AS read_nth, read_name, contig, ref_start, mapq, 0 AS flag, cigar, seq FROM syn_reads",
+    "src1_files_labelled": labelled() + ROWS,
+    "src2_bam_region": TABLES + f" SELECT read_name, ref_start, ref_end, cigar FROM syn_reads WHERE {IN_REGION}",
     "src2_region_scan": TABLES + f" SELECT read_ord, read_name, ref_start, ref_end FROM syn_reads WHERE {IN_REGION}",
     "src3_pileup_columns": EVENTS + " SELECT contig, pos, count(*) AS n_reads, string_agg(allele, '' ORDER BY read_ord, op_idx) AS bases FROM ev WHERE cov = 1 GROUP BY contig, pos",
     "src4_fasta_roundtrip": TABLES + ", whole AS (SELECT contig, string_agg(seq, '' ORDER BY block) AS s FROM syn_ref GROUP BY contig) SELECT contig, b::INT AS block, substr(s, (b * 100 + 1)::BIGINT, 100) AS seq FROM (SELECT *, unnest(range(ceil(length(s) / 100)::BIGINT)) AS b FROM whole)",
@@ -158,6 +161,8 @@ SQL: dict[str, str] = {
     "src7_vcf_roundtrip": TABLES + " SELECT contig, pos, ref, alt, filter, gt FROM syn_variants",
     "src8_records": TABLES + " SELECT rec_ord, contig, pos, ref, alt AS alts, len(split(gt, '/'))::INT AS n_gt, filter, 10.0::DOUBLE AS qual FROM syn_variants WHERE filter = 'PASS' AND gt <> '0/0'",
     "src11_bed_index": BEDS + " SELECT contig, start, stop, (row_number() OVER (PARTITION BY contig ORDER BY start, stop) - 1)::INT AS idx FROM b",
+    "src7_indexed_roundtrip": TABLES + " SELECT contig, pos, ref, alt, filter, gt FROM syn_variants",
+    "src7_indexed_region": TABLES + f" SELECT contig, pos, ref, alt, gt FROM syn_variants WHERE contig = 'chr1' AND pos - 1 < {TO} AND pos - 1 + length(ref) > {FROM}",
     "src7_region_scan": TABLES + f" SELECT rec_ord, contig, pos, ref FROM syn_variants WHERE contig = 'chr1' AND pos - 1 < {TO} AND pos - 1 + length(ref) > {FROM}",
     "src9_bed_load": BEDS + " SELECT contig, start, stop, name::VARCHAR AS name FROM a",
     "src10_list_to_bed": "SELECT 'chr' || (n_regionkey + 1)::VARCHAR AS contig, (n_nationkey * 100)::INT AS start, (n_nationkey * 100 + length(n_name))::INT AS stop FROM nation",

@@ -13,7 +13,7 @@ from ..operators import documents, intervals, labels, pileup, variants
 from ..operators import reads as R
 from ..schemas import LABELLED
 from ..session import new_path
-from ..sources import sinks, text
+from ..sources import bam, sinks, text, vcf
 from . import alignment as A
 from . import pipelines
 
@@ -60,6 +60,35 @@ def src1_sam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_sam(spark, path).select("read_name", "contig", "ref_start", "mapq", "flag", "cigar", "seq")
 
 
+def src1_bam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads as several BAM files with their indexes, read back in order: read_nth counts along the files."""
+    bam.register(spark, bam.BamSource)
+    path = new_path(spark, "bam")
+    n = A.contig_length(spark, sf_dir)
+    ranged = A.reads(spark, sf_dir).repartitionByRange(4, "read_ord").sortWithinPartitions("read_ord")
+    ranged.write.format("bam").option("contigs", ",".join(f"{c}:{n}" for c in A.CONTIGS)).mode("append").save(path)
+    found = R.number_in_order(spark.read.format("bam").load(path), "ref_start", ["read_ord"], "read_nth")
+    return found.select("read_nth", "read_name", "contig", "ref_start", "mapq", "flag", "cigar", "seq")
+
+
+def src2_bam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads over a region, from the blocks of BAM files that their indexes give for it."""
+    bam.register(spark, bam.BamSource, bam.PushedBamSource)
+    path, (contig, start, stop) = new_path(spark, "bam"), region(spark, sf_dir)
+    n = A.contig_length(spark, sf_dir)
+    A.reads(spark, sf_dir).repartitionByRange(4, "read_ord").sortWithinPartitions("read_ord").write.format("bam").option("contigs", ",".join(f"{c}:{n}" for c in A.CONTIGS)).mode("append").save(path)
+    return R.in_region(spark.read.format("bam_pushed").load(path), contig, start, stop, max_span=2 * A.BLOCK).select("read_name", "ref_start", "ref_end", "cigar")
+
+
+def src1_files_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join3_label from reads and variants in several SAM and VCF files each."""
+    sam, vcf = new_path(spark, "sam"), new_path(spark, "vcf")
+    text.render_sam(A.reads(spark, sf_dir).repartitionByRange(5, "read_ord").sortWithinPartitions("read_ord")).write.text(sam)
+    text.render_vcf(A.raw_variants(spark, sf_dir).repartitionByRange(3, "rec_ord").sortWithinPartitions("rec_ord")).write.text(vcf)
+    records = variants.parse_records(text.read_vcf(spark, vcf))
+    return labels.labelled_rows(pipelines.label_candidates(text.read_sam(spark, sam), A.reference(spark, sf_dir), records, A.BLOCK))
+
+
 def src4_fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference blocks as FASTA lines of 32 bases, read back in blocks of 100."""
     path = new_path(spark, "fasta")
@@ -75,6 +104,24 @@ def src7_vcf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_vcf(spark, path).select("contig", "pos", "ref", "alt", "filter", "gt")
 
 
+def indexed_vcf(spark: SparkSession, sf_dir: str) -> str:
+    vcf.register(spark, vcf.VcfSource)
+    path = new_path(spark, "vcf")
+    A.raw_variants(spark, sf_dir).repartitionByRange(3, "rec_ord").sortWithinPartitions("rec_ord").write.format("vcf").mode("append").save(path)
+    return path
+
+
+def src7_indexed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants as several block-compressed VCF files with their indexes, read back."""
+    return spark.read.format("vcf").load(indexed_vcf(spark, sf_dir)).select("contig", "pos", "ref", "alt", "filter", "gt")
+
+
+def src7_indexed_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants over a region, from the blocks that the indexes give for it."""
+    path = indexed_vcf(spark, sf_dir)
+    return spark.read.format("vcf").option("region", "{}:{}-{}".format(*region(spark, sf_dir))).load(path).select("contig", "pos", "ref", "alt", "gt")
+
+
 def src7_region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.variants_in_region(A.raw_variants(spark, sf_dir), *region(spark, sf_dir)).select("rec_ord", "contig", "pos", "ref")
 
@@ -297,7 +344,7 @@ def src12_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        src1_sam_roundtrip, src2_region_scan, src3_pileup_columns, src4_fasta_roundtrip, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src7_region_scan, src8_records, src9_bed_load, src10_list_to_bed, src11_bed_index, src12_list_files,
+        src1_sam_roundtrip, src1_bam_roundtrip, src1_files_labelled, src2_region_scan, src2_bam_region, src3_pileup_columns, src4_fasta_roundtrip, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src7_region_scan, src7_indexed_roundtrip, src7_indexed_region, src8_records, src9_bed_load, src10_list_to_bed, src11_bed_index, src12_list_files,
         lim1_first_filter, fn4_odd_alts, flt10_invalid_reads, flt1_mapq, flt8_supported, flt8_supported_lists, exp1_cigar_ops, exp2_mismatch_events, agg1_pileup, agg4_reads_by_position, agg5_allele_histogram, agg7_covered_reference, agg9_genotype_counts,
         agg10_position_index, agg11_region_json, win1_candidates_running, win1_candidates_final, win3_merge_windows, win3_merge_windows_apart, topk1_alleles, topk1_alleles_commonest, prj1_candidate_sites,
         vcf_decompose, vcf_decompose_unchanged, fn13_record_text, join1_chunk_overlap, join3_label, join3_label_one_position, join3_label_none, join5_intersect, par1_chunks, par2_equal_chunks,

@@ -1,23 +1,31 @@
-"""BAM files as a Spark data source.
+"""BAM files as a Spark data source, to read and to write.
 
-``spark.dataSource.register(BamSource)``, then ``spark.read.format("bam").load(path)``.  With a ``.bai`` index beside
-a file, its linear index gives places where records start, and tasks share the file between them; without one, a task
-looks for the first chain of records that fit together in its part of the file.  Option ``region`` reads only what overlaps a region, from the place the index gives for it.  Blocks
-are decompressed one at a time, so memory doesn't grow with the file.
+``register(spark, BamSource)``, then ``spark.read.format("bam").load(path)``.  With an index (``.bai`` or ``.csi``) beside
+a file, tasks share the file between the places that it gives; without one, a task looks for the first chain of records that
+fit together in its part of the file.  Option ``region`` reads only the blocks that the index's bins give for it; ``bam_pushed`` does so for
+filters on contig and ref_start.  Blocks are decompressed one at a time, so memory doesn't grow with the file.
+
+``df.write.format("bam").option("contigs", "chr1:1000,chr2:500").save(path)`` writes a file and its index from each partition,
+whose rows must be in the order of contigs and ref_start; they get their names when all are written.
 """
 
 from __future__ import annotations
 
+import re
 import struct
-import zlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark import TaskContext
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..schemas import READS
+from .bgzf import Blocks, Writer, exists, files, next_block, open_path
+from .binning import Builder, Region, bin_of, pushed_region, read_index, register
+
+__all__ = ["BamSource", "PushedBamSource", "Region", "register"]
 
 #: Fixed values of the format: CIGAR operations and bases by code.
 OPERATIONS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
@@ -25,71 +33,9 @@ _PAIRS = [a + b for a in BASES for b in BASES]
 _ARROW = pa.schema([("read_ord", pa.int64()), ("read_name", pa.string()), ("contig", pa.string()), ("ref_start", pa.int32()), ("mapq", pa.int32()), ("flag", pa.int32()), ("cigar", pa.string()), ("seq", pa.string())])
 
 
-def open_path(path: str):
-    system, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system, where
-
-
-def _files(path: str) -> list[str]:
-    """The path itself, or the .bam files of a folder."""
-    system, where = open_path(path)
-    if system.get_file_info(where).type != fs.FileType.Directory:
-        return [path]
-    return sorted(f"{path.rstrip('/')}/{x.base_name}" for x in system.get_file_info(fs.FileSelector(where)) if x.base_name.endswith(".bam"))
-
-
-class _Blocks:
-    """Bytes of a BGZF file from a virtual offset on; ``offset`` is that of the next byte."""
-
-    def __init__(self, path: str, offset: int = 0) -> None:
-        system, where = open_path(path)
-        self.file = system.open_input_file(where)
-        self.at, self.data, self.used = offset >> 16, b"", 0
-        self.load()
-        self.used = offset & 0xFFFF
-
-    def load(self) -> bool:
-        self.start = self.at
-        self.file.seek(self.at)
-        head = self.file.read(18)
-        if len(head) < 18:
-            self.data, self.used = b"", 0
-            return False
-        extra = struct.unpack_from("<H", head, 10)[0]
-        fields, size, i = head[12:18] + self.file.read(extra - 6), 0, 0
-        while i < extra:
-            if fields[i : i + 2] == b"BC":
-                size = struct.unpack_from("<H", fields, i + 4)[0] + 1
-            i += 4 + struct.unpack_from("<H", fields, i + 2)[0]
-        if head[:2] != b"\x1f\x8b" or not size:
-            raise OSError(f"no BGZF block at byte {self.at}")
-        self.data, self.used = zlib.decompress(self.file.read(size - 12 - extra), -15), 0
-        self.at += size
-        return True
-
-    @property
-    def offset(self) -> int:
-        while self.used >= len(self.data):
-            if not self.load():
-                return self.at << 16
-        return self.start << 16 | self.used
-
-    def read(self, n: int) -> bytes:
-        out = b""
-        while len(out) < n:
-            if self.used >= len(self.data) and not self.load():
-                break
-            part = self.data[self.used : self.used + n - len(out)]
-            out, self.used = out + part, self.used + len(part)
-        return out
-
-    def integer(self) -> int:
-        return struct.unpack("<i", self.read(4))[0]
-
-
 def header(path: str) -> tuple[list[str], int]:
     """The contig names, and the virtual offset of the first record."""
-    blocks = _Blocks(path)
+    blocks = Blocks(path)
     if blocks.read(4) != b"BAM\x01":
         raise OSError(f"not a BAM file: {path}")
     blocks.read(blocks.integer())
@@ -100,42 +46,6 @@ def header(path: str) -> tuple[list[str], int]:
     return names, blocks.offset
 
 
-def linear_index(path: str) -> list[list[int]] | None:
-    """The linear index of a .bai file: for each contig and 16,384 positions the virtual offset of the first record that overlaps them, or 0; None without a file."""
-    for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
-        system, where = open_path(name)
-        if system.get_file_info(where).type != fs.FileType.NotFound:
-            break
-    else:
-        return None
-    data, found = system.open_input_file(where).read(), []
-    at = 8
-    for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        bins = struct.unpack_from("<i", data, at)[0]
-        at += 4
-        for _ in range(bins):
-            at += 8 + 16 * struct.unpack_from("<i", data, at + 4)[0]
-        intervals = struct.unpack_from("<i", data, at)[0]
-        found.append(list(struct.unpack_from(f"<{intervals}Q", data, at + 4)))
-        at += 4 + 8 * intervals
-    return found
-
-
-@dataclass(frozen=True)
-class Region:
-    """Positions [start, stop) of a contig."""
-
-    contig: str
-    start: int
-    stop: int
-
-    @classmethod
-    def of(cls, text: str) -> Region:
-        contig, _, span = text.rpartition(":")
-        start, _, stop = span.partition("-")
-        return cls(contig, int(start), int(stop))
-
-
 @dataclass
 class BamPart(InputPartition):
     path: str
@@ -151,28 +61,12 @@ class BamPart(InputPartition):
 _CHAIN = 8
 
 
-def _next_block(path: str, at: int) -> int | None:
-    """The byte at which the first block from ``at`` on starts: one that another block, or the file's end, follows."""
-    system, where = open_path(path)
-    file = system.open_input_file(where)
-    file.seek(at)
-    data, size = file.read(3 << 16), file.size()
-    i = data.find(b"\x1f\x8b\x08\x04")
-    while i >= 0:
-        if data[i + 12 : i + 16] == b"BC\x02\0":
-            after = i + struct.unpack_from("<H", data, i + 16)[0] + 1
-            if at + after == size or data[after : after + 4] == b"\x1f\x8b\x08\x04":
-                return at + i
-        i = data.find(b"\x1f\x8b\x08\x04", i + 1)
-    return None
-
-
 def first_record(path: str, start: int, stop: int, contigs: int) -> int | None:
     """The virtual offset of the first record that starts in blocks from byte ``start`` to before ``stop``."""
-    at = _next_block(path, start)
+    at = next_block(path, start)
     if at is None or at >= stop:
         return None
-    blocks, plain, places = _Blocks(path, at << 16), bytearray(), []
+    blocks, plain, places = Blocks(path, at << 16), bytearray(), []
 
     def have(n: int) -> bool:
         while len(plain) < n:
@@ -251,59 +145,65 @@ class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.split_bytes = options["path"], int(options.get("splitBytes", 64 << 20))
         self.region = Region.of(options["region"]) if "region" in options else None
+        self.starts: Region | None = None  # which contig and starts the query asks for
 
     def partitions(self) -> list[BamPart]:
         parts: list[BamPart] = []
-        for path in _files(self.path):
+        wanted = self.region or self.starts
+        if self.region and self.starts and self.region.contig == self.starts.contig:
+            wanted = Region(self.region.contig, self.region.start, min(self.region.stop, self.starts.stop))
+        for path in files(self.path, ".bam"):
             names, first = header(path)
-            index = linear_index(path)
-            stop, offsets = None, sorted({x for contig in index or [] for x in contig} - {0})
-            if index and self.region:
-                ref = names.index(self.region.contig) if self.region.contig in names else len(index)
-                mine = index[ref][max(self.region.start, 0) >> 14 :] if ref < len(index) else []
-                first = min((x for x in mine if x), default=None)
-                if first is None:
-                    continue
-                stop = min((x for contig in index[ref + 1 :] for x in contig if x), default=None)
-                offsets = [x for x in offsets if x > first and (stop is None or x < stop)]
+            index = read_index(path, ".bai", ".csi")
             if index is None:
                 system, where = open_path(path)
                 cuts = [first, *(x << 16 for x in range(self.split_bytes, system.get_file_info(where).size, self.split_bytes) if x > first >> 16)]
                 parts += [BamPart(path, names, a, b, len(parts) + i, searched=i > 0) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))]
                 continue
-            cuts = [first]
-            for offset in offsets:
-                if (offset >> 16) - (cuts[-1] >> 16) >= self.split_bytes:
-                    cuts.append(offset)
-            parts += [BamPart(path, names, a, b, len(parts) + i, bool(index)) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], stop], strict=True))]
+            offsets = index.offsets()
+            spans = index.chunks(names.index(wanted.contig) if wanted.contig in names else -1, wanted.start, wanted.stop) if wanted else [(first, None)]
+            for start, stop in spans:
+                cuts = [start]
+                for offset in offsets:
+                    if (offset >> 16) - (cuts[-1] >> 16) >= self.split_bytes and (stop is None or offset < stop):
+                        cuts.append(offset)
+                parts += [BamPart(path, names, a, b, len(parts) + i, True) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], stop], strict=True))]
         return parts or [BamPart("", [], 0, 0, 0)]
 
-    def read(self, partition: BamPart) -> Iterator[pa.RecordBatch]:
-        if partition.start == partition.stop:
-            return
-        start = partition.start
-        if partition.searched:
-            start = first_record(partition.path, start >> 16, (partition.stop or 1 << 64) >> 16, len(partition.names))
-            if start is None:
-                return
-        blocks, rows, n, region = _Blocks(partition.path, start), [], 0, self.region
-        ref = partition.names.index(region.contig) if region and region.contig in partition.names else -1
+    def records(self, partition: BamPart, blocks: Blocks) -> Iterator[tuple]:
+        n, region, starts = 0, self.region, self.starts
+        contig = region.contig if region else starts.contig if starts else None
+        ref = partition.names.index(contig) if contig in partition.names else -1
+        stop = min(region.stop if region else 1 << 62, starts.stop if starts and starts.contig == contig else 1 << 62)
         while partition.stop is None or blocks.offset < partition.stop:
             size = blocks.read(4)
             if len(size) < 4:
                 break
             data = blocks.read(struct.unpack("<i", size)[0])
             n += 1
-            if region:
+            if contig is not None:
                 on, pos = struct.unpack_from("<ii", data)
-                beyond = ref < 0 or on != ref or pos >= region.stop
-                if beyond and partition.sorted:
-                    break
-                found = None if beyond else _record(data, partition.names, region)
-            else:
-                found = _record(data, partition.names)
+                if ref < 0 or on != ref or pos >= stop:
+                    if partition.sorted:
+                        break
+                    continue
+                if not region and pos < starts.start:
+                    continue
+            found = _record(data, partition.names, region)
             if found:
-                rows.append((partition.nth << 40 | n - 1, *found))
+                yield (partition.nth << 40 | n - 1, *found)
+
+    def read(self, partition: BamPart) -> Iterator[pa.RecordBatch]:
+        if partition.start == partition.stop:
+            return
+        start = partition.start
+        if partition.searched:
+            start = first_record(partition.path, start >> 16, (partition.stop or 1 << 64) >> 16, len(partition.names))
+            if start is None:
+                return
+        rows: list[tuple] = []
+        for row in self.records(partition, Blocks(partition.path, start)):
+            rows.append(row)
             if len(rows) >= 4096:
                 yield self.batch(rows)
                 rows = []
@@ -315,11 +215,101 @@ class BamReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+class PushedBamReader(BamReader):
+    def pushFilters(self, filters: list) -> list:
+        """Filters on contig and ref_start choose blocks; Spark still applies them all."""
+        self.starts = pushed_region(filters, "contig", "ref_start")
+        return filters
+
+
+_CODES = bytes(BASES.index(chr(c).upper()) if chr(c).upper() in BASES else 15 for c in range(256))  # unknown letters are N
+_OPERATION = re.compile(r"(\d+)([MIDNSHP=X])")
+
+
+def _packed_record(name: str, ref: int, pos: int, mapq: int, flag: int, cigar: str, seq: str) -> tuple[bytes, int]:
+    """A record's bytes, and the position after its last; fields that aren't known get the format's defaults."""
+    ops = [int(n) << 4 | OPERATIONS.index(o) for n, o in _OPERATION.findall(cigar)]
+    stop, bases = pos + (sum(x >> 4 for x in ops if x & 15 in _ON_REFERENCE) or 1), "" if seq == "*" else seq
+    codes = bases.encode("latin-1", "replace").translate(_CODES) + b"\0" * (len(bases) & 1)
+    tags, field = b"", ops
+    if len(ops) > 0xFFFF:
+        tags, field = b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *ops), [len(bases) << 4 | 4, stop - pos << 4 | 3]
+    label = name.encode()[:254] + b"\0"
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(label), mapq, min(bin_of(max(pos, 0), max(stop, 1)), 0xFFFF), len(field), flag, len(bases), -1, -1, 0) + label + struct.pack(f"<{len(field)}I", *field)
+    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + b"\xff" * len(bases) + tags
+    return struct.pack("<i", len(body)) + body, stop
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    parts: list[str]
+
+
+class BamWriter(DataSourceArrowWriter):
+    """A task writes its file and index under names of its own; the driver gives them their places when all tasks are done."""
+
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.job, self.overwrite = options["path"].rstrip("/"), uuid.uuid4().hex, overwrite
+        self.contigs = [(n, int(length)) for n, _, length in (x.strip().rpartition(":") for x in options["contigs"].split(","))]
+        if not overwrite and exists(self.path) and files(self.path, ".bam"):
+            raise ValueError(f"{self.path} has BAM files already")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        task = TaskContext.get()
+        name = f"{self.path}/_temporary-{self.job}/part-{task.partitionId():05d}-{task.taskAttemptId()}.bam"
+        system, where = open_path(name)
+        system.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        out, index, refs, rows = Writer(name), Builder(len(self.contigs)), {c: i for i, (c, _) in enumerate(self.contigs)}, 0
+        text = b"@HD\tVN:1.6\tSO:coordinate\n" + b"".join(f"@SQ\tSN:{c}\tLN:{n}\n".encode() for c, n in self.contigs)
+        out.write(b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)) + b"".join(struct.pack("<i", len(c.encode()) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in self.contigs))
+        out.flush()
+        unplaced = False
+        for batch in iterator:
+            for r in batch.select([f.name for f in _ARROW if f.name != "read_ord"]).to_pylist():
+                rows += 1
+                unknown = r["contig"] is None or r["ref_start"] is None or r["ref_start"] < 0
+                ref, pos = (-1, -1) if unknown else (refs[r["contig"]], r["ref_start"])
+                data, stop = _packed_record(r["read_name"] or "*", ref, pos, 255 if r["mapq"] is None else r["mapq"], r["flag"] or 0, r["cigar"] or "*", r["seq"] or "*")
+                if len(out.rest) + len(data) > 65_280:
+                    out.flush()
+                begin = out.offset
+                out.write(data)
+                if unknown:
+                    unplaced = True
+                elif unplaced:
+                    raise ValueError("rows without a position must come last")
+                else:
+                    index.add(ref, pos, stop, begin, out.offset)
+        out.close()
+        if not rows and task.partitionId():
+            return Written([])
+        index.write_bai(name + ".bai")
+        return Written([name])
+
+    def commit(self, messages: list[Written]) -> None:
+        system, where = open_path(self.path)
+        if self.overwrite and exists(self.path):
+            for old in [*files(self.path, ".bam"), *files(self.path, ".bai")]:
+                system.delete_file(open_path(old)[1])
+        for name in (x for m in messages if m for x in m.parts):
+            place = open_path(name)[1]
+            final = f"{where}/{place.rsplit('/', 1)[1].rsplit('-', 1)[0]}.bam"
+            system.move(place + ".bai", final + ".bai")
+            system.move(place, final)
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        system, where = open_path(f"{self.path}/_temporary-{self.job}")
+        if exists(f"{self.path}/_temporary-{self.job}"):
+            system.delete_dir(where)
+
+
 class BamSource(DataSource):
-    """Options: path (a .bam file or a folder of them), splitBytes (compressed bytes per task, with an index), region.
+    """Options to read: path (a .bam file or a folder of them), splitBytes (compressed bytes per task), region.  To write: path (a folder), contigs (name:length, comma-separated).
 
-    ``region`` is contig:start-stop, 0-based and half-open; reads that overlap it come with the read_ord they have in
-    its part of the file.  With an index, only that part is read.
+    ``region`` is contig:start-stop, 0-based and half-open.  Reads have a read_ord that grows along the files, in the order of their names; where only
+    parts of a file are read, it counts in these.  Written reads keep name, contig, start, mapping quality, flag, CIGAR and bases; nulls become the
+    format's defaults, and reads without a position come last.
     """
 
     @classmethod
@@ -331,3 +321,21 @@ class BamSource(DataSource):
 
     def reader(self, schema) -> BamReader:
         return BamReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> BamWriter:
+        return BamWriter(self.options, overwrite)
+
+
+class PushedBamSource(BamSource):
+    """As BamSource, but filters on contig and ref_start choose the blocks that are read.
+
+    Load it anew for each scan: Spark 4.1 keeps the filters that were pushed last with a loaded DataFrame, and would use
+    them for its next scan too, in a self-join as in a later query.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_pushed"
+
+    def reader(self, schema) -> PushedBamReader:
+        return PushedBamReader(self.options)

@@ -15,7 +15,8 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import REFERENCE
-from .bam import Region, open_path
+from .bgzf import open_path
+from .binning import Region
 
 
 @dataclass(frozen=True)

@@ -1,14 +1,19 @@
 """File readers on small files."""
 
+import random
+import re
 import struct
 import zlib
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
-from lociflow.operators import variants
+from lociflow.operators import reads, variants
 from lociflow.schemas import READS
-from lociflow.sources import bam, fasta, text
+from lociflow.sources import bam, binning, fasta, text, vcf
+from lociflow.sources import bgzf as B
 from lociflow.streaming import pileup as S
 
 SAM = """@HD\tVN:1.6
@@ -142,7 +147,7 @@ def test_bam_with_and_without_index(spark, tmp_path):
     packed, places = bgzf(data, 777)
     path = tmp_path / "a.bam"
     path.write_bytes(packed)
-    spark.dataSource.register(bam.BamSource)
+    bam.register(spark, bam.BamSource)
 
     def read(**options):
         df = spark.read.format("bam").options(**options).load(str(path))
@@ -179,7 +184,7 @@ def test_bam_region_and_long_cigar(spark, tmp_path):
         where = next(f << 16 | at - p for p, f in reversed(places) if p <= at)
         for w in range(pos >> 14, (end - 1 >> 14) + 1):
             index[ref].setdefault(w, where)
-    spark.dataSource.register(bam.BamSource)
+    bam.register(spark, bam.BamSource)
 
     def check(**options):
         for region in (("chr1", 30_000, 31_000), ("chr3", 0, 138), ("chr2", 0, 10**6), ("none", 0, 9), ("chr3", 41_000, 900_000), ("chr1", 900_000, 900_001)):
@@ -212,3 +217,164 @@ def test_streaming_counts(spark, tmp_path):
     rows = last.orderBy("pos").select("pos", "coverage", "mismatches").collect()
     assert [tuple(r) for r in rows] == [(0, 2, 0), (1, 2, 0), (2, 2, 2), (3, 2, 0)]
     assert last.agg(F.sum("edits")).first()[0] == 2
+
+
+CONTIGS = {"chr1": 400_000, "chr2": 90_000, "chr10": 5_000}
+
+
+def made_reads(spark, n=3000, seed=4):
+    rng = random.Random(seed)
+    rows = []
+    for contig, length in CONTIGS.items():
+        for start in sorted(rng.randrange(length - 200) for _ in range(n)):
+            k = rng.randint(1, 60)
+            cigar = rng.choice([f"{k}M", f"2S{k}M", f"{k}M20D1M", f"{k}M30000N1M", f"3H{k}M1I"])
+            size = sum(int(x) for x, o in re.findall(r"(\d+)([MIS])", cigar))
+            rows.append((len(rows), f"r{len(rows)}", contig, start, rng.randrange(61), rng.randrange(4096), cigar, "".join(rng.choice("ACGTN") for _ in range(size))))
+    rows.append((len(rows), "loose", None, -1, 0, 4, "*", "ACG"))
+    return rows, spark.createDataFrame(rows, READS)
+
+
+def written_bam(spark, path, df, parts=3):
+    bam.register(spark, bam.BamSource)
+    df.repartitionByRange(parts, "read_ord").sortWithinPartitions("read_ord").write.format("bam").option("contigs", ",".join(f"{c}:{n}" for c, n in CONTIGS.items())).mode("append").save(path)
+
+
+def blocks_of(reader):
+    """Compressed bytes that the reader's tasks load, and the rows they give."""
+    n, rows = 0, []
+    for part in reader.partitions():
+        if part.path:
+            blocks = B.Blocks(part.path, part.start)
+            rows += reader.records(part, blocks)
+            n += blocks.loaded
+    return n, rows
+
+
+def test_bam_written_and_read(spark, tmp_path):
+    rows, df = made_reads(spark)
+    path = str(tmp_path / "out")
+    written_bam(spark, path, df)
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == sorted(f"part-0000{i}.bam{e}" for i in range(3) for e in ("", ".bai"))
+    for options in ({}, {"splitBytes": 5000}):
+        got = spark.read.format("bam").options(**options).load(path)
+        assert [tuple(r)[1:] for r in got.orderBy("read_ord").collect()] == [r[1:] for r in rows]
+        assert got.select("read_ord").distinct().count() == len(rows)
+    for x in (tmp_path / "out").glob("*.bai"):
+        x.unlink()
+    assert [tuple(r)[1:] for r in spark.read.format("bam").options(splitBytes=5000).load(path).orderBy("read_ord").collect()] == [r[1:] for r in rows]
+
+
+def test_bam_filters_reach_the_index(spark, tmp_path):
+    rows, df = made_reads(spark, 12_000)
+    path = str(tmp_path / "out")
+    written_bam(spark, path, df)
+    bam.register(spark, bam.PushedBamSource)
+    got = lambda: spark.read.format("bam_pushed").load(path)
+    near = got().where((F.col("contig") == "chr1") & (F.col("ref_start") >= 100_000) & (F.col("ref_start") < 101_000))
+    assert [r["read_name"] for r in near.orderBy("read_ord").collect()] == [r[1] for r in rows if r[2] == "chr1" and 100_000 <= r[3] < 101_000]
+    assert got().where("contig = 'chr2' and ref_start = 7 or contig = 'chr10'").count() == sum(r[2] == "chr10" or (r[2], r[3]) == ("chr2", 7) for r in rows)
+    assert got().where("contig = 'none'").count() == 0 and got().where("contig is null").count() == 1
+    over = reads.in_region(got(), "chr1", 200_000, 200_500, max_span=31_000)
+    assert over.count() == sum(r[2] == "chr1" and r[3] < 200_500 and r[3] + cigar_span(r[6]) > 200_000 for r in rows)
+
+    def read(*filters, **options):
+        reader = bam.PushedBamReader({"path": path, **options})
+        list(reader.pushFilters(list(filters)))
+        return blocks_of(reader)
+
+    contig, least, below = D.EqualTo(("contig",), "chr1"), D.GreaterThanOrEqual(("ref_start",), 100_000), lambda n: D.LessThan(("ref_start",), n)
+    every, few, more = read()[0], read(contig, least, below(100_100)), read(contig, least, below(300_000))
+    assert len(few[1]) == sum(r[2] == "chr1" and 100_000 <= r[3] < 100_100 for r in rows)
+    assert few[0] < more[0] / 2 < every / 3
+    assert read(region="chr1:100000-100100")[0] < every / 3
+
+
+def cigar_span(cigar):
+    return sum(int(n) for n, o in re.findall(r"(\d+)([MDN])", cigar))
+
+
+def test_bam_writer_refuses(spark, tmp_path):
+    _, df = made_reads(spark, 20)
+    with pytest.raises(PySparkException, match="order"):
+        df.orderBy(F.col("read_ord").desc()).where("contig is not null").coalesce(1).write.format("bam").option("contigs", "chr1:9,chr2:9,chr10:9").mode("append").save(str(tmp_path / "x"))
+    assert not list((tmp_path / "x").glob("part*"))  # nothing is left of a failed job
+    written_bam(spark, str(tmp_path / "y"), df.limit(0))
+    assert spark.read.format("bam").load(str(tmp_path / "y")).count() == 0
+    with pytest.raises(Exception, match="already"):
+        df.write.format("bam").option("contigs", "chr1:9").mode("append").save(str(tmp_path / "y"))
+
+
+def test_bins_of_positions():
+    """Every bin that can hold a row that overlaps a region touches it, at each depth."""
+    rng = random.Random(1)
+    for shift, depth in ((14, 5), (14, 7), (3, 2)):
+        most = 1 << shift + 3 * depth
+        for _ in range(3000):
+            a, b = sorted(rng.sample(range(most + 1), 2))
+            c = min(most - 1, max(0, rng.choice([a, b]) + rng.randrange(-9, 9)))
+            d = min(most, c + rng.randrange(1, 50))
+            if a < d and c < b:
+                assert any(binning.bin_of(a, b, shift, depth) in x for x in binning.bins_touching(c, d, shift, depth))
+
+
+def made_records(spark, n=4000):
+    rng = random.Random(8)
+    rows = []
+    for contig, length in CONTIGS.items():
+        for pos in sorted(rng.randrange(1, length) for _ in range(n)):
+            rows.append((len(rows), contig, pos, rng.choice(["A", "AC", "G" * 300]), rng.choice(["T", "T,GG", "."]), rng.choice([None, 10.0, 50.5]), rng.choice(["PASS", "q10"]), rng.choice(["0/1", "1|1", "./."])))
+    return rows, spark.createDataFrame(rows, vcf.RAW)
+
+
+def written_vcf(spark, path, df, parts=3):
+    vcf.register(spark, vcf.VcfSource, vcf.PushedVcfSource)
+    df.repartitionByRange(parts, "rec_ord").sortWithinPartitions("rec_ord").write.format("vcf").mode("append").save(path)
+
+
+def test_indexed_vcf(spark, tmp_path):
+    rows, df = made_records(spark)
+    path = str(tmp_path / "out")
+    written_vcf(spark, path, df)
+    for options in ({}, {"splitBytes": 3000}, {"splitBytes": 20_000}):
+        got = spark.read.format("vcf").options(**options).load(path)
+        assert [tuple(r)[1:] for r in got.orderBy("rec_ord").collect()] == [r[1:] for r in rows], options
+    over = lambda c, a, b: [r[1:] for r in rows if r[1] == c and r[2] - 1 < b and r[2] - 1 + len(r[3]) > a]
+    for region in (("chr1", 100_000, 101_000), ("chr2", 0, 1), ("chr2", 89_000, 10**9), ("chr10", 100, 200), ("none", 0, 9), ("chr1", 16_384, 16_385)):
+        got = spark.read.format("vcf").option("region", "{}:{}-{}".format(*region)).load(path)
+        assert [tuple(r)[1:] for r in got.orderBy("rec_ord").collect()] == over(*region), region
+    near = spark.read.format("vcf_pushed").load(path).where("contig = 'chr1' and pos > 5000 and pos <= 5400")
+    assert [tuple(r)[1:] for r in near.orderBy("rec_ord").collect()] == [r[1:] for r in rows if r[1] == "chr1" and 5000 < r[2] <= 5400]
+    assert text.read_vcf(spark, path + "/*.vcf.gz").count() == len(rows)  # a plain gzip reader takes the blocks too
+
+    def read(region):
+        return blocks_of(vcf.VcfReader({"path": path} | ({"region": region} if region else {})))[0]
+
+    assert read("chr1:100000-100100") < read("chr1:100000-300000") / 2 < read(None) / 3
+
+
+def test_csi_index(spark, tmp_path):
+    """The same regions by a .csi of other widths, made here from the lines' places."""
+    rows, df = made_records(spark, 600)
+    written_vcf(spark, str(tmp_path / "out"), df, 1)
+    path = tmp_path / "out" / "part-00000.vcf.gz"
+    names, blocks, contigs = list(CONTIGS), B.Blocks(str(path)), [{} for _ in CONTIGS]
+    while True:
+        begin = blocks.offset
+        line = blocks.line()
+        if line is None:
+            break
+        if line[:1] != b"#":
+            f = line.decode().split("\t")
+            a, b = int(f[1]) - 1, int(f[1]) - 1 + len(f[3])
+            contigs[names.index(f[0])].setdefault(binning.bin_of(a, b, 10, 4), []).append((begin, blocks.offset))
+    joined = b"".join(n.encode() + b"\0" for n in names)
+    extra = struct.pack("<7i", 2, 1, 2, 0, 35, 0, len(joined)) + joined
+    out = b"CSI\1" + struct.pack("<iii", 10, 4, len(extra)) + extra + struct.pack("<i", len(names))
+    for bins in contigs:
+        out += struct.pack("<i", len(bins)) + b"".join(struct.pack("<IQi", k, 0, len(v)) + b"".join(struct.pack("<2Q", *x) for x in v) for k, v in bins.items())
+    path.with_name(path.name + ".tbi").unlink()
+    path.with_name(path.name + ".csi").write_bytes(bgzf(out, 5000)[0])
+    for c, a, b in (("chr1", 100_000, 120_000), ("chr2", 0, 400), ("chr10", 4000, 9000)):
+        got = spark.read.format("vcf").option("region", f"{c}:{a}-{b}").load(str(path))
+        assert [tuple(r)[1:] for r in got.orderBy("rec_ord").collect()] == [r[1:] for r in rows if r[1] == c and r[2] - 1 < b and r[2] - 1 + len(r[3]) > a]
