@@ -29,20 +29,44 @@ def equal_chunks(lengths: DataFrame, n: int, overlap: int = 1000) -> DataFrame:
     return rows.select("contig", "chunk_id", (F.col("chunk_id") * size).cast("int").alias("start"), ((F.col("chunk_id") + 1) * size + overlap).cast("int").alias("stop"))
 
 
-def _bins(start: Column, stop: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor((stop - 1) / width)))
+#: Levels of bins, each eight times as wide as the one before; the widest of the default width hold any contig.
+LEVELS = 8
+
+
+def _level(width: int) -> Column:
+    """The first level whose bins are as wide as the interval is long; it touches two of them at most."""
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        out = F.when(F.col("stop").cast("long") - F.col("start") <= width << 3 * k, k).otherwise(out)
+    return out.cast("int")
+
+
+def _places(width: int, levels: Column) -> Column:
+    """(level, bin) of the bins that an interval touches, for these levels."""
+    wide = lambda k: F.call_function("shiftleft", F.lit(width).cast("long"), 3 * k)
+    touched = lambda k: F.transform(F.sequence(F.floor(F.col("start") / wide(k)), F.floor((F.col("stop") - 1) / wide(k))), lambda b: F.struct(k.alias("level"), b.alias("bin")))
+    return F.flatten(F.transform(levels, touched))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, width: int = 16_384) -> DataFrame:
     """Pairs of rows on the same contig whose half-open (start, stop) overlap, as structs ``l`` and ``r``.
 
-    Both sides are put into bins of a fixed width, so that the join is on equal keys; a pair that shares several
-    bins is given in the first of them only.  Empty intervals overlap nothing.
+    An interval's level is that whose bins are as wide as it is long.  A pair meets at the higher of its two levels, where each touches two bins at most,
+    however long it is, so the join is on equal keys.  Rows of ``left`` are put on their own level and on the higher ones that ``right``, which should
+    be the smaller side and is read for that first, has; rows of ``right`` on their own and all higher ones.  A pair that shares two bins is given in the first.
+    Empty intervals overlap nothing.
     """
-    binned = lambda df, name: df.where("stop > start").select(F.struct(*df.columns).alias(name), "contig", _bins(F.col("start"), F.col("stop"), width).alias("bin"))
-    joined = binned(left, "l").join(binned(right, "r"), ["contig", "bin"])
-    first = F.floor(F.greatest("l.start", "r.start") / width)
-    return joined.where((F.col("l.start") < F.col("r.stop")) & (F.col("r.start") < F.col("l.stop")) & (F.col("bin") == first)).select("l", "r")
+
+    def binned(df: DataFrame, name: str, levels: Column) -> DataFrame:
+        kept = df.where("stop > start").withColumn("_level", _level(width))
+        return kept.select(F.struct(*df.columns).alias(name), "contig", F.col("_level").alias(f"{name}_level"), F.explode(_places(width, levels)).alias("_at")).select("*", "_at.level", "_at.bin").drop("_at")
+
+    there = [r[0] for r in right.where("stop > start").select(_level(width)).distinct().collect()]  # LEVELS rows at most
+    own_and_theirs = F.array_distinct(F.concat(F.array("_level"), F.filter(F.array(*map(F.lit, sorted(there))).cast("array<int>"), lambda k: k > F.col("_level"))))
+    joined = binned(left, "l", own_and_theirs).join(binned(right, "r", F.sequence("_level", F.lit(LEVELS - 1))), ["contig", "level", "bin"])
+    first = F.floor(F.greatest("l.start", "r.start") / F.call_function("shiftleft", F.lit(width).cast("long"), 3 * F.col("level")))
+    overlap = (F.col("l.start") < F.col("r.stop")) & (F.col("r.start") < F.col("l.stop"))
+    return joined.where((F.col("level") == F.greatest("l_level", "r_level")) & overlap & (F.col("bin") == first)).select("l", "r")
 
 
 def intersect(a: DataFrame, b: DataFrame, width: int = 16_384) -> DataFrame:
@@ -62,8 +86,8 @@ def assign_chunks(reads: DataFrame, chunk_rows: DataFrame, width: int = 16_384)
 def merge_windows(positions: DataFrame, distance: int = 0, offset: int = 0, adjacent: bool = True) -> DataFrame:
     """contig, start, stop, n: runs of positions at most ``distance`` apart, widened by ``offset`` on both sides; stop is inclusive.
 
-    ``adjacent``: whether neighbouring positions have distance 0.  Runs are found inside bins of positions first; only the runs,
-    not the positions, are then ordered along a contig.
+    ``adjacent``: whether neighbouring positions have distance 0.  Runs are found inside bins of positions first.  Those between a bin's first and last are
+    whole; only these two, at most, of each bin are then ordered along a contig.
     """
     gap = distance + (1 if adjacent else 0)
     bins = positions.select("contig", "pos").distinct().withColumn("_bin", F.floor(F.col("pos") / 65_536))
@@ -75,7 +99,11 @@ def merge_windows(positions: DataFrame, distance: int = 0, offset: int = 0, adja
         return numbered.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n")).drop("_run")
 
     local = runs(bins.select("contig", "_bin", F.col("pos").alias("start"), F.col("pos").alias("stop"), F.lit(1).cast("long").alias("n")), ["contig", "_bin"])
-    return runs(local.drop("_bin"), ["contig"]).select("contig", (F.col("start") - offset).alias("start"), (F.col("stop") + offset).alias("stop"), "n")
+    inside = Window.partitionBy("contig", "_bin")
+    marked = local.withColumn("_border", (F.col("start") == F.min("start").over(inside)) | (F.col("start") == F.max("start").over(inside)))
+    over_borders = runs(marked.where("_border").drop("_bin", "_border"), ["contig"])
+    whole = marked.where("not _border").select("contig", "start", "stop", "n").unionByName(over_borders)
+    return whole.select("contig", (F.col("start") - offset).alias("start"), (F.col("stop") + offset).alias("stop"), "n")
 
 
 def numbered(intervals: DataFrame) -> DataFrame:

@@ -311,3 +311,41 @@ def test_running_counts(monkeypatch, laid_out):
             else:
                 c[a:b] += 1
         assert list(zip(*map(list, pileup.running_counts(start, stop, one, cov, mm)), strict=True)) == want
+
+
+def test_overlaps_of_short_and_long_intervals(spark):
+    """Against all pairs, and how many rows an interval becomes."""
+    rng = random.Random(6)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            length = int(2 ** rng.uniform(-1, 28)) if rng.random() < 0.5 else rng.randrange(0, 40)
+            start = rng.randrange(1 << 20) if rng.random() < 0.5 else rng.choice([0, 16, 127, 128, 1023, 1024])
+            out.append((rng.choice(["a", "b"]), start, start + length, i))
+        return out
+
+    a, b = some(250), some(120)
+    left, right = (spark.createDataFrame(x, "contig string, start int, stop int, name int") for x in (a, b))
+    want = sorted((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2] and x[1] < x[2] and y[1] < y[2])
+    for width in (16, 16_384):
+        assert column(intervals.overlap_join(left, right, width).select(F.col("l.name").alias("x"), F.col("r.name").alias("y")), "x", "y") == want
+    whole = spark.createDataFrame([("a", 3, 200_000_003, 0)], left.schema)
+    places = whole.withColumn("_level", intervals._level(16_384)).select(F.size(intervals._places(16_384, F.sequence("_level", F.lit(intervals.LEVELS - 1)))))
+    assert places.first()[0] <= 2 * intervals.LEVELS
+    assert intervals.overlap_join(left, whole).count() == sum(x[0] == "a" and x[2] > 3 and x[1] < x[2] for x in a)
+    assert intervals.overlap_join(left, right.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("distance", "adjacent"), [(0, True), (3, True), (90_000, True), (2, False)])
+def test_merged_windows_over_many_bins(spark, distance, adjacent):
+    rng = random.Random(distance)
+    at = sorted({rng.choice([rng.randrange(400_000), 65_536 * rng.randrange(6) + rng.randrange(-3, 4), rng.randrange(120)]) for _ in range(700)} - set(range(-9, 0)))
+    gap, want = distance + (1 if adjacent else 0), []
+    for p in at:
+        if want and p - want[-1][1] <= gap:
+            want[-1] = (want[-1][0], p, want[-1][2] + 1)
+        else:
+            want.append((p, p, 1))
+    rows = spark.createDataFrame([("c", p) for p in at for _ in range(2)], "contig string, pos int")
+    assert column(intervals.merge_windows(rows, distance, adjacent=adjacent), "start", "stop", "n") == want
