@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import PileupConfig
 from ..functions.genotype import DELETED, INSERTION, SNP_OR_DELETION
 from ..session import cut
-from .reads import cigar_ops, valid_reads, well_mapped
+from .reads import by_flags, cigar_ops, valid_reads, well_mapped
 
 SITE = ("contig", "pos")
 ARRIVAL = ("read_ord", "op_idx")
@@ -48,7 +48,11 @@ def _pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: Pil
     size = F.length("piece_bases")
     pieces = pieces.withColumn("read_bases", F.substring("bases", (F.col("piece_start") - F.col("start") + 1).cast("int"), size))
     alleles = F.when(F.col("op") == "M", F.split("read_bases", "")).when(inserted, F.array("bases")).otherwise(F.array_repeat(F.lit(DELETED), size))
-    both = F.arrays_zip(F.split("piece_bases", "").alias("ref_base"), alleles.alias("allele"))
+    zipped = [F.split("piece_bases", "").alias("ref_base"), alleles.alias("allele")]
+    if "quals" in pieces.columns:  # none for insertions, deletions and skips, and where a read has none
+        quals = F.when((F.col("op") == "M") & (F.length("quals") == F.length("bases")), F.split(F.substring("quals", (F.col("piece_start") - F.col("start") + 1).cast("int"), size), ""))
+        zipped.append(F.coalesce(quals, F.array().cast("array<string>")).alias("qual"))
+    both = F.arrays_zip(*zipped)
     cls = F.when(inserted, INSERTION).otherwise(SNP_OR_DELETION)
     return pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", size.alias("size"), cls.alias("cls"), ((F.col("op") == "M") & (F.col("read_bases") == F.col("piece_bases"))).alias("same"), both.alias("both"))
 
@@ -57,7 +61,8 @@ def events(reads: DataFrame, reference: DataFrame, block_size: int, config: Pile
     """One row per read and position it has something to say on.
 
     contig, pos, read_ord, op_idx, cls (0 base or deletion, 1 insertion), allele, ref_base, cov, mm, edit.  Deletions
-    and skips give ``*`` at every position; an insertion stands at the base before it and covers nothing.
+    and skips give ``*`` at every position; an insertion stands at the base before it and covers nothing.  If ``reads`` have a column ``qual``
+    (qualities as SAM writes them), so have events, with the quality of the base as a number; it is null where there is none.
     """
     pieces = _pieces(reads, reference, block_size, config, keep)
     placed = pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", "cls", F.posexplode_outer("both").alias("k", "base"))  # outer, else both is also computed to test its size
@@ -65,6 +70,7 @@ def events(reads: DataFrame, reference: DataFrame, block_size: int, config: Pile
     return placed.select(
         "contig", (F.col("piece_start") + F.col("k")).cast("int").alias("pos"), *ARRIVAL, *keep, "cls", F.col("base.allele").alias("allele"), F.col("base.ref_base").alias("ref_base"),
         (F.col("op") != "I").cast("int").alias("cov"), mismatch.cast("int").alias("mm"), (mismatch & F.col("op").isin("M", "I")).cast("int").alias("edit"),
+        *([(F.ascii("base.qual") - 33).alias("qual")] if "qual" in reads.columns else []),
     )
 
 
@@ -73,7 +79,7 @@ def sparse_events(reads: DataFrame, reference: DataFrame, block_size: int, confi
 
     contig, pos, stop, read_ord, op_idx, cls, allele, ref_base; cls is null for a stretch.  Matching bases give no rows.
     """
-    pieces = _pieces(reads, reference, block_size, config, keep)
+    pieces = _pieces(reads.drop("qual"), reference, block_size, config, keep)
     whole = F.array(F.struct(F.lit(None).cast("string").alias("ref_base"), F.lit(None).cast("string").alias("allele")))  # stands for the stretch
     shown = F.when(F.col("same"), whole).otherwise(F.concat(whole, "both"))  # most pieces of most reads are the reference's, and no base of them is looked at
     placed = pieces.select("contig", *ARRIVAL, *keep, "op", "piece_start", "size", "cls", F.posexplode_outer(shown).alias("k", "base"))
@@ -108,6 +114,26 @@ def columns(events: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
     return events.where("cov = 1").groupBy(*by).agg(F.count("*").alias("n_reads"), F.array_join(F.transform(seen, lambda x: x["allele"]), "").alias("bases"))
 
 
+def pileup_scan(
+    reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(min_mapq=-1),
+    max_depth: int = 8000, exclude_flags: int = 0x704, require_flags: int = 0, min_base_quality: int = 13,
+) -> DataFrame:
+    """contig, pos, n_reads, bases: columns() of the reads and bases that pass, of each position the first ``max_depth`` to arrive.
+
+    By default unmapped, secondary, failed and duplicate reads are left out.  Bases under ``min_base_quality`` are, too; those without a quality, deletions and skips
+    stay.  A position's first bases are chosen in each run of reads, then the runs before a run tell how many of its own stay, so no list is longer than ``max_depth``.
+    """
+    found = events(by_flags(reads, exclude_flags, require_flags), reference, block_size, config).where("cov = 1")
+    if "qual" in found.columns:
+        found = found.where(F.coalesce(F.col("qual") >= min_base_quality, F.lit(True)))
+    run = [*SITE, "run"]
+    in_run = found.select(*SITE, *ARRIVAL, "allele", F.shiftright("read_ord", RUN_BITS).alias("run")).withColumn("nth", F.row_number().over(Window.partitionBy(*run).orderBy(*ARRIVAL))).where(F.col("nth") <= max_depth)
+    before = Window.partitionBy(*SITE).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = in_run.groupBy(*run).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < max_depth)
+    first = in_run.join(counts, run).where(F.col("before") + F.col("nth") <= max_depth)
+    return columns(first.withColumn("cov", F.lit(1)))
+
+
 def mismatching_reads(events: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
     """read_names: array of the reads with a mismatch at each position, in order of arrival (``events`` must keep read_name)."""
     seen = F.array_sort(F.collect_list(F.struct(*ARRIVAL, "read_name")))

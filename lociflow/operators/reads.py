@@ -68,11 +68,16 @@ def cigar_ops(reads: DataFrame, *keep: str) -> DataFrame:
     """One row per CIGAR operation: read_ord, op_idx, op, n, rp, qp, bases, and the columns to keep.
 
     ``rp`` is the offset from the alignment start, ``qp`` the offset into the read, ``bases`` what M and I have of
-    the read, so that later rows don't carry the read itself.
+    the read, so that later rows don't carry the read itself; with a column ``qual`` also ``quals``, their qualities.
     """
-    seq = F.col("seq")
-    cut = lambda x: F.struct(
-        x["op"].alias("op"), x["n"].alias("n"), x["rp"].alias("rp"), x["qp"].alias("qp"),
-        F.when(x["op"].isin("M", "I"), F.substring(seq, (x["qp"] + 1).cast("int"), x["n"])).alias("bases"))
+    own = {"bases": "seq"} | ({"quals": "qual"} if "qual" in reads.columns else {})
+    part = lambda x, c: F.when(x["op"].isin("M", "I"), F.substring(F.col(c), (x["qp"] + 1).cast("int"), x["n"]))
+    cut = lambda x: F.struct(*[x[c].alias(c) for c in ("op", "n", "rp", "qp")], *[part(x, c).alias(name) for name, c in own.items()])
     ops = F.transform(C.with_offsets(C.parse_cigar("cigar")), cut)
-    return reads.select("read_ord", *keep, F.posexplode(ops).alias("op_idx", "o")).select("read_ord", *keep, "op_idx", "o.op", "o.n", "o.rp", "o.qp", "o.bases")
+    return reads.select("read_ord", *keep, F.posexplode(ops).alias("op_idx", "o")).select("read_ord", *keep, "op_idx", *[f"o.{c}" for c in ("op", "n", "rp", "qp", *own)])
+
+
+def by_flags(reads: DataFrame, exclude: int = 0, require: int = 0) -> DataFrame:
+    """Reads with none of the excluded flag bits and all of the required ones; a null flag is 0."""
+    flag = F.coalesce(F.col("flag"), F.lit(0))
+    return reads.where((flag.bitwiseAND(F.lit(exclude)) == 0) & (flag.bitwiseAND(F.lit(require)) == require))

@@ -31,9 +31,9 @@ def label_candidates(read_rows: DataFrame, reference: DataFrame, records: DataFr
     return labels.label_alleles(found, variants.decompose(records, config=config), config)
 
 
-def label_region(read_rows: DataFrame, reference: DataFrame, records: DataFrame, block_size: int, contig: str, start: int, stop: int, config: PileupConfig = PileupConfig()) -> DataFrame:
-    """The six output columns for the candidates of one region, positions start to stop, both included."""
-    near = reads.in_region(read_rows, contig, start, stop)
+def label_region(read_rows: DataFrame, reference: DataFrame, records: DataFrame, block_size: int, contig: str, start: int, stop: int, config: PileupConfig = PileupConfig(), max_span: int | None = None) -> DataFrame:
+    """The six output columns for the candidates of one region, positions start to stop, both included; ``max_span`` as in_region() has it."""
+    near = reads.in_region(read_rows, contig, start, stop, max_span)
     found = pileup.clip(pileup.sparse_events(near, reference.where(F.col("contig") == contig), block_size, config), F.lit(start), F.lit(stop))
     truth = variants.decompose(records.where(F.col("contig") == contig), config=config)
     return labels.labelled_rows(labels.label_alleles(pileup.candidate_alleles(found, config), truth, config))

@@ -42,6 +42,14 @@ def src3_pileup_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.columns(events(spark, sf_dir))
 
 
+def src3_filtered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns without the reads that are marked as duplicates, without bases of a low quality, and of no more than 20 reads; through a SAM file with qualities."""
+    path = new_path(spark, "sam")
+    marked = A.reads(spark, sf_dir).withColumn("flag", F.when(F.col("read_ord") % 10 == 0, 0x400).otherwise(0)).withColumn("qual", F.expr("substr(repeat('+5?I', 20), cast(read_ord % 4 as int) + 1, length(seq))"))
+    text.render_sam(marked.repartitionByRange(4, "read_ord").sortWithinPartitions("read_ord")).write.text(path)
+    return pileup.pileup_scan(text.read_sam(spark, path, qualities=True), A.reference(spark, sf_dir), A.BLOCK, PileupConfig(), max_depth=20, min_base_quality=20)
+
+
 def src5_reference_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference under each read, pieced together over block borders."""
     spans = R.with_end(A.reads(spark, sf_dir)).select("read_ord", "contig", F.col("ref_start").alias("start"), F.col("ref_end").alias("stop"))
@@ -259,7 +267,7 @@ def flt8_supported_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def par5_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.label_region(A.reads(spark, sf_dir), A.reference(spark, sf_dir), A.records(spark, sf_dir), A.BLOCK, *region(spark, sf_dir))
+    return pipelines.label_region(A.reads(spark, sf_dir), A.reference(spark, sf_dir), A.records(spark, sf_dir), A.BLOCK, *region(spark, sf_dir), max_span=2 * A.BLOCK)
 
 
 def par5_chunk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +352,7 @@ def src12_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        src1_sam_roundtrip, src1_bam_roundtrip, src1_files_labelled, src2_region_scan, src2_bam_region, src3_pileup_columns, src4_fasta_roundtrip, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src7_region_scan, src7_indexed_roundtrip, src7_indexed_region, src8_records, src9_bed_load, src10_list_to_bed, src11_bed_index, src12_list_files,
+        src1_sam_roundtrip, src1_bam_roundtrip, src1_files_labelled, src2_region_scan, src2_bam_region, src3_pileup_columns, src3_filtered_columns, src4_fasta_roundtrip, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src7_region_scan, src7_indexed_roundtrip, src7_indexed_region, src8_records, src9_bed_load, src10_list_to_bed, src11_bed_index, src12_list_files,
         lim1_first_filter, fn4_odd_alts, flt10_invalid_reads, flt1_mapq, flt8_supported, flt8_supported_lists, exp1_cigar_ops, exp2_mismatch_events, agg1_pileup, agg4_reads_by_position, agg5_allele_histogram, agg7_covered_reference, agg9_genotype_counts,
         agg10_position_index, agg11_region_json, win1_candidates_running, win1_candidates_final, win3_merge_windows, win3_merge_windows_apart, topk1_alleles, topk1_alleles_commonest, prj1_candidate_sites,
         vcf_decompose, vcf_decompose_unchanged, fn13_record_text, join1_chunk_overlap, join3_label, join3_label_one_position, join3_label_none, join5_intersect, par1_chunks, par2_equal_chunks,

@@ -51,14 +51,18 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.withColumn("_place", place).select("value", "file", (F.shiftleft(split, _PLACE_BITS) + F.col("_place")).alias("line_ord"))
 
 
-def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The reads of SAM files (compressed or not) as READS, in the order of the files' names; header lines are left out, ``*`` as contig is null."""
+def read_sam(spark: SparkSession, path: str | list[str], qualities: bool = False) -> DataFrame:
+    """The reads of SAM files (compressed or not) as READS, in the order of the files' names; header lines are left out, ``*`` as contig is null.
+
+    ``qualities`` adds qual, the bases' qualities as the file writes them, null for ``*``.
+    """
     fields = F.split("value", "\t", 12)
     field = lambda i: F.get(fields, F.lit(i))
     rows = read_lines(spark, path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     return rows.select(
         F.col("line_ord").alias("read_ord"), field(0).alias("read_name"), F.nullif(field(2), F.lit("*")).alias("contig"), (field(3).cast("int") - 1).alias("ref_start"),
         field(4).cast("int").alias("mapq"), field(1).cast("int").alias("flag"), field(5).alias("cigar"), field(9).alias("seq"),
+        *([F.nullif(field(10), F.lit("*")).alias("qual")] if qualities else []),
     )
 
 
@@ -129,7 +133,7 @@ def render_sam(reads: DataFrame) -> DataFrame:
     """value: one SAM line per read; unknown fields get their defaults."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
     flag = F.coalesce(F.col("flag").cast("string"), F.lit("0")) if "flag" in reads.columns else F.lit("0")
-    return reads.select(F.concat_ws("\t", text("read_name"), flag, text("contig"), (F.col("ref_start") + 1).cast("string"), F.col("mapq").cast("string"), text("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), text("seq"), F.lit("*")).alias("value"))
+    return reads.select(F.concat_ws("\t", text("read_name"), flag, text("contig"), (F.col("ref_start") + 1).cast("string"), F.col("mapq").cast("string"), text("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), text("seq"), text("qual") if "qual" in reads.columns else F.lit("*")).alias("value"))
 
 
 def render_vcf(raw: DataFrame) -> DataFrame:

@@ -349,3 +349,28 @@ def test_merged_windows_over_many_bins(spark, distance, adjacent):
             want.append((p, p, 1))
     rows = spark.createDataFrame([("c", p) for p in at for _ in range(2)], "contig string, pos int")
     assert column(intervals.merge_windows(rows, distance, adjacent=adjacent), "start", "stop", "n") == want
+
+
+def test_pileup_scan(spark, monkeypatch):
+    """Flags, base qualities and the first arrivals over many runs, against a plain walk."""
+    monkeypatch.setattr(pileup, "RUN_BITS", 3)
+    rng, ref, rows, want = random.Random(12), "ACGTACGTACGTACGTACGTACGTACGT", [], {}
+    for i in range(400):
+        start, n, flag = rng.randrange(20), rng.randrange(1, 6), rng.choice([0, 0, 0, 16, 0x400, 4, 0x100])
+        cigar, seq = rng.choice([(f"{n}M", n), (f"1S{n}M", n + 1), (f"{n}M1D1M", n + 1), (f"{n}M1I", n + 1)])
+        bases, quals = "".join(rng.choice("ACGT") for _ in range(seq)), rng.choice([None, "".join(chr(33 + rng.randrange(30)) for _ in range(seq))])
+        rows.append((i, f"r{i}", "c", start, 60, flag, cigar, bases, quals))
+        if flag & 0x704 or flag & 16:
+            continue
+        a, q = start, 0
+        for k, op in re.findall(r"(\d+)([MIDS])", cigar):
+            for j in range(int(k)):
+                if op == "D" or op == "M" and (quals is None or ord(quals[q + j]) - 33 >= 13):
+                    want.setdefault(a + j, []).append("*" if op == "D" else bases[q + j])
+            a, q = a + int(k) * (op in "MD"), q + int(k) * (op in "MIS")
+    made = spark.createDataFrame(rows, READS + ", qual string")
+    for depth in (1, 7, 8000):
+        got = pileup.pileup_scan(made, reference(spark, c=ref), BLOCK, max_depth=depth, exclude_flags=0x704 | 16)
+        assert column(got, "pos", "n_reads", "bases") == sorted((p, min(depth, len(x)), "".join(x[:depth])) for p, x in want.items())
+    assert reads.by_flags(made, require=16).count() == sum(r[5] == 16 for r in rows)
+    assert pileup.pileup_scan(made.drop("qual"), reference(spark, c=ref), BLOCK, min_base_quality=99).count() > 0
