@@ -160,6 +160,8 @@ bases AS (SELECT e.contig, e.pos, e.read_ord, e.op_idx, e.allele, e.op, o.qp + e
 kept AS (SELECT *, row_number() OVER (PARTITION BY contig, pos ORDER BY read_ord, op_idx) AS nth FROM bases WHERE read_ord % 10 <> 0 AND (op <> 'M' OR ascii(substr('+5?I', ((read_ord + place) % 4 + 1)::INT, 1)) - 33 >= 20))
 SELECT contig, pos, count(*) AS n_reads, string_agg(allele, '' ORDER BY read_ord, op_idx) AS bases FROM kept WHERE nth <= 20 GROUP BY contig, pos""",
     "src4_fasta_roundtrip": TABLES + ", whole AS (SELECT contig, string_agg(seq, '' ORDER BY block) AS s FROM syn_ref GROUP BY contig) SELECT contig, b::INT AS block, substr(s, (b * 100 + 1)::BIGINT, 100) AS seq FROM (SELECT *, unnest(range(ceil(length(s) / 100)::BIGINT)) AS b FROM whole)",
+    "src4_indexed": TABLES + ", whole AS (SELECT contig, string_agg(seq, '' ORDER BY block) AS s FROM syn_ref GROUP BY contig) SELECT contig, b::INT AS block, substr(s, (b * 100 + 1)::BIGINT, 100) AS seq FROM (SELECT *, unnest(range(ceil(length(s) / 100)::BIGINT)) AS b FROM whole)",
+    "src4_index": TABLES + " SELECT contig AS name, sum(length(seq))::BIGINT AS length, 32 AS line_bases, 33 AS line_bytes, 0::BIGINT AS broken FROM syn_ref GROUP BY contig",
     "src5_reference_bases": TABLES + " SELECT read_ord, substr(both_seq, ref_start % 32 + 1, ref_end - ref_start) AS bases FROM syn_reads r JOIN pairs p ON p.contig = r.contig AND p.block = ref_start // 32",
     "src6_contig_length": TABLES + LENGTHS + " SELECT contig, length FROM lengths",
     "src7_vcf_roundtrip": TABLES + " SELECT contig, pos, ref, alt, filter, gt FROM syn_variants",

@@ -13,7 +13,7 @@ from ..operators import documents, intervals, labels, pileup, variants
 from ..operators import reads as R
 from ..schemas import LABELLED
 from ..session import new_path
-from ..sources import bam, sinks, text, vcf
+from ..sources import bam, fasta, sinks, text, vcf
 from . import alignment as A
 from . import pipelines
 
@@ -106,6 +106,27 @@ def src4_fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_fasta(spark, path, block_size=100).select("contig", "block", "seq")
 
 
+def fasta_of_contigs(spark: SparkSession, sf_dir: str) -> str:
+    """FASTA files with a contig each, which is one text and therefore one task's."""
+    path, blocks = new_path(spark, "fasta"), A.reference(spark, sf_dir)
+    lines = blocks.select("contig", "block", F.lower("seq").alias("value")).union(blocks.select("contig", F.lit(-1), F.concat(F.lit(">"), "contig", F.lit(" synthetic"))).distinct())
+    lines.repartition("contig").sortWithinPartitions("contig", "block").select("value").write.text(path)
+    return path
+
+
+def src4_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference in blocks of 100 through an index that Spark makes of its files."""
+    bam.register(spark, fasta.FastaSource)
+    path = fasta_of_contigs(spark, sf_dir)
+    text.write_fasta_index(spark, path)
+    return spark.read.format("fasta").option("blockSize", 100).load(path).select("contig", "block", "seq")
+
+
+def src4_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of that index."""
+    return text.fasta_index(spark, fasta_of_contigs(spark, sf_dir)).select("name", "length", "line_bases", "line_bytes", "broken")
+
+
 def src7_vcf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "vcf")
     text.render_vcf(A.raw_variants(spark, sf_dir)).write.text(path)
@@ -352,7 +373,7 @@ def src12_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        src1_sam_roundtrip, src1_bam_roundtrip, src1_files_labelled, src2_region_scan, src2_bam_region, src3_pileup_columns, src3_filtered_columns, src4_fasta_roundtrip, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src7_region_scan, src7_indexed_roundtrip, src7_indexed_region, src8_records, src9_bed_load, src10_list_to_bed, src11_bed_index, src12_list_files,
+        src1_sam_roundtrip, src1_bam_roundtrip, src1_files_labelled, src2_region_scan, src2_bam_region, src3_pileup_columns, src3_filtered_columns, src4_fasta_roundtrip, src4_indexed, src4_index, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src7_region_scan, src7_indexed_roundtrip, src7_indexed_region, src8_records, src9_bed_load, src10_list_to_bed, src11_bed_index, src12_list_files,
         lim1_first_filter, fn4_odd_alts, flt10_invalid_reads, flt1_mapq, flt8_supported, flt8_supported_lists, exp1_cigar_ops, exp2_mismatch_events, agg1_pileup, agg4_reads_by_position, agg5_allele_histogram, agg7_covered_reference, agg9_genotype_counts,
         agg10_position_index, agg11_region_json, win1_candidates_running, win1_candidates_final, win3_merge_windows, win3_merge_windows_apart, topk1_alleles, topk1_alleles_commonest, prj1_candidate_sites,
         vcf_decompose, vcf_decompose_unchanged, fn13_record_text, join1_chunk_overlap, join3_label, join3_label_one_position, join3_label_none, join5_intersect, par1_chunks, par2_equal_chunks,

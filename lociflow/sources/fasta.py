@@ -2,7 +2,7 @@
 
 ``spark.dataSource.register(FastaSource)``, then ``spark.read.format("fasta").load(path)``.  The index says where each
 base is, so that tasks read their own blocks from the file and nothing is shuffled; option ``region`` reads only the
-blocks that a region touches.  ``text.read_fasta`` reads files without an index.
+blocks that a region touches.  ``text.write_fasta_index`` makes the index; ``text.read_fasta`` reads files without one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import REFERENCE
-from .bgzf import open_path
+from .bgzf import files, open_path
 from .binning import Region
 
 
@@ -41,8 +41,14 @@ def read_index(path: str) -> list[Contig]:
     return [Contig(r[0], *map(int, r[1:5])) for r in rows]
 
 
+def fasta_files(path: str) -> list[str]:
+    """The path itself, or the files of a folder that have an index beside them."""
+    return sorted(x.removesuffix(".fai") for x in files(path, ".fai")) if path not in files(path) else [path]
+
+
 @dataclass
 class Blocks(InputPartition):
+    path: str
     contig: Contig | None
     first: int
     stop: int
@@ -55,20 +61,20 @@ class FastaReader(DataSourceReader):
 
     def partitions(self) -> list[Blocks]:
         parts = []
-        for c in read_index(self.path):
+        for path, c in ((p, c) for p in fasta_files(self.path) for c in read_index(p)):
             first, stop = 0, -(-c.length // self.size)
             if self.region:
                 if c.name != self.region.contig:
                     continue
                 first, stop = max(0, self.region.start) // self.size, min(stop, -(-self.region.stop // self.size))
-            parts += [Blocks(c, b, min(b + self.per_task, stop)) for b in range(first, stop, self.per_task)]
-        return parts or [Blocks(None, 0, 0)]
+            parts += [Blocks(path, c, b, min(b + self.per_task, stop)) for b in range(first, stop, self.per_task)]
+        return parts or [Blocks("", None, 0, 0)]
 
     def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
         c = partition.contig
         if not c:
             return
-        system, where = open_path(self.path)
+        system, where = open_path(partition.path)
         with system.open_input_file(where) as file:
             for b in range(partition.first, partition.stop):
                 start, stop = b * self.size, min((b + 1) * self.size, c.length)
@@ -78,7 +84,7 @@ class FastaReader(DataSourceReader):
 
 
 class FastaSource(DataSource):
-    """Options: path (a file with an index beside it), blockSize (bases), blocksPerTask, region (contig:start-stop, 0-based and half-open)."""
+    """Options: path (a file with an index beside it, or a folder of them), blockSize (bases), blocksPerTask, region (contig:start-stop, 0-based and half-open)."""
 
     @classmethod
     def name(cls) -> str:

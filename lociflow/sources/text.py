@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BED
+from .bgzf import open_path
 
 #: Bits of a line's place in its task; above them is the number of the split that the line is in.
 _PLACE_BITS = 33
@@ -24,8 +25,8 @@ def _bytes(text: str) -> int:
     return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit[:1].lower()]
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value, file, line_ord: every line, with a number that grows along the files in the order of their names.
+def read_lines(spark: SparkSession, path: str | list[str], whole: bool = False) -> DataFrame:
+    """value, file, line_ord: every line, with a number that grows along the files in the order of their names.  ``whole``: only \\n ends a line, a \\r before it stays.
 
     The number of a line's split comes before the line's place in the task that reads it.  Splits are numbered over all files, from the listing: a file has
     as many as its bytes hold of the smallest split that the session can make, and one at least.  No shuffle and no single task orders the lines;
@@ -33,7 +34,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     few for the splits, which some thousands of TB would need.
     """
     unit = max(1, min(_bytes(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes")))
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+    lines = spark.read.text(path, lineSep="\n" if whole else None).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
     listed = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_size").collect()  # contents aren't read
     sizes = {r["file_path"]: r["file_size"] for r in listed}
     before, rows = 0, []
@@ -124,6 +125,51 @@ def read_fasta(spark: SparkSession, path: str, block_size: int = 65_536) -> Data
     return cut.groupBy("contig", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "").alias("seq"))
 
 
+def fasta_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, name, length, offset, line_bases, line_bytes, broken: the rows of a ``.fai`` index for each contig of FASTA files.
+
+    Bytes and lines are summed inside each split, and a prefix over the splits, a row each, places them in their file.  A contig's lines are then
+    one sum, too: its bases, its first line's widths, and in how many lines other than the last the widths differ (``broken``, which an index can't express).
+    """
+    lines = read_lines(spark, path, whole=True).select("file", "line_ord", F.shiftright("line_ord", _PLACE_BITS).alias("split"), F.octet_length("value").alias("bytes"),
+        F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1)).alias("name"), F.length(F.rtrim("value", F.lit("\r"))).alias("bases"))
+    inside = Window.partitionBy("file", "split").orderBy("line_ord")
+    sizes = lines.groupBy("file", "split").agg(F.sum(F.col("bytes") + 1).alias("size"), F.count("name").alias("headers"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("file", "split", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("headers").over(earlier), F.lit(0)).alias("headers_before"))
+    at = lines.withColumn("end", F.sum(F.col("bytes") + 1).over(inside)).withColumn("nth", F.count("name").over(inside)).join(before, ["file", "split"])
+    placed = at.select("file", "line_ord", "name", "bytes", "bases", (F.col("bytes_before") + F.col("end")).alias("end"), (F.col("headers_before") + F.col("nth")).alias("contig")).where("contig > 0")
+    line = F.col("name").isNull() & (F.col("bases") > 0)
+    width = F.when(line, F.struct("line_ord", "bases", (F.col("bytes") + 1).alias("bytes")))
+    per = placed.groupBy("file", "contig").agg(
+        F.max("name").alias("name"), F.coalesce(F.sum(F.when(line, F.col("bases"))), F.lit(0)).alias("length"), F.max(F.when(F.col("name").isNotNull(), F.col("end"))).alias("offset"), F.min(width).alias("first"),
+        F.count(F.when(line, 1)).alias("lines"), F.max(width).alias("last"),
+    )
+    even = placed.where(line).join(per.select("file", "contig", "first", "last"), ["file", "contig"]).where((F.col("line_ord") < F.col("last.line_ord")) & ((F.col("bases") != F.col("first.bases")) | (F.col("bytes") + 1 != F.col("first.bytes"))) | (F.col("bases") > F.col("first.bases")))
+    odd = even.groupBy("file", "contig").agg(F.count("*").alias("broken"))
+    return per.join(odd, ["file", "contig"], "left").select("file", "contig", "name", "length", "offset", F.coalesce("first.bases", F.lit(0)).alias("line_bases"), F.coalesce("first.bytes", F.lit(0)).cast("int").alias("line_bytes"), F.coalesce("broken", F.lit(0)).alias("broken"))
+
+
+def write_fasta_index(spark: SparkSession, path: str | list[str]) -> None:
+    """Puts a ``.fai`` beside each FASTA file.  Fails if lines of a contig differ in width.  The contigs' rows reach the driver one part at a time."""
+    rows = fasta_index(spark, path)
+    out, now = None, None
+    try:
+        for r in rows.orderBy("file", "contig").toLocalIterator():
+            if r["broken"]:
+                raise ValueError(f"{r['file']}: lines of {r['name']} differ in width")
+            if r["file"] != now:
+                if out:
+                    out.close()
+                now = r["file"]
+                system, where = open_path(now + ".fai")
+                out = system.open_output_stream(where)
+            out.write("\t".join(str(r[c]) for c in ("name", "length", "offset", "line_bases", "line_bytes")).encode() + b"\n")
+    finally:
+        if out:
+            out.close()
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length of the regular files of a folder, not of its subfolders; contents aren't read."""
     return spark.read.format("binaryFile").load(path).select("path", "length")

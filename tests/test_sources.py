@@ -112,6 +112,44 @@ def test_indexed_fasta(spark, tmp_path):
     assert spark.read.format("fasta").options(region="none:0-5").load(path).count() == 0
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("least", ["70000", "4MB"])
+def test_fasta_index_made_by_spark(spark, tmp_path, end, least):
+    """Over splits: equal to an index made line by line, and what is read by it equal to the files."""
+    want, bases = {}, {}
+    for k, file in enumerate(("a 1.fa", "b.fa")):
+        body = ""
+        for n, s in {f"one{k}": "ACGTN" * 40_001, f"two{k}": "TTGCA" * 3, f"empty{k}": "", f"three{k}": "gattaca" * 20_000}.items():
+            body += f">{n} some text{end}"
+            want[n] = (len(s), len(body), min(60, len(s)), min(60, len(s)) + len(end) if s else 0)
+            body += "".join(s[i : i + 60] + end for i in range(0, len(s), 60))
+            bases[n] = s.upper()
+        (tmp_path / file).write_bytes(body.encode())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, least)
+        text.write_fasta_index(spark, str(tmp_path) + "/*.fa")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    made = [(c.name, (c.length, c.offset, c.line_bases, c.line_bytes)) for f in ("a 1.fa", "b.fa") for c in fasta.read_index(str(tmp_path / f))]
+    assert made == list(want.items())
+    bam.register(spark, fasta.FastaSource)
+    got = {}
+    for r in spark.read.format("fasta").option("blockSize", 1000).load(str(tmp_path)).orderBy("contig", "block").collect():
+        got[r["contig"]] = got.get(r["contig"], "") + r["seq"]
+    assert got == {n: s for n, s in bases.items() if s}
+
+
+def test_fasta_that_no_index_can_express(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">x\nACGT\nAC\nACGT\n")
+    (tmp_path / "b.fa").write_text(">x\nACG\nACGT\n")
+    assert [r["broken"] for r in text.fasta_index(spark, str(tmp_path) + "/*.fa").orderBy("file").collect()] == [1, 1]
+    with pytest.raises(ValueError, match="width"):
+        text.write_fasta_index(spark, str(tmp_path / "a.fa"))
+
+
 def test_bed_and_files(spark, tmp_path):
     (tmp_path / "a.bed").write_text("chr1\t1\t5\nchr1\t7\t9\n")
     (tmp_path / "sub").mkdir()
