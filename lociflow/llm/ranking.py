@@ -29,6 +29,8 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 INDEX = "shard long, term string, n_docs long, n_terms long, postings binary"
 #: Queries that one task ranks together, and shards that share a key of the join by terms where these are too many to broadcast.
 BLOCK, SHARDS_PER_KEY = 256, 64
+#: Tasks of a search at most; beyond, a task merges several shards, one after the other.
+MOST_PARTS = 20_000
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -275,6 +277,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, broadcast_bytes: i
     each = documents.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     none = weighted.schema["users"].dataType
     rows = hits.union(each.select("shard", "block", "term", "n_docs", "postings", F.lit(None).cast("long"), F.lit(None).cast(none)))
-    found = rows.groupBy("shard", "block").applyInArrow(_ranker(n, length, k), f"item_id {kind}, doc_id long, score long")
+    parts = min(shards * blocks, MOST_PARTS)  # stated, since merging takes far more time than its few bytes tell
+    found = rows.repartition(parts, "shard", "block").groupBy("shard", "block").applyInArrow(_ranker(n, length, k), f"item_id {kind}, doc_id long, score long")
     best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
