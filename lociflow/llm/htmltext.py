@@ -3,10 +3,10 @@
 Every page is cut into lines, one per block.  Pages are put in order of host and URL path, and each is aligned
 by longest common subsequence with the nearest page of the same host that has another longest line, so that
 copies of one article don't take it from each other; shared lines are the site's template and go, inside
-articles only if all of the nearest five such pages have them.  Where all pages near by have the same longest
+articles only if at least two, and three quarters, of the nearest eight such pages (or of as many as there are) have them in the same order.  Where all pages near by have the same longest
 line, the nearest that differs at all is taken, and lines of an article element that aren't links stay.  What markup names as no part of the text (menus, forms,
 adverts, comments and the like) goes as well, unless it holds an article, or most of the text of a page without one; a name that is
-only part of a longer one must be confirmed by links, or its lines by the comparison.
+only part of a longer one, and inside an article any but those of adverts and readers' comments, must be confirmed by links, or its lines by the comparison.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .common import pick, range_bounds, range_number, shuffle_partitions
 
 #: Distinct pages of a host, on either side, among which the nearest with another article is looked for.
 WINDOW = 16
-#: Pages with other articles that are asked whether a line of an article is the site's.
-WITNESSES = 5
+#: Pages with other articles that are asked whether a line of an article is the site's; how many must have it at least, and what percentage of those there are.
+WITNESSES, LEAST_WITNESSES, SHARE = 8, 2, 75
 
 #: Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -43,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 WORDS = (
     r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|side-?bar|rail|widget|menu|nav\w*|breadcrumbs?|toc|pagination|pager|"
     r"header|masthead|footer|foot|comments?|comment-?list|commentlist|disqus|replies|responses|discussion|related|recommended|share|sharing|social|toolbar|skip|complementary|contentinfo|search|form)")
+#: Those that count inside an article too, where the others may name a part of it.
+OF_OTHERS = re.compile(r"(?:^|\s)(?:ads?|advert\w*|adsense|sponsor\w*|comments?|comment-?list|commentlist|disqus|replies)(?:$|\s)", re.I)
 #: A whole name, as class="sidebar", and a part of one, as class="no-sidebar".
 NAMED, PART_NAMED = re.compile(rf"(?:^|\s){WORDS}(?:$|\s)", re.I), re.compile(rf"(?:^|[\s_-]){WORDS}(?:$|[\s_-])", re.I)
 
@@ -97,7 +99,7 @@ class _Lines(HTMLParser):
             for x in self.around:
                 x.holds_article = True
         elif tag not in ("html", "body"):
-            sure = tag in PROPOSED or any(NAMED.search(x) for x in names)
+            sure = tag in PROPOSED or any((OF_OTHERS if self.articles else NAMED).search(x) for x in names)
             if sure or any(PART_NAMED.search(x) for x in names):
                 if self.parts:
                     self.flush()
@@ -227,17 +229,30 @@ def _aligned(x: list[str], y: list[str]) -> list[int]:
     return found[::-1]
 
 
-def main_text(page: list[tuple], others: list[list[tuple]], same: bool = False) -> str:
-    """The page's lines but for those aligned with the nearest other page.
+def template_lines(page: list[tuple], others: list[list[tuple]], same: bool = False) -> set[int]:
+    """Places of the page's lines that comparison takes.
 
-    A line of an article that isn't only links must be on all other pages too, and stays where they may
-    hold the same article (``same``).
+    Outside articles, and where a line is only links, those aligned with the nearest other page.  A line of an article goes if it is aligned with at
+    least ``LEAST_WITNESSES`` of the other pages, and with ``SHARE`` percent of them; where they may hold the same article (``same``) it stays.
     """
-    drop: set[int] = set()
-    if others:
-        drop = common_lines([x[0] for x in page], [x[0] for x in others[0]])
-        on = collections.Counter(t for o in others for t in {x[0] for x in o})
-        drop = {i for i in drop if page[i][1] < 2 or page[i][2] or not same and on[page[i][0]] == len(others)}
+    if not others:
+        return set()
+    text = [x[0] for x in page]
+    drop = {i for i in common_lines(text, [x[0] for x in others[0]]) if page[i][1] < 2 or page[i][2]}
+    need = max(LEAST_WITNESSES, -(-SHARE * len(others) // 100))
+    if same or need > len(others):
+        return drop
+    on = collections.Counter(t for o in others for t in {x[0] for x in o})
+    asked = [i for i, x in enumerate(page) if x[1] == 2 and not x[2] and on[x[0]] >= need]
+    if asked:
+        aligned = collections.Counter(i for o in others for i in common_lines(text, [x[0] for x in o]))
+        drop |= {i for i in asked if aligned[i] >= need}
+    return drop
+
+
+def main_text(page: list[tuple], others: list[list[tuple]], same: bool = False) -> str:
+    """The page's lines but for its template_lines()."""
+    drop = template_lines(page, others, same)
     return "\n".join(x[0] for x in main_part([x for i, x in enumerate(page) if i not in drop]))
 
 

@@ -348,3 +348,41 @@ def test_random_strings(spark):
         mine = [i for i, (kind, _) in enumerate(planted) if kind == k]
         assert sum(("random", 4, 4 + k[1]) in got[i] for i in mine) >= share * len(mine), k
     assert not any(got[i] for i in range(len(planted), len(planted) + len(clean)))
+
+
+def host_of(rng, n, lines, name="h"):
+    """Pages of a host with an article each: its own prose, and ``lines(i)`` after it."""
+    return [(f"https://{name}.example/a/{i:03}", "<article>" + "".join(f"<p>{x}</p>" for x in [prose(rng, 30), prose(rng), *lines(i)]) + "</article>") for i in range(n)]
+
+
+def test_html_lines_that_pages_share_by_how_many_have_them(spark):
+    rng = random.Random(21)
+    quote, byline = "A passage that both quote at length in what they write.", "Written for the weekly by our own desk."
+    text = lambda rows: {r["page_id"]: r["text"].split("\n") for r in htmltext.extract(pages_of(spark, rows)).collect()}
+    two = text(host_of(rng, 2, lambda i: [quote]))
+    assert all(quote in x for x in two.values())  # one witness is not enough
+    nine = text(host_of(rng, 9, lambda i: [byline] * (i != 4)))
+    assert not any(byline in x for x in nine.values()) and all(len(x) == 2 for x in nine.values())
+    eight = text(host_of(rng, 8, lambda i: [quote] * (i in (2, 5))))
+    assert sum(quote in x for x in eight.values()) == 2
+    three = text(host_of(rng, 3, lambda i: [byline]))
+    assert not any(byline in x for x in three.values())
+
+
+def test_html_names_inside_articles(spark):
+    rng = random.Random(22)
+    inner = '<ul class="responses"><li>measured response one</li><li>measured response two</li></ul><section class="form"><p>On the forms of the verb.</p></section><div class="comments"><p>first!</p></div><div class="related"><a href="/x">More of it</a></div>'
+    rows = [(f"https://s.example/{i}", f'<div class="search"><p>Find it here</p></div><article><p>{prose(rng, 40)}</p>{inner if i == 3 else ""}</article>') for i in range(6)]
+    got = {r["page_id"]: r["text"].split("\n") for r in htmltext.extract(pages_of(spark, rows)).collect()}
+    assert got[3][1:] == ["measured response one", "measured response two", "On the forms of the verb."] and all(len(got[i]) == 1 for i in range(6) if i != 3)
+
+
+def test_template_lines_by_brute_force():
+    """Every article line that goes is in the same order on enough of the pages, and every one that stays is not."""
+    rng = random.Random(23)
+    for _ in range(300):
+        page, *others = ([(rng.choice("abcdefgh"), 2, False) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(2, 8)))
+        got = htmltext.template_lines(page, others)
+        need = max(2, -(-3 * len(others) // 4))
+        together = [htmltext.common_lines([x[0] for x in page], [x[0] for x in o]) for o in others]
+        assert got == ({i for i in range(len(page)) if sum(i in t for t in together) >= need} if need <= len(others) else set())
