@@ -72,41 +72,51 @@ def _scorer(weights: np.ndarray, bias: float):
     return score
 
 
-def indicators(rows: list[np.ndarray], width: int) -> np.ndarray:
-    """A row of zeros and ones for each list of columns."""
-    out = np.zeros((len(rows), width), np.float32)
-    for i, at in enumerate(rows):
-        out[i, at] = 1
-    return out
+class Indicators:
+    """A sparse matrix of zeros and ones: for each row the columns that are one."""
 
+    def __init__(self, rows: list[np.ndarray], width: int) -> None:
+        self.rows, self.width = rows, width
+        self.columns = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
 
-def logistic(has: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    def times(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the values of each row's columns."""
+        sums = np.concatenate([[0.0], np.cumsum(values[self.columns])])
+        return sums[self.ends[1:]] - sums[self.ends[:-1]]
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """For each column, the sum of the values of the rows that have it."""
+        return np.bincount(self.columns, weights=np.repeat(values, self.sizes), minlength=self.width)
+
+    def where(self, keep: np.ndarray) -> Indicators:
+        return Indicators([self.rows[i] for i in np.flatnonzero(keep)], self.width)
+
+
+def logistic(has: Indicators, y: np.ndarray, scale: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on indicators times ``scale``; classes weigh the same."""
-    scale = scale.astype(np.float32)
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     w, b, m, v = np.zeros(len(scale)), 0.0, np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for step in range(1, steps + 1):
-        z = has @ (scale * w.astype(np.float32)) + b
+        z = has.times(scale * w) + b
         error = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        g = np.append(scale * (error.astype(np.float32) @ has) + penalty * w, error.sum())
+        g = np.append(scale * has.summed(error) + penalty * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return w, float(b)
 
 
-def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least_count: int, least_z: float, most: int) -> np.ndarray:
+def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least_count: int, least_z: float) -> np.ndarray:
     """Naive Bayes log-count ratio of each bucket from the documents of each class that have it.
 
-    0 for buckets that are rare, whose toxic documents are within ``least_z`` standard deviations of what chance would give,
-    or that are not among the ``most`` that are farthest from it.
+    0 for buckets that are rare, or whose toxic documents are within ``least_z`` standard deviations of what chance would give.
     """
     ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
     n, share = clean + toxic, n_toxic / (n_toxic + n_clean)
     z = (toxic - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
-    far = np.where(n >= least_count, np.abs(z), 0.0)
-    least = max(least_z, np.partition(far, -most)[-most]) if len(far) > most else least_z
-    return np.where((far > 0) & (far >= least), ratio, 0.0)
+    return np.where((n >= least_count) & (np.abs(z) >= least_z), ratio, 0.0)
 
 
 def best_cut(logits: np.ndarray, y: np.ndarray, clean_weight: float, beta: float = 1.0) -> float | None:
@@ -125,29 +135,52 @@ def best_cut(logits: np.ndarray, y: np.ndarray, clean_weight: float, beta: float
     return float(logits[order][best] + logits[order][min(best + 1, len(order) - 1)]) / 2
 
 
-def _out_of_fold(has: np.ndarray, y: np.ndarray, fold: np.ndarray, least_count: int, least_z: float, most: int, penalty: float, steps: int) -> np.ndarray | None:
+def _out_of_fold(has: Indicators, y: np.ndarray, fold: np.ndarray, least_count: int, least_z: float, penalty: float, steps: int) -> np.ndarray | None:
     """The logit of each row from a model that has not seen its fold; None if a fold leaves one class only."""
     logits = np.zeros(len(y))
     for f in np.unique(fold):
-        seen, known = has[fold != f], y[fold != f]
+        seen, known = has.where(fold != f), y[fold != f]
         n_toxic, n_clean = int(known.sum()), int((1 - known).sum())
         if not n_toxic or not n_clean:
             return None
-        scale = log_ratios(seen[known == 1].sum(0), seen[known == 0].sum(0), n_toxic, n_clean, least_count, least_z, most)
+        scale = log_ratios(seen.summed(known), seen.summed(1 - known), n_toxic, n_clean, least_count, least_z)
         w, b = logistic(seen, known, scale, penalty, steps)
-        logits[fold == f] = has[fold == f] @ (w * scale).astype(np.float32) + b
+        logits[fold == f] = has.where(fold == f).times(w * scale) + b
     return logits
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count: int = 5, least_z: float = 3.0, most_buckets: int = 1024, penalty: float = 2e-3, steps: int = 300, limit: float = 0.7) -> tuple[np.ndarray, float]:
+#: Values of beta among which the cut's is chosen.
+BETAS = (1.0, 0.85, 0.7, 0.5)
+
+
+def nested_cut(logits: np.ndarray, y: np.ndarray, fold: np.ndarray, clean_weight: float) -> float | None:
+    """best_cut() for the beta whose cuts, each made without a fold and tried on it, agree best with the labels, by Matthews' correlation."""
+
+    def agreement(beta: float) -> float | None:
+        called = np.zeros(len(y), bool)
+        for f in np.unique(fold):
+            cut = best_cut(logits[fold != f], y[fold != f], clean_weight, beta)
+            if cut is None:
+                return None
+            called[fold == f] = logits[fold == f] >= cut
+        hit, missed = float((called & (y == 1)).sum()), float((~called & (y == 1)).sum())
+        false, true = clean_weight * float((called & (y == 0)).sum()), clean_weight * float((~called & (y == 0)).sum())
+        return (hit * true - false * missed) / max(np.sqrt((hit + false) * (hit + missed) * (true + false) * (true + missed)), 1e-9)
+
+    found = {beta: agreement(beta) for beta in BETAS}
+    if None in found.values():
+        return None
+    return best_cut(logits, y, clean_weight, max(BETAS, key=found.__getitem__))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, least_count: int = 5, least_z: float = 3.0, penalty: float = 2e-3, steps: int = 300, limit: float = 0.7) -> tuple[np.ndarray, float]:
     """A weight per bucket, and the bias.
 
     ``labels`` has doc_id and toxic (0 or 1; other values and nulls are left out; of a repeated doc_id the
     larger).  At most ``sample_rows`` rows of each class are used, picked by a hash of doc_id.  Buckets seen in
-    fewer than ``least_count`` of these documents, or about as often in toxic ones as by chance (``least_z``), get no weight, nor do
-    those beyond the ``most_buckets`` that tell most.  The bias
-    is moved so that a score of ``limit`` is where rows kept out of the fit are told apart best, midway between the
-    cuts by F score of beta 1 and 0.7.  With one class or none the
+    fewer than ``least_count`` of these documents get no weight, nor do those in toxic ones about as often as by chance (``least_z``
+    standard deviations); there is no cap on how many have one.  The bias is moved so that a score of ``limit`` is where rows of the sample that are kept
+    out of the fit are told apart best (nested_cut); no other rows have a part in it.  With one class or none the
     weights are 0 and the bias gives the smoothed share of toxic rows.
     """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -164,19 +197,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, least_count
         labelled[r["toxic"]] = r["count"]
     if not n.all():
         return weights, float(np.log((n[1] + 1) / (n[0] + 1)))
-    ratio = log_ratios(toxic, clean, n[1], n[0], least_count, least_z, most_buckets)
+    ratio = log_ratios(toxic, clean, n[1], n[0], least_count, least_z)
     kept = np.flatnonzero(ratio)
     order = kept[np.argsort(bucket[kept])]
     kept, ratio = bucket[order], ratio[order]
     found = texts.mapInArrow(_features(kept), "toxic int, at array<int>").toArrow()
     y = found["toxic"].to_numpy()
     rows = [np.asarray(x.values, np.int64) for x in found["at"]]
-    has, fold = indicators(rows, len(kept)), np.array([(int(r.sum()) + len(r)) % 3 for r in rows])  # equal rows share a fold
+    has, fold = Indicators(rows, len(kept)), np.array([(int(r.sum()) + len(r)) % 3 for r in rows])  # equal rows share a fold
     w, b = logistic(has, y, ratio, penalty, steps)
-    logits = _out_of_fold(has, y, fold, least_count, least_z, most_buckets, penalty, steps)
-    cuts = [best_cut(logits, y, labelled[0] / n[0] / (labelled[1] / n[1]), beta) for beta in (0.7, 1.0)] if logits is not None else [None]
-    if None not in cuts:
-        b += np.log(limit / (1 - limit)) - np.mean(cuts)
+    logits = _out_of_fold(has, y, fold, least_count, least_z, penalty, steps)
+    cut = nested_cut(logits, y, fold, labelled[0] / n[0] / (labelled[1] / n[1])) if logits is not None else None
+    if cut is not None:
+        b += np.log(limit / (1 - limit)) - cut
     weights[kept] = w * ratio
     return weights, float(b)
 
