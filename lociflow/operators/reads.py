@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
@@ -49,6 +49,30 @@ def invalid_reads(reads: DataFrame) -> DataFrame:
     return reads.where(~is_valid())
 
 
+#: Why a read is set aside, the first that holds.
+READ_REASONS = ("no start", "no CIGAR", "unknown operation", "bases that don't fit")
+
+
+def read_reason() -> Column:
+    """Which of READ_REASONS sets a read aside; null if none does."""
+    reason = (
+        F.when(F.coalesce(F.col("ref_start") < 0, F.lit(True)), READ_REASONS[0])
+        .when(F.coalesce(F.col("cigar").isin("*", ""), F.lit(True)), READ_REASONS[1])
+        .when(~C.is_valid_cigar("cigar"), READ_REASONS[2])
+    )
+    return reason.when(~is_valid(), READ_REASONS[3])
+
+
+def watched(rows: DataFrame, reasons: Sequence[str], reason: Column) -> tuple[DataFrame, Observation]:
+    """The rows without a reason, and an observation of how many rows there are (``rows``) and how many each reason set aside.
+
+    The counts come with whatever job reads the rows; nothing is read for them alone.
+    """
+    seen = Observation()
+    counted = rows.withColumn("_reason", reason).observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(F.col("_reason") == r, 1)).alias(r) for r in reasons])
+    return counted.where("_reason is null").drop("_reason"), seen
+
+
 def number_in_order(rows: DataFrame, position: str, ties: Sequence[str], name: str, bin_width: int = 65_536, per_contig: bool = False) -> DataFrame:
     """Adds ``name``, counting from 1 in the order of (contig, position, *ties), which must be unique; ``per_contig`` counts each contig anew.
 

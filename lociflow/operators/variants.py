@@ -25,25 +25,46 @@ def passing(records: DataFrame, hom_filter: bool = True) -> DataFrame:
     return kept.where(G.is_called(F.col("gt"), F.col("filter"))) if hom_filter else kept
 
 
+def _classified(records: DataFrame, config: PileupConfig) -> DataFrame:
+    """A row per ALT allele with vref, kind and code."""
+    rows = records.select("rec_ord", "contig", "pos", "ref", "alts", "gt", "filter", F.posexplode("alts").alias("alt_idx", "alt"))
+    if config.ref_mutation:
+        inserted = F.exists(F.slice("alts", F.lit(1), F.col("alt_idx")), lambda a: F.length(a) > F.length("ref"))
+        rows = rows.withColumn("vref", F.when((F.length("ref") > 1) & inserted, F.left("ref", F.lit(1))).otherwise(F.col("ref")))
+    else:
+        rows = rows.withColumn("vref", F.col("ref"))
+    return rows.withColumn("kind", G.variant_class(F.col("vref"), F.col("alt"))).withColumn("code", G.genotype_code(F.col("gt")))
+
+
 def alleles(records: DataFrame, config: PileupConfig = PileupConfig()) -> DataFrame:
     """One row per ALT allele: the record's key, alt_idx, vref, alt, kind (SNP, IN, DEL) and code.
 
     With ``ref_mutation`` an insertion on several reference bases leaves only the first for the ALT alleles after it.
     Equal lengths over 1 and genotypes of three alleles or more have no meaning and are quarantined or raise.
     """
-    rows = records.select("rec_ord", "contig", "pos", "ref", "alts", "gt", F.posexplode("alts").alias("alt_idx", "alt"))
-    if config.ref_mutation:
-        inserted = F.exists(F.slice("alts", F.lit(1), F.col("alt_idx")), lambda a: F.length(a) > F.length("ref"))
-        rows = rows.withColumn("vref", F.when((F.length("ref") > 1) & inserted, F.left("ref", F.lit(1))).otherwise(F.col("ref")))
-    else:
-        rows = rows.withColumn("vref", F.col("ref"))
-    rows = rows.withColumn("kind", G.variant_class(F.col("vref"), F.col("alt"))).withColumn("code", G.genotype_code(F.col("gt")))
+    rows = _classified(records, config)
     valid = F.col("kind").isNotNull() & F.size("gt").isin(1, 2)
     if config.invalid == "raise":
         valid = F.when(valid, True).otherwise(F.raise_error(F.concat(F.lit("record has no class: "), F.col("rec_ord").cast("string"))))
     return rows.where(valid).select("rec_ord", "contig", "pos", "alt_idx", "vref", "alt", "kind", "code")
 
 
+#: Why an ALT allele gives no truth row, the first that holds.
+RECORD_REASONS = ("filter", "not called", "genotype of many alleles", "no class")
+
+
+def record_reasons(records: DataFrame, hom_filter: bool = True, config: PileupConfig = PileupConfig()) -> DataFrame:
+    """rec_ord, contig, pos, alt_idx, alt, reason: every ALT allele, and which of RECORD_REASONS keeps it out of decompose(); null if none does."""
+    called = G.is_called(F.col("gt"), F.col("filter")) if hom_filter else F.lit(True)
+    reason = (
+        F.when(F.coalesce(F.col("filter") != G.PASS, F.lit(True)), RECORD_REASONS[0])
+        .when(~F.coalesce(called, F.lit(False)), RECORD_REASONS[1])
+        .when(~F.coalesce(F.size("gt").isin(1, 2), F.lit(False)), RECORD_REASONS[2])
+        .when(F.col("kind").isNull(), RECORD_REASONS[3])
+    )
+    return _classified(records, config).select("rec_ord", "contig", "pos", "alt_idx", "alt", reason.alias("reason"))
+
+
 def decompose(records: DataFrame, hom_filter: bool = True, config: PileupConfig = PileupConfig()) -> DataFrame:
     """contig, vpos (0-based), cls, vref, valt, gt, rec_ord, alt_idx, i: one row per position that a variant changes.
 

@@ -174,6 +174,13 @@ SELECT contig, pos, count(*) AS n_reads, string_agg(allele, '' ORDER BY read_ord
     "src10_list_to_bed": "SELECT 'chr' || (n_regionkey + 1)::VARCHAR AS contig, (n_nationkey * 100)::INT AS start, (n_nationkey * 100 + length(n_name))::INT AS stop FROM nation",
     "src12_list_files": labelled() + " SELECT contig, 'csv' AS kind, sum(length(concat_ws(chr(9), contig, pos, pos + 1, ref_base, allele, coalesce(gt::VARCHAR, ''))) + 1)::BIGINT AS bytes FROM lab GROUP BY contig",
     "flt10_invalid_reads": TABLES + " SELECT read_ord FROM syn_reads WHERE mapq % 4 = 0",
+    "flt10_read_reasons": TABLES + " SELECT CASE mapq % 8 WHEN 3 THEN 'no start' WHEN 1 THEN 'no CIGAR' WHEN 0 THEN 'unknown operation' WHEN 2 THEN 'bases that don''t fit' END AS reason, count(*) AS n FROM syn_reads GROUP BY 1",
+    "flt5_record_reasons": TABLES
+    + r""",
+a0 AS (SELECT *, split(CASE WHEN pos % 4 = 0 THEN repeat('G', length(ref)) ELSE alt END, ',') AS alts FROM syn_variants),
+a1 AS (SELECT *, unnest(alts) AS one, generate_subscripts(alts, 1) - 1 AS alt_idx FROM a0),
+a2 AS (SELECT *, CASE WHEN length(ref) > 1 AND len(list_filter(alts[1:alt_idx], lambda a: length(a) > length(ref))) > 0 THEN 1 ELSE length(ref) END AS size FROM a1)
+SELECT CASE WHEN filter <> 'PASS' THEN 'filter' WHEN gt = '0/0' THEN 'not called' WHEN size = length(one) AND size > 1 THEN 'no class' END AS reason, count(*) AS n FROM a2 GROUP BY 1""",
     "fn4_odd_alts": truth(hom_filter=False).replace("FROM syn_variants", f"FROM {ODD}") + " SELECT * FROM truth",
     "lim1_first_filter": TABLES + " SELECT contig, pos, ref, alt, gt, filter FROM syn_variants",
     "flt1_mapq": TABLES + " SELECT read_ord, read_name, mapq FROM syn_reads WHERE mapq > 5",

@@ -183,6 +183,22 @@ def flt10_invalid_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.invalid_reads(A.reads(spark, sf_dir).withColumn("cigar", marked)).select("read_ord")
 
 
+def flt10_read_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many reads are set aside, by reason, once some are damaged; null for those that stay."""
+    kind = F.col("mapq") % 8
+    damaged = A.reads(spark, sf_dir).withColumns({
+        "cigar": F.when(kind == 0, F.translate("cigar", "M", "=")).when(kind == 1, "*").otherwise(F.col("cigar")),
+        "seq": F.when(kind == 2, F.concat("seq", F.lit("A"))).otherwise(F.col("seq")), "ref_start": F.when(kind == 3, -1).otherwise(F.col("ref_start")),
+    })
+    return damaged.groupBy(R.read_reason().alias("reason")).agg(F.count("*").alias("n"))
+
+
+def flt5_record_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ALT alleles give no truth row, by reason, once some are as long as their REF."""
+    raw = A.raw_variants(spark, sf_dir).withColumn("alt", F.when(F.col("pos") % 4 == 0, F.repeat(F.lit("G"), F.length("ref"))).otherwise(F.col("alt")))
+    return variants.record_reasons(variants.parse_records(raw)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def flt1_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.well_mapped(A.reads(spark, sf_dir)).select("read_ord", "read_name", "mapq")
 
@@ -374,7 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         src1_sam_roundtrip, src1_bam_roundtrip, src1_files_labelled, src2_region_scan, src2_bam_region, src3_pileup_columns, src3_filtered_columns, src4_fasta_roundtrip, src4_indexed, src4_index, src5_reference_bases, src6_contig_length, src7_vcf_roundtrip, src7_region_scan, src7_indexed_roundtrip, src7_indexed_region, src8_records, src9_bed_load, src10_list_to_bed, src11_bed_index, src12_list_files,
-        lim1_first_filter, fn4_odd_alts, flt10_invalid_reads, flt1_mapq, flt8_supported, flt8_supported_lists, exp1_cigar_ops, exp2_mismatch_events, agg1_pileup, agg4_reads_by_position, agg5_allele_histogram, agg7_covered_reference, agg9_genotype_counts,
+        lim1_first_filter, fn4_odd_alts, flt10_invalid_reads, flt10_read_reasons, flt5_record_reasons, flt1_mapq, flt8_supported, flt8_supported_lists, exp1_cigar_ops, exp2_mismatch_events, agg1_pileup, agg4_reads_by_position, agg5_allele_histogram, agg7_covered_reference, agg9_genotype_counts,
         agg10_position_index, agg11_region_json, win1_candidates_running, win1_candidates_final, win3_merge_windows, win3_merge_windows_apart, topk1_alleles, topk1_alleles_commonest, prj1_candidate_sites,
         vcf_decompose, vcf_decompose_unchanged, fn13_record_text, join1_chunk_overlap, join3_label, join3_label_one_position, join3_label_none, join5_intersect, par1_chunks, par2_equal_chunks,
         par3_chunk_candidates, par5_region, par5_chunk_labels, sink1_bed_roundtrip, sink2_json_roundtrip,

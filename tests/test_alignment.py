@@ -374,3 +374,14 @@ def test_pileup_scan(spark, monkeypatch):
         assert column(got, "pos", "n_reads", "bases") == sorted((p, min(depth, len(x)), "".join(x[:depth])) for p, x in want.items())
     assert reads.by_flags(made, require=16).count() == sum(r[5] == 16 for r in rows)
     assert pileup.pileup_scan(made.drop("qual"), reference(spark, c=ref), BLOCK, min_base_quality=99).count() > 0
+
+
+def test_reasons_come_with_the_job(spark):
+    made = make_reads(spark, [(0, "5=", "ACGTA"), (0, "5M", "ACGTA"), (0, "4M", "ACGTA"), (0, "*", "ACGTA"), (None, "5M", "ACGTA"), (0, None, "ACGTA"), (0, "5M", None), (-1, "*", "A")])
+    kept, seen = reads.watched(made, reads.READ_REASONS, reads.read_reason())
+    assert column(kept, "read_ord") == column(reads.valid_reads(made), "read_ord") == [(1,)]
+    assert seen.get == {"rows": 8, "no start": 2, "no CIGAR": 2, "unknown operation": 1, "bases that don't fit": 2}
+    raw = spark.createDataFrame([(1, "c", 5, "AC", "GT,A,ACC,AG", "0/1", "PASS"), (2, "c", 6, "A", "T", "0/0", "PASS"), (3, "c", 7, "A", "T", "1/1", "q"), (4, "c", 8, "A", "T", "0/1/1", "PASS"), (5, "c", 9, "A", "T", "./.", None)], "rec_ord long, contig string, pos int, ref string, alt string, gt string, filter string")
+    found = variants.record_reasons(variants.parse_records(raw))
+    assert column(found, "rec_ord", "alt_idx", "reason") == sorted([(1, 0, "no class"), (1, 1, None), (1, 2, None), (1, 3, None), (2, 0, "not called"), (3, 0, "filter"), (4, 0, "genotype of many alleles"), (5, 0, "filter")])
+    assert column(found.where("reason is null"), "rec_ord", "alt_idx") == sorted(set(column(variants.decompose(variants.parse_records(raw)), "rec_ord", "alt_idx")))
