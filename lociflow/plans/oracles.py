@@ -202,6 +202,12 @@ SELECT CASE WHEN filter <> 'PASS' THEN 'filter' WHEN gt = '0/0' THEN 'not called
     "topk1_alleles": ranked() + " SELECT * FROM alleles",
     "topk1_alleles_commonest": ranked("DESC") + " SELECT * FROM alleles",
     "prj1_candidate_sites": ranked() + " SELECT contig, pos, any_value(ref_base) AS ref_base, coalesce(string_agg(allele || ':' || freq, ',' ORDER BY rnk) FILTER (cls = 1), '') AS in_alleles, coalesce(string_agg(allele || ':' || freq, ',' ORDER BY rnk) FILTER (cls = 0), '') AS snp_alleles FROM alleles GROUP BY contig, pos",
+    "stream1_sessions": """
+WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, value, lag(ts::TIMESTAMP) OVER w AS before FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 12 HOUR) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM e),
+s AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS stop, count(*) AS n, round(sum(value), 4) AS total FROM r GROUP BY user_id, run)
+SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(stop, '%Y-%m-%d %H:%M:%S.%f') AS stop, n, total FROM s WHERE stop <= (SELECT max(ts::TIMESTAMP) - INTERVAL 1 DAY FROM events)""",
+    "stream2_pileup": EVENTS + " SELECT contig, pos, sum(cov)::BIGINT AS coverage, sum(mm)::BIGINT AS mismatches, sum(edit)::BIGINT AS edits, CASE WHEN sum(cov) > 0 THEN (sum(mm) * 100 // sum(cov))::BIGINT END AS percent FROM ev GROUP BY contig, pos",
     "vcf_decompose": truth() + " SELECT * FROM truth",
     "vcf_decompose_unchanged": truth(hom_filter=False, mutation=False) + " SELECT * FROM truth",
     "fn13_record_text": TABLES + " SELECT rec_ord, concat_ws(chr(9), pos, '10', gt, filter, CASE WHEN CASE WHEN gt = '1' THEN true ELSE gt <> '0/0' AND filter = 'PASS' END THEN 'true' ELSE 'false' END, ref || ',' || alt, alt) AS line FROM syn_variants",

@@ -14,6 +14,8 @@ from ..operators import reads as R
 from ..schemas import LABELLED
 from ..session import new_path
 from ..sources import bam, fasta, sinks, text, vcf
+from ..streaming import pileup as stream_pileup
+from ..streaming import sessions
 from . import alignment as A
 from . import pipelines
 
@@ -386,6 +388,25 @@ def src12_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def stream1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of events that are closed, by event time, from a stream that has used up the table."""
+    path = new_path(spark, "sessions")
+    A.table(spark, sf_dir, "events").selectExpr("event_id", "cast(ts as timestamp) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{path}/in")
+    found = sessions.sessions(sessions.read_arriving(spark, f"{path}/in"), "12 hours", late="1 day")
+    sessions.write_closed(found, f"{path}/out", f"{path}/state").awaitTermination()
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return spark.read.parquet(f"{path}/out").select("user_id", shown("start"), shown("stop"), "n", F.round("total", 4).alias("total"))
+
+
+def stream2_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by position from a stream over files of reads, each batch giving the positions that it changed."""
+    path = new_path(spark, "counts")
+    A.reads(spark, sf_dir).repartitionByRange(3, "read_ord").write.parquet(f"{path}/in")
+    counts = stream_pileup.pileup_stream(stream_pileup.read_arriving(spark, f"{path}/in", 1), A.reference(spark, sf_dir), A.BLOCK)
+    stream_pileup.write_counts(counts, f"{path}/out", f"{path}/state").awaitTermination()
+    return stream_pileup.latest_counts(spark, f"{path}/out")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -393,6 +414,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lim1_first_filter, fn4_odd_alts, flt10_invalid_reads, flt10_read_reasons, flt5_record_reasons, flt1_mapq, flt8_supported, flt8_supported_lists, exp1_cigar_ops, exp2_mismatch_events, agg1_pileup, agg4_reads_by_position, agg5_allele_histogram, agg7_covered_reference, agg9_genotype_counts,
         agg10_position_index, agg11_region_json, win1_candidates_running, win1_candidates_final, win3_merge_windows, win3_merge_windows_apart, topk1_alleles, topk1_alleles_commonest, prj1_candidate_sites,
         vcf_decompose, vcf_decompose_unchanged, fn13_record_text, join1_chunk_overlap, join3_label, join3_label_one_position, join3_label_none, join5_intersect, par1_chunks, par2_equal_chunks,
-        par3_chunk_candidates, par5_region, par5_chunk_labels, sink1_bed_roundtrip, sink2_json_roundtrip,
+        par3_chunk_candidates, par5_region, par5_chunk_labels, sink1_bed_roundtrip, sink2_json_roundtrip, stream1_sessions, stream2_pileup,
     )
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import PileupConfig
@@ -21,9 +22,17 @@ def pileup_stream(reads: DataFrame, reference: DataFrame, block_size: int, confi
 
 
 def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Run a pileup_stream() until the files that are there now are used up; ``path``/batch=N has the counts after batch N."""
+    """Run a pileup_stream() until the files that are there now are used up; ``path``/batch=N has the positions that batch N changed, with their new counts."""
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of every position after the last batch that changed it."""
+    every = spark.read.parquet(path)
+    columns = [c for c in every.columns if c not in ("contig", "pos", "batch")]
+    last = every.groupBy("contig", "pos").agg(F.max_by(F.struct(*columns), "batch").alias("x"))
+    return last.select("contig", "pos", "x.*")

@@ -15,6 +15,7 @@ from lociflow.schemas import READS
 from lociflow.sources import bam, binning, fasta, text, vcf
 from lociflow.sources import bgzf as B
 from lociflow.streaming import pileup as S
+from lociflow.streaming import sessions
 
 SAM = """@HD\tVN:1.6
 r1\t0\tchr1\t3\t60\t4M\t*\t0\t0\tACGT\t*\tNM:i:0
@@ -416,3 +417,33 @@ def test_csi_index(spark, tmp_path):
     for c, a, b in (("chr1", 100_000, 120_000), ("chr2", 0, 400), ("chr10", 4000, 9000)):
         got = spark.read.format("vcf").option("region", f"{c}:{a}-{b}").load(str(path))
         assert [tuple(r)[1:] for r in got.orderBy("rec_ord").collect()] == [r[1:] for r in rows if r[1] == c and r[2] - 1 < b and r[2] - 1 + len(r[3]) > a]
+
+
+def test_sessions_on_a_stream(spark, tmp_path):
+    """Closed sessions come once; events that come too late are dropped; a table gives all sessions."""
+    at = lambda m: f"2024-01-01 {m // 60:02}:{m % 60:02}:00"
+    files = [[(1, 0), (1, 20), (2, 5)], [(1, 45), (1, 200)], [(2, 6), (1, 400), (2, 401)]]  # (2, 6) comes 195 minutes after newer ones
+    for i, rows in enumerate(files):
+        made = spark.createDataFrame([(k, at(m), u, "x", 1.0, None) for k, (u, m) in enumerate(rows)], "event_id long, ts string, user_id long, event_type string, value double, props string")
+        made.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    every = spark.read.parquet(str(tmp_path / "in" / "*"))
+    shown = lambda df: sorted((r["user_id"], str(r["start"])[11:16], str(r["stop"])[11:16], r["n"]) for r in df.collect())
+    whole = shown(sessions.sessions(every))
+    assert whole == [(1, "00:00", "01:15", 3), (1, "03:20", "03:50", 1), (1, "06:40", "07:10", 1), (2, "00:05", "00:36", 2), (2, "06:41", "07:11", 1)]
+    for i in range(3):  # each run of the query takes what has come since, and goes on from its state
+        (tmp_path / "come" / f"{i}").mkdir(parents=True)
+        for f in (tmp_path / "in" / f"{i}").glob("*.parquet"):
+            (tmp_path / "come" / f"{i}" / f.name).write_bytes(f.read_bytes())
+        found = sessions.sessions(sessions.read_arriving(spark, str(tmp_path / "come" / "*")), late="60 minutes")
+        sessions.write_closed(found, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    assert shown(spark.read.parquet(str(tmp_path / "out"))) == [(1, "00:00", "01:15", 3), (1, "03:20", "03:50", 1), (2, "00:05", "00:35", 1)]
+
+
+def test_counts_of_changed_positions_only(spark, tmp_path):
+    ref = spark.createDataFrame([("c", 0, "ACGTACGT")], "contig string, block int, seq string")
+    for i, start in enumerate((0, 4, 3)):
+        spark.createDataFrame([(i, "r", "c", start, 60, 0, "4M", "ACTT")], READS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        S.write_counts(S.pileup_stream(S.read_arriving(spark, str(tmp_path / "in"), 1), ref, 16), str(tmp_path / "counts"), str(tmp_path / "state")).awaitTermination(120)
+    every = spark.read.parquet(str(tmp_path / "counts"))
+    assert {r["batch"]: r["n"] for r in every.groupBy("batch").agg(F.count("*").alias("n")).where("n > 0").collect()} == {0: 4, 1: 4, 2: 4}
+    assert [(r["pos"], r["coverage"]) for r in S.latest_counts(spark, str(tmp_path / "counts")).orderBy("pos").collect()] == [(p, 2 if 3 <= p < 7 else 1) for p in range(8)]
