@@ -93,6 +93,8 @@ def format_turns(df: DataFrame) -> DataFrame:
 
     The formatted conversation is its segments by (turn, segment), one after another.  The loss mask covers the
     text of assistant turns: [loss_start, loss_end) in code points of the segment, else null.  A null text or role counts as empty.
+    Turns that repeat give a row each, null conv_ids and turns stay null, texts are rendered whole however long, an empty table gives no rows, and other
+    columns, whatever their names, aren't looked at.
     """
     rows = pick(df, "conv_id", "turn", "role", "text").withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
@@ -142,6 +144,7 @@ def read_back(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed from rows of format_turns().
 
     A digest over a conversation is sequential, so one task reads each conversation, one segment at a time.
+    Rows without a conv_id are one conversation; turns that repeat are all read, equal turns by their segments, nulls first.  No rows give none.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
     near = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").select("conv_id", "segment", "loss_start", "loss_end")

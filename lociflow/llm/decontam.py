@@ -232,6 +232,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20, wi
 
     The verdict is joined to the rows by doc_id and digest of the text; equal rows have equal verdicts, and a null
     doc_id counts as a value.  ``docs`` has doc_id and text once; further columns may repeat.
+    Rows with a null or empty text stay, an empty benchmark takes nothing, an empty table stays empty, and texts are read whole.
     """
     found = _found(docs, benchmark, window, shingle, "doc_id")
     bad = found.where((hit_words() > 0) & (share * hit_words() >= F.col("n_words"))).select("key", "digest").distinct()

@@ -84,7 +84,11 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint (hex), one row per input row; null counts as empty; equal texts have equal fingerprints."""
+    """key, fingerprint (hex), one row per input row; null counts as empty; equal texts have equal fingerprints.
+
+    Keys may be null or repeat; texts are parsed whole, a task holding one text's phrases; an empty table gives no rows, and other columns, whatever
+    their names, aren't looked at.
+    """
     rows = pick(df, key, text).toDF("key", "text")
     return rows.mapInArrow(_map, f"key {rows.schema['key'].dataType.simpleString()}, fingerprint string").withColumnRenamed("key", key)
 

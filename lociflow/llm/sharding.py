@@ -70,6 +70,7 @@ def write_shards(df: DataFrame, path: str, n_shards: int = 8, key: str = "doc_id
 
     A row's shard follows from the first rows of the shards, so nothing is joined and null or repeated keys are as
     good as others; of rows that repeat in full, some may move over the border between two shards.
+    Null texts are written as they are, columns that repeat a name aren't possible in Parquet and fail, and an empty table writes no rows.
     """
     firsts = _placed(df, n_shards, key, text)[1].orderBy("shard").collect()  # n_shards rows
     bounds = ordered([tuple(r["row"]) for r in firsts[1:]])

@@ -66,7 +66,10 @@ def _header(date: str | None):
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, header, payload_digest, payload: the original records, each stored payload verified once."""
+    """record_id, header, payload_digest, payload: the original records, each stored payload verified once.
+
+    An archive of no pages gives no rows.  Record ids may be null or repeat; every header has its record.
+    """
     stored = spark.read.parquet(f"{path}/payloads")
     verified = stored.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from digest "), "digest"))))
     return spark.read.parquet(f"{path}/headers").join(verified, "digest").select("record_id", "header", F.col("digest").alias("payload_digest"), "payload")
@@ -79,7 +82,10 @@ def header_field(name: str, column: str = "header"):
 
 
 def catalog(records: DataFrame) -> DataFrame:
-    """record_id, record_type, refers_to (key as text), payload_bytes, payload_digest, from the records of read_archive()."""
+    """record_id, record_type, refers_to (key as text), payload_bytes, payload_digest, from the records of read_archive().
+
+    One row per record; a null record_id stays null, refers_to is null for responses, and no records give no rows.
+    """
     digest, payload = F.regexp_replace(header_field("WARC-Payload-Digest"), "^sha256:", ""), F.sha2("payload", 256)
     return records.select(
         "record_id",
@@ -93,7 +99,7 @@ def catalog(records: DataFrame) -> DataFrame:
 def export(spark: SparkSession, path: str, to: str, records_per_file: int = 20_000, compression: str = "none") -> None:
     """Standard WARC files: header, payload (none for a revisit), and the blank lines that end a record.
 
-    A compression is that of a whole file, not of each record.
+    A compression is that of a whole file, not of each record.  Payloads are written whole, however long; an archive of no pages leaves no records.
     """
     block = F.when(header_field("WARC-Type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
     (read_archive(spark, path).select(F.concat("header", block).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression)

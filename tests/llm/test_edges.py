@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 
-from lociflow.llm import bpe, chat, decontam, htmltext, lzprint, neardup, queries, secrets, sharding, toxicity
+from lociflow.llm import bpe, chat, decontam, htmltext, lzprint, neardup, queries, secrets, sharding, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 NAMES = "doc_id long, text string, lang string, source string, n_chars int, key int, size string, node int, label int, bucket int, spans int, _c0 int, _row int, digest int, tail int"
@@ -406,3 +406,33 @@ def test_pipeline_row_by_row(spark):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == want
 
 
+def test_empty_tables_and_repeated_names_of_pages_turns_and_records(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h/1", "<p>one</p>", None), (None, None, None, None), (1, "http://h/1", "<p>one</p>", None)], "page_id long, url string, html string, header string")
+    twice = pages.select("page_id", "url", "html", "html", "page_id", "header")
+    for df, n in ((pages, 3), (twice, 3), (pages.limit(0), 0)):
+        assert htmltext.extract(df).count() == n
+        path = str(tmp_path / f"archive{n}{len(df.columns)}")
+        warc.write_archive(df, path, least_bytes=1)
+        found = warc.catalog(warc.read_archive(spark, path))
+        assert found.count() == n and found.where("record_id is null").count() == (n > 0)
+        warc.export(spark, path, path + "-files")
+    turns = spark.createDataFrame([(1, 0, "user", "x", 1), (1, 0, "user", "x", 1), (None, None, "assistant", None, 1), (None, 1, None, "y", 1)], "conv_id long, turn long, role string, text string, segment int")
+    both = turns.select("conv_id", "turn", "role", "text", "text", "segment")
+    for df in (turns, both):
+        got = {r["conv_id"]: r["n_turns"] for r in chat.read_back(chat.format_turns(df)).collect()}
+        assert got == {1: 2, None: 2}
+    assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+    sharding.write_shards(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"))
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "a b c d")], "doc_id long, text string")
+    assert sorted(map(str, decontam.drop_contaminated(odd, bench).collect())) == sorted(map(str, odd.limit(2).collect()))
+    assert decontam.drop_contaminated(odd, bench.limit(0)).count() == 5 and decontam.drop_contaminated(odd.limit(0), bench).count() == 0
+
+
+def test_very_long_pages_through_extract(spark):
+    rng = random.Random(31)
+    own = [[f"own {k} {i} {rng.random()}" for i in range(40_000)] for k in range(2)]
+    site = [f"site line {i}" for i in range(10_000)]
+    page = lambda x: "".join(f"<div>{t}</div>" for t in site + x)
+    rows = spark.createDataFrame([(k, f"http://h/{k}", page(x)) for k, x in enumerate(own)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.extract(rows).collect()} == {k: "\n".join(x) for k, x in enumerate(own)}
