@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..config import PileupConfig
 from ..functions.genotype import DELETED, INSERTION, SNP_OR_DELETION
 from ..session import cut
+from . import pieces as P
+from .pieces import RUN_BITS, WIDTH
 from .reads import by_flags, cigar_ops, valid_reads, well_mapped
 
 SITE = ("contig", "pos")
@@ -92,7 +94,9 @@ def sparse_events(reads: DataFrame, reference: DataFrame, block_size: int, confi
 
 
 def clip(sparse: DataFrame, start: Column, stop: Column) -> DataFrame:
-    """Mismatches at positions from start to stop, both included, and what stretches have of them."""
+    """Mismatches at positions from start to stop, both included, and what stretches have of them; also of pieces."""
+    if "ops" in sparse.columns:
+        return sparse.withColumn("first", start.cast("int")).withColumn("last", stop.cast("int"))
     cut = sparse.withColumn("pos", F.greatest("pos", F.when(F.col("cls").isNull(), start).otherwise(F.col("pos")))).withColumn("stop", F.least("stop", stop + 1))
     return cut.where((F.col("pos") < F.col("stop")) & (F.col("pos") >= start))
 
@@ -150,10 +154,6 @@ def allele_histogram(events: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
     return events.where("mm = 1").groupBy(*by, "ref_base", "cls", "allele").agg(F.count("*").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"))
 
 
-#: Positions in a bin; reads in a run, as a power of two of read_ord.
-WIDTH, RUN_BITS = 1024, 16
-
-
 def _binned(sparse: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sparse events cut at the borders of bins of positions: ``bin``, ``run`` (of the reads, by read_ord), and ``from`` and ``to`` inside the bin."""
     start, stop = F.col("pos") - F.col("bin") * WIDTH, F.col("stop") - F.col("bin") * WIDTH
@@ -275,8 +275,92 @@ def _counted(sparse: DataFrame, config: PileupConfig, by: Sequence[str]) -> Data
     return counted.applyInArrow(_counting(config, keep), ", ".join(f"`{c}` {kind[c]}" for c in keep) + ", ok boolean")
 
 
+def _places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows by position in a bin, how many rows stand at smaller positions, and how many come before each row at its own."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # by digits, since these are short
+    n = np.bincount(at, minlength=WIDTH)
+    smaller = np.cumsum(n) - n
+    nth = np.empty(len(at), np.int64)
+    nth[order] = np.arange(len(at)) - smaller[at[order]]
+    return order, smaller, nth
+
+
+def _piece_counts(found: P.Bases) -> tuple[np.ndarray, np.ndarray]:
+    """The coverage and the mismatches that pieces give each position of their bin."""
+    return np.bincount(found.at, minlength=WIDTH), np.bincount(found.at[found.differs], minlength=WIDTH) + np.bincount(found.in_at, minlength=WIDTH)
+
+
+def _piece_totals(table: pa.Table, keys: Sequence[str]) -> pa.Table:
+    """_totals() of pieces."""
+    both = [sum(x) for x in zip(*(_piece_counts(found) for found in P.parts(table)), strict=True)]
+    lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in both]
+    return pa.table([*(table.column(c).slice(0, 1).combine_chunks() for c in (*keys, "bin", "run")), *lists], [*keys, "bin", "run", "cov", "mm"])
+
+
+def _piece_counting(config: PileupConfig, keys: Sequence[str]):
+    """The alleles that a run has in a bin: freq, the read and operation that show it first, and whether their position passes the limits when one of them arrives.
+
+    A base's place among those of its position is its coverage, an insertion looks for its place among them.  Long runs are laid out in parts, and each part hands its totals on.
+    """
+
+    def count(rows: pa.Table, carry: pa.Table) -> pa.Table:
+        cov, mm = (np.array(carry.column(c)[0].as_py()) for c in ("cov", "mm")) if carry.num_rows else (np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64))
+        tables = []
+        for found in P.parts(rows):
+            tables.append(alleles(found, cov, mm))
+            more = _piece_counts(found)
+            cov, mm = cov + more[0], mm + more[1]
+        return pa.concat_tables(tables)
+
+    def alleles(found: P.Bases, cov: np.ndarray, mm: np.ndarray) -> pa.Table:
+        differs, named, size = np.flatnonzero(found.differs), found.inserted.dictionary_encode(), found.rows.num_rows
+        order, smaller, nth = _places(found.at)
+        among = found.at[order] * size + found.row[order]
+        covered = np.concatenate([nth[differs] + 1, np.searchsorted(among, found.in_at * size + found.in_row, "right") - smaller[found.in_at]])
+        at, op_idx, ref, row = (np.concatenate([a[differs], b]) for a, b in ((found.at, found.in_at), (found.op_idx, found.in_op), (found.ref, found.in_ref), (found.row, found.in_row)))
+        cls = np.repeat([SNP_OR_DELETION, INSERTION], [len(differs), len(found.in_at)])
+        code = np.concatenate([found.base[differs].astype(np.int64), 256 + named.indices.to_numpy()])
+        arrival = np.argsort(row * (op_idx.max(initial=0) + 1) + op_idx, kind="stable")
+        covered, at, op_idx, ref, row, cls, code = (x[arrival] for x in (covered, at, op_idx, ref, row, cls, code))
+        n_cov, n_mm = covered + cov[at], _places(at)[2] + 1 + mm[at]
+        ok = (n_mm > config.min_mismatches) & (n_cov > config.min_coverage) & (n_mm * 100 >= n_cov * (config.min_percent + 1))
+        _, first, of, n = np.unique((at * 2 + cls) * (256 + len(named.dictionary)) + code, return_index=True, return_inverse=True, return_counts=True)
+        same = pa.array(np.zeros(len(first), np.int64))
+        columns = {c: found.rows.column(c).combine_chunks().take(same) for c in keys} | {
+            "pos": pa.array(found.rows.column("bin")[0].as_py() * WIDTH + at[first], pa.int32()), "ref_base": P.letters(ref[first]), "cls": pa.array(cls[first], pa.int32()),
+            "allele": pa.concat_arrays([P.LETTERS, named.dictionary]).take(pa.array(code[first])).cast(pa.string()), "freq": pa.array(n, pa.int64()),
+            "read_ord": found.rows.column("read_ord").combine_chunks().take(pa.array(row[first])), "op_idx": pa.array(op_idx[first], pa.int32()), "ok": pa.array(np.bincount(of, ok, len(first)) > 0),
+        }
+        return pa.table(columns)
+
+    return count
+
+
+def _kinds(df: DataFrame, names: Sequence[str]) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"`{c}` {kind[c]}" for c in names)
+
+
+#: Bins, a row of some 40 bytes each, up to which those with several runs are broadcast.
+_FEW_BINS = 100_000
+
+
+def _counted_pieces(pieces: DataFrame, config: PileupConfig, by: Sequence[str]) -> DataFrame:
+    """As _counted(), from read_pieces(): a row per allele that a run has in a bin, with freq, read_ord and op_idx of the first, and ok."""
+    keys = [c for c in by if c != "pos"]
+    rows = cut(pieces)
+    several = cut(rows.groupBy(*keys, "bin").agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last").select(*keys, "bin"))
+    deep = rows.join(F.broadcast(several) if several.count() <= _FEW_BINS else several.hint("merge"), [*keys, "bin"], "left_semi")
+    group = [*keys, "bin", "run"]
+    arrays = f"{_kinds(rows, group)}, cov array<long>, mm array<long>"
+    totals = deep.groupBy(*group).applyInArrow(lambda table: _piece_totals(table, keys), arrays)
+    carry = totals.groupBy(*keys, "bin").applyInArrow(_carried, arrays)
+    shown = f"{_kinds(rows, keys)}, pos int, ref_base string, cls int, allele string, freq long, read_ord long, op_idx int, ok boolean"
+    return rows.groupBy(*group).cogroup(carry.groupBy(*group)).applyInArrow(_piece_counting(config, keys), shown)
+
+
 def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
-    """Distinct positions that pass the limits, from sparse_events().
+    """Distinct positions that pass the limits, from sparse_events(), or from read_pieces() with "running".
 
     "running" is order dependent: a position stays in once it passed at some mismatch, even if later reads dilute it,
     and one whose last mismatch came too early never passes.  "final" tests totals.
@@ -284,24 +368,36 @@ def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig()
     if config.threshold == "final":
         totals = position_totals(sparse, by).where("mismatches > 0")
         return totals.where(over_limits(F.col("mismatches"), F.col("coverage"), config)).select(*by)
-    return _counted(sparse, config, by).where("ok").select(*by).distinct()
+    counted = _counted_pieces if "ops" in sparse.columns else _counted
+    return counted(sparse, config, by).where("ok").select(*by).distinct()
 
 
 def candidate_alleles(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
-    """contig, pos, ref_base, cls, allele, freq, rnk: up to ``ploidy`` alleles per class of every candidate position, from sparse_events().
+    """contig, pos, ref_base, cls, allele, freq, rnk: up to ``ploidy`` alleles per class of every candidate position, from sparse_events(), or from read_pieces() with "running".
 
     Equal counts go by first appearance.  Mismatches are counted by allele before they are shuffled by position.
     """
+    if "ops" in sparse.columns:
+        found = _counted_pieces(sparse, config, by).repartition(*by)
+        # rows are sorted by these columns, numbers first
+        alleles = found.groupBy("pos", "cls", "allele", *[c for c in by if c != "pos"], "ref_base").agg(F.sum("freq").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"), F.max("ok").alias("ok"))
+        return _ranked(alleles, config, by)
     if config.threshold == "final":
         sparse = cut(sparse)
         found = sparse.where("cls is not null").join(candidate_positions(sparse, config, by), list(by), "left_semi").withColumn("ok", F.lit(True))
     else:
         found = _counted(sparse, config, by)
     alleles = found.groupBy(*by, "ref_base", "cls", "allele").agg(F.count("*").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"), F.max("ok").alias("ok"))
+    return _ranked(alleles, config, by)
+
+
+def _ranked(alleles: DataFrame, config: PileupConfig, by: Sequence[str]) -> DataFrame:
+    """The first ``ploidy`` alleles of each class, at positions where one of them is ok."""
+    shown, by = [*by, "ref_base", "cls", "allele", "freq", "rnk"], sorted(by, key=lambda c: c != "pos")  # sorts compare the position first, then the few contigs
     passed = alleles.withColumn("ok", F.max("ok").over(Window.partitionBy(*by))).where("ok")
     order = F.col("freq").asc() if config.allele_order == "rarest" else F.col("freq").desc()
     rank = F.row_number().over(Window.partitionBy(*by, "cls").orderBy(order, "first_seen"))
-    return passed.withColumn("rnk", rank).where(F.col("rnk") <= config.ploidy).select(*by, "ref_base", "cls", "allele", "freq", "rnk")
+    return passed.withColumn("rnk", rank).where(F.col("rnk") <= config.ploidy).select(*shown)
 
 
 def candidate_sites(alleles: DataFrame) -> DataFrame:

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from ..config import PileupConfig
 from ..operators import intervals, labels, pileup, reads, variants
+from ..operators.pieces import read_pieces
+
+
+def _said(read_rows: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What candidates need of the reads: a row per read and bin; limits on totals need a row per mismatch and stretch."""
+    return (pileup.sparse_events if config.threshold == "final" else read_pieces)(read_rows, reference, block_size, config, keep)
 
 
 def find_candidates(read_rows: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig()) -> DataFrame:
     """Candidate alleles over all contigs at once: chunks are left to Spark's partitioning, and no position counts twice."""
-    return pileup.candidate_alleles(pileup.sparse_events(read_rows, reference, block_size, config), config)
+    return pileup.candidate_alleles(_said(read_rows, reference, block_size, config), config)
 
 
 def find_candidates_by_chunk(read_rows: DataFrame, reference: DataFrame, block_size: int, chunk_rows: DataFrame, config: PileupConfig = PileupConfig()) -> DataFrame:
@@ -20,7 +26,7 @@ def find_candidates_by_chunk(read_rows: DataFrame, reference: DataFrame, block_s
     A chunk has the reads that overlap [start, stop) and reports positions from start to stop, both included.
     """
     in_chunks = intervals.assign_chunks(reads.with_end(reads.well_mapped(read_rows, config.min_mapq)), chunk_rows)
-    found = pileup.sparse_events(in_chunks, reference, block_size, config, keep=("chunk_id", "chunk_start", "chunk_stop"))
+    found = _said(in_chunks, reference, block_size, config, ("chunk_id", "chunk_start", "chunk_stop"))
     inside = pileup.clip(found, F.col("chunk_start"), F.col("chunk_stop")).drop("chunk_start", "chunk_stop")
     return pileup.candidate_alleles(inside, config, by=("chunk_id", "contig", "pos"))
 
@@ -34,6 +40,6 @@ def label_candidates(read_rows: DataFrame, reference: DataFrame, records: DataFr
 def label_region(read_rows: DataFrame, reference: DataFrame, records: DataFrame, block_size: int, contig: str, start: int, stop: int, config: PileupConfig = PileupConfig(), max_span: int | None = None) -> DataFrame:
     """The six output columns for the candidates of one region, positions start to stop, both included; ``max_span`` as in_region() has it."""
     near = reads.in_region(read_rows, contig, start, stop, max_span)
-    found = pileup.clip(pileup.sparse_events(near, reference.where(F.col("contig") == contig), block_size, config), F.lit(start), F.lit(stop))
+    found = pileup.clip(_said(near, reference.where(F.col("contig") == contig), block_size, config), F.lit(start), F.lit(stop))
     truth = variants.decompose(records.where(F.col("contig") == contig), config=config)
     return labels.labelled_rows(labels.label_alleles(pileup.candidate_alleles(found, config), truth, config))

@@ -1,8 +1,12 @@
 """What grows with the input is shuffled, cut into more files or tasks, and never collected."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from lociflow.operators import intervals
+from lociflow.operators import intervals, pieces, pileup
+from lociflow.schemas import READS
 
 BED = "contig string, start int, stop int, name string"
 
@@ -20,3 +24,44 @@ def test_overlap_join_broadcasts_neither_side_and_places_rows_on_met_levels_only
     assert "Broadcast" not in plan(intervals.overlap_join(a, b, width=256))
     short = intervals.intersect(a.where("name = 'x'"), b, width=256)
     assert "sequence(_level" not in plan(short) and short.count() == 2
+
+
+@pytest.mark.parametrize("laid_out, run_bits", [(1 << 21, 16), (50, 16), (1 << 21, 4), (64, 3)])
+def test_pieces_give_the_candidates_of_events(spark, monkeypatch, laid_out, run_bits):
+    """Odd CIGARs, reads over bins and off the contig, gaps in the reference, runs and parts: the same alleles as from a row per mismatch."""
+    monkeypatch.setattr(pieces, "LAID_OUT", laid_out)
+    monkeypatch.setattr(pieces, "RUN_BITS", run_bits)
+    monkeypatch.setattr(pileup, "RUN_BITS", run_bits)
+    rng = random.Random(laid_out + run_bits)
+    ref = "".join(rng.choice("ACGT") for _ in range(2500))
+    rows = []
+    for i in range(400):
+        start = rng.choice([rng.randrange(2490), rng.randrange(1015, 1030), 2040, 0])
+        ops = [(rng.randint(1, 1200 if rng.random() < 0.02 else 12), rng.choice("MMMMMIDNSHP")) for _ in range(rng.randint(1, 6))]
+        at, seq = start, ""
+        for n, op in ops:
+            if op == "M":
+                seq += "".join(c if rng.random() < 0.8 else rng.choice("ACGTN") for c in (ref[at : at + n] + "A" * n)[:n])
+            elif op in "IS":
+                seq += "".join(rng.choice("AC") for _ in range(n))
+            at += n if op in "MDN" else 0
+        rows.append((start, "".join(f"{n}{o}" for n, o in ops), seq))
+    rows += [(0, "5=", "ACGTA"), (0, "*", "A"), (None, "1M", "A"), (0, None, "A"), (0, "3M", None), (0, "4M", "ACG"), (5, "3MM", "ACG"), (5, "3M1", "ACG"), (5, "", "")]
+    made = spark.createDataFrame([(i, f"r{i}", "c", r[0], 60, 0, r[1], r[2]) for i, r in enumerate(rows)], READS)
+    blocks = spark.createDataFrame([("c", b, ref[b * 16 : b * 16 + 16].lower()) for b in range(157) if b not in (5, 64, 130)], "contig string, block int, seq string")
+    names = ["contig", "pos", "ref_base", "cls", "allele", "freq", "rnk"]
+    for said in (lambda x: x, lambda x: pileup.clip(x, F.lit(1000), F.lit(2045))):
+        want = pileup.candidate_alleles(said(pileup.sparse_events(made, blocks, 16)))
+        got = pileup.candidate_alleles(said(pieces.read_pieces(made, blocks, 16)))
+        assert got.columns == want.columns == names
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+    wide = pieces.read_pieces(made, blocks, 16)
+    assert wide.groupBy("read_ord", "bin").count().where("count > 2").count() == 0
+
+
+def test_pieces_of_long_reads_are_no_longer_than_the_reads(spark):
+    ref = "ACGT" * 10_000
+    made = spark.createDataFrame([(0, "r", "c", 0, 60, 0, "40000M", ref)], READS)
+    found = pieces.read_pieces(made, spark.createDataFrame([("c", 0, ref)], "contig string, block int, seq string"), 65_536)
+    assert found.agg(F.sum(F.length("seq")), F.max(F.length("seq")), F.count("*")).first() == (40_000, 1024, 40)
+    assert found.where(F.substring("ref", 2, 2000) != F.col("seq")).count() == 0
