@@ -23,9 +23,11 @@ def find_candidates(read_rows: DataFrame, reference: DataFrame, block_size: int,
 def find_candidates_by_chunk(read_rows: DataFrame, reference: DataFrame, block_size: int, chunk_rows: DataFrame, config: PileupConfig = PileupConfig()) -> DataFrame:
     """Candidate alleles of each chunk for itself, with chunk_id; positions in the overlap of two chunks come out of both.
 
-    A chunk has the reads that overlap [start, stop) and reports positions from start to stop, both included.
+    A chunk has the reads that overlap [start, stop) and reports positions from start to stop, both included.  Reads and chunks meet in bins about as wide
+    as the longest chunk, so that a read is compared with few chunks that it doesn't overlap.
     """
-    in_chunks = intervals.assign_chunks(reads.with_end(reads.well_mapped(read_rows, config.min_mapq)), chunk_rows)
+    longest = chunk_rows.agg(F.max(F.col("stop") - F.col("start"))).first()[0] or 1
+    in_chunks = intervals.assign_chunks(reads.with_end(reads.well_mapped(read_rows, config.min_mapq)), chunk_rows, width=max(64, 1 << (longest - 1).bit_length()))
     found = _said(in_chunks, reference, block_size, config, ("chunk_id", "chunk_start", "chunk_stop"))
     inside = pileup.clip(found, F.col("chunk_start"), F.col("chunk_stop")).drop("chunk_start", "chunk_stop")
     return pileup.candidate_alleles(inside, config, by=("chunk_id", "contig", "pos"))
