@@ -127,15 +127,42 @@ def pileup_scan(
     By default unmapped, secondary, failed and duplicate reads are left out.  Bases under ``min_base_quality`` are, too; those without a quality, deletions and skips
     stay.  A position's first bases are chosen in each run of reads, then the runs before a run tell how many of its own stay, so no list is longer than ``max_depth``.
     """
-    found = events(by_flags(reads, exclude_flags, require_flags), reference, block_size, config).where("cov = 1")
-    if "qual" in found.columns:
-        found = found.where(F.coalesce(F.col("qual") >= min_base_quality, F.lit(True)))
-    run = [*SITE, "run"]
-    in_run = found.select(*SITE, *ARRIVAL, "allele", F.shiftright("read_ord", RUN_BITS).alias("run")).withColumn("nth", F.row_number().over(Window.partitionBy(*run).orderBy(*ARRIVAL))).where(F.col("nth") <= max_depth)
-    before = Window.partitionBy(*SITE).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    counts = in_run.groupBy(*run).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < max_depth)
-    first = in_run.join(counts, run).where(F.col("before") + F.col("nth") <= max_depth)
-    return columns(first.withColumn("cov", F.lit(1)))
+    return piece_columns(P.read_pieces(by_flags(reads, exclude_flags, require_flags), reference, block_size, config), max_depth, min_base_quality)
+
+
+def piece_columns(pieces: DataFrame, max_depth: int | None = None, min_base_quality: int | None = None) -> DataFrame:
+    """columns() from read_pieces(); of each position the first ``max_depth`` bases, if it is given, and if pieces have qualities, of those that ``min_base_quality`` leaves.
+
+    A run of reads gives each position one row with its bases as a string; the runs before a run tell how many of its own stay.
+    """
+
+    def count(rows: pa.Table) -> pa.Table:
+        tables = [_column_rows(found, max_depth, min_base_quality) for found in P.parts(rows)]
+        return pa.concat_tables([t.append_column("part", pa.array(np.full(t.num_rows, i), pa.int32())) for i, t in enumerate(tables)])
+
+    in_run = pieces.groupBy("contig", "bin", "run").applyInArrow(count, "contig string, pos int, run long, n long, bases string, part int")
+    if max_depth is not None:
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("pos", "contig").orderBy("run", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        in_run = in_run.withColumn("left", max_depth - before).where("left > 0").withColumn("bases", F.substring("bases", F.lit(1), F.col("left").cast("int"))).withColumn("n", F.least("n", "left"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "part", "bases"))), lambda x: x["bases"]), "")
+    return in_run.groupBy("pos", "contig").agg(F.sum("n").alias("n_reads"), joined.alias("bases")).select(*SITE, "n_reads", "bases")
+
+
+def _column_rows(found: P.Bases, max_depth: int | None, min_base_quality: int | None) -> pa.Table:
+    """contig, pos, run, n, bases: the bases of each position of a bin, as a string in order of arrival."""
+    at, base = found.at, found.base
+    if found.qual is not None and min_base_quality is not None:
+        at, base = at[found.qual >= min_base_quality], base[found.qual >= min_base_quality]
+    order, _, nth = _places(at)
+    if max_depth is not None:
+        order = order[nth[order] < max_depth]
+    n = np.bincount(at[order], minlength=WIDTH)
+    places = np.flatnonzero(n)
+    ends = np.concatenate([[0], np.cumsum(n[places])]).astype(np.int64)
+    same = pa.array(np.zeros(len(places), np.int64))
+    text = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(base[order].tobytes())).cast(pa.string())
+    contig, run = (found.rows.column(c).combine_chunks().take(same) for c in ("contig", "run"))
+    return pa.table({"contig": contig, "pos": pa.array(found.rows.column("bin")[0].as_py() * WIDTH + places, pa.int32()), "run": run, "n": pa.array(n[places], pa.int64()), "bases": text})
 
 
 def mismatching_reads(events: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
@@ -149,6 +176,21 @@ def covered_reference(events: DataFrame) -> DataFrame:
     return events.where("cov = 1").groupBy(*SITE).agg(F.min("ref_base").alias("ref_base"))
 
 
+def covered_by_pieces(pieces: DataFrame) -> DataFrame:
+    """covered_reference() from read_pieces(): a row per position from each run of reads in a bin."""
+
+    def spanned(rows: pa.Table) -> pa.Table:
+        under = np.zeros(WIDTH, np.uint8)
+        for found in P.parts(rows):
+            under[found.at] = found.ref
+        places = np.flatnonzero(under)
+        contig = rows.column("contig").combine_chunks().take(pa.array(np.zeros(len(places), np.int64)))
+        return pa.table({"contig": contig, "pos": pa.array(rows.column("bin")[0].as_py() * WIDTH + places, pa.int32()), "ref_base": P.letters(under[places])})
+
+    found = pieces.groupBy("contig", "bin", "run").applyInArrow(spanned, "contig string, pos int, ref_base string")
+    return found.groupBy("pos", "contig").agg(F.min("ref_base").alias("ref_base")).select(*SITE, "ref_base")
+
+
 def allele_histogram(events: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
     """freq and first_seen of every allele that differs from the reference, by position and class."""
     return events.where("mm = 1").groupBy(*by, "ref_base", "cls", "allele").agg(F.count("*").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"))
