@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociflow.operators import intervals, pieces, pileup
+from lociflow.plans import alignment
 from lociflow.schemas import READS
 
 BED = "contig string, start int, stop int, name string"
@@ -65,3 +66,27 @@ def test_pieces_of_long_reads_are_no_longer_than_the_reads(spark):
     found = pieces.read_pieces(made, spark.createDataFrame([("c", 0, ref)], "contig string, block int, seq string"), 65_536)
     assert found.agg(F.sum(F.length("seq")), F.max(F.length("seq")), F.count("*")).first() == (40_000, 1024, 40)
     assert found.where(F.substring("ref", 2, 2000) != F.col("seq")).count() == 0
+
+
+def test_columns_and_covered_reference_from_pieces(spark, monkeypatch):
+    """Over bins, runs and parts, with and without a bound: what events give."""
+    monkeypatch.setattr(pieces, "LAID_OUT", 200)
+    monkeypatch.setattr(pieces, "RUN_BITS", 4)
+    rng, ref = random.Random(5), "ACGT" * 300
+    rows = [(i, f"r{i}", "c", rng.choice([1015, 1020, rng.randrange(1150)]), 60, 0, "6M2D2I4M", "".join(rng.choice("ACGT") for _ in range(12))) for i in range(120)]
+    made, blocks = spark.createDataFrame(rows, READS), spark.createDataFrame([("c", 0, ref)], "contig string, block int, seq string")
+    ev, found = pileup.events(made, blocks, 1200), pieces.read_pieces(made, blocks, 1200)
+    whole = {r["pos"]: r["bases"] for r in pileup.columns(ev).collect()}
+    assert {r["pos"]: r["bases"] for r in pileup.piece_columns(found).collect()} == whole
+    assert {r["pos"]: (r["n_reads"], r["bases"]) for r in pileup.piece_columns(found, 7).collect()} == {p: (min(7, len(b)), b[:7]) for p, b in whole.items()}
+    assert sorted(map(tuple, pileup.covered_by_pieces(found).collect())) == sorted(map(tuple, pileup.covered_reference(ev).collect()))
+
+
+def test_files_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id as l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = spark.range(1, 1001).withColumnRenamed("id", "read_ord")
+    monkeypatch.setattr(alignment, "FILE_ROWS", 100)
+    spread = alignment.in_files(spark, str(tmp_path), rows, "read_ord", "lineitem", 4).select("read_ord", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min("read_ord"), F.max("read_ord")).orderBy("p").collect()
+    assert [tuple(r) for r in spread] == [(i, i * 100 + 1, i * 100 + 100) for i in range(10)]
+    monkeypatch.setattr(alignment, "FILE_ROWS", 500_000)
+    assert alignment.n_files(spark, str(tmp_path), "lineitem", 4) == 4
