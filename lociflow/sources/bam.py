@@ -141,6 +141,21 @@ def _record(data: bytes, names: list[str], region: Region | None = None) -> tupl
     )
 
 
+#: Compressed bytes between two spans up to which both are read as one.
+_NEAR = 1 << 16
+
+
+def near_together(spans: list[tuple[int, int | None]]) -> list[tuple[int, int | None]]:
+    """The spans that an index gives for a region, those that nearly meet made one, so that a task isn't started for each bin; what lies between is of the same contig, and filtered."""
+    out: list[tuple[int, int | None]] = []
+    for start, stop in sorted(spans, key=lambda x: x[0]):
+        if out and out[-1][1] is not None and stop is not None and (start >> 16) - (out[-1][1] >> 16) <= _NEAR:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((start, stop))
+    return out
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.split_bytes = options["path"], int(options.get("splitBytes", 64 << 20))
@@ -162,7 +177,7 @@ class BamReader(DataSourceReader):
                 continue
             offsets = index.offsets()
             spans = index.chunks(names.index(wanted.contig) if wanted.contig in names else -1, wanted.start, wanted.stop) if wanted else [(first, None)]
-            for start, stop in spans:
+            for start, stop in near_together(spans):
                 cuts = [start]
                 for offset in offsets:
                     if (offset >> 16) - (cuts[-1] >> 16) >= self.split_bytes and (stop is None or offset < stop):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociflow.operators import intervals, pieces, pileup
 from lociflow.plans import alignment
 from lociflow.schemas import READS
+from lociflow.sources import bam
 
 BED = "contig string, start int, stop int, name string"
 
@@ -90,3 +91,9 @@ def test_files_grow_with_the_table(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in spread] == [(i, i * 100 + 1, i * 100 + 100) for i in range(10)]
     monkeypatch.setattr(alignment, "FILE_ROWS", 500_000)
     assert alignment.n_files(spark, str(tmp_path), "lineitem", 4) == 4
+
+
+def test_spans_of_an_index_that_nearly_meet_are_one_task():
+    at = lambda *blocks: [(a << 16, b << 16) for a, b in blocks]
+    assert bam.near_together(at((0, 10), (20, 30), (30, 90_000), (200_000, 200_001))) == at((0, 90_000), (200_000, 200_001))
+    assert bam.near_together([(5, None)]) == [(5, None)] and bam.near_together([]) == []
