@@ -3,12 +3,15 @@
 Spark filters, shuffles and joins the pieces; numpy compares the bases of many pieces at once inside tasks.  The columns: contig, what is kept, ``bin``,
 ``run`` (of the reads, by read_ord), read_ord, op_idx (of its first operation), ``from`` (in the bin), ``ops`` (lengths and operations as BAM has them),
 ``seq``, perhaps ``qual``, and ``ref``, which starts a base before the piece and has a blank where there is no reference.
+
+packed_pieces() has a row for the pieces that reads next to each other have in a bin and run, so that Spark moves bytes and not a row per read: ``ords`` (read_ord),
+``heads`` (op_idx, from, how many operations and bases), ``ops`` and ``seq``, all end to end, and the bin's ``window``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -68,56 +71,119 @@ def parsed(cigar: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return read, kind[ends], n, ok & (np.bincount(read[~good], minlength=len(ok)) == 0)
 
 
-def _cut(batch: pa.RecordBatch, keep: Sequence[str]) -> pa.RecordBatch:
-    """The pieces of reads; reads that can't be walked have none."""
-    read, op, n, ok = parsed(batch.column("cigar"))
+@dataclass
+class Cuts:
+    """The pieces of a batch: the read ``of`` each, its bin, first operation, place in the bin, covered positions, and what it has of ``coded`` (operations) and ``bases``."""
+
+    of: np.ndarray
+    order: np.ndarray
+    bin: np.ndarray
+    op_idx: np.ndarray
+    start: np.ndarray
+    covered: np.ndarray
+    op_at: np.ndarray
+    n_ops: np.ndarray
+    coded: np.ndarray
+    base_at: np.ndarray
+    n_bases: np.ndarray
+    bases: np.ndarray
+    read_at: np.ndarray
+
+
+def _cuts(batch: pa.RecordBatch) -> Cuts:
+    """The pieces of reads; reads that can't be walked have none.  Each distinct CIGAR is read once."""
+    cigars = batch.column("cigar").dictionary_encode()
+    of_kind, op_kind, n_kind, ok_kind = parsed(cigars.dictionary)
+    kind = cigars.indices.fill_null(-1).to_numpy()
     start, order = (batch.column(c).fill_null(-1).to_numpy().astype(np.int64) for c in ("ref_start", "read_ord"))
     data, at = _text(batch.column("seq"))
-    used = np.bincount(read, np.where(_ON_READ[op], n, 0), minlength=len(ok)).astype(np.int64)
-    ok &= (start >= 0) & (used == at[1:] - at[:-1]) & batch.column("seq").is_valid().to_numpy(zero_copy_only=False)
-    walked = ok[read]
-    read, op, n = read[walked], op[walked], n[walked]
-    head = np.concatenate([[True], read[1:] != read[:-1]])[: len(read)]
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    used = np.bincount(of_kind, np.where(_ON_READ[op_kind], n_kind, 0), minlength=len(ok_kind)).astype(np.int64)
+    ok = np.concatenate([ok_kind, [False]])[kind] & (start >= 0) & (np.concatenate([used, [-1]])[kind] == at[1:] - at[:-1]) & batch.column("seq").is_valid().to_numpy(zero_copy_only=False)
+    n_kinds = np.bincount(of_kind, minlength=len(ok_kind))
+    walked = np.flatnonzero(ok)
+    row, nth = _within(n_kinds[kind[walked]])
+    read, its = walked[row], (np.cumsum(n_kinds) - n_kinds)[kind[walked]][row] + nth
+    op, n = op_kind[its], n_kind[its]
+    first_kind = (np.cumsum(n_kinds) - n_kinds)[of_kind]
 
     def before(x: np.ndarray) -> np.ndarray:
         c = np.cumsum(x) - x
-        return c - c[first]
+        return (c - c[first_kind])[its]
 
     spans = _ON_REFERENCE[op] & (n > 0)
-    place = start[read] + before(np.where(_ON_REFERENCE[op], n, 0))
-    in_read, nth = before(np.where(_ON_READ[op], n, 0)), np.arange(len(read)) - first
+    place = start[read] + before(np.where(_ON_REFERENCE[op_kind], n_kind, 0))
+    in_read = before(np.where(_ON_READ[op_kind], n_kind, 0))
     low = np.where(spans, place, np.where(op == _I, place - 1, np.maximum(place - 1, start[read])))  # an insertion stands at the base before it
     high = np.where(spans, place + n, low + 1)
     each, k = _within((high - 1) // WIDTH - low // WIDTH + 1)
-    bins = low[each] // WIDTH + k
-    left = np.maximum(low[each], bins * WIDTH)
-    op, read, spans = op[each], read[each], spans[each]
-    size = np.where(spans, np.minimum(high[each], (bins + 1) * WIDTH) - left, n[each])
-    place = np.where(spans, left, place[each])
-    base = in_read[each] + np.where(spans & (op == _M), place - low[each], 0)
+    if len(each) > len(read):
+        bins = low[each] // WIDTH + k
+        left = np.maximum(low[each], bins * WIDTH)
+        op, read, spans, nth = op[each], read[each], spans[each], nth[each]
+        size = np.where(spans, np.minimum(high[each], (bins + 1) * WIDTH) - left, n[each])
+        place = np.where(spans, left, place[each])
+        base = in_read[each] + np.where(spans & (op == _M), place - low[each], 0)
+    else:
+        bins, size, base = low // WIDTH, n, in_read
     head = np.flatnonzero(np.concatenate([[True], (read[1:] != read[:-1]) | (bins[1:] != bins[:-1])])[: len(read)])
     ends = np.concatenate([head[1:], [len(read)]])[: len(head)]
     said = np.add.reduceat((spans | (op == _I) & (size > 0)).astype(np.int64), head) > 0 if len(head) else np.zeros(0, bool)
+    covered = np.add.reduceat(np.where(spans, size, 0), head) if len(head) else np.zeros(0, np.int64)
     on = said & (bins[head] >= 0)
-    of = read[head][on]
-    length = ((base + np.where(_ON_READ[op], size, 0))[ends - 1] - base[head])[on]
-    covered = (np.add.reduceat(np.where(spans, size, 0), head) if len(head) else np.zeros(0, np.int64))[on]
-    row, k = _within((ends - head)[on])
-    at_op = head[on][row] + k
-    ops = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((ends - head)[on])]), pa.int32()), pa.array(size[at_op] << 4 | op[at_op], pa.int32()))
-    chosen = pa.array(of)
-    columns = {c: batch.column(c).take(chosen) for c in ("contig", *keep)} | {
-        "bin": pa.array(bins[head][on]), "run": pa.array(order[of] >> RUN_BITS), "read_ord": pa.array(order[of]), "op_idx": pa.array(nth[each][head][on], pa.int32()),
-        "from": pa.array((place[head] - bins[head] * WIDTH)[on], pa.int32()), "size": pa.array(covered, pa.int32()), "ops": ops, "seq": _slices(data, at[of] + base[head][on], length).cast(pa.string()),
+    head, ends, of = head[on], ends[on], read[head][on]
+    length = (base + np.where(_ON_READ[op], size, 0))[ends - 1] - base[head]
+    coded = np.where(_ON_REFERENCE[op] | _ON_READ[op], size, 0) << 4 | op  # of what is neither in the read nor on the reference any number may be clipped
+    return Cuts(of, order[of], bins[head], nth[head], place[head] - bins[head] * WIDTH, covered[on], head, ends - head, coded, at[of] + base[head], length, data, base[head])
+
+
+def _cut(batch: pa.RecordBatch, keep: Sequence[str], run_bits: int = RUN_BITS) -> pa.RecordBatch:
+    """A row for each piece."""
+    c = _cuts(batch)
+    row, k = _within(c.n_ops)
+    ops = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c.n_ops)]), pa.int32()), pa.array(c.coded[c.op_at[row] + k], pa.int32()))
+    chosen = pa.array(c.of)
+    columns = {name: batch.column(name).take(chosen) for name in ("contig", *keep)} | {
+        "bin": pa.array(c.bin), "run": pa.array(c.order >> run_bits), "read_ord": pa.array(c.order), "op_idx": pa.array(c.op_idx, pa.int32()),
+        "from": pa.array(c.start, pa.int32()), "size": pa.array(c.covered, pa.int32()), "ops": ops, "seq": _slices(c.bases, c.base_at, c.n_bases).cast(pa.string()),
     }
     if "qual" in batch.schema.names:
         marks, its = _text(batch.column("qual"))
-        fits = (its[1:] - its[:-1] == at[1:] - at[:-1])[of]
-        columns["qual"] = _slices(marks, its[of] + base[head][on], np.where(fits, length, 0)).cast(pa.string())
+        at = _text(batch.column("seq"))[1]
+        fits = (its[1:] - its[:-1] == at[1:] - at[:-1])[c.of]
+        columns["qual"] = _slices(marks, its[c.of] + c.read_at, np.where(fits, c.n_bases, 0)).cast(pa.string())
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _end_to_end(values: np.ndarray, per: np.ndarray) -> pa.Array:
+    """Binaries of the bytes of so many values each."""
+    ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int64) * values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(per), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _pack(batch: pa.RecordBatch, keep: Sequence[str], run_bits: int = RUN_BITS) -> pa.RecordBatch:
+    """A row for the pieces that a batch has in a bin and run."""
+    c = _cuts(batch)
+    run = c.order >> run_bits
+    named = [batch.column(name).dictionary_encode().indices.fill_null(-1).to_numpy()[c.of] for name in ("contig", *keep)]
+    order = np.lexsort((run, c.bin, *named))
+    new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (run, c.bin, *named)], axis=0)])[: len(order)]
+    head = np.flatnonzero(new)
+    per = np.diff(np.append(head, len(order)))
+    n_ops, n_bases = c.n_ops[order], c.n_bases[order]
+    row, k = _within(n_ops)
+    ops = c.coded[c.op_at[order][row] + k].astype(np.int32)
+    row, k = _within(n_bases)
+    bases = c.bases[c.base_at[order][row] + k]
+    heads = np.stack([c.op_idx[order], c.start[order], n_ops, n_bases], axis=1).astype(np.int32).ravel()
+    summed = lambda x: np.add.reduceat(x, head) if len(head) else x
+    chosen = pa.array(c.of[order][head])
+    return pa.RecordBatch.from_pydict(
+        {name: batch.column(name).take(chosen) for name in ("contig", *keep)}
+        | {"bin": pa.array(c.bin[order][head]), "run": pa.array(run[order][head])}
+        | {"ords": _end_to_end(c.order[order], per), "heads": _end_to_end(heads, per * 4), "ops": _end_to_end(ops, summed(n_ops)), "seq": _end_to_end(bases, summed(n_bases))}
+    )
+
+
 def windows(reference: DataFrame, block_size: int) -> DataFrame:
     """contig, bin, window: the upper-case reference of each bin, with a base before it, and blanks where there is none."""
     b = F.col("block").cast("long") * block_size
@@ -129,30 +195,113 @@ def windows(reference: DataFrame, block_size: int) -> DataFrame:
     return parts.groupBy("contig", "bin").agg(joined.alias("window"))
 
 
-def read_pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
-    """The pieces of well mapped reads that can be walked (``config.invalid`` has them raise, else they are left out).  Bases are single bytes."""
+def _placed(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig, keep: Sequence[str], columns: Sequence[str], made: Callable, shown: str) -> DataFrame:
+    """What ``made`` gives of batches of well mapped reads, with the windows of its bins."""
     mapped = well_mapped(reads, config.min_mapq)
     mapped = (valid_reads(mapped, "raise") if config.invalid == "raise" else mapped).where("read_ord is not null")
-    qual = ["qual"] if "qual" in reads.columns else []
-    rows = mapped.select("contig", *keep, "read_ord", F.col("ref_start").cast("int").alias("ref_start"), "cigar", "seq", *qual)
+    rows = mapped.select("contig", *keep, "read_ord", F.col("ref_start").cast("int").alias("ref_start"), "cigar", "seq", *columns)
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"`{c}` {kind[c]}" for c in ("contig", *keep)] + ["bin long, run long, read_ord long, op_idx int, `from` int, size int, ops array<int>, seq string", *(f"{c} string" for c in qual)])
+    run_bits = RUN_BITS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _cut(batch, keep)
+                yield made(batch, keep, run_bits)
+
+    found = rows.mapInArrow(cut, ", ".join([f"`{c}` {kind[c]}" for c in ("contig", *keep)] + ["bin long, run long", shown]))
+    return found.join(windows(reference, block_size).hint("merge"), ["contig", "bin"])
 
-    placed = rows.mapInArrow(cut, schema).join(windows(reference, block_size).hint("merge"), ["contig", "bin"])
+
+def read_pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
+    """The pieces of well mapped reads that can be walked (``config.invalid`` has them raise, else they are left out).  Bases are single bytes."""
+    qual = ["qual"] if "qual" in reads.columns else []
+    shown = ", ".join(["read_ord long, op_idx int, `from` int, size int, ops array<int>, seq string", *(f"{c} string" for c in qual)])
+    placed = _placed(reads, reference, block_size, config, keep, qual, _cut, shown)
     under = F.rpad(F.substring("window", F.col("from") + 1, F.col("size") + 1), F.col("size") + 1, F.lit(" "))
     return placed.select("contig", *keep, "bin", "run", "read_ord", "op_idx", "from", "ops", "seq", *qual, under.alias("ref"))
 
 
+def packed_pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
+    """The same pieces without qualities, those of a bin and run from one batch of reads in a row; how many these are depends on how reads are sorted, the results don't."""
+    placed = _placed(reads, reference, block_size, config, keep, (), _pack, "ords binary, heads binary, ops binary, seq binary")
+    return placed.select("contig", *keep, "bin", "run", "ords", "heads", "ops", "seq", "window")
+
+
+@dataclass
+class Pieces:
+    """The pieces of a bin in order of arrival: where the operations, bases and the reference of each start in ``coded``, ``seq`` and ``ref``; ``keys`` is a row of what they share."""
+
+    keys: pa.Table
+    read_ord: np.ndarray
+    op_idx: np.ndarray
+    start: np.ndarray
+    n_ops: np.ndarray
+    op_at: np.ndarray
+    coded: np.ndarray
+    seq: np.ndarray
+    seq_at: np.ndarray
+    ref: np.ndarray
+    ref_at: np.ndarray
+    size: np.ndarray
+    bounds: tuple[np.ndarray, np.ndarray] | None
+    marks: np.ndarray | None = None
+    marks_at: np.ndarray | None = None
+    marked: np.ndarray | None = None
+
+    def chosen(self, rows: np.ndarray | slice) -> Pieces:
+        some = {f.name: getattr(self, f.name) for f in fields(self)}
+        each = ("read_ord", "op_idx", "start", "n_ops", "op_at", "seq_at", "ref_at", "size", "marks_at", "marked")
+        bounds = self.bounds and tuple(x[rows] for x in self.bounds)
+        return Pieces(**some | {c: some[c][rows] for c in each if some[c] is not None} | {"bounds": bounds})
+
+
+def _bounds(table: pa.Table, per: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Columns ``first`` and ``last``, if there are any, bound the positions."""
+    if "first" not in table.column_names:
+        return None
+    offset = table.column("bin").to_numpy().astype(np.int64) * WIDTH
+    both = [table.column(c).to_numpy().astype(np.int64) - offset for c in ("first", "last")]
+    return tuple(np.repeat(x, per) if per is not None else x for x in both)
+
+
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.cumsum(n) - n
+
+
+def in_order(table: pa.Table) -> Pieces:
+    """The rows of a bin, packed or not, as pieces in order of arrival."""
+    if "heads" in table.column_names:
+        whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        ords = whole("ords", np.int64)
+        op_idx, start, n_ops, n_bases = whole("heads", np.int32).reshape(-1, 4).T.astype(np.int64)
+        ops = whole("ops", np.int32).astype(np.int64)
+        size = np.where(_ON_REFERENCE[ops & 15], ops >> 4, 0)
+        window = np.full(WIDTH + 2, _BLANK, np.uint8)
+        known = np.frombuffer(table.column("window")[0].as_py().encode(), np.uint8)[: WIDTH + 1]
+        window[: len(known)] = known
+        per = np.array([len(x) // 8 for x in table.column("ords").to_pylist()], np.int64)
+        sums = np.concatenate([[0], np.cumsum(size)])
+        found = Pieces(table.slice(0, 1), ords, op_idx, start, n_ops, _starts(n_ops), ops, whole("seq", np.uint8), _starts(n_bases), window, start, sums[np.cumsum(n_ops)] - sums[_starts(n_ops)] + 1, _bounds(table, per))
+    else:
+        table = table.combine_chunks()
+        lists = table.column("ops").combine_chunks()
+        n_ops = np.diff(lists.offsets.to_numpy()).astype(np.int64)  # flatten() below starts where the slice does
+        (seq, seq_at), (ref, ref_at) = _text(table.column("seq")), _text(table.column("ref"))
+        number = lambda c: table.column(c).to_numpy().astype(np.int64)
+        quals = ()
+        if "qual" in table.column_names:
+            marks, at = _text(table.column("qual"))
+            quals = (marks, at[:-1], np.diff(at) > 0)
+        found = Pieces(table.slice(0, 1), number("read_ord"), number("op_idx"), number("from"), n_ops, _starts(n_ops), lists.flatten().to_numpy().astype(np.int64), seq, seq_at[:-1], ref, ref_at[:-1], np.diff(ref_at), _bounds(table), *quals)
+    later = (np.diff(found.read_ord) > 0) | (np.diff(found.read_ord) == 0) & (np.diff(found.op_idx) >= 0)
+    return found if later.all() else found.chosen(np.lexsort((found.op_idx, found.read_ord)))
+
+
 @dataclass
 class Bases:
     """What pieces say, in order of arrival: the positions that they span (``row``, ``at``, ``op_idx``, ``base``, ``ref``, ``qual``, ``aligned``) and the insertions in them."""
 
-    rows: pa.Table
+    pieces: Pieces
     row: np.ndarray
     at: np.ndarray
     op_idx: np.ndarray
@@ -170,68 +319,72 @@ class Bases:
     def differs(self) -> np.ndarray:
         return ~self.aligned | (self.base != self.ref)
 
+    @property
+    def start(self) -> int:
+        """The bin's first position."""
+        return self.pieces.keys.column("bin")[0].as_py() * WIDTH
+
+    def key(self, name: str, n: int) -> pa.Array:
+        """``n`` times what the pieces have in a column that they share."""
+        return self.pieces.keys.column(name).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+
 
 #: Positions that are laid out at once.
 LAID_OUT = 1 << 21
 
 
-def parts(table: pa.Table) -> Iterator[Bases]:
+def parts(table: pa.Table, laid_out: int = LAID_OUT) -> Iterator[Bases]:
     """The pieces of a bin in order of arrival, some of them at a time."""
-    table = table.sort_by([("read_ord", "ascending"), ("op_idx", "ascending")]).combine_chunks()
-    size = np.diff(_text(table.column("ref"))[1])
-    part = (np.cumsum(size) - size) // LAID_OUT
+    found = in_order(table)
+    part = _starts(found.size) // laid_out
     heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    for start, stop in zip(heads, [*heads[1:], len(size)], strict=True):
-        yield bases(table.slice(start, stop - start))
+    for start, stop in zip(heads, [*heads[1:], len(part)], strict=True):
+        yield bases(found.chosen(slice(start, stop)))
 
 
-def bases(table: pa.Table) -> Bases:
-    """Pieces of a bin in order of arrival, with their bases laid out.  Columns ``first`` and ``last``, if there are any, bound the positions."""
-    start, op0 = (table.column(c).to_numpy().astype(np.int64) for c in ("from", "op_idx"))
-    lists = table.column("ops").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)  # flatten() below starts where the slice does
-    row, nth = _within(size)
-    coded = lists.flatten().to_numpy().astype(np.int64)
+def bases(pieces: Pieces) -> Bases:
+    """Pieces with their bases laid out."""
+    row, nth = _within(pieces.n_ops)
+    coded = pieces.coded[pieces.op_at[row] + nth]
     op, n = coded & 15, coded >> 4
-    head = (np.cumsum(size) - size)[row]
+    head = _starts(pieces.n_ops)[row]
+    start, seq, ref = pieces.start, pieces.seq, pieces.ref
 
     def before(x: np.ndarray) -> np.ndarray:
         c = np.cumsum(x) - x
         return c - c[head]
 
-    along, inside, nth = before(np.where(_ON_REFERENCE[op], n, 0)), before(np.where(_ON_READ[op], n, 0)), op0[row] + nth
-    seq, seq_at = _text(table.column("seq"))
-    ref, ref_at = _text(table.column("ref"))
-    low = high = None
-    if "first" in table.column_names:
-        offset = table.column("bin").to_numpy().astype(np.int64) * WIDTH
-        low, high = (table.column(c).to_numpy().astype(np.int64) - offset for c in ("first", "last"))
+    along, inside, nth = before(np.where(_ON_REFERENCE[op], n, 0)), before(np.where(_ON_READ[op], n, 0)), pieces.op_idx[row] + nth
 
     def bounded(row: np.ndarray, at: np.ndarray, under: np.ndarray) -> np.ndarray:
         there = under != _BLANK
-        return there if low is None else there & (at >= low[row]) & (at <= high[row])
+        if pieces.bounds is None:
+            return there
+        low, high = pieces.bounds
+        return there & (at >= low[row]) & (at <= high[row])
 
     spans = np.flatnonzero(_ON_REFERENCE[op] & (n > 0))
     each, k = _within(n[spans])
-    each = spans[each]
-    of = row[each]
-    at, under, aligned = start[of] + along[each] + k, ref[ref_at[of] + 1 + along[each] + k], op[each] == _M
-    base = np.full(len(each), _STAR, np.uint8)
-    base[aligned] = seq[(seq_at[of] + inside[each] + k)[aligned]]
+    of, matched = row[spans], op[spans] == _M
+    at, under = (start[of] + along[spans])[each] + k, ref[(pieces.ref_at[of] + 1 + along[spans])[each] + k]
+    aligned, of = matched[each], of[each]
+    in_seq = (pieces.seq_at[row[spans]] + inside[spans])[each] + k
+    base = np.where(aligned, seq[np.where(aligned, in_seq, 0)], _STAR) if len(seq) else np.full(len(each), _STAR, np.uint8)
     on = bounded(of, at, under)
-    qual = None
-    if "qual" in table.column_names:
-        marks, marks_at = _text(table.column("qual"))
-        has = aligned & (np.diff(marks_at)[of] > 0)
+    nths, qual = nth[spans][each], None
+    if pieces.marks is not None:
+        has = aligned & pieces.marked[of]
         qual = np.full(len(each), 1 << 20, np.int64)
-        qual[has] = marks[(marks_at[of] + inside[each] + k)[has]].astype(np.int64) - 33
+        qual[has] = pieces.marks[((pieces.marks_at[row[spans]] + inside[spans])[each] + k)[has]].astype(np.int64) - 33
         qual = qual[on]
+    if not on.all():
+        of, at, nths, base, under, aligned = (x[on] for x in (of, at, nths, base, under, aligned))
     ins = np.flatnonzero((op == _I) & (n > 0))
-    ins_at, ins_ref = start[row[ins]] + along[ins] - 1, ref[ref_at[row[ins]] + along[ins]]
+    ins_at, ins_ref = start[row[ins]] + along[ins] - 1, ref[pieces.ref_at[row[ins]] + along[ins]]
     ins = ins[kept := bounded(row[ins], ins_at, ins_ref)]
     return Bases(
-        table, of[on], at[on], nth[each][on], base[on], under[on], qual, aligned[on],
-        row[ins], ins_at[kept], nth[ins], ins_ref[kept], _slices(seq, seq_at[row[ins]] + inside[ins], n[ins]),
+        pieces, of, at, nths, base.astype(np.uint8, copy=False), under, qual, aligned,
+        row[ins], ins_at[kept], nth[ins], ins_ref[kept], _slices(seq, pieces.seq_at[row[ins]] + inside[ins], n[ins]),
     )
 
 

@@ -159,10 +159,9 @@ def _column_rows(found: P.Bases, max_depth: int | None, min_base_quality: int |
     n = np.bincount(at[order], minlength=WIDTH)
     places = np.flatnonzero(n)
     ends = np.concatenate([[0], np.cumsum(n[places])]).astype(np.int64)
-    same = pa.array(np.zeros(len(places), np.int64))
     text = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(ends), pa.py_buffer(base[order].tobytes())).cast(pa.string())
-    contig, run = (found.rows.column(c).combine_chunks().take(same) for c in ("contig", "run"))
-    return pa.table({"contig": contig, "pos": pa.array(found.rows.column("bin")[0].as_py() * WIDTH + places, pa.int32()), "run": run, "n": pa.array(n[places], pa.int64()), "bases": text})
+    contig, run = (found.key(c, len(places)) for c in ("contig", "run"))
+    return pa.table({"contig": contig, "pos": pa.array(found.start + places, pa.int32()), "run": run, "n": pa.array(n[places], pa.int64()), "bases": text})
 
 
 def mismatching_reads(events: DataFrame, by: Sequence[str] = SITE) -> DataFrame:
@@ -332,52 +331,84 @@ def _piece_counts(found: P.Bases) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(found.at, minlength=WIDTH), np.bincount(found.at[found.differs], minlength=WIDTH) + np.bincount(found.in_at, minlength=WIDTH)
 
 
-def _piece_totals(table: pa.Table, keys: Sequence[str]) -> pa.Table:
+def _piece_totals(table: pa.Table, keys: Sequence[str], laid_out: int) -> pa.Table:
     """_totals() of pieces."""
-    both = [sum(x) for x in zip(*(_piece_counts(found) for found in P.parts(table)), strict=True)]
+    both = [sum(x) for x in zip(*(_piece_counts(found) for found in P.parts(table, laid_out)), strict=True)]
     lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in both]
     return pa.table([*(table.column(c).slice(0, 1).combine_chunks() for c in (*keys, "bin", "run")), *lists], [*keys, "bin", "run", "cov", "mm"])
 
 
-def _piece_counting(config: PileupConfig, keys: Sequence[str]):
-    """The alleles that a run has in a bin: freq, the read and operation that show it first, and whether their position passes the limits when one of them arrives.
+def _piece_alleles(found: P.Bases, cov: np.ndarray, mm: np.ndarray, config: PileupConfig, keys: Sequence[str]) -> pa.Table:
+    """The alleles that pieces show: freq, the read and operation that show each first, and whether its position passes the limits when one of them arrives.
 
-    A base's place among those of its position is its coverage, an insertion looks for its place among them.  Long runs are laid out in parts, and each part hands its totals on.
+    A base's place among those of its position is its coverage, an insertion looks for its place among them.
     """
+    differs, named, size = np.flatnonzero(found.differs), found.inserted.dictionary_encode(), len(found.pieces.read_ord)
+    order, smaller, nth = _places(found.at)
+    covered = nth[differs] + 1
+    if len(found.in_at):
+        among = found.at[order] * size + found.row[order]
+        covered = np.concatenate([covered, np.searchsorted(among, found.in_at * size + found.in_row, "right") - smaller[found.in_at]])
+    at, op_idx, ref, row = (np.concatenate([a[differs], b]) for a, b in ((found.at, found.in_at), (found.op_idx, found.in_op), (found.ref, found.in_ref), (found.row, found.in_row)))
+    cls = np.repeat([SNP_OR_DELETION, INSERTION], [len(differs), len(found.in_at)])
+    code = np.concatenate([found.base[differs].astype(np.int64), 256 + named.indices.to_numpy()])
+    arrival = np.argsort(row * (op_idx.max(initial=0) + 1) + op_idx, kind="stable")
+    covered, at, op_idx, ref, row, cls, code = (x[arrival] for x in (covered, at, op_idx, ref, row, cls, code))
+    n_cov, n_mm = covered + cov[at], _places(at)[2] + 1 + mm[at]
+    ok = (n_mm > config.min_mismatches) & (n_cov > config.min_coverage) & (n_mm * 100 >= n_cov * (config.min_percent + 1))
+    _, first, of, n = np.unique((at * 2 + cls) * (256 + len(named.dictionary)) + code, return_index=True, return_inverse=True, return_counts=True)
+    columns = {c: found.key(c, len(first)) for c in keys} | {
+        "pos": pa.array(found.start + at[first], pa.int32()), "ref_base": P.letters(ref[first]), "cls": pa.array(cls[first], pa.int32()),
+        "allele": pa.concat_arrays([P.LETTERS, named.dictionary]).take(pa.array(code[first])).cast(pa.string()), "freq": pa.array(n, pa.int64()),
+        "read_ord": pa.array(found.pieces.read_ord[row[first]]), "op_idx": pa.array(op_idx[first], pa.int32()), "ok": pa.array(np.bincount(of, ok, len(first)) > 0),
+    }
+    return pa.table(columns)
+
+
+def _in_parts(rows: pa.Table, cov: np.ndarray, mm: np.ndarray, config: PileupConfig, keys: Sequence[str], laid_out: int) -> list[pa.Table]:
+    """The alleles of a run in a bin.  Long runs are laid out in parts, and each part hands its totals on."""
+    tables, before = [], None
+    for found in P.parts(rows, laid_out):
+        if before is not None:
+            more = _piece_counts(before)
+            cov, mm = cov + more[0], mm + more[1]
+        tables.append(_piece_alleles(found, cov, mm, config, keys))
+        before = found
+    return tables
+
+
+def _piece_counting(config: PileupConfig, keys: Sequence[str], laid_out: int):
+    """The alleles of one of several runs in a bin; ``carry`` has what the runs before it give."""
 
     def count(rows: pa.Table, carry: pa.Table) -> pa.Table:
         cov, mm = (np.array(carry.column(c)[0].as_py()) for c in ("cov", "mm")) if carry.num_rows else (np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64))
-        tables = []
-        for found in P.parts(rows):
-            tables.append(alleles(found, cov, mm))
-            more = _piece_counts(found)
-            cov, mm = cov + more[0], mm + more[1]
-        return pa.concat_tables(tables)
-
-    def alleles(found: P.Bases, cov: np.ndarray, mm: np.ndarray) -> pa.Table:
-        differs, named, size = np.flatnonzero(found.differs), found.inserted.dictionary_encode(), found.rows.num_rows
-        order, smaller, nth = _places(found.at)
-        among = found.at[order] * size + found.row[order]
-        covered = np.concatenate([nth[differs] + 1, np.searchsorted(among, found.in_at * size + found.in_row, "right") - smaller[found.in_at]])
-        at, op_idx, ref, row = (np.concatenate([a[differs], b]) for a, b in ((found.at, found.in_at), (found.op_idx, found.in_op), (found.ref, found.in_ref), (found.row, found.in_row)))
-        cls = np.repeat([SNP_OR_DELETION, INSERTION], [len(differs), len(found.in_at)])
-        code = np.concatenate([found.base[differs].astype(np.int64), 256 + named.indices.to_numpy()])
-        arrival = np.argsort(row * (op_idx.max(initial=0) + 1) + op_idx, kind="stable")
-        covered, at, op_idx, ref, row, cls, code = (x[arrival] for x in (covered, at, op_idx, ref, row, cls, code))
-        n_cov, n_mm = covered + cov[at], _places(at)[2] + 1 + mm[at]
-        ok = (n_mm > config.min_mismatches) & (n_cov > config.min_coverage) & (n_mm * 100 >= n_cov * (config.min_percent + 1))
-        _, first, of, n = np.unique((at * 2 + cls) * (256 + len(named.dictionary)) + code, return_index=True, return_inverse=True, return_counts=True)
-        same = pa.array(np.zeros(len(first), np.int64))
-        columns = {c: found.rows.column(c).combine_chunks().take(same) for c in keys} | {
-            "pos": pa.array(found.rows.column("bin")[0].as_py() * WIDTH + at[first], pa.int32()), "ref_base": P.letters(ref[first]), "cls": pa.array(cls[first], pa.int32()),
-            "allele": pa.concat_arrays([P.LETTERS, named.dictionary]).take(pa.array(code[first])).cast(pa.string()), "freq": pa.array(n, pa.int64()),
-            "read_ord": found.rows.column("read_ord").combine_chunks().take(pa.array(row[first])), "op_idx": pa.array(op_idx[first], pa.int32()), "ok": pa.array(np.bincount(of, ok, len(first)) > 0),
-        }
-        return pa.table(columns)
+        return pa.concat_tables(_in_parts(rows, cov, mm, config, keys, laid_out))
 
     return count
 
 
+def _piece_ranking(config: PileupConfig, keys: Sequence[str], laid_out: int, shown: Sequence[str]):
+    """The ranked alleles of a bin that has one run, as _ranked() gives them."""
+
+    def rank(rows: pa.Table) -> pa.Table:
+        found = pa.concat_tables(_in_parts(rows, np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64), config, keys, laid_out)).combine_chunks()
+        named = found.column("allele").combine_chunks().dictionary_encode()
+        pos, cls, freq, read_ord, op_idx = _numbers(found, "pos", "cls", "freq", "read_ord", "op_idx")
+        ok, code = found.column("ok").to_numpy(), (pos * 2 + cls) * max(len(named.dictionary), 1) + named.indices.to_numpy()
+        _, first, of = np.unique(code, return_index=True, return_inverse=True)  # the parts are in order of arrival, so that the first is the one to keep
+        freq, at = np.bincount(of, freq, len(first)).astype(np.int64), pos - pos.min(initial=0)
+        passed = np.flatnonzero((np.bincount(at, ok, at.max(initial=0) + 1) > 0)[at[first]])
+        first, freq = first[passed], freq[passed]
+        order = np.lexsort((op_idx[first], read_ord[first], freq if config.allele_order == "rarest" else -freq, code[first] // max(len(named.dictionary), 1)))
+        first, freq = first[order], freq[order]
+        place = pos[first] * 2 + cls[first]
+        rnk = np.arange(len(place)) - np.searchsorted(place, place) + 1
+        chosen = found.take(pa.array(first)).set_column(found.column_names.index("freq"), "freq", pa.array(freq)).append_column("rnk", pa.array(rnk, pa.int32()))
+        return chosen.filter(pa.array(rnk <= config.ploidy)).select(list(shown))
+
+    return rank
+
+
 def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
     return ", ".join(f"`{c}` {kind[c]}" for c in names)
@@ -387,18 +418,33 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
 _FEW_BINS = 100_000
 
 
-def _counted_pieces(pieces: DataFrame, config: PileupConfig, by: Sequence[str]) -> DataFrame:
-    """As _counted(), from read_pieces(): a row per allele that a run has in a bin, with freq, read_ord and op_idx of the first, and ok."""
-    keys = [c for c in by if c != "pos"]
+def _ranked_pieces(pieces: DataFrame, config: PileupConfig, by: Sequence[str]) -> DataFrame:
+    """candidate_alleles() from read_pieces() or packed_pieces().
+
+    The pieces of a bin with one run are counted and ranked by one task, and only ranked alleles leave it.  Bins with several are counted run by run, with what the runs
+    before give carried into each, and their alleles are summed and ranked in Spark.
+    """
+    keys, laid_out = [c for c in by if c != "pos"], P.LAID_OUT
     rows = cut(pieces)
-    several = cut(rows.groupBy(*keys, "bin").agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last").select(*keys, "bin"))
-    deep = rows.join(F.broadcast(several) if several.count() <= _FEW_BINS else several.hint("merge"), [*keys, "bin"], "left_semi")
+    several = cut(rows.groupBy("bin", *keys).agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last").select(*keys, "bin"))
+    n = several.count()
+    here = F.broadcast(several) if n <= _FEW_BINS else several.hint("merge")
+    shown = [*by, "ref_base", "cls", "allele", "freq", "rnk"]
+    kinds = {"pos": "int", "ref_base": "string", "cls": "int", "allele": "string", "freq": "long", "rnk": "int"} | {f.name: f.dataType.simpleString() for f in rows.schema if f.name in keys}
+    single = rows.join(here, [*keys, "bin"], "left_anti") if n else rows
+    ranked = single.groupBy("bin", *keys).applyInArrow(_piece_ranking(config, keys, laid_out, shown), ", ".join(f"`{c}` {kinds[c]}" for c in shown))
+    if not n:
+        return ranked
+    deep = cut(rows.join(here, [*keys, "bin"], "left_semi"))
     group = [*keys, "bin", "run"]
     arrays = f"{_kinds(rows, group)}, cov array<long>, mm array<long>"
-    totals = deep.groupBy(*group).applyInArrow(lambda table: _piece_totals(table, keys), arrays)
+    totals = deep.groupBy(*group).applyInArrow(lambda table: _piece_totals(table, keys, laid_out), arrays)
     carry = totals.groupBy(*keys, "bin").applyInArrow(_carried, arrays)
-    shown = f"{_kinds(rows, keys)}, pos int, ref_base string, cls int, allele string, freq long, read_ord long, op_idx int, ok boolean"
-    return rows.groupBy(*group).cogroup(carry.groupBy(*group)).applyInArrow(_piece_counting(config, keys), shown)
+    counted = f"{_kinds(rows, keys)}, pos int, ref_base string, cls int, allele string, freq long, read_ord long, op_idx int, ok boolean"
+    found = deep.groupBy(*group).cogroup(carry.groupBy(*group)).applyInArrow(_piece_counting(config, keys, laid_out), counted).repartition(*by)
+    # rows are sorted by these columns, numbers first
+    alleles = found.groupBy("pos", "cls", "allele", *keys, "ref_base").agg(F.sum("freq").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"), F.max("ok").alias("ok"))
+    return ranked.union(_ranked(alleles, config, by))
 
 
 def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
@@ -410,8 +456,9 @@ def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig()
     if config.threshold == "final":
         totals = position_totals(sparse, by).where("mismatches > 0")
         return totals.where(over_limits(F.col("mismatches"), F.col("coverage"), config)).select(*by)
-    counted = _counted_pieces if "ops" in sparse.columns else _counted
-    return counted(sparse, config, by).where("ok").select(*by).distinct()
+    if "ops" in sparse.columns:
+        return _ranked_pieces(sparse, config, by).select(*by).distinct()
+    return _counted(sparse, config, by).where("ok").select(*by).distinct()
 
 
 def candidate_alleles(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
@@ -420,10 +467,7 @@ def candidate_alleles(sparse: DataFrame, config: PileupConfig = PileupConfig(),
     Equal counts go by first appearance.  Mismatches are counted by allele before they are shuffled by position.
     """
     if "ops" in sparse.columns:
-        found = _counted_pieces(sparse, config, by).repartition(*by)
-        # rows are sorted by these columns, numbers first
-        alleles = found.groupBy("pos", "cls", "allele", *[c for c in by if c != "pos"], "ref_base").agg(F.sum("freq").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"), F.max("ok").alias("ok"))
-        return _ranked(alleles, config, by)
+        return _ranked_pieces(sparse, config, by)
     if config.threshold == "final":
         sparse = cut(sparse)
         found = sparse.where("cls is not null").join(candidate_positions(sparse, config, by), list(by), "left_semi").withColumn("ok", F.lit(True))

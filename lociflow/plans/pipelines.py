@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..config import PileupConfig
 from ..operators import intervals, labels, pileup, reads, variants
-from ..operators.pieces import read_pieces
+from ..operators.pieces import packed_pieces
 
 
 def _said(read_rows: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig, keep: tuple[str, ...] = ()) -> DataFrame:
-    """What candidates need of the reads: a row per read and bin; limits on totals need a row per mismatch and stretch."""
-    return (pileup.sparse_events if config.threshold == "final" else read_pieces)(read_rows, reference, block_size, config, keep)
+    """What candidates need of the reads: their pieces, packed by bin and run; limits on totals need a row per mismatch and stretch."""
+    return (pileup.sparse_events if config.threshold == "final" else packed_pieces)(read_rows, reference, block_size, config, keep)
 
 
 def find_candidates(read_rows: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig()) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lociflow.config import PileupConfig
 from lociflow.operators import intervals, pieces, pileup
 from lociflow.plans import alignment
 from lociflow.schemas import READS
@@ -61,6 +62,29 @@ def test_pieces_give_the_candidates_of_events(spark, monkeypatch, laid_out, run_
     assert wide.groupBy("read_ord", "bin").count().where("count > 2").count() == 0
 
 
+@pytest.mark.parametrize("laid_out, run_bits, order", [(50, 16, "commonest"), (64, 4, "rarest")])
+def test_packed_pieces_give_the_candidates_of_events(spark, monkeypatch, laid_out, run_bits, order):
+    """Sorted or not, over bins, runs and parts; reads next to each other are a row for each bin and run."""
+    monkeypatch.setattr(pieces, "LAID_OUT", laid_out)
+    monkeypatch.setattr(pieces, "RUN_BITS", run_bits)
+    rng = random.Random(laid_out + run_bits)
+    ref = "".join(rng.choice("ACGT") for _ in range(2500))
+    rows = [(i, f"r{i}", "c", rng.choice([rng.randrange(2480), rng.randrange(1010, 1030), 0]), 60, 0, rng.choice(["12M", "3S5M2I2M", "4M3D8M", "1I2N11M", "9M5H", "12=", "999999999H12M"]), "".join(rng.choice("ACGTN") for _ in range(12))) for i in range(600)]
+    made = spark.createDataFrame(rows, READS)
+    blocks = spark.createDataFrame([("c", b, ref[b * 16 : b * 16 + 16].lower()) for b in range(157) if b not in (5, 64, 130)], "contig string, block int, seq string")
+    config = PileupConfig(allele_order=order)
+    events, clipped = pileup.sparse_events(made, blocks, 16), lambda x: pileup.clip(x, F.lit(1000), F.lit(2045))
+    for rows, said in ((made, clipped), (made.repartition(1).sortWithinPartitions("ref_start"), lambda x: x)):
+        packed = pieces.packed_pieces(rows, blocks, 16)
+        assert packed.groupBy("contig", "bin", "run").count().count() <= packed.count() < 600
+        want = sorted(map(tuple, pileup.candidate_alleles(said(events), config).collect()))
+        got = pileup.candidate_alleles(said(packed), config)
+        assert got.columns == ["contig", "pos", "ref_base", "cls", "allele", "freq", "rnk"]
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+        assert "FlatMapGroupsInArrow" in plan(got)  # alleles are ranked where they are counted
+    assert sorted(map(tuple, pileup.candidate_positions(packed).collect())) == sorted({r[:2] for r in want})
+
+
 def test_pieces_of_long_reads_are_no_longer_than_the_reads(spark):
     ref = "ACGT" * 10_000
     made = spark.createDataFrame([(0, "r", "c", 0, 60, 0, "40000M", ref)], READS)
