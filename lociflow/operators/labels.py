@@ -17,7 +17,7 @@ def truth_labels(truth: DataFrame, span: int = 2) -> DataFrame:
     """
     spread = truth.withColumn("pos", F.explode(F.sequence(F.col("vpos") - (span - 1), F.col("vpos"))))
     last = F.max_by(F.struct("gt"), F.struct("vpos", "rec_ord", "alt_idx", "i"))
-    return spread.groupBy("contig", "pos", "cls", F.col("valt").alias("key")).agg(last.alias("label"))
+    return spread.groupBy("pos", "cls", F.col("valt").alias("key"), "contig").agg(last.alias("label")).select("contig", "pos", "cls", "key", "label")
 
 
 def label_alleles(alleles: DataFrame, truth: DataFrame, config: PileupConfig = PileupConfig()) -> DataFrame:
@@ -28,8 +28,8 @@ def label_alleles(alleles: DataFrame, truth: DataFrame, config: PileupConfig = P
     if config.label_match == "none":
         return alleles.withColumn("gt", F.lit(G.HOM))
     key = F.when(F.col("cls") == G.INSERTION, F.concat("ref_base", "allele")).otherwise(F.col("allele"))
-    joined = alleles.withColumn("key", key).join(truth_labels(truth, config.label_span), ["contig", "pos", "cls", "key"], "left")
-    return joined.withColumn("gt", F.when(F.col("label").isNull(), G.HOM).otherwise(F.col("label.gt")).cast("int")).drop("key", "label")
+    joined = alleles.withColumn("key", key).join(truth_labels(truth, config.label_span), ["pos", "cls", "key", "contig"], "left")  # rows are sorted by these columns, numbers first
+    return joined.select(*alleles.columns, "label").withColumn("gt", F.when(F.col("label").isNull(), G.HOM).otherwise(F.col("label.gt")).cast("int")).drop("label")
 
 
 def labelled_rows(labelled: DataFrame) -> DataFrame:

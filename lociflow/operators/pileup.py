@@ -489,4 +489,5 @@ def _ranked(alleles: DataFrame, config: PileupConfig, by: Sequence[str]) -> Data
 def candidate_sites(alleles: DataFrame) -> DataFrame:
     """contig, pos, ref_base, in_alleles, snp_alleles: both lists of (allele, freq) by rank, at most ``ploidy`` each."""
     of = lambda cls: F.transform(F.array_sort(F.filter(F.collect_list(F.struct("cls", "rnk", "allele", "freq")), lambda x: x["cls"] == cls)), lambda x: F.struct(x["allele"].alias("allele"), x["freq"].alias("freq")))
-    return alleles.groupBy(*SITE, "ref_base").agg(of(INSERTION).alias("in_alleles"), of(SNP_OR_DELETION).alias("snp_alleles"))
+    # rows are sorted by these columns, numbers first
+    return alleles.groupBy("pos", "contig", "ref_base").agg(of(INSERTION).alias("in_alleles"), of(SNP_OR_DELETION).alias("snp_alleles")).select(*SITE, "ref_base", "in_alleles", "snp_alleles")

@@ -30,7 +30,7 @@ def _classified(records: DataFrame, config: PileupConfig) -> DataFrame:
     rows = records.select("rec_ord", "contig", "pos", "ref", "alts", "gt", "filter", F.posexplode("alts").alias("alt_idx", "alt"))
     if config.ref_mutation:
         inserted = F.exists(F.slice("alts", F.lit(1), F.col("alt_idx")), lambda a: F.length(a) > F.length("ref"))
-        rows = rows.withColumn("vref", F.when((F.length("ref") > 1) & inserted, F.left("ref", F.lit(1))).otherwise(F.col("ref")))
+        rows = rows.withColumn("vref", F.when((F.col("alt_idx") > 0) & (F.length("ref") > 1) & inserted, F.left("ref", F.lit(1))).otherwise(F.col("ref")))
     else:
         rows = rows.withColumn("vref", F.col("ref"))
     return rows.withColumn("kind", G.variant_class(F.col("vref"), F.col("alt"))).withColumn("code", G.genotype_code(F.col("gt")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import PileupConfig
 from ..operators import intervals, labels, pileup, reads, variants
 from ..operators.pieces import packed_pieces
+from ..session import cut
 
 
 def _said(read_rows: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -36,6 +37,8 @@ def find_candidates_by_chunk(read_rows: DataFrame, reference: DataFrame, block_s
 def label_candidates(read_rows: DataFrame, reference: DataFrame, records: DataFrame, block_size: int, config: PileupConfig = PileupConfig()) -> DataFrame:
     """Candidate alleles with the genotype that the truth records give them: contig, pos, ref_base, cls, allele, freq, rnk, gt."""
     found = find_candidates(read_rows, reference, block_size, config)
+    if config.label_match != "none":
+        records = cut(records)  # else each filter and expansion of the truth derives the records' columns again
     return labels.label_alleles(found, variants.decompose(records, config=config), config)
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociflow.config import PileupConfig
-from lociflow.operators import intervals, pieces, pileup
-from lociflow.plans import alignment
+from lociflow.functions import genotype
+from lociflow.operators import intervals, pieces, pileup, variants
+from lociflow.plans import alignment, pipelines
 from lociflow.schemas import READS
 from lociflow.sources import bam
 
@@ -121,3 +122,17 @@ def test_spans_of_an_index_that_nearly_meet_are_one_task():
     at = lambda *blocks: [(a << 16, b << 16) for a, b in blocks]
     assert bam.near_together(at((0, 10), (20, 30), (30, 90_000), (200_000, 200_001))) == at((0, 90_000), (200_000, 200_001))
     assert bam.near_together([(5, None)]) == [(5, None)] and bam.near_together([]) == []
+
+
+def test_truth_is_derived_once_and_genotypes_are_read_in_compiled_code(spark):
+    """Filters repeat what they test, so genotypes have no lambda, and labels read records that were written."""
+    odd = spark.createDataFrame([(x,) for x in ("0/1", "1|1", "./.", "1", "", "0|.", "a/2", "1/2/3", None)], "gt string")
+    parsed = odd.select(genotype.parse_genotype("gt").alias("gt"))
+    assert [r["gt"] for r in parsed.collect()] == [[0, 1], [1, 1], [None, None], [1], [None], [0, None], [None, 2], [1, 2, 3], None]
+    assert "lambda" not in plan(parsed)
+    made = spark.createDataFrame([(i, f"r{i}", "c", 0, 60, 0, "4M", "ACTT") for i in range(12)], READS)
+    blocks = spark.createDataFrame([("c", 0, "ACGT")], "contig string, block int, seq string")
+    raw = spark.createDataFrame([(1, "c", 3, "G", "T", "0/1", "PASS"), (2, "c", 3, "G", "T,C", "1/1", "q10")], "rec_ord long, contig string, pos int, ref string, alt string, gt string, filter string")
+    found = pipelines.label_candidates(made, blocks, variants.parse_records(raw), 4)
+    assert [(r["pos"], r["allele"], r["freq"], r["gt"]) for r in found.collect()] == [(2, "T", 12, 1)]
+    assert "split(" not in plan(found)
