@@ -338,24 +338,38 @@ def _piece_totals(table: pa.Table, keys: Sequence[str], laid_out: int) -> pa.Tab
     return pa.table([*(table.column(c).slice(0, 1).combine_chunks() for c in (*keys, "bin", "run")), *lists], [*keys, "bin", "run", "cov", "mm"])
 
 
-def _piece_alleles(found: P.Bases, cov: np.ndarray, mm: np.ndarray, config: PileupConfig, keys: Sequence[str]) -> pa.Table:
-    """The alleles that pieces show: freq, the read and operation that show each first, and whether its position passes the limits when one of them arrives.
+def _piece_mismatches(found: P.Bases, cov: np.ndarray, mm: np.ndarray, config: PileupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bases that differ and then the insertions, taken in order of arrival: that order, and of each its position in the bin, row, operation, and whether its position passes the limits as it arrives.
 
     A base's place among those of its position is its coverage, an insertion looks for its place among them.
     """
-    differs, named, size = np.flatnonzero(found.differs), found.inserted.dictionary_encode(), len(found.pieces.read_ord)
+    differs, size = np.flatnonzero(found.differs), len(found.pieces.read_ord)
     order, smaller, nth = _places(found.at)
     covered = nth[differs] + 1
     if len(found.in_at):
         among = found.at[order] * size + found.row[order]
         covered = np.concatenate([covered, np.searchsorted(among, found.in_at * size + found.in_row, "right") - smaller[found.in_at]])
-    at, op_idx, ref, row = (np.concatenate([a[differs], b]) for a, b in ((found.at, found.in_at), (found.op_idx, found.in_op), (found.ref, found.in_ref), (found.row, found.in_row)))
-    cls = np.repeat([SNP_OR_DELETION, INSERTION], [len(differs), len(found.in_at)])
-    code = np.concatenate([found.base[differs].astype(np.int64), 256 + named.indices.to_numpy()])
+    at, op_idx, row = (np.concatenate([a[differs], b]) for a, b in ((found.at, found.in_at), (found.op_idx, found.in_op), (found.row, found.in_row)))
     arrival = np.argsort(row * (op_idx.max(initial=0) + 1) + op_idx, kind="stable")
-    covered, at, op_idx, ref, row, cls, code = (x[arrival] for x in (covered, at, op_idx, ref, row, cls, code))
+    covered, at, op_idx, row = (x[arrival] for x in (covered, at, op_idx, row))
     n_cov, n_mm = covered + cov[at], _places(at)[2] + 1 + mm[at]
-    ok = (n_mm > config.min_mismatches) & (n_cov > config.min_coverage) & (n_mm * 100 >= n_cov * (config.min_percent + 1))
+    return arrival, at, row, op_idx, (n_mm > config.min_mismatches) & (n_cov > config.min_coverage) & (n_mm * 100 >= n_cov * (config.min_percent + 1))
+
+
+def _piece_positions(found: P.Bases, cov: np.ndarray, mm: np.ndarray, config: PileupConfig, keys: Sequence[str]) -> pa.Table:
+    """The positions that pass the limits at one of the mismatches that pieces show."""
+    _, at, _, _, ok = _piece_mismatches(found, cov, mm, config)
+    places = np.flatnonzero(np.bincount(at[ok], minlength=WIDTH))
+    return pa.table({c: found.key(c, len(places)) for c in keys} | {"pos": pa.array(found.start + places, pa.int32())})
+
+
+def _piece_alleles(found: P.Bases, cov: np.ndarray, mm: np.ndarray, config: PileupConfig, keys: Sequence[str]) -> pa.Table:
+    """The alleles that pieces show: freq, the read and operation that show each first, and whether its position passes the limits when one of them arrives."""
+    arrival, at, row, op_idx, ok = _piece_mismatches(found, cov, mm, config)
+    differs, named = np.flatnonzero(found.differs), found.inserted.dictionary_encode()
+    ref = np.concatenate([found.ref[differs], found.in_ref])[arrival]
+    cls = np.repeat([SNP_OR_DELETION, INSERTION], [len(differs), len(found.in_at)])[arrival]
+    code = np.concatenate([found.base[differs].astype(np.int64), 256 + named.indices.to_numpy()])[arrival]
     _, first, of, n = np.unique((at * 2 + cls) * (256 + len(named.dictionary)) + code, return_index=True, return_inverse=True, return_counts=True)
     columns = {c: found.key(c, len(first)) for c in keys} | {
         "pos": pa.array(found.start + at[first], pa.int32()), "ref_base": P.letters(ref[first]), "cls": pa.array(cls[first], pa.int32()),
@@ -365,28 +379,38 @@ def _piece_alleles(found: P.Bases, cov: np.ndarray, mm: np.ndarray, config: Pile
     return pa.table(columns)
 
 
-def _in_parts(rows: pa.Table, cov: np.ndarray, mm: np.ndarray, config: PileupConfig, keys: Sequence[str], laid_out: int) -> list[pa.Table]:
-    """The alleles of a run in a bin.  Long runs are laid out in parts, and each part hands its totals on."""
+def _in_parts(rows: pa.Table, cov: np.ndarray, mm: np.ndarray, config: PileupConfig, keys: Sequence[str], laid_out: int, found_in=_piece_alleles) -> list[pa.Table]:
+    """The alleles, or the positions, of a run in a bin.  Long runs are laid out in parts, and each part hands its totals on."""
     tables, before = [], None
     for found in P.parts(rows, laid_out):
         if before is not None:
             more = _piece_counts(before)
             cov, mm = cov + more[0], mm + more[1]
-        tables.append(_piece_alleles(found, cov, mm, config, keys))
+        tables.append(found_in(found, cov, mm, config, keys))
         before = found
     return tables
 
 
-def _piece_counting(config: PileupConfig, keys: Sequence[str], laid_out: int):
-    """The alleles of one of several runs in a bin; ``carry`` has what the runs before it give."""
+def _piece_counting(config: PileupConfig, keys: Sequence[str], laid_out: int, found_in=_piece_alleles):
+    """The alleles, or the positions, of one of several runs in a bin; ``carry`` has what the runs before it give."""
 
     def count(rows: pa.Table, carry: pa.Table) -> pa.Table:
         cov, mm = (np.array(carry.column(c)[0].as_py()) for c in ("cov", "mm")) if carry.num_rows else (np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64))
-        return pa.concat_tables(_in_parts(rows, cov, mm, config, keys, laid_out))
+        return pa.concat_tables(_in_parts(rows, cov, mm, config, keys, laid_out, found_in))
 
     return count
 
 
+def _piece_placing(config: PileupConfig, keys: Sequence[str], laid_out: int):
+    """The positions of a bin that has one run; a position that passes in two parts of it comes once."""
+
+    def place(rows: pa.Table) -> pa.Table:
+        tables = _in_parts(rows, np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64), config, keys, laid_out, _piece_positions)
+        return tables[0] if len(tables) == 1 else pa.concat_tables(tables).group_by([*keys, "pos"]).aggregate([])
+
+    return place
+
+
 def _piece_ranking(config: PileupConfig, keys: Sequence[str], laid_out: int, shown: Sequence[str]):
     """The ranked alleles of a bin that has one run, as _ranked() gives them."""
 
@@ -418,6 +442,26 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
 _FEW_BINS = 100_000
 
 
+def _by_runs(pieces: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The pieces of the bins that have one run, and those of the bins that have several, if there are any; pieces are written once."""
+    rows = cut(pieces)
+    several = cut(rows.groupBy("bin", *keys).agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last").select(*keys, "bin"))
+    n = several.count()
+    if not n:
+        return rows, None
+    here = F.broadcast(several) if n <= _FEW_BINS else several.hint("merge")
+    return rows.join(here, [*keys, "bin"], "left_anti"), cut(rows.join(here, [*keys, "bin"], "left_semi"))
+
+
+def _counted_runs(deep: DataFrame, config: PileupConfig, keys: Sequence[str], laid_out: int, kinds: str, found_in=_piece_alleles) -> DataFrame:
+    """What a task finds in each run of bins with several; their totals are summed along the runs first and carried into each."""
+    group = [*keys, "bin", "run"]
+    arrays = f"{_kinds(deep, group)}, cov array<long>, mm array<long>"
+    totals = deep.groupBy(*group).applyInArrow(lambda table: _piece_totals(table, keys, laid_out), arrays)
+    carry = totals.groupBy(*keys, "bin").applyInArrow(_carried, arrays)
+    return deep.groupBy(*group).cogroup(carry.groupBy(*group)).applyInArrow(_piece_counting(config, keys, laid_out, found_in), kinds)
+
+
 def _ranked_pieces(pieces: DataFrame, config: PileupConfig, by: Sequence[str]) -> DataFrame:
     """candidate_alleles() from read_pieces() or packed_pieces().
 
@@ -425,28 +469,28 @@ def _ranked_pieces(pieces: DataFrame, config: PileupConfig, by: Sequence[str]) -
     before give carried into each, and their alleles are summed and ranked in Spark.
     """
     keys, laid_out = [c for c in by if c != "pos"], P.LAID_OUT
-    rows = cut(pieces)
-    several = cut(rows.groupBy("bin", *keys).agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last").select(*keys, "bin"))
-    n = several.count()
-    here = F.broadcast(several) if n <= _FEW_BINS else several.hint("merge")
+    single, deep = _by_runs(pieces, keys)
     shown = [*by, "ref_base", "cls", "allele", "freq", "rnk"]
-    kinds = {"pos": "int", "ref_base": "string", "cls": "int", "allele": "string", "freq": "long", "rnk": "int"} | {f.name: f.dataType.simpleString() for f in rows.schema if f.name in keys}
-    single = rows.join(here, [*keys, "bin"], "left_anti") if n else rows
+    kinds = {"pos": "int", "ref_base": "string", "cls": "int", "allele": "string", "freq": "long", "rnk": "int"} | {f.name: f.dataType.simpleString() for f in single.schema if f.name in keys}
     ranked = single.groupBy("bin", *keys).applyInArrow(_piece_ranking(config, keys, laid_out, shown), ", ".join(f"`{c}` {kinds[c]}" for c in shown))
-    if not n:
+    if deep is None:
         return ranked
-    deep = cut(rows.join(here, [*keys, "bin"], "left_semi"))
-    group = [*keys, "bin", "run"]
-    arrays = f"{_kinds(rows, group)}, cov array<long>, mm array<long>"
-    totals = deep.groupBy(*group).applyInArrow(lambda table: _piece_totals(table, keys, laid_out), arrays)
-    carry = totals.groupBy(*keys, "bin").applyInArrow(_carried, arrays)
-    counted = f"{_kinds(rows, keys)}, pos int, ref_base string, cls int, allele string, freq long, read_ord long, op_idx int, ok boolean"
-    found = deep.groupBy(*group).cogroup(carry.groupBy(*group)).applyInArrow(_piece_counting(config, keys, laid_out), counted).repartition(*by)
+    counted = f"{_kinds(deep, keys)}, pos int, ref_base string, cls int, allele string, freq long, read_ord long, op_idx int, ok boolean"
+    found = _counted_runs(deep, config, keys, laid_out, counted).repartition(*by)
     # rows are sorted by these columns, numbers first
     alleles = found.groupBy("pos", "cls", "allele", *keys, "ref_base").agg(F.sum("freq").alias("freq"), F.min(F.struct(*ARRIVAL)).alias("first_seen"), F.max("ok").alias("ok"))
     return ranked.union(_ranked(alleles, config, by))
 
 
+def _placed_pieces(pieces: DataFrame, config: PileupConfig, by: Sequence[str]) -> DataFrame:
+    """candidate_positions() from read_pieces() or packed_pieces(): only positions leave the tasks, and only those of bins with several runs, which may repeat, are compared."""
+    keys, laid_out = [c for c in by if c != "pos"], P.LAID_OUT
+    single, deep = _by_runs(pieces, keys)
+    kinds = f"{_kinds(single, keys)}, pos int"
+    placed = single.groupBy("bin", *keys).applyInArrow(_piece_placing(config, keys, laid_out), kinds).select(*by)
+    return placed if deep is None else placed.union(_counted_runs(deep, config, keys, laid_out, kinds, _piece_positions).select(*by).distinct())
+
+
 def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig(), by: Sequence[str] = SITE) -> DataFrame:
     """Distinct positions that pass the limits, from sparse_events(), or from read_pieces() with "running".
 
@@ -457,7 +501,7 @@ def candidate_positions(sparse: DataFrame, config: PileupConfig = PileupConfig()
         totals = position_totals(sparse, by).where("mismatches > 0")
         return totals.where(over_limits(F.col("mismatches"), F.col("coverage"), config)).select(*by)
     if "ops" in sparse.columns:
-        return _ranked_pieces(sparse, config, by).select(*by).distinct()
+        return _placed_pieces(sparse, config, by)
     return _counted(sparse, config, by).where("ok").select(*by).distinct()
 
 

@@ -21,6 +21,11 @@ def find_candidates(read_rows: DataFrame, reference: DataFrame, block_size: int,
     return pileup.candidate_alleles(_said(read_rows, reference, block_size, config), config)
 
 
+def find_positions(read_rows: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig()) -> DataFrame:
+    """Distinct candidate positions over all contigs at once."""
+    return pileup.candidate_positions(_said(read_rows, reference, block_size, config), config)
+
+
 def find_candidates_by_chunk(read_rows: DataFrame, reference: DataFrame, block_size: int, chunk_rows: DataFrame, config: PileupConfig = PileupConfig()) -> DataFrame:
     """Candidate alleles of each chunk for itself, with chunk_id; positions in the overlap of two chunks come out of both.
 

@@ -1,14 +1,17 @@
 """What grows with the input is shuffled, cut into more files or tasks, and never collected."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from lociflow import session
 from lociflow.config import PileupConfig
 from lociflow.functions import genotype
 from lociflow.operators import intervals, pieces, pileup, variants
-from lociflow.plans import alignment, pipelines
+from lociflow.plans import alignment, pipelines, queries
 from lociflow.schemas import READS
 from lociflow.sources import bam
 
@@ -136,3 +139,39 @@ def test_truth_is_derived_once_and_genotypes_are_read_in_compiled_code(spark):
     found = pipelines.label_candidates(made, blocks, variants.parse_records(raw), 4)
     assert [(r["pos"], r["allele"], r["freq"], r["gt"]) for r in found.collect()] == [(2, "T", 12, 1)]
     assert "split(" not in plan(found)
+
+
+def test_running_positions_write_far_fewer_rows_than_reads(spark, monkeypatch):
+    """The query's pieces are packed, and where bins have one run only positions leave the tasks, each once and unsorted."""
+    written = []
+    monkeypatch.setattr(pileup, "cut", lambda df: written.append(session.cut(df)) or written[-1])
+    sf_dir = "/root/testdata/sf0.001"
+    got = queries.win1_candidates_running(spark, sf_dir)
+    assert max(df.count() for df in written) * 10 < alignment.reads(spark, sf_dir).count()
+    assert "HashAggregate" not in plan(got)
+    want = pileup.candidate_positions(queries.sparse_events(spark, sf_dir))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 100
+
+
+@pytest.mark.parametrize("laid_out, run_bits", [(1 << 21, 16), (40, 16), (1 << 21, 3), (40, 3)])
+def test_positions_of_pieces_come_once_over_runs_and_parts(spark, monkeypatch, laid_out, run_bits):
+    monkeypatch.setattr(pieces, "LAID_OUT", laid_out)
+    monkeypatch.setattr(pieces, "RUN_BITS", run_bits)
+    rng, ref = random.Random(run_bits), "ACGT" * 600
+    rows = [(i, f"r{i}", "c", rng.choice([1015, 1020, rng.randrange(2300)]), 60, 0, rng.choice(["6M2D2I4M", "2I10M", "5M3N5M2I"]), "".join(rng.choice("AACGT") for _ in range(12))) for i in range(900)]
+    made, blocks = spark.createDataFrame(rows, READS), spark.createDataFrame([("c", 0, ref)], "contig string, block int, seq string")
+    want = sorted(map(tuple, pileup.candidate_positions(pileup.sparse_events(made, blocks, 2400)).collect()))
+    for said in (pieces.read_pieces, pieces.packed_pieces):
+        assert sorted(map(tuple, pileup.candidate_positions(said(made, blocks, 2400)).collect())) == want and len(want) > 10
+
+
+def test_shuffle_files_go_with_what_was_written(spark):
+    """Not when the driver collects garbage: a table that is written holds no second copy of itself on disk."""
+    folders = [Path(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f.name for d in folders for f in d.rglob("shuffle_*.data")}
+    before, kept = files(), session.cut(spark.range(1000).repartition(3))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 1000
