@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PileupConfig
+from ..session import cut
 from .reads import valid_reads, well_mapped
 
 #: Positions in a bin; reads in a run, as a power of two of read_ord.
@@ -195,21 +196,21 @@ def windows(reference: DataFrame, block_size: int) -> DataFrame:
     return parts.groupBy("contig", "bin").agg(joined.alias("window"))
 
 
-def _placed(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig, keep: Sequence[str], columns: Sequence[str], made: Callable, shown: str) -> DataFrame:
-    """What ``made`` gives of batches of well mapped reads, with the windows of its bins."""
+def _placed(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig, keep: Sequence[str], columns: Sequence[str], made: Callable, shown: str, written: bool = False) -> DataFrame:
+    """What ``made`` gives of batches of well mapped reads, written if it is to be, with the windows of its bins."""
     mapped = well_mapped(reads, config.min_mapq)
     mapped = (valid_reads(mapped, "raise") if config.invalid == "raise" else mapped).where("read_ord is not null")
     rows = mapped.select("contig", *keep, "read_ord", F.col("ref_start").cast("int").alias("ref_start"), "cigar", "seq", *columns)
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     run_bits = RUN_BITS
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield made(batch, keep, run_bits)
 
-    found = rows.mapInArrow(cut, ", ".join([f"`{c}` {kind[c]}" for c in ("contig", *keep)] + ["bin long, run long", shown]))
-    return found.join(windows(reference, block_size).hint("merge"), ["contig", "bin"])
+    found = rows.mapInArrow(cut_up, ", ".join([f"`{c}` {kind[c]}" for c in ("contig", *keep)] + ["bin long, run long", shown]))
+    return (cut(found) if written else found).join(windows(reference, block_size).hint("merge"), ["contig", "bin"])
 
 
 def read_pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
@@ -222,8 +223,11 @@ def read_pieces(reads: DataFrame, reference: DataFrame, block_size: int, config:
 
 
 def packed_pieces(reads: DataFrame, reference: DataFrame, block_size: int, config: PileupConfig = PileupConfig(), keep: Sequence[str] = ()) -> DataFrame:
-    """The same pieces without qualities, those of a bin and run from one batch of reads in a row; how many these are depends on how reads are sorted, the results don't."""
-    placed = _placed(reads, reference, block_size, config, keep, (), _pack, "ords binary, heads binary, ops binary, seq binary")
+    """The same pieces without qualities, those of a bin and run from one batch of reads in a row; how many these are depends on how reads are sorted, the results don't.
+
+    They are written before the windows are joined, so that what the reads shuffled is gone by then, and the join's shuffle by bin serves those who group by it.
+    """
+    placed = _placed(reads, reference, block_size, config, keep, (), _pack, "ords binary, heads binary, ops binary, seq binary", written=True)
     return placed.select("contig", *keep, "bin", "run", "ords", "heads", "ops", "seq", "window")
 
 

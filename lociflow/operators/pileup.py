@@ -443,8 +443,8 @@ _FEW_BINS = 100_000
 
 
 def _by_runs(pieces: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """The pieces of the bins that have one run, and those of the bins that have several, if there are any; pieces are written once."""
-    rows = cut(pieces)
+    """The pieces of the bins that have one run, and those of the bins that have several, if there are any; packed pieces are written already, others are here."""
+    rows = pieces if "heads" in pieces.columns else cut(pieces)
     several = cut(rows.groupBy("bin", *keys).agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last").select(*keys, "bin"))
     n = several.count()
     if not n:
