@@ -176,3 +176,21 @@ def test_shuffle_files_go_with_what_was_written(spark):
             break
         time.sleep(0.2)
     assert not files() - before and kept.count() == 1000
+
+
+@pytest.mark.parametrize("query, distance, offset, adjacent", [("win3_merge_windows", 0, 0, True)])
+def test_windows_read_their_bins_once(spark, monkeypatch, query, distance, offset, adjacent):
+    """Positions are derived and shuffled once, without what follows from them; runs of both kinds are merged by one step."""
+    rng = random.Random(8)
+    at = sorted({rng.choice([rng.randrange(300_000), 65_536 * rng.randrange(1, 4) + rng.randrange(-4, 4)]) for _ in range(3000)})
+    monkeypatch.setattr(queries, "win1_candidates_running", lambda *_: spark.createDataFrame([(c, p) for c in "cd" for p in at], "contig string, pos int"))
+    found, want = queries.QUERIES[query](spark, ""), []
+    for p in at:
+        if want and p - want[-1][1] <= distance + adjacent:
+            want[-1] = (want[-1][0], p, want[-1][2] + 1)
+        else:
+            want.append((p, p, 1))
+    assert sorted(map(tuple, found.collect())) == sorted((c, a - offset, b + offset, n) for c in "cd" for a, b, n in want)
+    assert found.dtypes == [("contig", "string"), ("start", "int"), ("stop", "int"), ("n", "bigint")]
+    shown = found._jdf.queryExecution().sparkPlan().toString()
+    assert shown.count("Scan ExistingRDD") == 1 and "Union" not in shown
