@@ -178,7 +178,7 @@ def test_shuffle_files_go_with_what_was_written(spark):
     assert not files() - before and kept.count() == 1000
 
 
-@pytest.mark.parametrize("query, distance, offset, adjacent", [("win3_merge_windows", 0, 0, True)])
+@pytest.mark.parametrize("query, distance, offset, adjacent", [("win3_merge_windows", 0, 0, True), ("win3_merge_windows_apart", 2, 1, False)])
 def test_windows_read_their_bins_once(spark, monkeypatch, query, distance, offset, adjacent):
     """Positions are derived and shuffled once, without what follows from them; runs of both kinds are merged by one step."""
     rng = random.Random(8)
