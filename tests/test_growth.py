@@ -194,3 +194,10 @@ def test_windows_read_their_bins_once(spark, monkeypatch, query, distance, offse
     assert found.dtypes == [("contig", "string"), ("start", "int"), ("stop", "int"), ("n", "bigint")]
     shown = found._jdf.queryExecution().sparkPlan().toString()
     assert shown.count("Scan ExistingRDD") == 1 and "Union" not in shown
+
+
+def test_intersected_intervals_are_those_of_every_order_and_every_part(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    for rows, name in zip(queries.bed_rows(spark, sf_dir), ("orders", "part"), strict=True):
+        assert rows.count() == alignment.table(spark, sf_dir, name).count()
+        assert not {"Filter", "Sample", "Limit"} & set(rows._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ").split())
